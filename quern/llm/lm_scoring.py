@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +61,12 @@ def score(docs: DataFrame, scratch: Scratch, order: int = 3, alpha: float = 0.4,
     chunks, buckets = X.chunk_and_bucket_counts(size, chunk_bytes, bucket_bytes, docs.sparkSession.sparkContext.defaultParallelism)
     docs = X.with_chunks(docs, chunks)
 
-    def ask(key, table):
-        _, grams = _grams(table, order)
-        return X.requests(key[0].as_py(), [(n, distinct, count) for n, (_, distinct, _, count) in enumerate(grams, 1)], buckets)
+    def asking(low: int, high: int):
+        def ask(key, table):
+            _, grams = _grams(table, high)
+            return X.requests(key[0].as_py(), [(n, grams[n - 1][1], grams[n - 1][3]) for n in range(low, high + 1)], buckets)
+
+        return docs.groupBy("chunk").applyInArrow(ask, X.REQUEST)
 
     def total(group, first, counts):
         return np.add.reduceat(counts, first)[group]
@@ -99,7 +103,10 @@ def score(docs: DataFrame, scratch: Scratch, order: int = 3, alpha: float = 0.4,
         mean = [x / k if k else None for x, k in zip(logprob.tolist(), n.tolist())]
         return pa.table([table["doc_id"], n, logprob, pa.array(mean, pa.float64()), sums(level < could), sums((level == 1) & (left[0] == 0))], schema=_OUT)
 
-    answers = scratch.cut(X.answered(docs.groupBy("chunk").applyInArrow(ask, X.REQUEST), total), "counts")
+    # orders of many distinct n-grams go one after another, so that the requests of one are gone before the next
+    passes = [(1, min(2, order)), *((n, n) for n in range(3, order + 1))]
+    tables = [scratch.cut(X.answered(asking(low, high), total), "counts") for low, high in passes]
+    answers = reduce(DataFrame.unionByName, tables)
     n_words_all = _n_words(docs)
     return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, OUT)
 
