@@ -1,9 +1,14 @@
 """Registered queries of the package: one for each operator, over the whole of its table."""
 
 from quern.llm.bpe import op7_bpe
+from quern.llm.line_dedup import OP2_SQL, op2_line_dedup
 from quern.llm.lm_scoring import op10_lm_scoring
+from quern.llm.mixing import op4_mixing
+from quern.llm.quality_rules import op3_quality_rules
 from quern.llm.simhash import op8_simhash_near_dedup
 from quern.llm.substring_dedup import op9_substring_dedup
+from quern.llm.winnowing import op5_fingerprints
 
-QUERIES = {q.__name__: q for q in (op7_bpe, op8_simhash_near_dedup, op9_substring_dedup, op10_lm_scoring)}
-ORACLES: dict[str, str] = {}
+_ALL = (op2_line_dedup, op3_quality_rules, op4_mixing, op5_fingerprints, op7_bpe, op8_simhash_near_dedup, op9_substring_dedup, op10_lm_scoring)
+QUERIES = {q.__name__: q for q in _ALL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}
