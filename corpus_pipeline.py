@@ -1,8 +1,76 @@
-"""A training-data pipeline over documents, stage by stage."""
+"""A training-data pipeline over documents, stage by stage.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next stage's docs.  All but the last return the columns of documents;
+each works on whatever its predecessor kept, null and empty values included.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import bpe, line_dedup, mixing, quality_model, simhash
+from quern.scratch import Scratch, checkpoint_root
+
+_scratch: dict[str, Scratch] = {}
+
+
+def _fresh(spark: SparkSession, stage: str) -> Scratch:
+    """Intermediate tables of a stage; those of the stages before it are done with and go."""
+    for name in list(_scratch):
+        _scratch.pop(name).close()
+    _scratch[stage] = Scratch(spark)
+    return _scratch[stage]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_model.filtered(docs, labels, _fresh(spark, "quality"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of repeated three-line windows; n_chars follows."""
+    out = line_dedup.dedup_lines(docs, _fresh(spark, "lines")).drop("__lines")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.one_of_each(docs, _fresh(spark, "near"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and as much of them, as the target weights take."""
+    return mixing.mixed(docs, _fresh(spark, "mix"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts, and hashes of the ids and of the text they decode to."""
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("lines", drop_repeated_lines),
+    ("near_copies", keep_one_of_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: The classifier, the fingerprints and the encoding can't be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to documents."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    for name, stage in STAGES[:-1]:
+        path = f"{checkpoint_root(spark)}/quern-pipeline-{name}-{uuid.uuid4().hex}"
+        last.paths.append(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
