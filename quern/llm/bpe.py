@@ -16,9 +16,11 @@ of arcs, so the automaton keeps a state's cuts as the merges themselves and reso
 arc (s, t) the first time it is met, then holds it in the table.  What it accepts is
 exactly the sequences of tokens that BPE makes.
 
-*Encoding.*  A word's bytes drive a second table, the suffix automaton of the vocabulary,
-which lists the tokens that end at each byte.  Exactly one of them can follow the token
-that ends where it begins; arcs are followed from there, and the path is read back.
+*Encoding.*  A word's bytes drive a deterministic table.  Its states pair a node of the
+vocabulary's suffix automaton, which lists the tokens that end at the present byte, with
+the tokens that end at the bytes before; exactly one listed token may follow the one that
+ends where it begins, and the transition records it.  A transition is made the first time
+it is met; afterwards a byte is one look-up.  The path is read back from the end.
 
 *Decoding* emits the arc labels: the bytes of each token.
 
@@ -45,7 +47,8 @@ from quern.llm.text import columns_of
 
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CACHED_WORDS = 200_000
+#: Sizes of tables that fill as texts are met, in entries.
+_CACHED_WORDS, _TABLE = 400_000, 600_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -55,6 +58,22 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class _Known(dict):
+    """Words that were met, with the number of their ids, the ids in decimal form, and the bytes that they decode to."""
+
+    def __init__(self, tables: "Automaton"):
+        super().__init__()
+        self._tables = tables
+
+    def __missing__(self, word: str) -> tuple[int, str, bytes]:
+        tables = self._tables
+        ids = tables.encode_word(word.encode())
+        got = len(ids), ",".join([tables.decimal[i] for i in ids]), tables.decode_bytes(ids)
+        if len(word) < 64:
+            self[word] = got
+        return got
+
+
 class Automaton:
     """Tables of one vocabulary; see the module's text."""
 
@@ -65,6 +84,7 @@ class Automaton:
         self.label = {i: raw(t) for t, i in vocabulary.items()}
         self.special = {t: i for t, i in spec["special"]}
         self.label |= {i: t.encode() for t, i in spec["special"]}
+        self.decimal = {i: str(i) for i in self.label}
         special = sorted(self.special, key=len, reverse=True)
         self._split_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self._words = regex.compile(PATTERN)
@@ -78,9 +98,9 @@ class Automaton:
         for c, (rank, a, b) in self._made.items():  # no arc for c where b was cut after a before
             if a in self._reachable and b in self._reachable and self.follows(a, b, rank):
                 self._reachable.add(c)
-        self._arcs: dict[int, bool] = {}
-        self._cache: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
         self._build_suffixes()
+        self._forget()
+        self._known = _Known(self)
 
     def _build_suffixes(self) -> None:
         """Goto and failure tables over the tokens' bytes; for each node, the tokens that end there, longest first."""
@@ -105,7 +125,11 @@ class Automaton:
                 fail[to] = goto[back].get(byte, 0)
                 ends[to] += ends[fail[to]]
                 queue.append(to)
-        self._goto, self._fail, self._ends = goto, fail, ends
+        depth = [0] * len(goto)
+        for node in [0, *queue]:
+            for to in goto[node].values():
+                depth[to] = depth[node] + 1
+        self._goto, self._fail, self._ends, self._depth = goto, fail, ends, depth
 
     def follows(self, s: int, t: int, before: int = 1 << 60) -> bool:
         """Is there an arc t after token s, before the merge of that rank?  Walks the gadgets that could have cut it."""
@@ -124,63 +148,81 @@ class Automaton:
                 return True
             x_gone, x = made[x][0], made[x][2]
 
+    def _step(self, state: int, byte: int) -> tuple[int, int, int]:
+        """The transition of a state on a byte: next state, and the token that ends there with its length.
+
+        A state is a node of the suffix tables with the last tokens at its depth's positions.
+        """
+        node, window = self._states[state]
+        while node and byte not in self._goto[node]:
+            node = self._fail[node]
+        node = self._goto[node].get(byte, 0)
+        for length, token in self._ends[node]:
+            before = window[-length]
+            arc = before << 32 | token
+            open_ = before < 0 or self._arcs.get(arc)
+            if open_ is None:
+                open_ = self._arcs[arc] = self.follows(before, token)
+            if open_:
+                break
+        key = (node, (window + (token,))[-self._depth[node] - 1 :])
+        after = self._numbers.get(key)
+        if after is None:
+            after = self._numbers[key] = len(self._states)
+            self._states.append(key)
+        step = self._table[state << 8 | byte] = (after, token, length)
+        return step
+
+    def _forget(self) -> None:
+        """Empty tables that have grown: they fill again as they are met."""
+        self._states, self._numbers, self._table, self._arcs = [(0, (-1,))], {(0, (-1,)): 0}, {}, {}
+
     def encode_word(self, word: bytes) -> list[int]:
-        goto, fail, ends, arcs = self._goto, self._fail, self._ends, self._arcs
-        last = [(-1, 0)] * (len(word) + 1)  # the token that ends at each byte, and its length
-        node = 0
-        for at, byte in enumerate(word, 1):
-            while node and byte not in goto[node]:
-                node = fail[node]
-            node = goto[node].get(byte, 0)
-            for length, token in ends[node]:
-                before = last[at - length][0]
-                if before < 0:
-                    if at == length:
-                        last[at] = (token, length)
-                        break
-                    continue
-                arc = before << 32 | token
-                open_ = arcs.get(arc)
-                if open_ is None:
-                    open_ = arcs[arc] = self.follows(before, token)
-                if open_:
-                    last[at] = (token, length)
-                    break
-        path, at = [], len(word)
-        while at:
-            token, length = last[at]
+        if len(self._table) > _TABLE:
+            self._forget()
+        table, state, steps = self._table, 0, []
+        for byte in word:
+            step = table.get(state << 8 | byte)
+            if step is None:
+                step = self._step(state, byte)
+            steps.append(step)
+            state = step[0]
+        path, at = [], len(word) - 1
+        while at >= 0:
+            _, token, length = steps[at]
             path.append(token)
             at -= length
-        return path[::-1]
-
-    def _word(self, word: str) -> tuple[tuple[int, ...], str, bytes]:
-        ids = self.encode_word(word.encode())
-        return tuple(ids), ",".join(map(str, ids)), self.decode_bytes(ids)
-
-    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
-        """For each word of the text: its ids, their decimal form and the bytes they decode to."""
-        out, cache = [], self._cache
-        if len(cache) > _CACHED_WORDS:
-            cache.clear()
-        if len(self._arcs) > 4 * _CACHED_WORDS:
-            self._arcs.clear()
+        path.reverse()
+        return path
+
+    def _parts(self, text: str):
+        """Words of the text, and special tokens as their numbers."""
         parts = self._split_special.split(text) if self._split_special else [text]
         for k, part in enumerate(parts):
             if k % 2:
-                token = self.special[part]
-                out.append(((token,), str(token), self.label[token]))
-                continue
-            for word in self._words.findall(part):
-                got = cache.get(word)
-                if got is None:
-                    got = self._word(word)
-                    if len(word) < 64:
-                        cache[word] = got
-                out.append(got)
+                yield [], self.special[part]
+            else:
+                yield self._words.findall(part), None
+
+    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
+        """For each word of the text: how many ids, their decimal form, and the bytes that they decode to."""
+        out, known = [], self._known
+        if len(known) > _CACHED_WORDS:
+            known.clear()
+        for words, special in self._parts(text):
+            out += [known[w] for w in words]
+            if special is not None:
+                out.append((1, str(special), self.label[special]))
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _, _ in self.pieces(text or "") for i in ids]
+        out: list[int] = []
+        for words, special in self._parts(text or ""):
+            for word in words:
+                out += self.encode_word(word.encode())
+            if special is not None:
+                out.append(special)
+        return out
 
     def decode_bytes(self, ids) -> bytes:
         label = self.label
@@ -252,10 +294,10 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the decoded text)."""
 
     def row(tables: Automaton, text: str):
-        pieces = tables.pieces(text)
-        decoded = b"".join([p[2] for p in pieces]).decode(errors="replace").encode()
-        ids = ",".join([p[1] for p in pieces])
-        return sum([len(p[0]) for p in pieces]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        counts, decimals, labels = zip(*(tables.pieces(text) or [(0, "", b"")]))
+        decoded = b"".join(labels).decode(errors="replace").encode()
+        ids = ",".join(decimals)
+        return sum(counts), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     return _applied(docs, path or default_path(), {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, row)
 
