@@ -72,9 +72,13 @@ def _shingles(words: Column, counted: Column) -> Column:
 
 
 def hashed(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and s: the shingle hashes of each text."""
+    """``keep``, row (a number) and s: the shingle hashes of each text.
+
+    The number keeps filters on s from being pushed below it, where the words of a text would be
+    made anew for each shingle.
+    """
     words = docs.select(*keep, F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
-    return words.select(*keep, _shingles(F.col("w"), F.size("w")).alias("s"))
+    return words.select(*keep, F.monotonically_increasing_id().alias("row"), _shingles(F.col("w"), F.size("w")).alias("s"))
 
 
 def template_table(spark, templates: dict[str, str]) -> DataFrame:
@@ -114,11 +118,9 @@ def scan(docs: DataFrame, scratch: Scratch, templates: dict[str, str] | None = N
     texts = hashed(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), "doc_id", "th")
     # places of template shingles; a text without any can't collide in any band
     hits = F.filter(F.transform("s", lambda h, i: F.when(h.isin(every), i)), lambda i: i.isNotNull())
-    near = scratch.cut(texts.select("doc_id", "th", "s", hits.alias("hits")).where(F.size("hits") > 0), "near")
+    numbered = scratch.cut(texts.select("row", "doc_id", "th", "s", hits.alias("hits")).where(F.size("hits") > 0), "near")
     # of each size class s, the windows [s k, s k + 2 s) that hold a hit: k and k - 1 for a hit at s k
     starts = F.flatten(F.array(*map(_windows_of, sizes)))
-    row = F.monotonically_increasing_id().alias("row")
-    numbered = scratch.cut(near.select(row, "doc_id", "th", "s", "hits"), "rows")
     windows = numbered.select("row", "doc_id", "th", "s", F.explode(starts).alias("w"))
     windows = windows.select("row", "doc_id", "th", "w.at", "w.size", F.array_distinct(F.slice("s", F.col("w.at") + 1, 2 * F.col("w.size"))).alias("h"))
     banded = windows.select("row", "doc_id", "th", "at", "size", "h", F.explode(_signature(F.col("h"))).alias("b"))
