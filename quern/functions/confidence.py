@@ -1,8 +1,7 @@
 """Evidence-weighted confidence of findings.
 
-Scores are sums of binary floating-point products, rounded half to even at the third
-decimal as the sum's exact binary value has it; ``rounded`` does so by an exact decimal of
-the binary value, so that no Python is needed.
+Scores are sums of binary floating-point products, rounded at the third decimal by the
+sum's exact binary value, which ``rounded`` does in double arithmetic alone.
 """
 
 from __future__ import annotations
@@ -23,12 +22,19 @@ CONCEALED = "弱校验"
 
 
 def rounded(value: Column, places: int) -> Column:
-    """Half-even rounding at ``places`` of the number that a double holds."""
+    """A non-negative double rounded half to even by its exact binary value.
+
+    The value is split into two halves of its bits, so that their products with the scale, and
+    with them the distance to the middle between two results, are exact.
+    """
     scale = 10**places
-    scaled = value * scale
-    down = F.floor(scaled)
-    rest = scaled - down
-    return F.when(F.abs(rest - 0.5) > 1e-9, F.floor(scaled + 0.5)).otherwise(F.rint(F.round(scaled, 6))).cast("double") / scale
+    wide = value * 134217729.0
+    high = wide - (wide - value)
+    low = value - high
+    down = F.floor(value * scale)
+    beyond = (high * (2.0 * scale) - (2 * down + 1).cast("double")) + low * (2.0 * scale)
+    up = (beyond > 0) | ((beyond == 0) & (down % 2 == 1))
+    return (down + up.cast("int")).cast("double") / scale
 
 
 def level(confidence: Column) -> Column:
