@@ -20,7 +20,8 @@ def valid_references(refs: DataFrame, lines: DataFrame, key: list[str]) -> DataF
     each = refs.select(*key, "file", "start_line", "end_line", F.posexplode(F.split("text", "\n")).alias("i", "quoted"), F.size(F.split("text", "\n")).alias("n_lines"))
     each = each.withColumn("n", F.col("start_line") + F.col("i"))
     met = each.join(lines, ["file", "n"], "left")
-    same = (F.ltrim("quoted") == F.ltrim("line")).eqNullSafe(True)
+    bare = lambda c: F.regexp_replace(c, r"^\s+", "")
+    same = (bare("quoted") == bare("line")).eqNullSafe(True)
     group = [*key, "file", "start_line", "end_line"]
     judged = met.groupBy(*group).agg(F.bool_and(same).alias("same"), F.bool_or(F.trim("quoted") != "").alias("some"), F.max("n_lines").alias("n_lines"))
     good = judged.where(F.col("same") & F.col("some") & (F.col("n_lines") == F.col("end_line") - F.col("start_line") + 1)).select(*group)
