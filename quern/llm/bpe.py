@@ -177,6 +177,11 @@ class Automaton:
         """Empty tables that have grown: they fill again as they are met."""
         self._states, self._numbers, self._table, self._arcs = [(0, (-1,))], {(0, (-1,)): 0}, {}, {}
 
+    def release(self) -> None:
+        """Empty all tables that fill as texts are met."""
+        self._forget()
+        self._known.clear()
+
     def encode_word(self, word: bytes) -> list[int]:
         if len(self._table) > _TABLE:
             self._forget()
@@ -268,12 +273,15 @@ def _applied(docs: DataFrame, path: str, fields: dict[str, object], row) -> Data
 
     def of_batches(batches):
         tables = automaton(shared.value)
-        for batch in batches:
-            ids, texts = batch["doc_id"], batch["text"]
-            for at in range(0, len(texts), 500):
-                rows = [row(tables, t or "") for t in texts.slice(at, 500).to_pylist()]
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), fields.values())]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 500), *columns], names)
+        try:
+            for batch in batches:
+                ids, texts = batch["doc_id"], batch["text"]
+                for at in range(0, len(texts), 500):
+                    rows = [row(tables, t or "") for t in texts.slice(at, 500).to_pylist()]
+                    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), fields.values())]
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, 500), *columns], names)
+        finally:  # the process may serve other work next
+            tables.release()
 
     docs = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     kinds = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
