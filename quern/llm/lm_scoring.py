@@ -118,7 +118,33 @@ def _n_words(docs: DataFrame) -> int:
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark))
+    """The scores of all documents; sums rounded where the order of addition shows."""
+    out = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark))
+    return out.withColumns({"logprob": F.round("logprob", 4), "mean_logprob": F.round("mean_logprob", 6)})
+
+
+#: The same in DuckDB, by the words of the n-grams; documents have distinct ids there.
+OP10_SQL = """
+WITH W AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+E AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS p, len(w) AS n FROM W),
+G AS (SELECT *, lag(a) OVER d AS b, lag(a, 2) OVER d AS c FROM E WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+C AS (SELECT doc_id, p, n, sum(1) OVER () - n AS others,
+    count(*) OVER (PARTITION BY a) - count(*) OVER (PARTITION BY doc_id, a) AS c1,
+    count(*) OVER (PARTITION BY b, a) - count(*) OVER (PARTITION BY doc_id, b, a) AS c2,
+    count(*) OVER (PARTITION BY c, b, a) - count(*) OVER (PARTITION BY doc_id, c, b, a) AS c3 FROM G),
+L AS (SELECT *, lag(c1) OVER d AS k1, lag(c2) OVER d AS k2 FROM C WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+S AS (SELECT doc_id, CASE
+    WHEN p >= 3 AND c3 > 0 THEN ln(c3 / k2)
+    WHEN p >= 2 AND c2 > 0 THEN ln(c2 / k1) + CASE WHEN p >= 3 THEN ln(0.4) ELSE 0 END
+    WHEN c1 > 0 THEN ln(c1 / others) + least(p - 1, 2) * ln(0.4)
+    ELSE -ln(others + 1) + least(p - 1, 2) * ln(0.4) END AS s,
+    NOT (p = 1 OR CASE WHEN p = 2 THEN c2 > 0 ELSE c3 > 0 END) AS backed,
+    c1 = 0 AND NOT (p >= 2 AND c2 > 0) AS unseen FROM L),
+T AS (SELECT doc_id, sum(s) AS s, count(*) FILTER (backed) AS b, count(*) FILTER (unseen) AS u FROM S GROUP BY doc_id)
+SELECT W.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0.0), 4) AS logprob,
+    CASE WHEN len(w) > 0 THEN round(s / len(w), 6) END AS mean_logprob, CAST(coalesce(b, 0) AS BIGINT) AS n_backed_off, CAST(coalesce(u, 0) AS BIGINT) AS n_unseen
+FROM W LEFT JOIN T ON T.doc_id = W.doc_id
+"""
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], order: int = 3, alpha: float = 0.4) -> list[tuple]:

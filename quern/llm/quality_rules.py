@@ -155,6 +155,35 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: The same in DuckDB, by the words themselves and with the same bins.
+OP3_SQL = """
+WITH W AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+X AS (SELECT doc_id, p, list_slice(w, p, p + 4) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM W WHERE len(w) >= 5)),
+Y AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS k FROM X),
+R AS (SELECT doc_id, count(DISTINCT p + j) AS n FROM (SELECT doc_id, p, unnest(range(0, 5)) AS j FROM Y WHERE k > 1) GROUP BY doc_id),
+N AS (SELECT W.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(R.n, 0) AS n_repeat_words
+    FROM W LEFT JOIN R ON R.doc_id = W.doc_id),
+V AS (SELECT doc_id, lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS metric,
+    unnest([n_symbols / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1), word_chars / greatest(n_words, 1)]) AS v FROM N),
+B AS (SELECT *, CASE WHEN v <= 1e-4 THEN 0 ELSE CAST(ceil(ln(v / CAST(1e-4 AS DOUBLE)) / ln(CAST(1.02 AS DOUBLE))) AS INTEGER) END AS bin FROM V),
+H AS (SELECT 2 AS level, lang, source, metric, bin, count(*) AS n FROM B GROUP BY ALL UNION ALL SELECT 1, lang, NULL, metric, bin, count(*) FROM B GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, metric, bin, count(*) FROM B GROUP BY ALL),
+C AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM H),
+Q AS (SELECT level, lang, source, metric, min(bin) FILTER (seen >= total * 0.5) AS mid, min(bin) FILTER (seen >= total * 0.75) AS high, max(total) AS total FROM C GROUP BY ALL),
+D AS (SELECT level, lang, source, metric, total, CASE WHEN mid = 0 THEN 0.0 ELSE pow(CAST(1.02 AS DOUBLE), mid) * 1e-4 END AS mid, CASE WHEN high = 0 THEN 0.0 ELSE pow(CAST(1.02 AS DOUBLE), high) * 1e-4 END AS high FROM Q),
+F AS (SELECT level, lang, source, metric, mid + 3.0 * greatest(high - mid, CASE metric WHEN 'symbols' THEN 0.02 WHEN 'dup_lines' THEN 0.12 WHEN 'repeats' THEN 0.07 ELSE 1.5 END) AS fence FROM D WHERE total >= 200 OR level = 0),
+J AS (SELECT v.doc_id, count(*) FILTER (v.v > coalesce(a.fence, b.fence, c.fence)) AS failed FROM V v
+    LEFT JOIN F a ON a.level = 2 AND a.metric = v.metric AND a.lang IS NOT DISTINCT FROM v.lang AND a.source IS NOT DISTINCT FROM v.source
+    LEFT JOIN F b ON b.level = 1 AND b.metric = v.metric AND b.lang IS NOT DISTINCT FROM v.lang
+    JOIN F c ON c.level = 0 AND c.metric = v.metric GROUP BY v.doc_id)
+SELECT N.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+    CAST(n_repeat_words AS BIGINT) AS n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND failed = 0 AS kept
+FROM N JOIN J ON J.doc_id = N.doc_id
+"""
+
+
 def brute_base(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) by plain loops; for tests."""
     import re

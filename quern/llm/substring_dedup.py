@@ -144,6 +144,21 @@ def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The same in DuckDB, by the words of the windows themselves; documents have distinct ids there.
+OP9_SQL = """
+WITH W AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+X AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS p, w FROM W WHERE len(w) >= 13),
+Y AS (SELECT doc_id, p, list_slice(w, p, p + 12) AS g FROM X),
+M AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS m FROM Y),
+G AS (SELECT DISTINCT doc_id, p + k AS p FROM (SELECT doc_id, p, unnest(range(0, 13)) AS k FROM M WHERE m < doc_id)),
+E AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM W),
+K AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM E ANTI JOIN G USING (doc_id, p) GROUP BY doc_id),
+R AS (SELECT doc_id, count(*) AS n FROM G GROUP BY doc_id)
+SELECT W.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(R.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(K.kept, '')) AS kept_sha256
+FROM W LEFT JOIN K ON K.doc_id = W.doc_id LEFT JOIN R ON R.doc_id = W.doc_id
+"""
+
+
 def brute_force(rows: list[tuple[int | None, str | None]], window: int = 13) -> list[tuple]:
     """The same by comparing word sequences; for tests."""
     first: dict[tuple, int] = {}
