@@ -108,10 +108,11 @@ def _centres(fps: np.ndarray):
 
 def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """fp and link: edges that connect exactly the fingerprints within 2 bits of each other.  ``distinct`` has each fp once."""
-    at_cells = distinct.mapInArrow(_visits("cell", _cells), "cell long, fp long")
+    # visits move once: the aggregate and the join below read one exchange
+    at_cells = distinct.mapInArrow(_visits("cell", _cells), "cell long, fp long").repartition("cell")
     shared = at_cells.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("cell")
     candidates = scratch.cut(at_cells.join(shared, "cell", "left_semi").select("fp").distinct(), "candidates")
-    at_centres = candidates.mapInArrow(_visits("centre", _centres), "centre long, fp long")
+    at_centres = candidates.mapInArrow(_visits("centre", _centres), "centre long, fp long").repartition("centre")
     least = at_centres.groupBy("centre").agg(F.min("fp").alias("link"), F.max("fp").alias("b")).where("link < b").drop("b")
     return scratch.cut(at_centres.join(least, "centre").where("fp <> link").select("fp", "link").distinct(), "links")
 
