@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.text import columns_of
@@ -108,13 +108,15 @@ def _centres(fps: np.ndarray):
 
 def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """fp and link: edges that connect exactly the fingerprints within 2 bits of each other.  ``distinct`` has each fp once."""
-    # visits move once: the aggregate and the join below read one exchange
-    at_cells = distinct.mapInArrow(_visits("cell", _cells), "cell long, fp long").repartition("cell")
-    shared = at_cells.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("cell")
-    candidates = scratch.cut(at_cells.join(shared, "cell", "left_semi").select("fp").distinct(), "candidates")
-    at_centres = candidates.mapInArrow(_visits("centre", _centres), "centre long, fp long").repartition("centre")
-    least = at_centres.groupBy("centre").agg(F.min("fp").alias("link"), F.max("fp").alias("b")).where("link < b").drop("b")
-    return scratch.cut(at_centres.join(least, "centre").where("fp <> link").select("fp", "link").distinct(), "links")
+    # each visit moves once: who meets at a place is seen in its window, which a centre bounds by 65 rows
+    # and a cell by the fingerprints a few bits apart
+    at_cells = distinct.mapInArrow(_visits("cell", _cells), "cell long, fp long")
+    here = Window.partitionBy("cell")
+    met = at_cells.select("fp", F.min("fp").over(here).alias("a"), F.max("fp").over(here).alias("b")).where("a < b")
+    candidates = scratch.cut(met.select("fp").distinct(), "candidates")
+    at_centres = candidates.mapInArrow(_visits("centre", _centres), "centre long, fp long")
+    least = at_centres.select("fp", F.min("fp").over(Window.partitionBy("centre")).alias("link"))
+    return scratch.cut(least.where("fp <> link").distinct(), "links")
 
 
 def components(edges: DataFrame, scratch: Scratch, a: str = "fp", b: str = "link") -> DataFrame:
