@@ -43,6 +43,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import workers
 from quern.llm.text import columns_of
 
 #: The byte-level pre-tokenizer's pattern.
@@ -273,15 +274,13 @@ def _applied(docs: DataFrame, path: str, fields: dict[str, object], row) -> Data
 
     def of_batches(batches):
         tables = automaton(shared.value)
-        try:
-            for batch in batches:
-                ids, texts = batch["doc_id"], batch["text"]
-                for at in range(0, len(texts), 500):
-                    rows = [row(tables, t or "") for t in texts.slice(at, 500).to_pylist()]
-                    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), fields.values())]
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, 500), *columns], names)
-        finally:  # the process may serve other work next
-            tables.release()
+        workers.enter("bpe", tables.release)
+        for batch in batches:
+            ids, texts = batch["doc_id"], batch["text"]
+            for at in range(0, len(texts), 500):
+                rows = [row(tables, t or "") for t in texts.slice(at, 500).to_pylist()]
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), fields.values())]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 500), *columns], names)
 
     docs = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     kinds = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}

@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm import workers
 from quern.llm.text import columns_of
 from quern.scratch import Scratch
 
@@ -61,6 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of each row."""
 
     def of_batches(batches):
+        workers.enter("simhash")
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch["text"].to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
