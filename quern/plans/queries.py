@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quern.functions import confidence, cvss, scalars
 from quern.operators import aggregates, graph, matching, ranks, spans, texts
 from quern.operators.null_safe import null_safe_join
-from quern.plans import seeds
+from quern.plans import gates, seeds
 from quern.scratch import Scratch
 from quern.streaming import incremental
 
@@ -652,3 +652,44 @@ SELECT l_orderkey, l_partkey, l_quantity FROM R WHERE r = 1""")
 def ordered_dedup(spark, directory):
     """The first line of each (order, flag), in order."""
     return spans.collapsed(table(spark, directory, "lineitem"), ["l_orderkey", "l_returnflag"], [F.col(c) for c in _LINE_ORDER]).select("l_orderkey", "l_partkey", "l_quantity")
+
+
+_KINDS_SQL = """
+K AS (SELECT user_id, bool_or(event_type = 'error' AND value > 20) AS fact, bool_or(event_type = 'signup' AND value > 20) AS size, bool_or(event_type = 'view' AND value > 20) AS src,
+  bool_or(event_type = 'purchase' AND value > 20) AS snk, bool_or(event_type = 'click' AND value > 100) AS entry FROM events GROUP BY user_id)"""
+
+
+@query(f"WITH {_KINDS_SQL} SELECT user_id, (fact OR (size AND src) OR (src AND snk) OR entry) AS a, (fact OR (size AND src) OR snk OR entry) AS b, (fact OR (size AND src) OR snk OR src OR entry) AS c FROM K")
+def taint_gate_levels(spark, directory):
+    """users that pass the gate at each level, event types standing for facts, size sinks, sources, sinks and entries."""
+    e = table(spark, directory, "events").select(F.col("user_id").alias("function"), "event_type", "value")
+    of = lambda t, least=20: e.where((F.col("event_type") == t) & (F.col("value") > least)).select("function")
+    points = of("view").select("function", F.lit("source").alias("kind"), F.lit("read").alias("type")).unionByName(of("purchase").select("function", F.lit("sink").alias("kind"), F.lit("file_read").alias("type")))
+    users = e.select("function").distinct()
+    out = users
+    for level in "ABC":
+        passed = gates.taint_gate(users, of("error"), of("signup"), points, of("click", 100), level, True).withColumn(level.lower(), F.lit(True))
+        out = out.join(passed, "function", "left")
+    return out.select(F.col("function").alias("user_id"), *[F.coalesce(c, F.lit(False)).alias(c) for c in "abc"])
+
+
+@query("""WITH R AS (SELECT l_partkey, l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) AS INTEGER) AS place, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem)
+SELECT l_partkey, l_orderkey, place, n > 20 AS truncated FROM R WHERE place <= 20""")
+def bounded_neighbours(spark, directory):
+    """The first twenty orders of each part, and whether there are more (the cap is the report's)."""
+    edges = table(spark, directory, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return gates.neighbours(edges, "l_partkey", "l_orderkey", ["l_linenumber", "l_quantity", "l_extendedprice"], 20).select("l_partkey", "l_orderkey", "place", "truncated")
+
+
+@query("""WITH C AS (SELECT o_custkey, o_orderkey, CAST((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS INTEGER) AS batch FROM orders) SELECT * FROM C""")
+def work_batches(spark, directory):
+    """Batching of 2.15: a customer's orders in batches of four."""
+    return gates.batches(table(spark, directory, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], [F.col("o_orderkey")], 4)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'critical' WHEN p_type = 'MEDIUM' THEN 'high' ELSE 'low' END AS severity FROM part WHERE p_type IN ('ECONOMY', 'SMALL', 'MEDIUM') AND p_size >= 10 AND p_brand <> 'Brand#1'""")
+def finding_filters(spark, directory):
+    """parts as findings of a severity and confidence, filtered."""
+    severity = F.when(F.col("p_type").isin("ECONOMY", "SMALL"), "critical").when(F.col("p_type") == "MEDIUM", "high").otherwise("low")
+    p = table(spark, directory, "part").select("p_partkey", severity.alias("severity"), F.col("p_size").alias("confidence"), F.col("p_brand").alias("category"))
+    return gates.filtered_findings(p, floor="medium", least_confidence=10).where("category <> 'Brand#1'").select("p_partkey", "severity")

@@ -35,6 +35,15 @@ wire_types ARRAY<STRUCT<file:STRING, name:STRING>>,
 _corrupt_record STRING
 """
 
+#: The producer's index of a snapshot: spans of functions, uses of fields, assignments, and what it left out.
+SOURCE_INDEX = """
+repo STRING, snapshot STRING,
+spans ARRAY<STRUCT<path:STRING, name:STRING, kind:STRING, line:INT, end_line:INT, signature:STRING>>,
+field_uses ARRAY<STRUCT<path:STRING, name:STRING, kind:STRING, line:INT, offset:INT, expression:STRING, type_id:STRING, scope_start:INT, binding_id:INT>>,
+assignments ARRAY<STRUCT<path:STRING, name:STRING, line:INT, offset:INT, scope_start:INT, binding_id:INT, expression:STRING>>,
+excluded ARRAY<STRING>, errors ARRAY<STRING>, _corrupt_record STRING
+"""
+
 #: Reports of old and new shape; fields that a shape lacks are null.
 REPORT = """
 scan_info STRUCT<project:STRING, timestamp:STRING>,
@@ -99,6 +108,14 @@ def merged_tables(analysis: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def index_tables(index: DataFrame) -> dict[str, DataFrame]:
+    """spans, field_uses and assignments as rows; excluded files and errors with their repository."""
+    head = ["repo", "snapshot"]
+    rows = lambda c: index.select(*head, F.explode(c).alias("x")).select(*head, "x.*")
+    texts = lambda c: index.select(*head, F.explode(c).alias("text"))
+    return {c: rows(c) for c in ("spans", "field_uses", "assignments")} | {c: texts(c) for c in ("excluded", "errors")}
+
+
 def modules_of(texts: DataFrame) -> DataFrame:
     """repo, module and rel_dir of go.mod files (path, text), longest module first within a repository."""
     found = texts.select("repo", F.regexp_extract("text", r"(?m)^module\s+\"?([^\s\"]+)", 1).alias("module"), F.regexp_extract("path", r"^(.*)/go\.mod$", 1).alias("rel_dir"))

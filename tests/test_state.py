@@ -223,3 +223,36 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.n, r.total) for r in spark.sql("select * from windows").collect()] == [(2, 3.0)]
+
+
+def test_gates(spark):
+    from quern.plans import gates
+
+    t = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    functions = t([("r", f"a.go:{n}", "a.go", n) for n in ("HandleLogin", "quiet", "sinkOnly", "both")], "repo string, function string, file string, name string")
+    points = t([("a.go:sinkOnly", "sink", "command_execution"), ("a.go:both", "source", "read"), ("a.go:both", "sink", "command_execution")], "function string, kind string, type string")
+    calls = t([("a.go:HandleLogin", "http.HandleFunc"), ("a.go:both", "os.Open"), ("a.go:both", "Open")], "function string, callee string")
+    imports = t([("a.go", ["os/exec"]), ("b.go", ["fmt"])], "file string, stdlib array<string>")
+    scored = gates.prioritised(functions, points, calls, imports, t([("os.Open",)], "api string"))
+    assert {r.name: r.score for r in scored.collect()} == {"HandleLogin": 2 + 2 + 1, "quiet": 2, "sinkOnly": 11 + 2, "both": 3 + 4 + 2}
+    more = gates.with_facts(scored.where("name = 'quiet'"), functions, points)
+    assert {r.name: r.score for r in more.collect()} == {"quiet": 2, "sinkOnly": 15, "both": 15}
+    assert [r.name for r in gates.first_n(scored, 2).orderBy("place").collect()] == ["sinkOnly", "both"]
+    assert [r.name for r in gates.first_n(functions, 2, t([("a.go:quiet",)], "function string")).orderBy("place").collect()] == ["quiet", "HandleLogin"]
+    assert {r.name for r in gates.with_flow(functions, points).collect()} == {"sinkOnly", "both"}
+    assert {r.name for r in gates.focused(functions.withColumn("receiver", F.lit("")), ["quiet"], ["a.go"]).collect()} == {"quiet"}
+    c = lambda x: spark.range(1).select(x).first()[0]
+    assert [c(gates.is_test_path(F.lit(p))) for p in ("a/b_test.go", "x/testutil/h.go", "latest/h.go", "test.go")] == [True, True, False, False]
+    lines = t([("a.go", 1, "func Run() {"), ("a.go", 2, " Run(x); Go()"), ("a_test.go", 3, "Run()"), ("vendor/v.go", 1, "Run()"), ("b.go", 9, "p.Run ()")], "file string, n int, line string")
+    assert [(r.file, r.n) for r in gates.callers_in_text(lines, t([("Run",)], "name string")).orderBy("file").collect()] == [("a.go", 2), ("b.go", 9)]
+    ids = t([("k", "1"), ("m", "2"), ("m", "3")], "function string, function_id string")
+    assert {r.function: (r.function_id, r.ambiguous) for r in gates.mapped_ids(t([("k",), ("m",), ("n",)], "function string"), ids).collect()} == {"k": ("1", False), "m": (None, True), "n": (None, False)}
+    adv = gates.advisories_with_commits(t([("G1", "Foo/Bar"), ("G2", "x/y")], "go_id string, repo string"), t([("foo/bar", "c1", 1), ("FOO/bar", "c2", 2), ("z/z", "c3", 1)], "repo string, commit string, ord int"))
+    assert sorted((str(r.go_id), r.repo, r.commit) for r in adv.collect()) == [("G1", "Foo/Bar", "c2"), ("G2", "x/y", None), ("None", "z/z", "c3")]
+    summary = gates.validation_summary(t([("G1", ["f", "g"]), ("G2", [])], "go_id string, functions array<string>"), t([("f", "c", 1), ("f", "d", 2)], "function string, category string, unit_id int"), t([(1, "yes")], "unit_id int, verdict string"))
+    assert {r.go_id: (r.findings, r.categories, r.verdicts) for r in summary.collect()} == {"G1": (2, ["c", "d"], ["yes"]), "G2": (0, [], [])}
+    empty = t([], "domain string, confidence double")
+    inferred = gates.domains(empty, t([(["net", "fs"],), (["net"],)], "domain_hints array<string>"))
+    assert {r.domain: round(r.confidence, 3) for r in inferred.collect()} == {"net": 1.0, "fs": 0.667}
+    split = gates.split_imports(t([("r", "a.go", ["os", "github.com/x/go-y/v2"])], "repo string, file string, paths array<string>"))
+    assert [(r.path, r.standard, r.alias) for r in split.orderBy("path").collect()] == [("github.com/x/go-y/v2", False, "y"), ("os", True, "os")]
