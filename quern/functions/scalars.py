@@ -52,9 +52,24 @@ def alias_of(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.substring_index(unversioned, "/", -1), r"^go-", ""), r"[.-].*$", "")
 
 
-def content_id(parts: list[Column], length: int) -> Column:
-    """The first hex digits of the SHA-256 of the parts as a JSON array without spaces."""
-    return F.substring(F.sha2(F.to_json(F.array(*parts)), 256), 1, length)
+def json_text(text: Column) -> Column:
+    """A text as JSON; null is null."""
+    inside = F.to_json(F.array(text))
+    return F.when(text.isNull(), "null").otherwise(F.substring(inside, F.lit(2), F.length(inside) - 2))
+
+
+def json_number(number: Column) -> Column:
+    return F.coalesce(number.cast("string"), F.lit("null"))
+
+
+def json_texts(texts: Column) -> Column:
+    """An array of texts as JSON with a space after each comma; null is empty."""
+    return F.concat(F.lit("["), F.array_join(F.transform(F.coalesce(texts, F.array().cast("array<string>")), json_text), ", "), F.lit("]"))
+
+
+def content_id(parts: list[Column], length: int = 24) -> Column:
+    """The first hex digits of the SHA-256 of a JSON array of JSON parts, a space after each comma."""
+    return F.substring(F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]")), 256), 1, length)
 
 
 def short_id(text: Column, algorithm: str = "sha1") -> Column:
@@ -122,8 +137,18 @@ def provenance(origin: Column, hops: Column, dispatch: Column, direct: Column) -
     return F.concat(name, F.lit("_"), distance, F.when(dispatch, F.lit("_dispatch")).otherwise(F.lit("")))
 
 
-def repository_of(urls: Column) -> Column:
-    """The first repository that a list of commit URLs names, lower-cased; null without one."""
-    pattern = r"^https?://(?:www\.)?(github\.com|gitlab\.com|bitbucket\.org)/([^/]+/[^/]+?)(?:\.git)?/(?:-/)?commits?/([0-9a-fA-F]{7,40})"
-    hits = F.filter(F.transform(urls, lambda u: F.regexp_extract(u, pattern, 2)), lambda r: r != "")
-    return F.lower(F.get(hits, F.lit(0)))
+def patch_commit(urls: Column) -> Column:
+    """repo, commit and ref of the first URL of a commit: on the usual host first, else on the language's own."""
+    usual, own = r"github\.com/([^/]+/[^/]+)/commit/([0-9a-f]{7,40})", r"go\.googlesource\.com/[^/]+/\+/([0-9a-f]{7,40})"
+    first = lambda p: F.get(F.filter(urls, lambda u: u.rlike(p)), F.lit(0))
+    a, b = first(usual), first(own)
+    there = F.struct(F.concat(F.lit("github.com/"), F.regexp_extract(a, usual, 1)).alias("repo"), F.regexp_extract(a, usual, 2).alias("commit"), a.alias("ref"))
+    here = F.struct(F.lit("github.com/golang/go").alias("repo"), F.regexp_extract(b, own, 1).alias("commit"), b.alias("ref"))
+    return F.when(a.isNotNull(), there).when(b.isNotNull(), here)
+
+
+def repository(module: Column, patched: Column) -> Column:
+    """The repository of a module: that of its patch, else its own path's, else the standard library's."""
+    parts = F.split(module, "/")
+    hosted = F.when(F.size(parts) >= 3, F.array_join(F.slice(parts, 1, 3), "/")).otherwise(module)
+    return F.coalesce(patched, F.when(F.startswith(module, F.lit("github.com/")), hosted).when(F.contains(module, F.lit("/")), "github.com/golang/go").otherwise(module))

@@ -57,9 +57,11 @@ def called_names(text: Column) -> Column:
 
 
 def calls_in(text: Column) -> Column:
-    """``pkg.Func`` of each call text: the last two segments of its dotted path."""
+    """``pkg.Func`` of each dotted call in a text, once: the last two segments of its path; calls of one segment drop."""
     paths = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][\w.]*)\s*\("), F.lit(1))
-    return F.transform(paths, lambda p: F.array_join(F.slice(F.split(p, r"\."), F.greatest(F.size(F.split(p, r"\.")) - 1, F.lit(1)), 2), "."))
+    segments = F.transform(paths, lambda p: F.filter(F.split(p, r"\."), lambda s: s != ""))
+    dotted = F.filter(segments, lambda s: F.size(s) >= 2)
+    return F.array_distinct(F.transform(dotted, lambda s: F.array_join(F.slice(s, F.size(s) - 1, 2), ".")))
 
 
 def markers(lines: DataFrame, key: list[str]) -> DataFrame:

@@ -11,9 +11,22 @@ from quern.plans import seeds
 
 #: Severities in order, from the worst.
 SEVERITIES = ("critical", "high", "medium", "low", "none")
-#: Folders of helpers for tests, and words that tell of HTTP.
-TEST_FOLDERS = ("test", "tests", "testing", "testutil", "testutils", "testdata", "mock", "mocks", "fake", "fakes", "e2e", "integration", "fixtures")
-HTTP_WORDS = ("http", "request", "response", "handler", "router", "middleware", "cookie", "session", "url", "header", "rest", "api")
+#: Folders of helpers for tests and of examples, names of helper files, names that tell nothing.
+TEST_FOLDERS = (
+    "testing", "testutil", "testutils", "testhelper", "testhelpers", "test", "tests", "e2e", "integration", "mock", "mocks", "fake", "fakes",
+    "fixtures", "testdata", "examples", "example",
+)
+TEST_FILE = r"(_test\.go$)|(^.*_mock.*\.go$)|(^mock_.*\.go$)|(^.*_fake.*\.go$)"
+NOISE = (
+    "fmt.Errorf", "fmt.Sprintf", "errors.New", "fmt.Println", "fmt.Print", "fmt.Fprintln", "log.Printf", "log.Println", "log.Print", "errors.Is",
+    "errors.As", "context.Background", "time.Now", "context.WithValue", "testing.T", "make", "new", "append", "len", "cap", "panic", "unsafe.Pointer",
+)
+#: Words that tell of HTTP, and receivers that mark test scaffolding.
+HTTP_WORDS = (
+    "http.handler", "http.handlerfunc", "http.request", "gin.context", "echo.context", "httptest", "servehttp", "handler", "router", "net/http",
+    "http.handle",
+)
+TEST_RECEIVERS = ("t", "assert", "require", "gomock", "ctrl", "tester", "test", "mock", "mocks", "suite", "b", "tb")
 
 
 def focused(functions: DataFrame, names: list[str] | None = None, files: list[str] | None = None) -> DataFrame:
@@ -60,16 +73,23 @@ def filtered_findings(findings: DataFrame, categories: list[str] | None = None,
 
 
 def is_test_path(path: Column) -> Column:
-    """A test file, or a file in a folder of helpers for tests."""
-    folders = F.slice(F.split(F.lower(path), "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
-    return path.rlike(r"_test\.go$") | F.exists(folders, lambda d: d.isin(*TEST_FOLDERS))
+    """A file in a folder of test helpers or examples, or of a helper's name."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.exists(folders, lambda d: d.isin(*TEST_FOLDERS)) | F.element_at(parts, -1).rlike(TEST_FILE)
 
 
-def mined(counted: DataFrame, files: int, noise: list[str], least: int = 2, widest: float = 0.15) -> DataFrame:
+def mined(counted: DataFrame, files: int, noise: tuple[str, ...] = NOISE, least: int = 2, widest: float = 0.15) -> DataFrame:
     """Mined names that are neither noise nor rare nor all over: value, total, n_files."""
     return counted.where(~F.col("value").isin(*noise) & (F.col("total") >= least) & (F.col("n_files") <= F.floor(F.lit(files * widest))))
 
 
+def call_bucket(call: Column, standard: Column) -> Column:
+    """stdlib or framework; null for noise and test scaffolding. ``standard``: is the first part a standard package?"""
+    noise = call.isin(*NOISE) | F.substring_index(call, ".", 1).isin(*TEST_RECEIVERS)
+    return F.when(~noise, F.when(standard, "stdlib").otherwise("framework"))
+
+
 def sensitive_signals(imports: DataFrame, dimension: DataFrame) -> DataFrame:
     """package, apis, domain_hints of the standard packages that a repository imports, by name."""
     used = imports.select("repo", F.explode("stdlib").alias("package")).distinct()

@@ -10,13 +10,18 @@ from quern.operators import texts
 
 REPRODUCED, REFUTED, UNREPRODUCED = "已复现", "不成立", "未能复现"
 
-#: What the output of a run says of its build.
-BUILD_FAILED = r"(\[build failed\]|cannot find package|no required module provides|undefined: |syntax error)"
+#: What the output of a run says of its build, and signs that tests ran.
+BUILD_FAILED = r"\[build failed\]|\[setup failed\]|cannot find package"
+TESTS_RAN = r"(?m)^(=== RUN|--- (PASS|FAIL)|ok\s|PASS|FAIL\s)"
+
+
+def build_failed(output: Column, rc: Column, timed_out: Column) -> Column:
+    return output.rlike(BUILD_FAILED) | ((rc != 0) & ~timed_out & ~output.rlike(TESTS_RAN))
 
 
 def outcome(output: Column, rc: Column, timed_out: Column) -> Column:
     """timed_out, build_failed, test_failed or passed."""
-    return F.when(timed_out, "timed_out").when(output.rlike(BUILD_FAILED) & (rc != 0), "build_failed").when(rc != 0, "test_failed").otherwise("passed")
+    return F.when(timed_out, "timed_out").when(build_failed(output, rc, timed_out), "build_failed").when(rc != 0, "test_failed").otherwise("passed")
 
 
 def arms(runs: DataFrame) -> DataFrame:

@@ -623,11 +623,11 @@ def function_keys(spark, directory):
     return p.select("p_partkey", scalars.qualified(F.col("recv"), F.col("p_name")).alias("qualified"), key.alias("key"), scalars.bare_name(key).alias("bare"), scalars.directory(scalars.file_of(key)).alias("dir"))
 
 
-@query("""SELECT c_custkey, substr(sha256(concat('["', c_name, '","', c_mktsegment, '"]')), 1, 24) AS finding_id, substr(md5(c_name), 1, 12) AS short FROM customer""")
+@query("""SELECT c_custkey, substr(sha256(concat('["', c_name, '", ', c_nationkey, ', ["', c_mktsegment, '"], null]')), 1, 24) AS finding_id, substr(md5(c_name), 1, 12) AS short FROM customer""")
 def content_ids(spark, directory):
     """Identifiers from content."""
     c = table(spark, directory, "customer")
-    return c.select("c_custkey", scalars.content_id([F.col("c_name"), F.col("c_mktsegment")], 24).alias("finding_id"), scalars.short_id(F.col("c_name"), "md5").alias("short"))
+    return c.select("c_custkey", scalars.content_id([scalars.json_text(F.col("c_name")), scalars.json_number(F.col("c_nationkey")), scalars.json_texts(F.array("c_mktsegment")), scalars.json_text(F.lit(None).cast("string"))]).alias("finding_id"), scalars.short_id(F.col("c_name"), "md5").alias("short"))
 
 
 @query("""SELECT o.o_orderkey, o.o_custkey, c.c_name, coalesce(c.c_mktsegment, 'none') AS segment, CAST(count(l.l_partkey) AS BIGINT) AS lines, list_sort(list_filter(list(DISTINCT l.l_returnflag), lambda x: x IS NOT NULL)) AS flags

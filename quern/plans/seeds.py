@@ -92,6 +92,18 @@ PURPOSES = {
 VALIDATOR_NAME = r"^(?i:validate|valid|check|verify|sanitize)|^(?:is|Is)[A-Z].*(?:Valid|Allowed|Safe)"
 VALIDATOR_VERB = r"^(?i:validate|verify|sanitize)"
 
+#: The primary category of each role, and the generic chains written for it.
+ROLES = {
+    "resource_access": ("access_control", ("GEN-CWE639-1",)),
+    "authorization": ("access_control", ("GEN-CWE862-1", "GEN-CWE863-1")),
+    "authentication": ("identity_verification", ("GEN-CWE306-1",)),
+    "trusted_forwarding": ("identity_verification", ("GEN-CWE290-1",)),
+    "validator": ("input_sanitization", ("GEN-CWE20-VALIDATE-1",)),
+    "redirect_origin": ("origin_validation", ("GEN-CWE601-1", "GEN-CWE352-1")),
+    "protocol_handler": ("protocol_validation", ("GEN-CWE20-PROTO-1",)),
+    "state_mutation": ("state_synchronization", ("GEN-CWE362-1",)),
+}
+
 #: Words that carry no meaning in names.
 STOP_WORDS = (
     "the", "and", "for", "with", "from", "into", "that", "this", "are", "via", "its", "not", "without", "before",
@@ -122,3 +134,8 @@ def mapping(spark: SparkSession, values: dict[str, str], key: str, value: str) -
 
 def shape_categories(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, c) for k, cs in SHAPE_CATEGORIES.items() for c in cs], "sink_type string, category string")
+
+
+def roles(spark: SparkSession) -> DataFrame:
+    """role, category, generics."""
+    return spark.createDataFrame([(r, c, list(g)) for r, (c, g) in ROLES.items()], "role string, category string, generics array<string>")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import scalars
 
 #: Kinds of claims.
-CLAIM_KINDS = ("input", "operation", "protection", "contradiction", "impact", "other")
+CLAIM_KINDS = ("input", "operation", "impact", "protection", "contradiction")
 
 
 def valid_references(refs: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
@@ -69,13 +69,17 @@ def verdicts(candidates: DataFrame, responses: DataFrame, claims: DataFrame, cla
 
 
 def candidate_id(c: dict[str, Column], semantic: Column) -> Column:
-    """24 digits from function, category, lines, path and, of semantic candidates, the hypothesis."""
-    parts = [c["function"], c["category"], c["source_line"].cast("string"), c["sink_line"].cast("string"), c["path"], F.when(semantic, c["hypothesis"]).otherwise("")]
-    return scalars.content_id(parts, 24)
+    """24 digits from function, category, lines, path (an array) and, of semantic candidates, the hypothesis."""
+    text, number = scalars.json_text, scalars.json_number
+    parts = [text(c["function"]), text(c["category"]), number(c["source_line"]), number(c["sink_line"]), scalars.json_texts(c["path"]), text(F.when(semantic, c["hypothesis"]))]
+    return scalars.content_id(parts)
 
 
-def group_id(function: Column, sink_line: Column, category: Column) -> Column:
-    return scalars.content_id([function, sink_line.cast("string"), category], 24)
+def group_id(finding_id: Column, function: Column, sink_line: Column, category: Column) -> Column:
+    """24 digits from function, sink line and category; candidates without a place are groups of their own."""
+    text = scalars.json_text
+    placed = scalars.content_id([text(function), scalars.json_number(sink_line), text(F.coalesce(category, F.lit("other_security")))])
+    return F.when((F.coalesce(function, F.lit("")) == "") | sink_line.isNull(), scalars.content_id([text(F.lit("unlocated")), text(finding_id)])).otherwise(placed)
 
 
 def merged(candidates: DataFrame) -> DataFrame:

@@ -93,7 +93,16 @@ def test_names_and_tokens(spark):
     assert c(scalars.alias_of(F.lit("github.com/x/go-yaml.v3/v2"))) == "yaml"
     assert c(scalars.is_standard_package(F.lit("net/http"))) and not c(scalars.is_standard_package(F.lit("golang.org/x/net"))) and not c(scalars.is_standard_package(F.lit("github.com/a/b")))
     assert c(scalars.bare_name(F.lit("a/b.go:T.M"))) == "M" and c(scalars.line_of(F.lit("a.go:17"))) == 17 and c(scalars.line_of(F.lit("none"))) is None
-    assert c(scalars.repository_of(F.array(F.lit("https://example.com"), F.lit("https://github.com/Foo/Bar/commit/abcdef1")))) == "foo/bar"
+    urls = lambda *u: F.array(*map(F.lit, u))
+    assert tuple(c(scalars.patch_commit(urls("https://example.com", "https://go.googlesource.com/net/+/1234567", "https://github.com/Foo/Bar/commit/abcdef1"))))[:2] == ("github.com/Foo/Bar", "abcdef1")
+    assert tuple(c(scalars.patch_commit(urls("https://go.googlesource.com/net/+/1234567"))))[:2] == ("github.com/golang/go", "1234567") and c(scalars.patch_commit(urls("x"))) is None
+    assert c(scalars.repository(F.lit("github.com/a/b/v2/c"), F.lit(None).cast("string"))) == "github.com/a/b" and c(scalars.repository(F.lit("golang.org/x/net"), F.lit(None).cast("string"))) == "github.com/golang/go"
+    import hashlib
+    import json
+
+    want = json.dumps(["a\"b\n", 3, ["é", "x"], None], ensure_ascii=False)
+    got = scalars.content_id([scalars.json_text(F.lit("a\"b\n")), scalars.json_number(F.lit(3)), scalars.json_texts(urls("é", "x")), scalars.json_text(F.lit(None).cast("string"))])
+    assert c(got) == hashlib.sha256(want.encode()).hexdigest()[:24]
     assert c(scalars.provenance(F.lit(1), F.lit(2), F.lit(True), F.lit(False))) == "wire_nhop_dispatch"
     assert c(scalars.json_or_inner(F.lit("Sure!\n```json\n{\"a\": 1}\n```"), "a int"))["a"] == 1
     assert c(scalars.json_or_inner(F.lit("no json"), "a int")) is None

@@ -46,7 +46,7 @@ def test_verdicts(spark):
 
 def test_run_outcomes(spark):
     c = lambda o, rc, t: spark.range(1).select(judge.outcome(F.lit(o), F.lit(rc), F.lit(t))).first()[0]
-    assert (c("x", 0, True), c("a [build failed]", 1, False), c("FAIL", 1, False), c("ok", 0, False)) == ("timed_out", "build_failed", "test_failed", "passed")
+    assert (c("x", 0, True), c("a [build failed]", 1, False), c("--- FAIL: T", 1, False), c("ok", 0, False)) == ("timed_out", "build_failed", "test_failed", "passed")
 
 
 def test_references_and_rebinding(spark):
@@ -242,7 +242,7 @@ def test_gates(spark):
     assert {r.name for r in gates.with_flow(functions, points).collect()} == {"sinkOnly", "both"}
     assert {r.name for r in gates.focused(functions.withColumn("receiver", F.lit("")), ["quiet"], ["a.go"]).collect()} == {"quiet"}
     c = lambda x: spark.range(1).select(x).first()[0]
-    assert [c(gates.is_test_path(F.lit(p))) for p in ("a/b_test.go", "x/testutil/h.go", "latest/h.go", "test.go")] == [True, True, False, False]
+    assert [c(gates.is_test_path(F.lit(p))) for p in ("a/b_test.go", "x/testutil/h.go", "latest/h.go", "test.go", "a/db_mock.go", "example/x.go")] == [True, True, False, False, True, True]
     lines = t([("a.go", 1, "func Run() {"), ("a.go", 2, " Run(x); Go()"), ("a_test.go", 3, "Run()"), ("vendor/v.go", 1, "Run()"), ("b.go", 9, "p.Run ()")], "file string, n int, line string")
     assert [(r.file, r.n) for r in gates.callers_in_text(lines, t([("Run",)], "name string")).orderBy("file").collect()] == [("a.go", 2), ("b.go", 9)]
     ids = t([("k", "1"), ("m", "2"), ("m", "3")], "function string, function_id string")
