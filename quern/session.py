@@ -18,3 +18,28 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make the package importable in Python workers, wherever they start: Spark's file server hands them a copy."""
+    import os
+    import tempfile
+    import zipfile
+
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return spark
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="quern-ship-"), "quern-package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+    return spark
