@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from quern.llm import bpe, line_dedup, mixing, quality_model, simhash
 from quern.scratch import Scratch, checkpoint_root
+from quern.session import ship
 
 _scratch: dict[str, Scratch] = {}
 
 
 def _fresh(spark: SparkSession, stage: str) -> Scratch:
     """Intermediate tables of a stage; those of the stages before it are done with and go."""
+    ship(spark)
     for name in list(_scratch):
         _scratch.pop(name).close()
     _scratch[stage] = Scratch(spark)
@@ -50,7 +52,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts, and hashes of the ids and of the text they decode to."""
-    return bpe.digests(docs)
+    _fresh(spark, "bpe")
+    # stages before leave executors with less memory than a run of the encoder alone
+    return bpe.digests(docs, known_words=100_000)
 
 
 STAGES = [

@@ -48,8 +48,8 @@ from quern.llm.text import columns_of
 
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Sizes of tables that fill as texts are met, in entries.
-_CACHED_WORDS, _TABLE = 400_000, 600_000
+#: Words that a worker keeps at most, with up to 1.5 transitions each; some 600 bytes a word.
+KNOWN_WORDS = 400_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -102,6 +102,7 @@ class Automaton:
         self._build_suffixes()
         self._forget()
         self._known = _Known(self)
+        self.known_words = KNOWN_WORDS
 
     def _build_suffixes(self) -> None:
         """Goto and failure tables over the tokens' bytes; for each node, the tokens that end there, longest first."""
@@ -184,7 +185,7 @@ class Automaton:
         self._known.clear()
 
     def encode_word(self, word: bytes) -> list[int]:
-        if len(self._table) > _TABLE:
+        if len(self._table) > 1.5 * self.known_words:
             self._forget()
         table, state, steps = self._table, 0, []
         for byte in word:
@@ -213,7 +214,7 @@ class Automaton:
     def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
         """For each word of the text: how many ids, their decimal form, and the bytes that they decode to."""
         out, known = [], self._known
-        if len(known) > _CACHED_WORDS:
+        if len(known) > self.known_words:
             known.clear()
         for words, special in self._parts(text):
             out += [known[w] for w in words]
@@ -267,13 +268,14 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _applied(docs: DataFrame, path: str, fields: dict[str, object], row) -> DataFrame:
+def _applied(docs: DataFrame, path: str, fields: dict[str, object], row, known_words: int) -> DataFrame:
     """``row(automaton, text)`` for each text; columns doc_id and ``fields`` (name: Arrow type)."""
     shared = docs.sparkSession.sparkContext.broadcast(read_spec(path))
     names = ["doc_id", *fields]
 
     def of_batches(batches):
         tables = automaton(shared.value)
+        tables.known_words = known_words
         workers.enter("bpe", tables.release)
         for batch in batches:
             ids, texts = batch["doc_id"], batch["text"]
@@ -287,17 +289,17 @@ def _applied(docs: DataFrame, path: str, fields: dict[str, object], row) -> Data
     return docs.mapInArrow(of_batches, ", ".join(["doc_id long", *(f"{n} {kinds[k]}" for n, k in fields.items())]))
 
 
-def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
+def tokenize(docs: DataFrame, path: str | None = None, known_words: int = KNOWN_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids and decoded (the text that the ids give back)."""
 
     def row(tables: Automaton, text: str):
         ids = tables.encode(text)
         return len(ids), ids, tables.decode(ids)
 
-    return _applied(docs, path or default_path(), {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string()}, row)
+    return _applied(docs, path or default_path(), {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string()}, row, known_words)
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, known_words: int = KNOWN_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the decoded text)."""
 
     def row(tables: Automaton, text: str):
@@ -306,7 +308,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         ids = ",".join(decimals)
         return sum(counts), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
-    return _applied(docs, path or default_path(), {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, row)
+    return _applied(docs, path or default_path(), {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, row, known_words)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
