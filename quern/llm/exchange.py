@@ -12,6 +12,7 @@ so a task that runs again after an executor is lost asks and answers the same.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -45,14 +46,13 @@ def _unpacked(data: bytes) -> np.ndarray:
 def requests(chunk: int, asked: Iterable[tuple[int, np.ndarray, np.ndarray | None]], buckets: int) -> pa.Table:
     """Rows for (part, sorted distinct hashes, a 64-bit integer for each hash or None)."""
     rows: dict[str, list] = {f.name: [] for f in _REQUEST}
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
     for part, hashes, extra in asked:
-        cuts = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
-        for bucket, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
-                row = (chunk, bucket, part, b - a, _packed(hashes[a:b]), None if extra is None else planes(extra[a:b]))
-                for column, value in zip(rows.values(), row):
-                    column.append(value)
+        bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        firsts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 33)) != 0).tolist()
+        for a, b in zip(firsts, [*firsts[1:], len(hashes)]):
+            row = (chunk, int(bucket[a]), part, b - a, _packed(hashes[a:b]), None if extra is None else planes(extra[a:b]))
+            for column, value in zip(rows.values(), row):
+                column.append(value)
     return pa.table(rows, schema=_REQUEST)
 
 
@@ -93,5 +93,11 @@ def with_chunks(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.select("doc_id", "text", F.pmod(spot, F.lit(chunks)).alias("chunk"))
 
 
-def chunk_and_bucket_counts(total_bytes: int, chunk_bytes: int, bucket_bytes: int, parallelism: int) -> tuple[int, int]:
-    return max(2 * parallelism, -(-total_bytes // chunk_bytes)), max(parallelism, -(-total_bytes // bucket_bytes))
+def chunk_and_bucket_counts(total_bytes: int, chunk_bytes: int, bucket_bytes: int, parallelism: int, most: int = 8) -> tuple[int, int]:
+    """How many of each for texts of ``total_bytes``.
+
+    Both sizes grow with the root of the input above a gigabyte, up to ``most`` times, so that a
+    request of a chunk to a bucket keeps holding many hashes; memory bounds ``most``.
+    """
+    growth = min(max(total_bytes / 1e9, 1) ** 0.5, most)
+    return max(2 * parallelism, math.ceil(total_bytes / (chunk_bytes * growth))), max(parallelism, math.ceil(total_bytes / (bucket_bytes * growth)))

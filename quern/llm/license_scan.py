@@ -139,6 +139,22 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)).select("doc_id", "license", "containment")
 
 
+_VALUES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES.items())
+#: The same in DuckDB, by the words of the shingles, for the templates above.
+OP1_SQL = f"""
+WITH T0(license, text) AS (VALUES {_VALUES}),
+T1 AS (SELECT license, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM T0),
+T2 AS (SELECT DISTINCT license, list_slice(w, p, p + 4) AS g FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS p FROM T1)),
+M AS (SELECT license, count(*) AS m, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS size FROM T2 GROUP BY license),
+D1 AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+D2 AS (SELECT doc_id, p - 1 AS p, list_slice(w, p, p + 4) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM D1 WHERE len(w) >= 5)),
+H AS (SELECT doc_id, license, g, p // size AS k, m FROM D2 JOIN T2 USING (g) JOIN M USING (license)),
+K AS (SELECT doc_id, license, g, k, m FROM H UNION ALL SELECT doc_id, license, g, k - 1, m FROM H WHERE k > 0),
+C AS (SELECT doc_id, license, k, count(DISTINCT g) / max(m) AS containment FROM K GROUP BY doc_id, license, k)
+SELECT doc_id, license, max(containment) AS containment FROM C WHERE containment >= 0.8 GROUP BY doc_id, license
+"""
+
+
 def brute_force(rows: list[tuple[int | None, str | None]], templates: dict[str, str] | None = None, threshold: float = 0.8) -> set[tuple]:
     """(doc_id, license) of texts with a window of the template's class that holds ``threshold`` of it; for tests."""
     import regex

@@ -1,7 +1,7 @@
 """Registered queries of the package: one for each operator, over the whole of its table."""
 
 from quern.llm.bpe import op7_bpe
-from quern.llm.license_scan import op1_license_scan
+from quern.llm.license_scan import OP1_SQL, op1_license_scan
 from quern.llm.line_dedup import OP2_SQL, op2_line_dedup
 from quern.llm.lm_scoring import OP10_SQL, op10_lm_scoring
 from quern.llm.mixing import op4_mixing
@@ -13,4 +13,4 @@ from quern.llm.winnowing import op5_fingerprints
 
 _ALL = (op1_license_scan, op2_line_dedup, op3_quality_rules, op4_mixing, op5_fingerprints, op6_quality_classifier, op7_bpe, op8_simhash_near_dedup, op9_substring_dedup, op10_lm_scoring)
 QUERIES = {q.__name__: q for q in _ALL}
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op10_lm_scoring": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op10_lm_scoring": OP10_SQL}
