@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quern.functions import confidence, cvss, scalars
 from quern.operators import aggregates, graph, matching, ranks, spans, texts
 from quern.operators.null_safe import null_safe_join
-from quern.plans import gates, seeds
+from quern.plans import gates, judge, rules, seeds, verify
 from quern.scratch import Scratch
 from quern.streaming import incremental
 
@@ -693,3 +693,111 @@ def finding_filters(spark, directory):
     severity = F.when(F.col("p_type").isin("ECONOMY", "SMALL"), "critical").when(F.col("p_type") == "MEDIUM", "high").otherwise("low")
     p = table(spark, directory, "part").select("p_partkey", severity.alias("severity"), F.col("p_size").alias("confidence"), F.col("p_brand").alias("category"))
     return gates.filtered_findings(p, floor="medium", least_confidence=10).where("category <> 'Brand#1'").select("p_partkey", "severity")
+
+
+# -- rules ------------------------------------------------------------------------------------------
+
+
+def _by_status(o: str, f: str) -> Column:
+    return F.when(F.col("status") == "O", o).otherwise(f)
+
+
+def _facts(lines: DataFrame, kind: str, **columns: Column) -> DataFrame:
+    """Lines of a kind as facts of functions: function, line, ord and the given columns."""
+    return lines.where(F.col("kind") == kind).select(F.col("grp").cast("string").alias("function"), F.col("pos").alias("line"), F.col("pos").alias("ord"), *[v.alias(n) for n, v in columns.items()])
+
+
+@query(f"""WITH {_LINES_SQL},
+P AS (SELECT s.grp, CASE k.status WHEN 'O' THEN 'path_validation' ELSE 'input_sanitization' END AS category, s.pos AS source_line, k.pos AS sink_line
+  FROM L s JOIN L k ON s.grp = k.grp WHERE s.kind = 'R' AND k.kind = 'N' AND s.pos <> k.pos AND NOT (s.pos - k.pos BETWEEN 1 AND 2)
+  AND NOT EXISTS (SELECT 1 FROM L c WHERE c.grp = s.grp AND c.kind = 'A' AND c.status = k.status AND c.pos > least(s.pos, k.pos) AND c.pos < greatest(s.pos, k.pos)))
+SELECT CAST(grp AS VARCHAR) AS function, category, min(source_line) AS source_line, sink_line FROM P GROUP BY ALL""")
+def rule_spans(spark, directory):
+    """R-v2, F9, J5: the span rule without generic sinks over order lines: R as sources, N as sinks, A as checks."""
+    lines = order_lines(spark, directory)
+    sources = _facts(lines, "R", type=_by_status("http_request", "read"), desc=F.lit(""))
+    sinks = _facts(lines, "N", type=_by_status("file_write", "sql_query"), desc=F.lit(""))
+    checks = _facts(lines, "A", category=_by_status("path_validation", "input_sanitization"))
+    known = sources.select("function").unionByName(sinks.select("function"))
+    out = rules.span_findings(sources.drop("ord"), sinks.drop("ord"), checks, known, rules.Rules.of("v2,F3"))
+    return out.select("function", "category", "source_line", "sink_line")
+
+
+@query(f"""WITH {_LINES_SQL}, S AS (SELECT grp, min(pos) AS lo FROM L WHERE kind = 'R' GROUP BY grp)
+SELECT DISTINCT CAST(k.grp AS VARCHAR) AS function, CASE k.status WHEN 'O' THEN 'resource_limit' ELSE 'bounds_check' END AS category, s.lo AS source_line, k.pos AS sink_line
+FROM L k JOIN S s ON s.grp = k.grp AND s.lo < k.pos WHERE k.kind = 'N' AND NOT EXISTS (SELECT 1 FROM L c WHERE c.grp = k.grp AND c.kind = 'A' AND c.part % 3 = k.part % 3 AND c.pos >= s.lo AND c.pos < k.pos)""")
+def rule_sizes(spark, directory):
+    """Sizes after an external source without a range check of the same variable from the source on."""
+    lines = order_lines(spark, directory)
+    variable = (F.col("part") % 3).cast("string")
+    sources = _facts(lines, "R", type=F.lit("http_request"), desc=F.lit(""))
+    sizes = _facts(lines, "N", type=_by_status("alloc_size", "index_access"), var=variable, pattern=F.lit(""))
+    ranges = _facts(lines, "A", var=variable)
+    none = ranges.where("false").select("function", "line", F.lit("").alias("category"))
+    return rules.size_findings(sources, none, sizes, ranges).select("function", "category", "source_line", "sink_line")
+
+
+@query(f"""WITH {_LINES_SQL},
+T AS (SELECT k.grp, CASE k.status WHEN 'O' THEN 'path_validation' ELSE 'resource_limit' END AS category, k.pos AS sink_line, CASE k.status WHEN 'O' THEN 'R2' ELSE 'R4' END AS rule_id FROM L k WHERE k.kind = 'N' AND k.pos > 1
+  AND (k.status = 'F' OR NOT EXISTS (SELECT 1 FROM L c WHERE c.grp = k.grp AND c.kind = 'A' AND c.pos >= 1 AND c.pos < k.pos)))
+SELECT CAST(grp AS VARCHAR) AS function, category, min(sink_line) AS sink_line, rule_id FROM T GROUP BY ALL""")
+def rule_taint(spark, directory):
+    """Tainted sinks, the earliest of each category without a check; reads know no check but their reader's bound."""
+    lines = order_lines(spark, directory)
+    facts = _facts(lines.where("pos > 1"), "N", sink_line=F.col("pos"), sink_type=_by_status("file_read", "unbounded_read"), sink_desc=F.lit(""), source_line=F.lit(1), source_desc=F.lit(""), provenance=F.lit("net_entry"), path=F.array().cast("array<string>")).drop("line", "ord")
+    checks = _facts(lines, "A", category=F.lit("path_validation"))
+    return rules.taint_findings(facts, checks, None, rules.Rules.of("R2,R4")).select("function", "category", "sink_line", "rule_id")
+
+
+@query("""WITH M AS (SELECT c_nationkey, c_custkey, c_mktsegment, c_acctbal FROM customer),
+G AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, count(*) FILTER (c_acctbal > 2000) AS k FROM M GROUP BY ALL)
+SELECT CAST(c_custkey AS VARCHAR) AS function, CAST(k AS INTEGER) AS peers_present FROM M JOIN G USING (c_nationkey, c_mktsegment) WHERE NOT c_acctbal > 2000 AND n >= 3 AND k >= 0.5 * n""")
+def rule_peers(spark, directory):
+    """Customers of a nation and segment that lack what most have."""
+    c = table(spark, directory, "customer").select(F.col("c_custkey").cast("string").alias("function"), "c_nationkey", "c_mktsegment", (F.col("c_acctbal") > 2000).alias("checked"), F.lit(1).alias("access_line"), F.lit("").alias("access_text"))
+    return rules.peer_findings(c, ["c_nationkey", "c_mktsegment"]).select("function", "peers_present")
+
+
+@query("""WITH U AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS b, count(*) FILTER (event_type = 'purchase') AS m, count(*) FILTER (event_type = 'click') AS c FROM events GROUP BY user_id)
+SELECT user_id AS unit_id, CASE WHEN c % 7 = 6 THEN 'timeout' WHEN c % 7 = 5 THEN 'markers_missing' WHEN c % 7 = 4 THEN 'blocked_by_known_guard' WHEN c % 7 = 3 THEN 'malicious_not_reached'
+  WHEN b = m THEN 'arms_indistinguishable' WHEN m > 13 AND b <= 13 THEN 'bug_if_holds_on_malicious_only' WHEN m > 13 THEN 'benign_also_bug' ELSE 'no_bug_observed' END AS rule FROM U""")
+def verdict_markers(spark, directory):
+    """Verdicts parsed from the printed markers of runs, one made for each user."""
+    n = lambda t: F.count_if(F.col("event_type") == t)
+    u = table(spark, directory, "events").groupBy(F.col("user_id").alias("unit_id")).agg(n("view").alias("b"), n("purchase").alias("m"), n("click").alias("c"))
+    case = F.col("c") % 7
+    stopped = F.when(case == 4, "REACHED=no BLOCKED_AT=f.go:5").when(case == 3, "REACHED=no BLOCKED_AT=f.go:9").when(case == 2, "REACHED=no BLOCKED_AT=f.go:25").otherwise("REACHED=yes BLOCKED_AT=none")
+    output = F.concat_ws("\n", F.lit("=== RUN"), F.lit("  ARM=benign REACHED=yes BLOCKED_AT=none"), F.concat(F.lit("ARM=benign RESULT elapsed_ms=3 n="), "b"), F.when(case != 5, F.concat(F.lit("ARM=malicious "), stopped)), F.concat(F.lit("ARM=malicious RESULT path=/tmp/x n="), "m"), F.lit("PASS"))
+    runs = u.select("unit_id", output.alias("output"), (case == 6).alias("timed_out"), F.lit(False).alias("build_failed"))
+    specs = u.select("unit_id", F.struct(F.lit("n").alias("key"), F.lit(">").alias("op"), F.lit("13").alias("value")).alias("bug_if"))
+    guards = u.select("unit_id", F.lit("f.go:5").alias("location"))
+    return judge.judged(runs, specs, guards, u.select("unit_id", F.lit(20).alias("line"))).select("unit_id", "rule")
+
+
+@query("""WITH R AS (SELECT o_custkey, o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS round FROM orders),
+T AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY round, o_orderstatus = 'P' DESC, o_orderstatus, o_orderkey) AS INTEGER) AS turn FROM R)
+SELECT o_orderkey, CAST(round AS INTEGER) AS round, turn, CASE WHEN turn <= 5 THEN 'done' ELSE 'pending' END AS status FROM T""")
+def schedule_round_robin(spark, directory):
+    """V4: a customer's orders by status groups in turn, pending ones first, five within the budget of calls."""
+    work = table(spark, directory, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderstatus").alias("grp"), F.lit(0).alias("group_ord"), F.col("o_orderkey").alias("item"), F.lit(0).alias("item_ord"), (F.col("o_orderstatus") == "P").alias("semantic"), F.lit(False).alias("representative"))
+    return verify.schedule(work, 5).select(F.col("item").alias("o_orderkey"), "round", "turn", "status")
+
+
+@query("""WITH L AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+W AS (SELECT doc_id, n, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS text FROM L)
+SELECT doc_id, CAST(n AS INTEGER) AS at, sha256(text) AS text FROM W WHERE n = 3""")
+def line_windows(spark, directory):
+    """M5: the lines around the third of each text, one before and two after."""
+    lines = texts.lines_of(table(spark, directory, "documents"), ["doc_id"])
+    points = lines.where("n = 3").select("doc_id", F.col("n").alias("at"))
+    return texts.windows_around(lines, points, ["doc_id"], "at", 1, 2).select("doc_id", "at", F.sha2("text", 256).alias("text"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'missing metrics' WHEN 2 THEN 'bad prefix' WHEN 3 THEN 'illegal value' WHEN 4 THEN 'duplicate metric' ELSE 'unknown metric' END AS error FROM customer""")
+def cvss_faults(spark, directory):
+    """Vectors with each kind of fault, parsed."""
+    v = F.lit("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H")
+    case = F.col("c_custkey") % 6
+    text = F.when(case == 0, v).when(case == 1, F.regexp_replace(v, "/A:H", "")).when(case == 2, F.regexp_replace(v, "3.1", "4.0")).when(case == 3, F.regexp_replace(v, "UI:N", "UI:Q")).when(case == 4, F.concat(v, F.lit("/AV:L"))).otherwise(F.concat(v, F.lit("/ZZ:L")))
+    c = table(spark, directory, "customer").select("c_custkey", text.alias("v"))
+    return c.select("c_custkey", cvss.parse_vector(F.col("v"))[1].alias("error"))
