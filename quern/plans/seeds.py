@@ -85,7 +85,10 @@ PURPOSES = {
               (r"Contains\(",)),
     "url_field": ("input_sanitization", (), r"(?i)url|uri|href|link",
                   (r"IndexAny\(|ContainsAny\(|IndexFunc\(|ContainsFunc\(|ContainsRune\(", r"\.MatchString\(|\.Match\(", r"html\.EscapeString\(|url\.QueryEscape\(|url\.PathEscape\("),
-                  (r"url\.Parse\(",)),
+                  (r"url\.Parse\(|url\.ParseRequestURI\(", r"\.Scheme\s*[!=]=|\.IsAbs\(")),
+    "outbound": ("input_sanitization", ("http_request",), None,
+                 (r"\.IsPrivate\(|\.IsLoopback\(|\.IsLinkLocalUnicast\(|\.IsUnspecified\(|\.IsGlobalUnicast\(", r"(?i)(allowed|allowlist|whitelist)\w*\("),
+                 (r"url\.Parse\(|url\.ParseRequestURI\(", r"\.Scheme\s*[!=]=")),
 }
 
 #: Validator names, and the verbs that need no boolean or error result.
