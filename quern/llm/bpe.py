@@ -48,7 +48,7 @@ from quern.llm.text import columns_of
 
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a worker keeps at most, with up to 1.5 transitions each; some 600 bytes a word.
+#: Words that a worker keeps at most, with up to 1.5 transitions each; some 500 bytes a word.
 KNOWN_WORDS = 400_000
 
 
@@ -60,16 +60,19 @@ def byte_symbols() -> dict[str, int]:
 
 
 class _Known(dict):
-    """Words that were met, with the number of their ids, the ids in decimal form, and the bytes that they decode to."""
+    """Words that were met, with their ids in decimal form; ``odd`` holds those that their ids' labels don't spell."""
 
     def __init__(self, tables: "Automaton"):
         super().__init__()
         self._tables = tables
-
-    def __missing__(self, word: str) -> tuple[int, str, bytes]:
-        tables = self._tables
-        ids = tables.encode_word(word.encode())
-        got = len(ids), ",".join([tables.decimal[i] for i in ids]), tables.decode_bytes(ids)
+        self.odd: set[str] = set()
+
+    def __missing__(self, word: str) -> str:
+        tables, raw = self._tables, word.encode()
+        ids = tables.encode_word(raw)
+        got = ",".join([tables.decimal[i] for i in ids])
+        if tables.decode_bytes(ids) != raw:
+            self.odd.add(word)
         if len(word) < 64:
             self[word] = got
         return got
@@ -89,16 +92,20 @@ class Automaton:
         special = sorted(self.special, key=len, reverse=True)
         self._split_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self._words = regex.compile(PATTERN)
-        self._merge: dict[tuple[int, int], int] = {}
+        self._merge: dict[int, int] = {}
+        self._begins: dict[int, list[tuple[int, int]]] = {}
+        self._ends_with: dict[int, list[tuple[int, int]]] = {}
         self._made: dict[int, tuple[int, int, int]] = {}
         for rank, (a, b) in enumerate(merges):
             pair, c = (vocabulary[a], vocabulary[b]), vocabulary[a + b]
-            self._merge[pair] = rank
+            self._merge[pair[0] << 20 | pair[1]] = rank
             self._made.setdefault(c, (rank, *pair))
         self._reachable = {i for i in vocabulary.values() if len(self.label[i]) == 1}
         for c, (rank, a, b) in self._made.items():  # no arc for c where b was cut after a before
             if a in self._reachable and b in self._reachable and self.follows(a, b, rank):
                 self._reachable.add(c)
+        self._begins.clear()
+        self._ends_with.clear()
         self._build_suffixes()
         self._forget()
         self._known = _Known(self)
@@ -133,22 +140,28 @@ class Automaton:
                 depth[to] = depth[node] + 1
         self._goto, self._fail, self._ends, self._depth = goto, fail, ends, depth
 
-    def follows(self, s: int, t: int, before: int = 1 << 60) -> bool:
-        """Is there an arc t after token s, before the merge of that rank?  Walks the gadgets that could have cut it."""
-        made, merge = self._made, self._merge
-        x, x_gone = s, before
-        while True:
-            y, y_gone = t, before
+    def _spine(self, token: int, side: int, spines: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+        """The tokens that begin (1) or end (2) a token, itself first, each with the rank of the merge that it went into."""
+        found = spines.get(token)
+        if found is None:
+            found, x, gone = [], token, 1 << 60
             while True:
-                rank = merge.get((x, y))
-                if rank is not None and rank < x_gone and rank <= y_gone:
-                    return False
-                if y not in made:
+                found.append((x, gone))
+                if x not in self._made:
                     break
-                y_gone, y = made[y][0], made[y][1]
-            if x not in made:
-                return True
-            x_gone, x = made[x][0], made[x][2]
+                gone, x = self._made[x][0], self._made[x][side]
+            spines[token] = found
+        return found
+
+    def follows(self, s: int, t: int, before: int = 1 << 60) -> bool:
+        """Is there an arc t after token s, before the merge of that rank?  Looks at the gadgets that could have cut it."""
+        merge, begins = self._merge, self._spine(t, 1, self._begins)
+        for x, x_gone in self._spine(s, 2, self._ends_with):
+            for y, y_gone in begins:
+                rank = merge.get(x << 20 | y)
+                if rank is not None and rank < x_gone and rank <= y_gone and rank < before:
+                    return False
+        return True
 
     def _step(self, state: int, byte: int) -> tuple[int, int, int]:
         """The transition of a state on a byte: next state, and the token that ends there with its length.
@@ -211,16 +224,21 @@ class Automaton:
             else:
                 yield self._words.findall(part), None
 
-    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
-        """For each word of the text: how many ids, their decimal form, and the bytes that they decode to."""
-        out, known = [], self._known
+    def round_trip(self, text: str) -> tuple[str, int, str]:
+        """The ids in decimal form joined by commas, how many, and the text that they decode to."""
+        ids, out, known, odd = [], [], self._known, self._known.odd
         if len(known) > self.known_words:
             known.clear()
         for words, special in self._parts(text):
-            out += [known[w] for w in words]
+            ids += [known[w] for w in words]
+            out += words
             if special is not None:
-                out.append((1, str(special), self.label[special]))
-        return out
+                ids.append(self.decimal[special])
+                out.append(self.decode([special]))
+        joined = ",".join(ids)
+        # each word's labels were held against it when it was met: where they spell it, it is what they emit
+        decoded = self.decode(self.encode(text)) if odd and not odd.isdisjoint(out) else "".join(out)
+        return joined, joined.count(",") + 1 if joined else 0, decoded
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
@@ -303,10 +321,8 @@ def digests(docs: DataFrame, path: str | None = None, known_words: int = KNOWN_W
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the decoded text)."""
 
     def row(tables: Automaton, text: str):
-        counts, decimals, labels = zip(*(tables.pieces(text) or [(0, "", b"")]))
-        decoded = b"".join(labels).decode(errors="replace").encode()
-        ids = ",".join(decimals)
-        return sum(counts), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        ids, n, decoded = tables.round_trip(text)
+        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
     return _applied(docs, path or default_path(), {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, row, known_words)
 
