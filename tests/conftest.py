@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get(
 def spark():
     from quern.session import local_session
 
-    session = local_session(8, "6g", 4, "quern-tests")
+    session = local_session(8, "6g", 2, "quern-tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
