@@ -97,7 +97,7 @@ def apportion(parties: DataFrame, keys: list[str], claim: str, most: str, seats:
     return out.select(*parties.columns, (F.col("sure") + F.coalesce("extra", F.lit(0))).alias("quota"))
 
 
-def plan(docs: DataFrame, scratch: Scratch, seed: int = 17, max_epochs: int = 3, blocks: int = 2000, shard_words: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, scratch: Scratch, seed: int = 17, max_epochs: int = 3, blocks: int = 2000, shard_words: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """Rows and shards.
 
     Rows: one for each row of ``docs``: row (its number), doc_id, source, size, shard, begin (its first word's
