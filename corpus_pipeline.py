@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, line_dedup, mixing, quality_model, simhash
+from quern.llm import bpe, line_dedup, mixing, near_copies, quality_model
 from quern.scratch import Scratch, checkpoint_root
 from quern.session import ship
 
@@ -41,8 +41,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.one_of_each(docs, _fresh(spark, "near"))
+    """One document of each group whose five-word shingles are alike by 0.8 or more."""
+    return near_copies.one_of_each(docs, _fresh(spark, "near"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

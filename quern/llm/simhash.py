@@ -38,19 +38,27 @@ SHINGLE, SEED = 3, 42
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text, unsigned."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """The hash of each shingle of a text."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) < shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text, unsigned."""
+    return of_hashes(shingle_hashes(text, shingle))
+
+
+def of_hashes(hashes) -> int:
+    """The SimHash of shingles' hashes; zero without any."""
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -167,10 +175,19 @@ def one_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
     Of rows that repeat the smallest doc_id, and of groups without a doc_id, the row with
     the smallest hash of its text, length and fingerprint stays; of equal rows, one.
     """
-    marked = scratch.cut(docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`") for c in docs.columns]), "numbered")
+    marked = numbered(docs, scratch)
     fps = marked.select(F.col("__row").alias("doc_id"), "text")
     fps = scratch.cut(fingerprints(fps).withColumnRenamed("doc_id", "__row"), "fingerprints")
-    grouped_rows = grouped(fps.withColumnRenamed("__row", "doc_id"), scratch).select(F.col("doc_id").alias("__row"), "component_id")
+    return first_of_each(marked, grouped(fps.withColumnRenamed("__row", "doc_id"), scratch).select(F.col("doc_id").alias("__row"), "component_id"))
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with a number for each row, __row."""
+    return scratch.cut(docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`") for c in docs.columns]), "numbered")
+
+
+def first_of_each(marked: DataFrame, grouped_rows: DataFrame) -> DataFrame:
+    """The rows of ``marked`` that stay for their group (__row, component_id), as ``one_of_each`` says."""
     small = marked.select("__row", "doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l"))
     best = (
         grouped_rows.join(small, "__row")
