@@ -6,7 +6,8 @@
 2. *Blocks.*  A source's documents are dealt by a seeded hash to shards of about
    ``shard_words``.  Each shard's words, documents in seeded order, are cut into blocks of
    equal size (to a word); block sizes agree between shards and sources, about
-   ``1 / blocks`` of the mean source.
+   ``1 / blocks`` of the mean source and at most ``1 / shard_blocks`` of ``shard_words``, so
+   that shards have many blocks at any size.
 3. *Quotas.*  The blocks that the targets pay for are seats: they go to sources by the
    highest quotients target / (2 q + 1), then each source's seats to its shards by the
    highest quotients size / (2 q + 1), both below ``max_epochs`` for each block.
@@ -97,7 +98,7 @@ def apportion(parties: DataFrame, keys: list[str], claim: str, most: str, seats:
     return out.select(*parties.columns, (F.col("sure") + F.coalesce("extra", F.lit(0))).alias("quota"))
 
 
-def plan(docs: DataFrame, scratch: Scratch, seed: int = 17, max_epochs: int = 3, blocks: int = 2000, shard_words: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, scratch: Scratch, seed: int = 17, max_epochs: int = 3, blocks: int = 2000, shard_words: int = 200_000, shard_blocks: int = 50) -> tuple[DataFrame, DataFrame]:
     """Rows and shards.
 
     Rows: one for each row of ``docs``: row (its number), doc_id, source, size, shard, begin (its first word's
@@ -108,7 +109,7 @@ def plan(docs: DataFrame, scratch: Scratch, seed: int = 17, max_epochs: int = 3,
     sources = scratch.cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     aimed = scratch.cut(targets(sources, scratch, max_epochs), "targets")
     total, n_sources, wanted = aimed.agg(F.sum("source_size"), F.count("*"), F.sum("target")).first()
-    block = max(1.0, (total or 0) / (blocks * max(1, n_sources)))
+    block = max(1.0, min((total or 0) / (blocks * max(1, n_sources)), shard_words / shard_blocks))
     with_source = null_safe_join(sized, aimed.select("source", "source_size", "target"), ["source"])
     shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))
     spot = F.xxhash64(F.lit(seed), "doc_id", "size")

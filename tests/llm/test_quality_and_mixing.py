@@ -81,6 +81,18 @@ def test_targets_and_words_taken(docs, rows, scratch, shard_words):
     assert sorted(map(tuple, got), key=key) == sorted(map(tuple, again), key=key)
 
 
+def test_words_taken_where_blocks_outgrow_shards(spark, scratch):
+    """A source of many shards, each smaller than 1 / blocks of the mean source."""
+    rows = [(i, "w " * (1 + i * 37 % 400), s) for s, n in (("a", 400), ("b", 60), ("c", 300)) for i in range(n)]
+    docs = spark.createDataFrame([(k, t, s) for k, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for r in mixing.sizes_taken(docs, scratch, blocks=20, shard_words=2500).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 0.01 * target[s], (s, taken[s], target[s])
+
+
 def test_mixed_texts_hold_the_words_taken(docs, scratch):
     taken = mixing.sizes_taken(docs, scratch).agg(F.sum("taken")).first()[0]
     out = mixing.mixed(docs, scratch)
