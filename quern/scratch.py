@@ -10,6 +10,7 @@ local does a private temporary folder stand in for it.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_READ_BATCH = "spark.sql.parquet.columnarReaderBatchSize"
 _local_root: str | None = None
 _open: list["Scratch"] = []
 
@@ -37,51 +40,63 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _freed_shuffles(spark: SparkSession):
-    """While a table is written, let Spark drop the shuffle files of that job at its end."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def _set_for_write(spark: SparkSession, settings: dict[str, str]):
+    """Session settings that hold while a table is written."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 class Scratch:
-    """A set of intermediate tables that are deleted together."""
+    """A set of intermediate tables that are deleted together: by ``close``, at the end of a ``with``, or at exit."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: list[str] = []
         _open.append(self)
 
-    def cut(self, df: DataFrame, name: str = "table") -> DataFrame:
-        """Write ``df`` below the shared folder and return the table as read from there."""
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def cut(self, df: DataFrame, name: str = "table", rows_per_batch: int | None = None) -> DataFrame:
+        """Write ``df`` below the shared folder and return the table as read from there.
+
+        Spark drops the job's shuffle files as it ends.  ``rows_per_batch`` bounds what the job
+        reads and a Python function of it gets at once, for rows that may be long.
+        """
         path = f"{checkpoint_root(self.spark)}/quern-{name}-{uuid.uuid4().hex}"
         self.paths.append(path)
-        with _freed_shuffles(self.spark):
+        settings = {_CLEANUP: "true"} | ({_BATCH: str(rows_per_batch), _READ_BATCH: str(max(rows_per_batch, 8))} if rows_per_batch else {})
+        with _set_for_write(self.spark, settings):
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
         """Delete the tables; DataFrames that still read them become invalid."""
         paths, self.paths = self.paths, []
+        if self in _open:
+            _open.remove(self)
         try:
             jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
             for path in paths:
                 target = jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended: its scratch folder goes with it
+        except Exception:  # the session has ended: a local scratch folder goes with the process
             pass
 
 
 @atexit.register
 def _close_all() -> None:
-    import shutil
-
+    for scratch in list(_open):
+        if scratch.spark.sparkContext._jsc is not None:
+            scratch.close()
     if _local_root is not None:
         shutil.rmtree(_local_root, ignore_errors=True)
-    else:
-        for scratch in _open:
-            if scratch.spark.sparkContext._jsc is not None:
-                scratch.close()
