@@ -1,13 +1,20 @@
-"""Vectorised 64-bit hashes of the words and word n-grams of many texts."""
+"""Vectorised hashes of the words and word n-grams of many texts.
+
+A word or n-gram has a *hash* of 64 bits and a *check* of 32 more, with multipliers of its own,
+so that two that share a hash by chance don't share the check as well.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = np.random.RandomState(20240611).randint(0, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _BASE_CHECK = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B1)
+_BLOCK = 8  # bytes of a word that are taken at a time
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(_BLOCK + 1)], np.uint64)  # masks of the first n bytes
+_LONG = 256  # words of more bytes are hashed one by one
 _PIECE = 1 << 20
 
 
@@ -20,36 +27,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _piece_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of a byte buffer that ends in a space."""
-    inside = ~_SPACE[buf]
+def mix_check(x: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser."""
+    x = x ^ (x >> np.uint32(16))
+    x = x * np.uint32(0x85EBCA6B)
+    x = x ^ (x >> np.uint32(13))
+    x = x * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+def _piece_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, check and start of each word of bytes that end in a space."""
+    buf = np.frombuffer(data + bytes(_BLOCK), np.uint8)  # a block may be read from each byte
+    inside = ~_SPACE[buf[: len(data)]]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts
+    blocks = np.ndarray(len(data), "<u8", buf, strides=(1,))
     lengths = ends - starts
-    firsts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    within = np.arange(lengths.sum()) - np.repeat(firsts, lengths)
-    powers = np.concatenate((np.ones(1, np.uint64), np.full(int(lengths.max()), _BASE))).cumprod(dtype=np.uint64)
-    terms = _BYTE[buf[inside]] * powers[within]
-    return mix(np.add.reduceat(terms, firsts) + lengths.astype(np.uint64)), starts
+    hashes = mix(lengths.astype(np.uint64) * _BASE)
+    checks = mix(hashes)
+    at, left, some = starts, np.where(lengths <= _LONG, lengths, 0), np.arange(len(starts))
+    while True:
+        more = np.flatnonzero(left > 0)
+        if not len(more):
+            break
+        if len(more) < len(left):
+            at, left, some = at[more], left[more], some[more]
+        block = blocks[at] & _LOW[np.minimum(left, _BLOCK)]
+        hashes[some] = mix((hashes[some] + block) * _BASE)
+        checks[some] = mix((checks[some] ^ block) * np.uint64(0xD6E8FEB86659FD93))
+        at, left = at + _BLOCK, left - _BLOCK
+    for i in np.flatnonzero(lengths > _LONG):
+        word = data[starts[i] : ends[i]]
+        hashes[i], checks[i] = xxhash.xxh3_64_intdigest(word, 1), xxhash.xxh3_64_intdigest(word, 2)
+    return hashes, (checks >> np.uint64(32)).astype(np.uint32), starts
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and offsets: the words of text i are hashes[offsets[i]:offsets[i+1]]."""
-    hashes, counts, at = [], [np.zeros(1, np.int64)], 0
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and checks of all words in order, and offsets: the words of text i are from offsets[i] to offsets[i+1]."""
+    hashes, checks, counts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
     while at < len(texts):
         size, upto = 0, at
         while upto < len(texts) and (upto == at or size + len(texts[upto]) < _PIECE):
             size += len(texts[upto]) + 1
             upto += 1
         part = texts[at:upto]
-        h, starts = _piece_hashes(np.frombuffer(b" ".join(part) + b" ", np.uint8))
+        h, c, starts = _piece_hashes(b" ".join(part) + b" ")
         limits = np.cumsum([len(t) + 1 for t in part])
         counts.append(np.diff(np.searchsorted(starts, limits), prepend=0))
         hashes.append(h)
+        checks.append(c)
         at = upto
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.cumsum(np.concatenate(counts))
+    return np.concatenate(hashes), np.concatenate(checks), np.cumsum(np.concatenate(counts))
+
+
+def n_words(texts: list[bytes]) -> int:
+    """How many words the texts have."""
+    inside = ~_SPACE[np.frombuffer(b" ".join([b"", *texts]), np.uint8)]
+    return int(np.count_nonzero(inside[1:] & ~inside[:-1]))
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -60,6 +95,14 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def gram_checks(checks: np.ndarray, n: int) -> np.ndarray:
+    """The same for checks."""
+    out = checks[: max(0, len(checks) - n + 1)]
+    for k in range(1, n):
+        out = mix_check(out * _BASE_CHECK + checks[k : len(checks) - n + 1 + k] + np.uint32(k))
+    return out
+
+
 def gram_starts(offsets: np.ndarray, n: int) -> np.ndarray:
     """True at each position whose n words lie in one text."""
     total = int(offsets[-1])

@@ -9,12 +9,16 @@ leave, c'(g) = c(g) - c_d(g), so that it doesn't vouch for itself:
     S(w)           = c'(w) / N'                    if c'(w) > 0, else 1 / (N' + 1).
 
 A document's score is the sum of ln S over its words.  Each chunk of documents explodes
-its n-grams, asks the count tables once for each distinct one (exchange.py), joins the
-totals to its positions and sums per document.
+its n-grams and counts them; the counts go to the tables, which are partitioned by hash,
+and the totals come back joined to the chunk's n-grams (exchange.py), from there to its
+positions, and are summed per document.  The two joins carry packed arrays, for a row for
+each n-gram would be several times the input.  Orders go one after another, those above the
+first in ``slices`` of the hash, so that few n-grams are on their way at once.
 
 Defined cases: null or empty text has no words, logprob 0 and no mean; repeated rows
-count as rows of their own; other columns are ignored.  N-grams are told apart by 64-bit
-hashes.
+count as rows of their own; no documents give no rows; other columns are ignored.  A text
+longer than a chunk is worked on whole, at some 60 bytes for each of its bytes.  N-grams are
+told apart by 96 bits of hash.
 """
 
 from __future__ import annotations
@@ -29,92 +33,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import exchange as X
-from quern.llm.hashing import gram_hashes, gram_starts, word_hashes
-from quern.llm.text import columns_of
+from quern.llm.hashing import gram_checks, gram_hashes, gram_starts, word_hashes
 from quern.scratch import Scratch
 
 OUT = "doc_id long, n_words long, logprob double, mean_logprob double, n_backed_off long, n_unseen long"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("logprob", pa.float64()), ("mean_logprob", pa.float64()), ("n_backed_off", pa.int64()), ("n_unseen", pa.int64())])
 
 
-def _grams(table: pa.Table, order: int):
-    """Offsets of the texts, and for each n the start positions, distinct hashes, and number of each position's hash and count of each hash."""
-    words, offsets = word_hashes([(t or "").encode() for t in table["text"].to_pylist()])
-    grams = []
-    for n in range(1, order + 1):
-        at = np.flatnonzero(gram_starts(offsets, n))
-        distinct, number, count = np.unique(gram_hashes(words, n)[at], return_inverse=True, return_counts=True)
-        grams.append((at, distinct, number, count))
-    return offsets, grams
+class _Chunk:
+    """The word n-grams of one chunk."""
+
+    def __init__(self, texts: list[bytes]):
+        self.words, self.checks, self.offsets = word_hashes(texts)
+
+    def grams(self, n: int, slice_: tuple[int, int]) -> tuple[np.ndarray, X.Distinct]:
+        """Start positions of the n-grams of slice (k, of so many) of the hash, and what they hold."""
+        at, hashes = np.flatnonzero(gram_starts(self.offsets, n)), gram_hashes(self.words, n)
+        k, of = slice_
+        if of > 1:  # by low bits: buckets go by the high ones
+            at = at[hashes[at] % np.uint64(of) == np.uint64(k)]
+        return at, X.Distinct(hashes[at], gram_checks(self.checks, n)[at])
 
 
 def _own_counts(number: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     """How often each position's n-gram occurs in the position's own document."""
-    _, pair, count = np.unique(number * docs + doc, return_inverse=True, return_counts=True)
+    _, pair, count = np.unique(number.astype(np.int64) * docs + doc, return_inverse=True, return_counts=True)
     return count[pair]
 
 
-def score(docs: DataFrame, scratch: Scratch, order: int = 3, alpha: float = 0.4, chunk_bytes: int = 8 << 20, bucket_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, scratch: Scratch, order: int = 3, alpha: float = 0.4, chunk_bytes: int = X.CHUNK_BYTES, bucket_bytes: int = X.BUCKET_BYTES, slices: int = 2) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, logprob, mean_logprob, words scored below the highest order they could have, words unseen elsewhere."""
-    docs = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = X.chunk_and_bucket_counts(size, chunk_bytes, bucket_bytes, docs.sparkSession.sparkContext.defaultParallelism)
-    docs = X.with_chunks(docs, chunks)
-
-    def asking(low: int, high: int):
-        def ask(key, table):
-            _, grams = _grams(table, high)
-            return X.requests(key[0].as_py(), [(n, grams[n - 1][1], grams[n - 1][3]) for n in range(low, high + 1)], buckets)
-
-        return docs.groupBy("chunk").applyInArrow(ask, X.REQUEST)
-
-    def total(group, first, counts):
-        return np.add.reduceat(counts, first)[group]
-
-    def finish(key, table, answers):
-        if not table.num_rows:
-            return _OUT.empty_table()
-        offsets, grams = _grams(table, order)
-        n_docs, n_words = table.num_rows, int(offsets[-1])
-        doc = np.repeat(np.arange(n_docs), np.diff(offsets))
-        left = []  # of each n-gram, by its start: how often other documents have it
-        for n, (at, _, number, _) in enumerate(grams, 1):
-            totals = X.laid_out(answers, n)[number] if len(at) else np.zeros(0, np.int64)
-            rest, twice = np.zeros(len(at), np.int64), np.flatnonzero(totals > 1)
-            rest[twice] = totals[twice] - _own_counts(number[twice], doc[at[twice]], n_docs)
-            whole = np.zeros(n_words, np.int64)
-            whole[at] = rest
-            left.append(whole)
-        others = n_words_all - np.diff(offsets)[doc]
+    chunks, size, n_words_all = X.in_chunks(docs, scratch, chunk_bytes)
+    buckets = X.buckets_of(chunks, size, bucket_bytes)
+    # (order, slice of the hash): each is a pass
+    parts = [(1, (0, 1))] + [(n, (k, slices)) for n in range(2, order + 1) for k in range(slices)]
+
+    def ask(part):
+        def of_batches(batches):
+            for batch in batches:
+                for number, _, texts in X.opened(batch):
+                    _, held = _Chunk(texts).grams(*parts[part])
+                    yield X.requests(number, part, held, held.count, buckets)
+
+        return chunks.mapInArrow(of_batches, X.REQUEST)
+
+    def total(first, counts):
+        return np.add.reduceat(counts, first)
+
+    def scored(ids, texts, answers):
+        chunk = _Chunk(texts)
+        offsets, sizes = chunk.offsets, np.diff(chunk.offsets)
+        n_docs, n_words = len(texts), int(offsets[-1])
+        doc = np.repeat(np.arange(n_docs), sizes)
+        left = np.zeros((order, n_words), np.int64)  # of each n-gram, by its start: how often other documents have it
+        for part, (n, slice_) in enumerate(parts):
+            at, held = chunk.grams(n, slice_)
+            totals = X.laid_out(answers, part)[held.number]
+            twice = np.flatnonzero(totals > 1)
+            own = _own_counts(held.number[twice], doc[at[twice]], n_docs)
+            left[n - 1][at[twice]] = totals[twice] - own
+        others = n_words_all - sizes[doc]
         with np.errstate(divide="ignore", invalid="ignore"):
             s = np.where(left[0] > 0, np.log(left[0] / np.maximum(others, 1)), -np.log(others + 1.0))
-            level = np.ones(n_words, np.int64)
+            level = np.ones(n_words, np.int8)
             for n in range(2, order + 1):
-                end = grams[n - 1][0] + n - 1
-                start = end - n + 1
-                seen = left[n - 1][start] > 0
+                start = np.flatnonzero(gram_starts(offsets, n))
+                end, seen = start + n - 1, left[n - 1][start] > 0
                 high = np.log(left[n - 1][start] / left[n - 2][start])
                 s[end] = np.where(seen, high, s[end] + math.log(alpha))
                 level[end[seen]] = n
-        could = np.minimum(np.arange(n_words) - np.repeat(offsets[:-1], np.diff(offsets)) + 1, order)
-        sums = lambda x: np.concatenate(([0], np.cumsum(x)))[offsets[1:]] - np.concatenate(([0], np.cumsum(x)))[offsets[:-1]]
-        logprob = np.array([float(s[a:b].sum()) for a, b in zip(offsets, offsets[1:])])
-        n = np.diff(offsets)
-        mean = [x / k if k else None for x, k in zip(logprob.tolist(), n.tolist())]
-        return pa.table([table["doc_id"], n, logprob, pa.array(mean, pa.float64()), sums(level < could), sums((level == 1) & (left[0] == 0))], schema=_OUT)
-
-    # orders of many distinct n-grams go one after another, so that the requests of one are gone before the next
-    passes = [(1, min(2, order)), *((n, n) for n in range(3, order + 1))]
-    tables = [scratch.cut(X.answered(asking(low, high), total), "counts") for low, high in passes]
-    answers = reduce(DataFrame.unionByName, tables)
-    n_words_all = _n_words(docs)
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, OUT)
+        could = np.minimum(np.arange(n_words) - np.repeat(offsets[:-1], sizes) + 1, order)
+        sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[offsets])
+        logprob = [float(s[a:b].sum()) for a, b in zip(offsets, offsets[1:])]
+        mean = [x / k if k else None for x, k in zip(logprob, sizes.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(logprob), pa.array(mean, pa.float64()), pa.array(sums(level < could)), pa.array(sums((level == 1) & (left[0] == 0)))], schema=_OUT)
 
+    tables = [scratch.cut(X.answered(ask(part), total), "counts", rows_per_batch=1) for part in range(len(parts))]
+    answers = reduce(DataFrame.unionByName, tables)
 
-def _n_words(docs: DataFrame) -> int:
-    from quern.llm.text import n_words_of
+    def finish(key, table, answers):
+        return pa.Table.from_batches([scored(ids, texts, answers) for _, ids, texts in X.opened(table)], schema=_OUT)
 
-    return docs.agg(F.sum(n_words_of(F.col("text")))).first()[0] or 0
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, OUT)
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ equal, aligned anchor inside them.  Where no anchor is shared, no window can be.
 shared anchors the match is extended: whole windows are hashed and compared.
 
 Defined cases: null or empty text has no words; a null doc_id counts as larger than any
-other; rows with one doc_id never remove each other's words; other columns are ignored.
-Windows compare by 64-bit hashes of words, mixed through all words of the window.
+other; rows with one doc_id never remove each other's words; equal ids and repeated rows come
+out as often; no documents give no rows; other columns are ignored.  A text longer than a
+chunk is worked on whole, at some 60 bytes for each of its bytes.  Windows compare by 96 bits
+of hash over all their words.
 """
 
 from __future__ import annotations
@@ -25,115 +27,112 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import exchange as X
-from quern.llm.hashing import gram_hashes, gram_starts, word_hashes
-from quern.llm.text import columns_of
+from quern.llm.hashing import gram_checks, gram_hashes, gram_starts, word_hashes
 from quern.scratch import Scratch
 
 #: Difference covers by period: every remainder is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 _LAST = np.iinfo(np.int64).max
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+ANCHORS, WINDOWS = 0, 1  # parts of the exchange
 
 
 class _Chunk:
     """The words, anchors and candidate windows of one chunk."""
 
-    def __init__(self, table: pa.Table, window: int, period: int):
-        self.ids = np.array([_LAST if i is None else i for i in table["doc_id"].to_pylist()], np.int64)
-        self.texts = [(t or "").encode() for t in table["text"].to_pylist()]
-        self.words, self.offsets = word_hashes(self.texts)
+    def __init__(self, ids: list, texts: list[bytes], window: int, period: int):
+        self.ids = np.array([_LAST if i is None else i for i in ids], np.int64)
+        self.texts = texts
+        self.words, self.checks, self.offsets = word_hashes(texts)
         self.window, self.period, self.run = window, period, window - period + 1
-        self.doc = np.repeat(np.arange(len(self.texts)), np.diff(self.offsets))
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.offsets))
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of the anchors, their distinct hashes in order, and the number of each anchor's hash."""
+    def _distinct(self, at: np.ndarray, n: int) -> X.Distinct:
+        return X.Distinct(gram_hashes(self.words, n)[at], gram_checks(self.checks, n)[at])
+
+    def anchors(self) -> tuple[np.ndarray, X.Distinct]:
+        """Positions of the anchors, and what they hold."""
         fits = gram_starts(self.offsets, self.run)
         place = np.arange(len(fits)) - np.repeat(self.offsets[:-1], np.diff(self.offsets))[: len(fits)]
         on = np.zeros(self.period, bool)
         on[list(COVERS[self.period])] = True
         at = np.flatnonzero(fits & on[place % self.period])
-        distinct, number = np.unique(gram_hashes(self.words, self.run)[at], return_inverse=True)
-        return at, distinct, number
+        return at, self._distinct(at, self.run)
 
-    def shared_in_chunk(self, at: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
-        """For each hash: do documents with different ids of this chunk hold it?"""
-        low, high = np.full(n, _LAST), np.full(n, np.iinfo(np.int64).min)
+    def in_two(self, at: np.ndarray, held: X.Distinct) -> np.ndarray:
+        """For each anchor, 1 if documents with different ids of this chunk hold it."""
+        low, high = np.full(len(held), _LAST), np.full(len(held), np.iinfo(np.int64).min)
         ids = self.ids[self.doc[at]]
-        np.minimum.at(low, number, ids)
-        np.maximum.at(high, number, ids)
-        return low < high
-
-    def windows(self, shared_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows around shared anchors: positions, distinct hashes in order, number of each window's hash."""
+        np.minimum.at(low, held.number, ids)
+        np.maximum.at(high, held.number, ids)
+        return (low < high).astype(np.int64)
+
+    def windows(self, answers: pa.Table) -> tuple[np.ndarray, X.Distinct]:
+        """Windows around the anchors that are shared: positions, and what they hold."""
+        at, held = self.anchors()
+        shared_at = at[X.laid_out(answers, ANCHORS)[held.number] > 0]
+        del held
         fits = gram_starts(self.offsets, self.window)
-        steps = np.zeros(len(self.words) + 1, np.int64)
-        np.add.at(steps, np.maximum(shared_at - self.period + 1, 0), 1)
-        np.add.at(steps, shared_at + 1, -1)
-        at = np.flatnonzero(fits & (np.cumsum(steps)[: len(fits)] > 0))
-        distinct, number = np.unique(gram_hashes(self.words, self.window)[at], return_inverse=True)
-        return at, distinct, number
-
-    def smallest(self, at: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
-        low = np.full(n, _LAST)
-        np.minimum.at(low, number, self.ids[self.doc[at]])
+        at = np.flatnonzero(fits & _covered(shared_at - self.period + 1, self.period, len(self.words))[: len(fits)])
+        return at, self._distinct(at, self.window)
+
+    def smallest(self, at: np.ndarray, held: X.Distinct) -> np.ndarray:
+        low = np.full(len(held), _LAST)
+        np.minimum.at(low, held.number, self.ids[self.doc[at]])
         return low
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 13, period: int = 7, chunk_bytes: int = 8 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
+def _covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Which of n places lie in a run of ``length`` from one of ``starts`` on."""
+    steps = np.bincount(np.maximum(starts, 0), minlength=n + 1)[: n + 1] - np.bincount(np.minimum(starts + length, n), minlength=n + 1)[: n + 1]
+    return np.cumsum(steps)[:n] > 0
+
+
+def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 13, period: int = 7, chunk_bytes: int = X.CHUNK_BYTES, bucket_bytes: int = 2 * X.BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space), a row for each row of ``docs``."""
-    docs = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = X.chunk_and_bucket_counts(size, chunk_bytes, bucket_bytes, docs.sparkSession.sparkContext.defaultParallelism)
-    docs = X.with_chunks(docs, chunks)
-
-    def ask_anchors(key, table):
-        chunk = _Chunk(table, window, period)
-        at, distinct, number = chunk.anchors()
-        shared = chunk.shared_in_chunk(at, number, len(distinct))
-        return X.requests(key[0].as_py(), [(0, distinct, shared.astype(np.int64))], buckets)
-
-    def in_two(group, first, shared):
-        """A hash from two chunks is in documents with different ids, as an id has one chunk."""
-        many = (np.diff(first, append=len(group)) > 1) | np.maximum.reduceat(shared, first).astype(bool)
-        return many[group].astype(np.int64)
-
-    def candidates(table: pa.Table, answers: pa.Table):
-        chunk = _Chunk(table, window, period)
-        at, _, number = chunk.anchors()
-        flags = X.laid_out(answers, 0)
-        return chunk, chunk.windows(at[flags[number] > 0] if len(at) else at)
+    chunks, size, _ = X.in_chunks(docs, scratch, chunk_bytes)
+    buckets = X.buckets_of(chunks, size, bucket_bytes)
+
+    def ask_anchors(batches):
+        for batch in batches:
+            for number, ids, texts in X.opened(batch):
+                chunk = _Chunk(ids, texts, window, period)
+                at, held = chunk.anchors()
+                yield X.requests(number, ANCHORS, held, chunk.in_two(at, held), buckets)
+
+    def shared(first, in_two):
+        """1 for an anchor of two chunks, or of two ids in one; more than are needed, where chunks share an id."""
+        return ((np.diff(first, append=len(in_two)) > 1) | np.maximum.reduceat(in_two, first).astype(bool)).astype(np.int64)
 
     def ask_windows(key, table, answers):
-        if not table.num_rows:
-            return X.requests(0, [], buckets)
-        chunk, (at, distinct, number) = candidates(table, answers)
-        return X.requests(key[0].as_py(), [(1, distinct, chunk.smallest(at, number, len(distinct)))], buckets)
+        asked = [X.requests(0, WINDOWS, X.Distinct(np.zeros(0, np.uint64), np.zeros(0, np.uint32)), np.zeros(0, np.int64), buckets)]
+        for number, ids, texts in X.opened(table):
+            chunk = _Chunk(ids, texts, window, period)
+            at, held = chunk.windows(answers)
+            asked.append(X.requests(number, WINDOWS, held, chunk.smallest(at, held), buckets))
+        return pa.Table.from_batches(asked)
 
-    def smallest_id(group, first, ids):
-        return np.minimum.reduceat(ids, first)[group]
+    def smallest_id(first, ids):
+        return np.minimum.reduceat(ids, first)
 
     def finish(key, table, answers):
         rows = []
-        if table.num_rows:
-            chunk, (at, _, number) = candidates(table, answers)
-            low = X.laid_out(answers, 1)
-            gone = at[low[number] < chunk.ids[chunk.doc[at]]] if len(at) else at
-            steps = np.zeros(len(chunk.words) + 1, np.int64)
-            np.add.at(steps, gone, 1)
-            np.add.at(steps, gone + window, -1)
-            stays = np.cumsum(steps)[:-1] == 0
-            for i, doc_id in enumerate(table["doc_id"].to_pylist()):
-                a, b = chunk.offsets[i], chunk.offsets[i + 1]
-                kept, words = stays[a:b], chunk.texts[i].split()
+        for _, ids, texts in X.opened(table):
+            chunk = _Chunk(ids, texts, window, period)
+            at, held = chunk.windows(answers)
+            gone = at[X.laid_out(answers, WINDOWS)[held.number] < chunk.ids[chunk.doc[at]]]
+            stays = ~_covered(gone, window, len(chunk.words))
+            for doc_id, text, a, b in zip(ids, texts, chunk.offsets, chunk.offsets[1:]):
+                kept, words = stays[a:b], text.split()
                 if not kept.all():
                     words = [words[j] for j in np.flatnonzero(kept)]
                 rows.append((doc_id, int(b - a), int(b - a) - len(words), b" ".join(words).decode()))
         return pa.table([list(c) for c in zip(*rows)] or [[]] * 4, schema=_OUT)
 
     def with_answers(answers: DataFrame):
-        return docs.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
 
-    anchors = scratch.cut(X.answered(docs.groupBy("chunk").applyInArrow(ask_anchors, X.REQUEST), in_two), "anchors")
+    anchors = scratch.cut(X.answered(chunks.mapInArrow(ask_anchors, X.REQUEST), shared), "anchors", rows_per_batch=1)
     windows = scratch.cut(X.answered(with_answers(anchors).applyInArrow(ask_windows, X.REQUEST), smallest_id), "windows")
     return with_answers(anchors.unionByName(windows)).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
 
