@@ -10,6 +10,7 @@ local does a private temporary folder stand in for it.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -52,6 +53,17 @@ def _set_for_write(spark: SparkSession, settings: dict[str, str]):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def roots_read(df: DataFrame) -> set[str]:
+    """The folders and files that a DataFrame's plan reads tables from."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            out |= {roots.apply(k).toString() for k in range(roots.size())}
+    return out
+
+
 class Scratch:
     """A set of intermediate tables that are deleted together: by ``close``, at the end of a ``with``, or at exit."""
 
@@ -79,6 +91,12 @@ class Scratch:
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read_by(self, *dfs: DataFrame) -> bool:
+        """Does the plan of any of them read any of the tables?"""
+        bare = lambda path: re.sub("^file:/+", "/", path)
+        mine = {bare(p) for p in self.paths}
+        return any(not mine.isdisjoint(map(bare, roots_read(df))) for df in dfs)
+
     def close(self) -> None:
         """Delete the tables; DataFrames that still read them become invalid."""
         paths, self.paths = self.paths, []
