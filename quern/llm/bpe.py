@@ -29,14 +29,16 @@ special tokens in the text become their ids.  Merges and vocabulary, of fixed si
 broadcast from the driver, which reads the file named by the ``path`` parameter.
 
 Defined cases: a null text is empty; no tokens make the hash of the empty string; rows
-that repeat come out as often.
+that repeat come out as often; no documents give no rows; other columns are ignored.  A long
+text costs memory in proportion to its tokens (some 40 bytes each); only words below 64
+characters are kept.  A tokenizer file with options that change ids is refused.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -60,22 +62,17 @@ def byte_symbols() -> dict[str, int]:
 
 
 class _Known(dict):
-    """Words that were met, with their ids in decimal form; ``odd`` holds those that their ids' labels don't spell."""
+    """Words that were met, each with the path of its ids."""
 
     def __init__(self, tables: "Automaton"):
         super().__init__()
         self._tables = tables
-        self.odd: set[str] = set()
-
-    def __missing__(self, word: str) -> str:
-        tables, raw = self._tables, word.encode()
-        ids = tables.encode_word(raw)
-        got = ",".join([tables.decimal[i] for i in ids])
-        if tables.decode_bytes(ids) != raw:
-            self.odd.add(word)
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        path = tuple(self._tables.encode_word(word.encode()))
         if len(word) < 64:
-            self[word] = got
-        return got
+            self[word] = path
+        return path
 
 
 class Automaton:
@@ -192,11 +189,6 @@ class Automaton:
         """Empty tables that have grown: they fill again as they are met."""
         self._states, self._numbers, self._table, self._arcs = [(0, (-1,))], {(0, (-1,)): 0}, {}, {}
 
-    def release(self) -> None:
-        """Empty all tables that fill as texts are met."""
-        self._forget()
-        self._known.clear()
-
     def encode_word(self, word: bytes) -> list[int]:
         if len(self._table) > 1.5 * self.known_words:
             self._forget()
@@ -224,43 +216,56 @@ class Automaton:
             else:
                 yield self._words.findall(part), None
 
-    def round_trip(self, text: str) -> tuple[str, int, str]:
-        """The ids in decimal form joined by commas, how many, and the text that they decode to."""
-        ids, out, known, odd = [], [], self._known, self._known.odd
-        if len(known) > self.known_words:
-            known.clear()
-        for words, special in self._parts(text):
-            ids += [known[w] for w in words]
-            out += words
-            if special is not None:
-                ids.append(self.decimal[special])
-                out.append(self.decode([special]))
-        joined = ",".join(ids)
-        # each word's labels were held against it when it was met: where they spell it, it is what they emit
-        decoded = self.decode(self.encode(text)) if odd and not odd.isdisjoint(out) else "".join(out)
-        return joined, joined.count(",") + 1 if joined else 0, decoded
-
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
+        known = self._known
+        if len(known) > self.known_words:
+            known.clear()
         for words, special in self._parts(text or ""):
-            for word in words:
-                out += self.encode_word(word.encode())
+            out.extend(chain.from_iterable(map(known.__getitem__, words)))
             if special is not None:
                 out.append(special)
         return out
 
+    def in_decimal(self, ids) -> str:
+        return ",".join(map(self.decimal.__getitem__, ids))
+
     def decode_bytes(self, ids) -> bytes:
-        label = self.label
-        return b"".join([label[i] for i in ids])
+        return b"".join(map(self.label.__getitem__, ids))
 
     def decode(self, ids) -> str:
         return self.decode_bytes(ids).decode(errors="replace")
 
 
+#: What the automaton takes for granted of a tokenizer file, by section.
+_REQUIRED = {
+    "normalizer": (None,),
+    "pre_tokenizer": ({"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},),
+    "decoder": ({"type": "ByteLevel"},),
+    "model": ({"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},),
+    "added_tokens": ({"single_word": False, "lstrip": False, "rstrip": False, "normalized": False},),
+}
+
+
+def unsupported(spec: dict) -> list[str]:
+    """What of a tokenizer file this module doesn't do; a file that has any would get other ids than its library gives."""
+    out = []
+    for section, (wanted,) in _REQUIRED.items():
+        found = spec.get(section)
+        for one in found if isinstance(found, list) else [found]:
+            if wanted is None or one is None:
+                out += [section] if one is not wanted else []
+            else:
+                out += [f"{section}.{k}" for k, v in wanted.items() if one.get(k) not in ((v, "", None) if v is None else (v, None) if v is False else (v,))]
+    return out
+
+
 def read_spec(path: str) -> str:
     """What the automaton needs of a tokenizer file, as JSON: vocabulary, merges in order, special tokens."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if faults := unsupported(spec):
+        raise ValueError(f"{path}: unsupported {', '.join(faults)}")
     model = spec["model"]
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     special = [(t["content"], t["id"]) for t in spec.get("added_tokens", [])]
@@ -294,7 +299,7 @@ def _applied(docs: DataFrame, path: str, fields: dict[str, object], row, known_w
     def of_batches(batches):
         tables = automaton(shared.value)
         tables.known_words = known_words
-        workers.enter("bpe", tables.release)
+        workers.enter("bpe", _automata.clear)
         for batch in batches:
             ids, texts = batch["doc_id"], batch["text"]
             for at in range(0, len(texts), 500):
@@ -321,12 +326,11 @@ def digests(docs: DataFrame, path: str | None = None, known_words: int = KNOWN_W
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the decoded text)."""
 
     def row(tables: Automaton, text: str):
-        ids, n, decoded = tables.round_trip(text)
-        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        ids = tables.encode(text)
+        return len(ids), hashlib.sha256(tables.in_decimal(ids).encode()).hexdigest(), hashlib.sha256(tables.decode(ids).encode()).hexdigest()
 
     return _applied(docs, path or default_path(), {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, row, known_words)
 
 
-def op7_bpe(spark, sf_dir: str) -> DataFrame:
-    path = os.environ.get("QUERN_BPE_PATH") or default_path()
+def op7_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)

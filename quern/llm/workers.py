@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _held: dict[str, Callable[[], None]] = {}
 
 
 def enter(owner: str, release: Callable[[], None] | None = None) -> None:
-    """Begin a task of ``owner``: tables of other owners in this process are emptied; its own stay warm."""
-    for name in [n for n in _held if n != owner]:
+    """Begin a task of ``owner``: tables of other owners in this process go, and their memory with them; its own stay warm."""
+    others = [n for n in _held if n != owner]
+    for name in others:
         _held.pop(name)()
-    if release is not None:
-        _held[owner] = release
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library than glibc
+            pass
+    _held[owner] = release or (lambda: None)
