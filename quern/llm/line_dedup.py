@@ -13,7 +13,8 @@ join).  Positions come together by document, bounded by its lines.
 
 Defined cases: a text with fewer content lines than a window has none and stays as it is;
 so does a null text; a null doc_id comes after all others; rows that repeat doc_id and text
-are one document and come out alike; other columns pass through.
+are one document and come out alike; no documents give no rows; other columns, of any name,
+pass through.  A long text is held as the array of its lines; its windows are rows.
 """
 
 from __future__ import annotations
@@ -58,28 +59,34 @@ def repeated(docs: DataFrame, scratch: Scratch, window: int = 3) -> DataFrame:
     return later.select("k", F.explode("at").alias("i")).groupBy("k").agg(F.collect_set("i").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, window: int = 3) -> DataFrame:
-    """The rows of ``docs`` with their text deduplicated (in column ``text``), and the struct ``lines`` of n (content lines) and removed."""
+def dedup_lines(docs: DataFrame, scratch: Scratch, window: int = 3, counts: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with their text deduplicated.
+
+    ``counts`` names a further column, which ``docs`` must not have: the struct of n (content lines) and removed.
+    """
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
     packed = packed.select("row", _key(F.col("row.doc_id"), F.col("row.text")).alias("k"))
-    gone = repeated(columns_of(docs, "doc_id", "text"), scratch, window)
-    split = packed.join(gone, "k", "left").select("row", "gone", _lines("row.text").alias("all"))
+    with Scratch(docs.sparkSession) as inner:
+        gone = scratch.cut(repeated(columns_of(docs, "doc_id", "text"), inner, window), "gone")
+    # what is repeated grows with the input: a join by shuffle at any size
+    split = packed.join(gone.hint("merge"), "k", "left").select("row", "gone", _lines("row.text").alias("all"))
     # both references to the split lines read one evaluated column
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone")), lambda i: F.element_at("all", i + 1))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
-    counts = F.struct(
+    found = F.struct(
         F.coalesce(F.size(F.filter("all", _has_word)), F.lit(0)).cast("long").alias("n"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed"),
     )
-    return split.select(*[text.alias(n) if n == "text" else F.col(f"row.`{n}`").alias(n) for n in names], counts.alias("__lines"))
+    out = [text.alias(n) if n == "text" else F.col(f"row.`{n}`").alias(n) for n in names]
+    return split.select(*out, *([found.alias(counts)] if counts else []))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines and n_removed (content lines), kept_sha256 (of the text that stays) of every document."""
-    out = dedup_lines(columns_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), Scratch(spark))
+    out = dedup_lines(columns_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), Scratch(spark), counts="lines")
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return out.select("doc_id", F.col("__lines.n").alias("n_lines"), F.col("__lines.removed").alias("n_removed"), kept.alias("kept_sha256"))
+    return out.select("doc_id", F.col("lines.n").alias("n_lines"), F.col("lines.removed").alias("n_removed"), kept.alias("kept_sha256"))
 
 
 #: The same in DuckDB, by the lines themselves instead of their hashes; documents have distinct ids there.

@@ -10,13 +10,16 @@ empty text selects nothing.
 Likeness of two fingerprints is the Jaccard index of their sets of hashes (1 if both are
 empty).
 
-Edited texts need the *next* document by doc_id.  Documents are range-partitioned by
-doc_id at quantiles found by a first pass over the ids; every partition also receives a
-copy of the first document of the next one, so that each finds its successors inside its
-own sorted stream.  The last partition receives a copy of the first document of all.
+Edited texts need the *next* document by doc_id.  Documents are range-partitioned and sorted
+by (doc_id, hash of the text, number of the row), so that no doc_id, however often it comes, is
+one partition.  Each partition pairs its neighbours as they stream by, and puts out its first and
+last rows beside them.  Those meet by the number of their partition: the last row of one and the
+first of the next that isn't empty, and of all, the last and the first.
 
 Defined cases: a null text is empty; null doc_ids come first in the order; rows with equal
-doc_id are ordered by text, null first; a single document follows itself.
+doc_id are ordered by the hash of their text; a single document follows itself; no documents
+give no rows; other columns, of any name, are ignored.  A text is held whole, at some 50 bytes
+for each code point, two at a time.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.hashing import mix
 from quern.llm.text import columns_of
+from quern.scratch import Scratch
 
 K, WINDOW = 25, 40
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -107,95 +111,96 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
 
     def of_batches(batches):
         for batch in batches:
-            prints = [fingerprint(t or "", k, window) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([h.view(np.int64) for h, _ in prints], pa.list_(pa.int64())), pa.array([p for _, p in prints], pa.list_(pa.int64()))],
-                ["doc_id", "hashes", "positions"],
-            )
+            for at in range(0, batch.num_rows, 500):
+                rows = batch.slice(at, 500)
+                prints = [fingerprint(t or "", k, window) for t in rows["text"].to_pylist()]
+                hashes, places = pa.array([h.view(np.int64) for h, _ in prints], pa.list_(pa.int64())), pa.array([p for _, p in prints], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows["doc_id"], hashes, places], ["doc_id", "hashes", "positions"])
 
     docs = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return docs.mapInArrow(of_batches, "doc_id long, hashes array<long>, positions array<long>")
 
 
-def in_order(docs: DataFrame, partition_bytes: int = 64 << 20) -> tuple[DataFrame, int]:
-    """doc_id, text, part, ahead: rows by ranges of doc_id, and, marked ahead, a copy of the first row of the next range in each.
-
-    The bounds, one for each partition, are quantiles of doc_id over all rows.
-    """
+def in_order(docs: DataFrame, partition_bytes: int = 64 << 20) -> DataFrame:
+    """doc_id and text in the order of the module's text, by ranges of some ``partition_bytes`` in the mean."""
     docs = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    context = docs.sparkSession.sparkContext
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(2 * context.defaultParallelism, -(-size // partition_bytes))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
-    bounds = context.broadcast(np.unique(np.array(cuts, np.int64)))
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds.value, ids.to_numpy()), dtype="int32")
-
-    some_id = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    firsts = docs.select("doc_id", range_of(some_id).alias("part")).groupBy("part").agg(
-        F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("m")).select("part", "m.doc_id").collect()
-    order = sorted((r["part"], r["doc_id"]) for r in firsts)
-    # a row for each partition; the first row of all is ahead of the last range
-    copies = [(doc_id, order[i - 1][0]) for i, (_, doc_id) in enumerate(order)]
-    target = F.broadcast(docs.sparkSession.createDataFrame(copies, "first_id long, behind int"))
-    placed = docs.join(target, F.col("doc_id").eqNullSafe(F.col("first_id")), "left").withColumn("part", range_of(some_id))
-    twice = F.array_compact(F.array(F.struct("part", F.lit(False).alias("ahead")), F.when(F.col("behind").isNotNull(), F.struct(F.col("behind").alias("part"), F.lit(True).alias("ahead")))))
-    return placed.select("doc_id", "text", F.explode(twice).alias("x")).select("doc_id", "text", "x.part", "x.ahead"), len(bounds.value) + 1
-
-
-def with_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // partition_bytes))
+    # rows that share doc_id and text are the same to their neighbours, whatever their numbers
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("n"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("th"), F.col("n")]
+    return keyed.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).select("doc_id", "text")
+
+
+RESULT, FIRST, LAST = 0, 1, 2  # kinds of rows that a partition puts out
+
+
+def _pair(now: tuple, following: tuple, k: int, window: int) -> tuple:
+    """The result of a row; both rows are (doc_id, text, fingerprint of the text)."""
+    (doc_id, text, mine), (_, after, theirs) = now, following
+    changed = edited(text, after)
+    other = mine if changed == text else fingerprint(changed, k, window)
+    sets = [np.unique(h) for h, _ in (mine, other, theirs)]
+    return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), digest(*mine), digest(*other), likeness(sets[0], sets[1]), likeness(sets[0], sets[2])
+
+
+def with_edits(docs: DataFrame, scratch: Scratch, k: int = K, window: int = WINDOW, partition_bytes: int = 64 << 20) -> DataFrame:
     """Each row's text and edited text, fingerprinted: see ``op5_fingerprints``."""
-    placed, parts = in_order(docs)
-    spread = placed.repartitionById(parts, F.col("part")).sortWithinPartitions("ahead", "doc_id", "text")
 
-    def of_batches(batches):
-        pending = None  # the last row, which waits for the next one
-        rows: list[tuple] = []
+    def neighbours(batches):
+        part, none = TaskContext.get().partitionId(), (None,) * (len(_SCHEMA) - 1)
+        before, rows = None, []
 
-        def finish(now, following):
-            (doc_id, text, mine), (_, after, theirs) = now, following
-            changed = edited(text, after)
-            other = mine if changed == text else fingerprint(changed, k, window)
-            sets = [np.unique(h) for h, _ in (mine, other, theirs)]
-            return (doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), digest(*mine), digest(*other), likeness(sets[0], sets[1]), likeness(sets[0], sets[2]))
+        def edge(kind: int, row: tuple) -> tuple:
+            return row[0], *none, part, kind, row[1]
 
         def flush():
-            batch = pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r)) for r in rows], schema=_SCHEMA)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _WITH_EDGES.types)], schema=_WITH_EDGES)
             rows.clear()
             return batch
 
-        done = False
         for batch in batches:
-            for doc_id, text, ahead in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["ahead"].to_pylist()):
-                if done:
-                    continue  # further rows that share the doc_id of the one ahead
-                text = text or ""
-                now = (doc_id, text, fingerprint(text, k, window))
-                if pending is not None:
-                    rows.append(finish(pending, now))
-                pending = now
-                done = ahead
-                if len(rows) == 500:
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                now = (doc_id, text or "", fingerprint(text or "", k, window))
+                rows.append(edge(FIRST, now) if before is None else (*_pair(before, now, k, window), part, RESULT, None))
+                before = now
+                if len(rows) >= 500:
                     yield flush()
-        if rows:
+        if before is not None:
+            rows.append(edge(LAST, before))
             yield flush()
 
-    return spread.mapInArrow(of_batches, OUT)
+    def across(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, text, after in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "after"))):
+                texts = [(doc_id, t, fingerprint(t, k, window)) for t in (text, after)]
+                rows.append(_pair(*texts, k, window))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)] if rows else [pa.array([], t) for t in _SCHEMA.types], schema=_SCHEMA)
+
+    made = scratch.cut(in_order(docs, partition_bytes).mapInArrow(neighbours, f"{OUT}, part int, kind int, text string"), "neighbours", rows_per_batch=500)
+    first = made.where(F.col("kind") == FIRST).select("part", F.col("text").alias("after"))
+    last = made.where(F.col("kind") == LAST).select("part", "doc_id", "text")
+    # one row for each partition
+    parts = Window.orderBy("part")
+    of_all = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order = first.select("part", F.coalesce(F.lead("part").over(parts), F.min("part").over(of_all)).alias("next"))
+    ends = last.join(order, "part").select("doc_id", "text", "next").join(first.withColumnRenamed("part", "next"), "next")
+    return made.where(F.col("kind") == RESULT).select(*_SCHEMA.names).unionByName(ends.select("doc_id", "text", "after").mapInArrow(across, OUT))
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_WITH_EDGES = pa.schema([*_SCHEMA, ("part", pa.int32()), ("kind", pa.int32()), ("text", pa.string())])
 
 
 def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
-    return with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark))
 
 
-def brute_force(rows: list[tuple[int | None, str | None]], k: int = K, window: int = WINDOW) -> list[tuple]:
-    """The same by sorting all rows and scanning every window; for tests."""
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+def brute_force(rows: list[tuple[int | None, str | None]], thash, k: int = K, window: int = WINDOW) -> list[tuple]:
+    """The same by sorting all rows and scanning every window; ``thash(text)`` orders texts of one id.  For tests."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, thash(r[1])))
 
     def selected(text):
         h = gram_hashes(text, k).tolist()

@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quern.llm import line_dedup, winnowing
 from tests.llm.conftest import key
@@ -13,15 +14,18 @@ def line_rows(rows):
 
 
 def signed(text):
+    """Spark's xxhash64 of a string or null."""
+    if text is None:
+        return 42
     h = xxhash.xxh64_intdigest(text.encode(), 42)
     return h - (1 << 64) if h >> 63 else h
 
 
 def test_line_dedup_is_brute_force(spark, line_rows, scratch):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in line_rows], "doc_id long, text string, k string, gone int").repartition(5)
-    out = line_dedup.dedup_lines(docs, scratch)
-    assert out.columns == [*docs.columns, "__lines"]
-    got = [tuple(r) for r in out.select("doc_id", "__lines.n", "__lines.removed", "text").collect()]
+    out = line_dedup.dedup_lines(docs, scratch, counts="counts")
+    assert out.columns == [*docs.columns, "counts"] and line_dedup.dedup_lines(docs, scratch).columns == docs.columns
+    got = [tuple(r) for r in out.select("doc_id", "counts.n", "counts.removed", "text").collect()]
     assert sorted(got, key=key) == sorted(line_dedup.brute_force(line_rows, signed), key=key)
     assert sum(r[2] for r in got) > 1000
 
@@ -38,23 +42,33 @@ def test_line_dedup_is_its_sql(spark):
     assert got == want and any(r[2] for r in got)
 
 
-def test_fingerprints_are_brute_force(docs, rows):
-    got = [tuple(r) for r in winnowing.with_edits(docs).collect()]
-    assert sorted(got, key=key) == sorted(winnowing.brute_force(rows), key=key)
+def test_fingerprints_are_brute_force(docs, rows, scratch):
+    got = [tuple(r) for r in winnowing.with_edits(docs, scratch).collect()]
+    assert sorted(got, key=key) == sorted(winnowing.brute_force(rows, signed), key=key)
 
 
-def test_fingerprints_of_one_and_none(docs, empty):
-    assert winnowing.with_edits(empty).collect() == []
-    (row,) = winnowing.with_edits(docs.where("doc_id = 65")).collect()
+def test_fingerprints_of_one_and_none(docs, empty, scratch):
+    assert winnowing.with_edits(empty, scratch).collect() == []
+    (row,) = winnowing.with_edits(docs.where("doc_id = 65"), scratch).collect()
     assert (row.doc_id, row.n_chars, row.near_next) == (65, 3, 1.0)
 
 
-def test_ranges_keep_the_order(spark):
+def test_ranges_keep_the_order(spark, scratch):
     """Many partitions, each of which meets its successor."""
     rows = [((i * 37) % 1009, f"text {i} " + "ab" * (i % 50)) for i in range(1009)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    got = [tuple(r) for r in winnowing.with_edits(docs).collect()]
-    assert sorted(got) == sorted(winnowing.brute_force(rows))
+    got = [tuple(r) for r in winnowing.with_edits(docs, scratch, partition_bytes=1000).collect()]
+    assert sorted(got) == sorted(winnowing.brute_force(rows, signed))
+
+
+def test_one_doc_id_fills_many_ranges(spark, scratch):
+    """Equal rows, rows of one id and rows without id are cut into ranges like others."""
+    rows = [(7, "same text of all these rows " * 3)] * 200 + [(8, f"text {i} of one id " * 3) for i in range(200)] + [(None, f"no id {i % 9}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = [r.n for r in winnowing.in_order(docs, 1000).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 600 and max(sizes) < 150
+    got = [tuple(r) for r in winnowing.with_edits(docs, scratch, partition_bytes=1000).collect()]
+    assert sorted(got, key=key) == sorted(winnowing.brute_force(rows, signed), key=key)
 
 
 def test_match_guarantee(rows):
