@@ -15,16 +15,17 @@ of one shingle collide always.
 A band of one row collides only if the window holds the template's minimal shingle of that
 permutation.  So windows are formed only where a text has a shingle of some template at
 all, which loses no collision: texts without such shingles, most of them, are done after
-one pass over their words.  The set of template shingles is bounded by the templates, which
-are a parameter of at most ``MAX_TEMPLATE_SHINGLES`` shingles in all (checked), so it is a
-constant of the plan.
+one pass over their words.  Up to ``inline`` template shingles are constants of the plan;
+beyond, the texts' shingles meet them by a join.
 
 *Verification.*  For every retrieved (window, template), the share of the template's distinct
 shingles that the window holds, exactly; matches reach ``threshold``.  Of the windows of a
 document that match a template, the best (then first) is reported.
 
 Defined cases: null and empty texts match nothing; a template of fewer words than a shingle
-is refused; repeated rows come out as often; other columns are ignored.
+is refused; repeated rows come out as often; no documents give no rows; other columns, of any
+name, are ignored.  A long text is held as the hashes of its words and shingles; of its windows
+only those that may match, each with its own shingles.
 """
 
 from __future__ import annotations
@@ -35,13 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.text import columns_of
+from quern.operators.null_safe import null_safe_join
 from quern.scratch import Scratch
 
 SHINGLE = 5
 PERMUTATIONS = 40
-MAX_TEMPLATE_SHINGLES = 20_000
 
-#: Notices by which texts name their license, and its SPDX identifier.
+#: Notices by which texts name their license, and whole licenses, by SPDX identifier.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "MIT-licensed": "Licensed under the MIT License.",
@@ -55,6 +56,33 @@ TEMPLATES = {
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. "
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
     "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 
@@ -99,35 +127,39 @@ def _signature(shingles: Column) -> Column:
 
 
 def _windows_of(size: int) -> Column:
-    """Begin and size class of the windows that hold one of the shingles at ``hits``."""
+    """Begin, size class and distinct shingles of the windows that hold one of the shingles at ``hits``."""
     multiple = lambda i: F.floor(i / size)
     at = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.array(multiple(i), F.greatest(multiple(i) - 1, F.lit(0))))))
-    return F.transform(at, lambda k: F.struct((k * size).cast("int").alias("at"), F.lit(size).alias("size")))
+    return F.transform(at, lambda k: F.struct((k * size).cast("int").alias("at"), F.lit(size).alias("size"), F.array_distinct(F.slice("s", (k * size + 1).cast("int"), 2 * size)).alias("h")))
 
 
-def scan(docs: DataFrame, scratch: Scratch, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+def _near(docs: DataFrame, known: DataFrame, constants: list[int] | None) -> DataFrame:
+    """row, doc_id, th, s and hits (the places of template shingles) of the texts that have any."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    if constants is not None:
+        places = F.filter(F.transform("s", lambda h, i: F.when(h.isin(constants), i)), lambda i: i.isNotNull())
+        return hashed(keyed, "doc_id", "th").select("row", "doc_id", "th", "s", places.alias("hits")).where(F.size("hits") > 0)
+    wanted = known.select(F.explode("t").alias("h")).distinct()
+    each = hashed(keyed, "doc_id", "th").select("doc_id", "th", F.posexplode("s").alias("i", "h"))
+    places = each.join(wanted, "h", "left_semi").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("i")).alias("hits"))
+    met = null_safe_join(keyed, places, ["doc_id", "th"])
+    return hashed(met, "doc_id", "th", "hits").select("row", "doc_id", "th", "s", "hits")
+
+
+def scan(docs: DataFrame, scratch: Scratch, templates: dict[str, str] | None = None, threshold: float = 0.8, inline: int = 20_000) -> DataFrame:
     """doc_id, th (hash of the text), license, containment, first_shingle: one row for each license of each row of ``docs``."""
-    spark = docs.sparkSession
-    known = template_table(spark, templates or TEMPLATES)
-    rows = known.collect()  # bounded by the parameter
-    if sum(r["m"] for r in rows) > MAX_TEMPLATE_SHINGLES:
-        raise ValueError(f"templates of more than {MAX_TEMPLATE_SHINGLES} shingles")
+    known = template_table(docs.sparkSession, templates or TEMPLATES)
+    rows = known.select("size", "m", "t").collect()  # as large as the parameter, which is here already
+    few = sum(r["m"] for r in rows) <= inline
     sizes = sorted({r["size"] for r in rows})
-    every = sorted({h for r in rows for h in r["t"]})
-    docs = columns_of(docs, "doc_id", "text")
-    texts = hashed(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), "doc_id", "th")
-    # places of template shingles; a text without any can't collide in any band
-    hits = F.filter(F.transform("s", lambda h, i: F.when(h.isin(every), i)), lambda i: i.isNotNull())
-    numbered = scratch.cut(texts.select("row", "doc_id", "th", "s", hits.alias("hits")).where(F.size("hits") > 0), "near")
+    numbered = scratch.cut(_near(columns_of(docs, "doc_id", "text"), known, sorted({h for r in rows for h in r["t"]}) if few else None), "near")
     # of each size class s, the windows [s k, s k + 2 s) that hold a hit: k and k - 1 for a hit at s k
-    starts = F.flatten(F.array(*map(_windows_of, sizes)))
-    windows = numbered.select("row", "doc_id", "th", "s", F.explode(starts).alias("w"))
-    windows = windows.select("row", "doc_id", "th", "w.at", "w.size", F.array_distinct(F.slice("s", F.col("w.at") + 1, 2 * F.col("w.size"))).alias("h"))
+    windows = numbered.select("row", "doc_id", "th", F.explode(F.flatten(F.array(*map(_windows_of, sizes)))).alias("w"))
+    windows = windows.select("row", "doc_id", "th", "w.at", "w.size", "w.h")
     banded = windows.select("row", "doc_id", "th", "at", "size", "h", F.explode(_signature(F.col("h"))).alias("b"))
-    of_templates = known.select("license", "size", "m", "t", F.explode(_signature(F.col("t"))).alias("b"))
-    # at most MAX_TEMPLATE_SHINGLES * PERMUTATIONS rows of templates
-    met = banded.join(F.broadcast(of_templates.select("license", F.col("size").alias("tsize"), "m", "t", F.col("b").alias("tb"))),
-                      (F.col("size") == F.col("tsize")) & (F.col("b.band") == F.col("tb.band")) & (F.col("b.low") == F.col("tb.low")))
+    bands = known.select("license", "size", F.explode(_signature(F.col("t"))).alias("b")).select("license", "size", "b.band", "b.low")
+    retrieved = banded.select("row", "doc_id", "th", "at", "size", "h", "b.band", "b.low").join(F.broadcast(bands) if few else bands, ["size", "band", "low"])
+    met = retrieved.join(known.select("license", "m", "t"), "license")
     contained = F.size(F.array_intersect("h", "t")) / F.col("m")
     first = F.col("at") + F.array_min(F.transform("t", lambda h: F.when(F.array_position("h", h) > 0, F.array_position("h", h) - 1)))
     matched = met.select("row", "doc_id", "th", "license", contained.alias("containment"), first.cast("long").alias("first_shingle")).where(F.col("containment") >= threshold)

@@ -12,7 +12,8 @@ def license_rows(rows):
     return rows + [
         (300, f"{long} {grant} {long}"), (301, f"x\nReleased under   the MIT license!\ny"), (302, " ".join(changed)),
         (303, "Released under the MIT"), (304, grant[: len(grant) // 2]), (305, grant.upper()), (306, f"{grant} {long} {grant}"),
-        (307, " ".join(t for t in L.TEMPLATES.values())), (308, "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0."),
+        (307, " ".join(t for n, t in L.TEMPLATES.items() if n != "MIT")), (309, f"{long}\n{L.TEMPLATES['MIT']}"),
+        (310, f"{L.TEMPLATES['BSD-2-Clause']}\n\n{L.TEMPLATES['Zlib']}"), (308, "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0."),
     ]
 
 
@@ -23,6 +24,9 @@ def test_scan_is_brute_force(spark, license_rows, scratch):
     assert set(got) == L.brute_force(license_rows)
     assert {(300, "MIT-grant"), (301, "MIT-notice"), (302, "Apache-2.0-header"), (308, "CC-BY-NC-4.0-notice")} <= set(got)
     assert not {(303, "MIT-notice"), (304, "MIT-grant")} & set(got)
+    assert {i for i, n in got if n == "MIT"} == {309} and {(310, "BSD-2-Clause"), (310, "Zlib")} <= set(got)
+    joined = [(r.doc_id, r.license, r.containment, r.first_shingle) for r in L.scan(docs, scratch, inline=0).collect()]
+    assert sorted(joined, key=str) == sorted([(r.doc_id, r.license, r.containment, r.first_shingle) for r in L.scan(docs, scratch).collect()], key=str)
 
 
 def test_corpus_notices_are_found(spark):
