@@ -9,16 +9,23 @@ MinHash, ``BANDS`` bands of ``ROWS`` values each, for 64 bits can't tell a simil
 from chance.  A pair of similarity 0.8 meets in no band with a chance of 1.4e-7.
 
 *Verification.*  Each unit is held against the smallest of its places, by the hashes of all
-shingles of both.  Where the units of a place aren't one group yet, all pairs across its groups
-follow.  So a place of true copies costs rows in proportion to its size; only a place of
-texts that are alike but not enough costs pairs.
+shingles of both; so a place of true copies costs rows in proportion to its size.  Units of a
+place that aren't one group yet meet each other: each with the few others, where the place has at
+most ``SMALL`` of them.  Of a larger place only pairs that may be alike come out of the join, each
+at one place: sizes must fit, and so must the parity bitmaps of the two sets.  A shingle flips
+one of ``64 * PARITY`` bits, so two sets differ in as many shingles as their bitmaps differ in
+bits, or more; that bound drops no true pair.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; null,
-empty and blank texts have the empty set and are one group; repeated rows are one unit.
+empty and blank texts have the empty set and are one group; repeated rows are one unit; no
+documents give no rows; other columns, of any name, pass through.  A long text is held whole,
+as its words and the hashes of its shingles.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,6 +37,8 @@ from quern.scratch import Scratch
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 4
+PARITY = 16  # longs of a set's parity bitmap
+SMALL = 16
 _seeds = np.random.RandomState(8)
 _XOR = _seeds.randint(0, 1 << 63, (BANDS * ROWS, 1)).astype(np.uint64)
 _ODD = _seeds.randint(0, 1 << 63, (BANDS * ROWS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,12 +76,43 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays([rows["__row"], keys, pa.array(fps), _lists([bands(s) for s in sets])], ["__row", "key", "fp", "bands"])
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set of shingles: which of its bits an odd number of them chose."""
+    chosen = np.bincount((found >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
+    return np.packbits((chosen & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches):
-    """unit and s (its shingles) of each text."""
+    """unit, s (its shingles) and the longs of its parity bitmap, of each text."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             rows = batch.slice(at, 500)
-            yield pa.RecordBatch.from_arrays([rows["__row"], _lists([shingles(t).view(np.int64) for t in rows["text"].to_pylist()])], ["unit", "s"])
+            sets = [shingles(t) for t in rows["text"].to_pylist()]
+            longs = np.array([parity(x) for x in sets], np.int64).reshape(-1, PARITY)
+            columns = [rows["__row"], _lists([x.view(np.int64) for x in sets]), *map(pa.array, np.ascontiguousarray(longs.T))]
+            yield pa.RecordBatch.from_arrays(columns, ["unit", "s", *_LONGS])
+
+
+_LONGS = [f"b{k}" for k in range(PARITY)]
+
+
+def _across(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a < b: units of different groups that meet at a place of ``open_`` (place, unit, label, n: the place's units) and may be alike."""
+    few, open_ = open_.where(F.col("n") <= SMALL), open_.where(F.col("n") > SMALL)
+    others = few.select(F.col("place").alias("there"), F.col("unit").alias("b"), F.col("label").alias("lb"))
+    near = few.join(others, (F.col("place") == F.col("there")) & (F.col("unit") < F.col("b")) & (F.col("label") != F.col("lb"))).select(F.col("unit").alias("a"), "b")
+    places = open_.groupBy("unit").agg(F.sort_array(F.collect_set("place")).alias("places"))  # some 30, at most 96
+    about = places.join(sets.select("unit", F.size("s").alias("m"), F.struct(*_LONGS).alias("bits")), "unit")
+    rows = open_.join(about, "unit").select("place", F.struct("unit", "label", "m", "bits", "places").alias("x"))
+    a, b = F.col("a"), F.col("b")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(a["bits"][k].bitwiseXOR(b["bits"][k])) for k in _LONGS])
+    may = (
+        (a["unit"] < b["unit"]) & (a["label"] != b["label"]) & (a["m"] >= similarity * b["m"] - 1e-9) & (b["m"] >= similarity * a["m"] - 1e-9)
+        & (apart * (1 + similarity) <= (1 - similarity) * (a["m"] + b["m"]) + 1e-9)
+        & (F.element_at(F.array_intersect(a["places"], b["places"]), 1) == F.col("place"))
+    )
+    met = rows.withColumnRenamed("x", "a").join(rows.select(F.col("place").alias("there"), F.col("x").alias("b")), (F.col("place") == F.col("there")) & may)
+    return met.select("a.unit", F.col("b.unit").alias("other")).toDF("a", "b").unionByName(near).distinct()
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -98,18 +138,17 @@ def groups(numbered: DataFrame, scratch: Scratch, similarity: float = SIMILARITY
     here = Window.partitionBy("place")
     met = places.select("place", "unit", F.min("unit").over(here).alias("least"), F.max("unit").over(here).alias("most"))
     met = scratch.cut(met.where("least < most").select("place", "unit", "least"), "met")
-    of_met = numbered.select("__row", "text").join(met.select(F.col("unit").alias("__row")).distinct(), "__row", "left_semi")
-    sets = scratch.cut(of_met.mapInArrow(_sets, "unit long, s array<long>"), "sets")
+    of_met = numbered.select("__row", "text").join(met.select(F.col("unit").alias("__row")).distinct().hint("merge"), "__row", "left_semi")
+    sets = scratch.cut(of_met.mapInArrow(_sets, ", ".join(["unit long, s array<long>", *(f"{k} long" for k in _LONGS)])), "sets")
     first = scratch.cut(met.where("unit <> least").select(F.col("least").alias("a"), F.col("unit").alias("b")).distinct(), "pairs")
     edges = scratch.cut(_alike(first, sets, similarity), "alike")
     labels = simhash.components(edges, scratch, "a", "b")
 
     # units of a place that aren't one group yet
     named = met.join(labels, met.unit == labels.node, "left").select("place", "unit", F.coalesce("label", "unit").alias("label"))
-    open_ = named.select("*", F.min("label").over(here).alias("low"), F.max("label").over(here).alias("high")).where("low < high")
-    open_ = scratch.cut(open_.select("place", "unit", "label"), "open")
-    across = open_.select("place", F.col("unit").alias("a"), F.col("label").alias("la")).join(open_.select("place", F.col("unit").alias("b"), F.col("label").alias("lb")), "place")
-    across = across.where("a < b and la <> lb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    open_ = named.select("*", F.min("label").over(here).alias("low"), F.max("label").over(here).alias("high"), F.count("*").over(here).alias("n")).where("low < high")
+    open_ = scratch.cut(open_.select("place", "unit", "label", "n"), "open")
+    across = scratch.cut(_across(open_, sets, similarity).join(first, ["a", "b"], "left_anti"), "across")
     more = scratch.cut(_alike(across, sets, similarity), "more")
     if not more.isEmpty():
         labels = simhash.components(edges.unionByName(more), scratch, "a", "b")
@@ -119,5 +158,7 @@ def groups(numbered: DataFrame, scratch: Scratch, similarity: float = SIMILARITY
 
 def one_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of ``docs`` but for those whose group of near copies has a smaller doc_id; ties as in ``simhash.one_of_each``."""
-    marked = simhash.numbered(docs, scratch)
-    return simhash.first_of_each(marked, groups(marked, scratch))
+    rows = simhash.numbered(docs, scratch)
+    with Scratch(docs.sparkSession) as inner:
+        stay = simhash.first_of_each(rows, groups(rows.select("__row", "of.text"), inner))
+        return simhash.kept_rows(rows, scratch.cut(stay, "first"))

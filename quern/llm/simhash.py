@@ -19,7 +19,9 @@ table in the shared folder.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; a
 null, empty or blank text has fingerprint zero and links like any other; a component whose
-doc_ids are all null has a null component_id; repeated rows each come out.
+doc_ids are all null has a null component_id; repeated rows each come out; no documents give
+no rows; other columns, of any name, are ignored or pass through.  A text's bits are counted
+65,536 shingles at a time; its words are held as a list.
 """
 
 from __future__ import annotations
@@ -72,8 +74,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def of_batches(batches):
         workers.enter("simhash")
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch["text"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            for at in range(0, batch.num_rows, 500):
+                rows = batch.slice(at, 500)
+                fps = np.array([fingerprint(t, shingle) for t in rows["text"].to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     docs = columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return docs.mapInArrow(of_batches, "doc_id long, fp long")
@@ -175,26 +179,29 @@ def one_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
     Of rows that repeat the smallest doc_id, and of groups without a doc_id, the row with
     the smallest hash of its text, length and fingerprint stays; of equal rows, one.
     """
-    marked = numbered(docs, scratch)
-    fps = marked.select(F.col("__row").alias("doc_id"), "text")
-    fps = scratch.cut(fingerprints(fps).withColumnRenamed("doc_id", "__row"), "fingerprints")
-    return first_of_each(marked, grouped(fps.withColumnRenamed("__row", "doc_id"), scratch).select(F.col("doc_id").alias("__row"), "component_id"))
+    rows = numbered(docs, scratch)
+    with Scratch(docs.sparkSession) as inner:
+        fps = inner.cut(fingerprints(rows.select(F.col("__row").alias("doc_id"), "of.text")), "fingerprints")
+        groups = grouped(fps, inner).select(F.col("doc_id").alias("__row"), "component_id")
+        return kept_rows(rows, scratch.cut(first_of_each(rows, groups), "first"))
 
 
 def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with a number for each row, __row."""
-    return scratch.cut(docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`") for c in docs.columns]), "numbered")
-
-
-def first_of_each(marked: DataFrame, grouped_rows: DataFrame) -> DataFrame:
-    """The rows of ``marked`` that stay for their group (__row, component_id), as ``one_of_each`` says."""
-    small = marked.select("__row", "doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l"))
-    best = (
-        grouped_rows.join(small, "__row")
-        .groupBy("component_id")
-        .agg(F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "h", "l", "__row")).alias("__row"))
-    )
-    return marked.join(best.select("__row"), "__row", "left_semi").drop("__row")
+    """__row (a number for each row of ``docs``) and of (its columns)."""
+    return scratch.cut(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("of")), "numbered")
+
+
+def first_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """__row of those that stay for their group (``groups``: __row, component_id), as ``one_of_each`` says."""
+    small = rows.select("__row", "of.doc_id", F.xxhash64("of.text").alias("h"), F.length("of.text").alias("l"))
+    best = F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "h", "l", "__row"))
+    return groups.join(small, "__row").groupBy("component_id").agg(best.alias("__row")).select("__row")
+
+
+def kept_rows(rows: DataFrame, stay: DataFrame) -> DataFrame:
+    """The columns of the numbered rows that stay."""
+    # what stays grows with the input: a join by shuffle at any size
+    return rows.join(stay.hint("merge"), "__row", "left_semi").select("of.*")
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

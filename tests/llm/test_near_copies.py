@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from quern.llm import near_copies as N
+from quern.scratch import Scratch
 
 
 def jaccard_groups(texts):
@@ -45,6 +46,42 @@ def test_groups_are_brute_force(spark, scratch):
     assert len(got) == len(want) and len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+def test_a_large_group_alike_but_not_enough(spark, scratch):
+    """Texts that share most of a passage meet at places; only pairs that may be alike come out, and no link is lost."""
+    rnd = random.Random(21)
+    passage = [f"p{i}" for i in range(100)]
+    texts = [" ".join([*passage, *(f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(25, 60)))]) for _ in range(250)]
+    for _ in range(150):  # copies of one text, each a few words apart from it, so that many are linked by others only
+        words = [*passage, *(f"c{i}" for i in range(80))]
+        for _ in range(rnd.randint(2, 5)):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "__row long, text string")
+    found = {}
+
+    class Noted(Scratch):
+        def cut(self, df, name="table", *settings):
+            found[name] = super().cut(df, name, *settings)
+            return found[name]
+
+    got = [r.component_id for r in sorted(N.groups(rows, Noted(spark)).collect(), key=lambda r: r["__row"])]
+    want = jaccard_groups(texts)
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got)) and len(set(want)) > 200
+    pairs = found["across"].collect()
+    assert len(pairs) == len(set(pairs)) < 0.2 * len(texts) ** 2 / 2
+
+
+def test_parity_bitmaps_bound_the_difference():
+    import numpy as np
+
+    rnd = np.random.RandomState(4)
+    for _ in range(50):
+        a = np.unique(rnd.randint(0, 1 << 62, rnd.randint(1, 900)).astype(np.uint64) * np.uint64(3))
+        b = np.unique(np.concatenate((a[rnd.rand(len(a)) < rnd.rand()], rnd.randint(0, 1 << 62, rnd.randint(1, 300)).astype(np.uint64))))
+        apart = sum(bin(int(x)).count("1") for x in (N.parity(a) ^ N.parity(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
+
+
 def test_stage_drops_near_copies(spark):
     rnd = random.Random(5)
     words = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
