@@ -22,7 +22,8 @@ scalars; documents move as (id, source, size) only.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source; rows
 that repeat are rows of their own; no documents, no sources: empty result.  Extra columns
-are ignored, or kept by ``mixed``.
+of any name are ignored, or kept by ``mixed``.  A long text is counted, never held as words,
+but where ``mixed`` takes a part of it.
 """
 
 from __future__ import annotations
@@ -183,8 +184,9 @@ def mixed(docs: DataFrame, scratch: Scratch, max_epochs: int = 3, **settings) ->
     """
     names = docs.columns
     numbered = scratch.cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("of")), "numbered")
-    placed, shards = plan(numbered.select("row", "of.doc_id", "of.text", "of.source"), scratch, max_epochs=max_epochs, **settings)
-    cover = taken_blocks(placed, shards).where(_taken() > 0).select("row", "size", "cover")
+    with Scratch(docs.sparkSession) as inner:
+        placed, shards = plan(numbered.select("row", "of.doc_id", "of.text", "of.source"), inner, max_epochs=max_epochs, **settings)
+        cover = scratch.cut(taken_blocks(placed, shards).where(_taken() > 0).select("row", "size", "cover"), "cover")
     epochs = F.explode(F.sequence(F.lit(1), F.array_max(F.transform("cover", lambda x: x["times"])).cast("int")))
     parts = cover.select("row", "size", "cover", epochs.alias("epoch")).select("row", "size", F.filter("cover", lambda x: x["times"] >= F.col("epoch")).alias("part"))
     whole = F.aggregate("part", F.lit(0).cast("long"), lambda a, x: a + x["upto"] - x["from"]) == F.col("size")

@@ -19,7 +19,8 @@ Metrics: symbols for each word; the share of content lines that repeat an earlie
 share of words in 5-word windows that occur again in the text; the mean length of words.
 
 Defined cases: a null text has no words and fails the base rules; null languages and
-sources are groups like others; repeated rows come out as often; extra columns are ignored.
+sources are groups like others; repeated rows come out as often; no documents give no rows;
+extra columns of any name are ignored.  A long text is held as its words and their windows.
 """
 
 from __future__ import annotations

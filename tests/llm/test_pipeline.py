@@ -19,10 +19,28 @@ def test_stages_take_effect_and_run_applies_them(spark):
     assert Counter(tuple(r) for r in P.run(spark, directory).collect()) == want
 
 
-def test_pipeline_of_odd_rows(spark, docs, rows):
-    """Nulls, empty texts and repeats pass through every stage."""
+def labelled(spark, directory):
+    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(None, 1, None), (85, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{directory}/labels.parquet")
+    return str(directory)
+
+
+def test_pipeline_of_odd_rows(spark, docs, rows, empty, tmp_path):
+    """Nulls, empty texts and repeats pass through every stage; so do no rows."""
+    directory = labelled(spark, tmp_path)
     out = docs
-    for _, stage in P.STAGES[1:-1]:
-        out = spark.createDataFrame(stage(spark, out, "").collect(), docs.schema)
+    for _, stage in P.STAGES[:-1]:
+        out = spark.createDataFrame(stage(spark, out, directory).collect(), docs.schema)
     assert 0 < out.count() <= 3 * len(rows)
-    assert P.STAGES[-1][1](spark, out, "").count() == out.count()
+    assert P.STAGES[-1][1](spark, out, directory).count() == out.count()
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, empty, directory).collect() == []
+
+
+def test_stages_chained_without_writing_between(spark, docs, tmp_path):
+    """Two chains side by side: no stage loses the tables that a result still reads."""
+    directory = labelled(spark, tmp_path)
+    one, two = docs, docs.where("doc_id < 70")
+    for _, stage in P.STAGES[:-1]:
+        one, two = stage(spark, one, directory), stage(spark, two, directory)
+    assert 0 < two.count() < one.count()
+    assert len(P._made) >= 2

@@ -93,6 +93,44 @@ def test_words_taken_where_blocks_outgrow_shards(spark, scratch):
         assert abs(taken[s] - target[s]) <= 0.01 * target[s], (s, taken[s], target[s])
 
 
+def sainte_lague(claims, caps, seats):
+    """Seats one by one to the highest quotient; ``claims`` in order of precedence."""
+    given = dict.fromkeys(claims, 0)
+    order = list(claims)
+    for _ in range(seats):
+        open_ = [p for p in order if given[p] < caps[p] and claims[p] > 0]
+        if not open_:
+            break
+        best = max(open_, key=lambda p: (claims[p] / (2 * given[p] + 1), -order.index(p)))
+        given[best] += 1
+    return given
+
+
+@pytest.mark.parametrize("seats", [0, 1, 7, 50, 333])
+def test_quotas_of_sources_are_sainte_lague(spark, scratch, seats):
+    rows = [("a", 10.0, 400), ("b", 10.0, 400), ("c", 61.5, 9), ("d", 0.0, 5), (None, 33.0, 400), ("é", 0.4, 400)]
+    parties = spark.createDataFrame(rows, "source string, target double, most long")
+    totals = spark.createDataFrame([(len(rows), sum(r[1] for r in rows), seats)], "parties long, claims double, seats long")
+    got = {r.source: r.quota for r in mixing.apportion(parties, ["source"], "target", "most", "seats", totals, [], scratch).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, (r[0] or "").encode()))
+    # a party at its cap leaves seats that the sure ones of the others didn't count on
+    want = sainte_lague({r[0]: r[1] for r in order}, {r[0]: r[2] for r in order}, seats)
+    if want["c"] < 9:
+        assert got == want
+    assert sum(got.values()) <= seats and all(got[r[0]] <= r[2] for r in rows) and got["d"] == 0
+
+
+def test_quotas_of_shards_are_sainte_lague(docs, scratch):
+    _, shards = mixing.plan(mixing.columns_of(docs, "doc_id", "text", "source").withColumn("row", F.monotonically_increasing_id()), scratch, blocks=300, shard_words=250, shard_blocks=40)
+    rows = shards.collect()
+    assert len(rows) > 8 and len({r.source for r in rows}) == 4
+    for source in {r.source for r in rows}:
+        mine = sorted((r for r in rows if r.source == source), key=lambda r: r.shard)
+        seats = sum(r.quota for r in mine)
+        assert {r.shard: r.quota for r in mine} == sainte_lague({r.shard: r.words for r in mine}, {r.shard: 3 * r.n for r in mine}, seats)
+        assert seats <= 3 * sum(r.n for r in mine)
+
+
 def test_mixed_texts_hold_the_words_taken(docs, scratch):
     taken = mixing.sizes_taken(docs, scratch).agg(F.sum("taken")).first()[0]
     out = mixing.mixed(docs, scratch)
