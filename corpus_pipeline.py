@@ -8,6 +8,9 @@ each works on whatever its predecessor kept, null and empty values included.
 from __future__ import annotations
 
 import uuid
+import weakref
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,45 +19,65 @@ from quern.llm import bpe, line_dedup, mixing, near_copies, quality_model
 from quern.scratch import Scratch, checkpoint_root
 from quern.session import ship
 
-_scratch: dict[str, Scratch] = {}
+class _Made(NamedTuple):
+    """The intermediate tables of a stage that was built, and where it stood."""
 
+    scratch: Scratch
+    result: weakref.ref
+    sf_dir: str
+    place: int
 
-def _fresh(spark: SparkSession, stage: str) -> Scratch:
-    """Intermediate tables of a stage; those of the stages before it are done with and go."""
+
+_made: list[_Made] = []
+
+
+def _stage(spark: SparkSession, docs: DataFrame, sf_dir: str, place: int, make: Callable[[Scratch], DataFrame]) -> DataFrame:
+    """What ``make`` returns, for the stage at ``place``.
+
+    Tables of a stage go when neither ``docs`` nor any result that is still held reads them; held or
+    not, when a later stage of the same ``sf_dir`` begins with a table that was written since.  So
+    two pipelines over one directory run one after the other, or without writing in between.
+    """
     ship(spark)
-    for name in list(_scratch):
-        _scratch.pop(name).close()
-    _scratch[stage] = Scratch(spark)
-    return _scratch[stage]
+    held = [docs, *(df for df in (made.result() for made in _made) if df is not None)]
+    written = not any(made.scratch.read_by(docs) for made in _made)
+    for made in list(_made):
+        over = written and made.sf_dir == sf_dir and made.place < place
+        if over or made.result() is None and not made.scratch.read_by(*held):
+            made.scratch.close()
+            _made.remove(made)
+    scratch = Scratch(spark)
+    out = make(scratch)
+    _made.append(_Made(scratch, weakref.ref(out), sf_dir, place))
+    return out
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_model.filtered(docs, labels, _fresh(spark, "quality"))
+    return _stage(spark, docs, sf_dir, 0, lambda scratch: quality_model.filtered(docs, labels, scratch))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of repeated three-line windows; n_chars follows."""
-    out = line_dedup.dedup_lines(docs, _fresh(spark, "lines")).drop("__lines")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return _stage(spark, docs, sf_dir, 1, lambda scratch: line_dedup.dedup_lines(docs, scratch).withColumn("n_chars", n_chars))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles are alike by 0.8 or more."""
-    return near_copies.one_of_each(docs, _fresh(spark, "near"))
+    return _stage(spark, docs, sf_dir, 2, lambda scratch: near_copies.one_of_each(docs, scratch))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and as much of them, as the target weights take."""
-    return mixing.mixed(docs, _fresh(spark, "mix"))
+    return _stage(spark, docs, sf_dir, 3, lambda scratch: mixing.mixed(docs, scratch))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts, and hashes of the ids and of the text they decode to."""
-    _fresh(spark, "bpe")
     # stages before leave executors with less memory than a run of the encoder alone
-    return bpe.digests(docs, known_words=100_000)
+    return _stage(spark, docs, sf_dir, 4, lambda scratch: bpe.digests(docs, known_words=100_000))
 
 
 STAGES = [
