@@ -1,4 +1,9 @@
-"""Aggregations: grouped templates, inverted indexes, outliers among peers, summaries, retrieval."""
+"""Aggregations: grouped templates, inverted indexes, outliers among peers, summaries, retrieval.
+
+Defined cases: a null group is a group, but meets nothing where groups are joined (outliers, scores);
+null values don't count as values; repeated rows each count, but in sets and distinct pairs; ties
+follow the order given and must be broken by it; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -53,9 +58,9 @@ def summary(df: DataFrame, by: list[str], score: str) -> DataFrame:
     return grouped.select(facet.alias("facet"), value.alias("value"), "n", "top", "mean")
 
 
-def idf(tokens: DataFrame, doc: str, token: str) -> DataFrame:
-    """token and idf = ln((N + 1) / (df + 0.5)) over distinct (doc, token)."""
-    distinct = tokens.select(doc, token).distinct()
+def idf(tokens: DataFrame, doc: str, token: str, unique: bool = False) -> DataFrame:
+    """token and idf = ln((N + 1) / (df + 0.5)) over distinct (doc, token); ``unique`` says that no pair repeats, which saves a shuffle of them."""
+    distinct = tokens.select(doc, token) if unique else tokens.select(doc, token).distinct()
     n = distinct.select(doc).distinct().count()
     return distinct.groupBy(token).agg(F.log(F.lit(n + 1) / (F.count("*") + 0.5)).alias("idf"))
 

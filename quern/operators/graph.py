@@ -3,6 +3,9 @@
 Each round joins only the states that changed to the edges, keeps the best state of each
 node by a struct minimum, and is cut to a table in the shared folder, so that lineage
 doesn't grow.  Rounds are bounded by the hop limit; the loop ends early when nothing changes.
+
+Defined cases: a null node has no edges; edges and seeds that repeat count once; a cycle ends as its
+states don't improve; no seeds reach nothing.
 """
 
 from __future__ import annotations
@@ -45,15 +48,17 @@ def two_deep(edges: DataFrame, caller: str, callee: str) -> DataFrame:
 
 
 def reached_sinks(sinks: DataFrame, states: DataFrame, roots: str, skipped: tuple[str, ...]) -> DataFrame:
-    """Sinks with the best state among their roots (``key``, root); sinks without one drop.
+    """Sinks with the best state among their roots (``key``, root); sinks without one drop, repeated ones come out as often.
 
     ``sinks``: sink, key and the array ``roots``; ``states``: key, root, state.  On equal rank a
     parameter root is preferred.
     """
-    each = sinks.select("*", F.explode(roots).alias("root")).where(~F.col("root").isin(*skipped) & ~F.col("root").rlike("^(varg|vret):"))
+    places = sinks.select("key", roots).distinct()
+    each = places.select("*", F.explode(roots).alias("root")).where(~F.col("root").isin(*skipped) & ~F.col("root").rlike("^(varg|vret):"))
     met = each.join(states, ["key", "root"])
     rank = F.struct(F.col("state.origin"), F.col("state.dispatch"), F.col("state.hops"), (~F.startswith("root", F.lit("param:"))).alias("other"), "root")
-    return met.groupBy(*[c for c in sinks.columns]).agg(F.min(F.struct(rank.alias("rank"), "state", "root")).alias("b")).select(*sinks.columns, "b.state", F.col("b.root").alias("by_root"))
+    best = met.groupBy("key", roots).agg(F.min(F.struct(rank.alias("rank"), "state", "root")).alias("__b"))
+    return sinks.join(best, ["key", roots]).select(*sinks.columns, "__b.state", F.col("__b.root").alias("by_root"))
 
 
 def weakest_if_all(candidates: DataFrame, key: list[str], total: Column, state: str) -> DataFrame:

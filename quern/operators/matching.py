@@ -1,35 +1,43 @@
-"""Prefix, substring and multi-strategy joins against small dimension tables."""
+"""Prefix, substring and multi-strategy joins against dimension tables.
+
+Substring patterns have no equality to join by: their plans loop over the pattern table, which is
+broadcast where it is small.
+
+Defined cases: a null text, path or key matches nothing; repeated rows each match; of ties the
+smallest rank, then pattern, holds; empty tables give empty results (or, for what must not match,
+all rows).  Columns that begin with two underscores are the module's own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pattern tables beyond this many rows are not for the broadcast plans of this module.
+#: Pattern tables beyond this many rows are not broadcast.
 MAX_PATTERNS = 10_000
 
 
 def bounded(patterns: DataFrame, limit: int = MAX_PATTERNS) -> DataFrame:
-    """``patterns`` for broadcasting, after a check of their number."""
-    if patterns.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} patterns")
-    return F.broadcast(patterns)
+    """``patterns`` hinted for broadcasting if they are few (checked); more of them Spark joins in pieces."""
+    return patterns if patterns.limit(limit + 1).count() > limit else F.broadcast(patterns)
 
 
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, path: str, prefix: str, separator: str = "/") -> DataFrame:
     """Each row with the longest prefix that equals ``path`` or is followed by ``separator`` there; rows without one drop.
 
-    A path has as many candidate prefixes as segments, so they are generated and joined by
-    equality, whatever the number of prefixes: no nested loop and nothing to broadcast.
+    A path has as many candidate prefixes as segments, so they are generated for each distinct
+    path and joined by equality, whatever the number of prefixes: no nested loop and nothing to
+    broadcast.  Rows that repeat come out as often; of prefixes that repeat, the largest other
+    columns count.
     """
-    parts = F.split(F.col(path), F.lit(rf"\Q{separator}\E"))
+    parts = F.split(F.col("__path"), F.lit(rf"\Q{separator}\E"))
     heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator))
-    keyed = rows.withColumn("__row", F.struct(*rows.columns))
-    long_ = keyed.select("__row", F.explode(heads).alias(prefix))
-    found = long_.join(prefixes, prefix)
+    paths = rows.select(F.col(path).alias("__path")).where(F.col(path).isNotNull()).distinct()
+    long_ = paths.select("__path", F.explode(heads).alias(prefix))
     extra = [c for c in prefixes.columns if c != prefix]
-    best = found.groupBy("__row").agg(F.max(F.struct(F.length(prefix).alias("n"), prefix, *extra)).alias("b"))
-    return best.select("__row.*", f"b.{prefix}", *[f"b.{c}" for c in extra])
+    best = long_.join(prefixes, prefix).groupBy("__path").agg(F.max(F.struct(F.length(prefix).alias("n"), prefix, *extra)).alias("__b"))
+    met = rows.join(best, F.col(path) == F.col("__path"))
+    return met.select(*rows.columns, f"__b.{prefix}", *[f"__b.{c}" for c in extra])
 
 
 def first_pattern(rows: DataFrame, patterns: DataFrame, key: list[str], text: str, pattern: str = "pattern", kind: str = "kind", rank: str = "rank", gate: Column | None = None) -> DataFrame:
@@ -91,7 +99,6 @@ def resolve_callees(sites: DataFrame, functions: DataFrame, max_candidates: int
     package = pick((F.col("pkg_dir") == F.col("f_dir")) & F.col("f_recv_type").isNull())
     method = pick((F.col("dir") == F.col("f_dir")) & (F.col("recv_type") == F.col("f_recv_type")))
     local = pick((F.col("dir") == F.col("f_dir")) & F.col("pkg_dir").isNull() & F.col("recv_type").isNull() & F.col("f_recv_type").isNull())
-    # a name shared by very many methods is counted before its rows are kept
     named = pick(F.col("dynamic") & F.col("f_recv_type").isNotNull())
     few = named.groupBy("site").agg(F.count_distinct("fid").alias("n"), F.count_distinct("signature").alias("k")).where((F.col("n") <= max_candidates) | (F.col("k") == 1)).select("site")
     named = named.join(few, "site", "left_semi")

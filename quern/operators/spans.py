@@ -3,6 +3,10 @@
 All take column names, so the same operator serves rule tables and any other data.  The
 group columns are always equi-join keys: Spark plans hash or sort-merge joins with the
 range as a residual condition, never a nested loop.
+
+Defined cases: a null group or position equals nothing, so its rows pair with none, protect
+nothing and stay unprotected; repeated rows each count; of ties the docstrings say which holds;
+empty tables give empty results.  Columns that begin with two underscores are the module's own.
 """
 
 from __future__ import annotations
@@ -60,18 +64,18 @@ def first_unprotected(events: DataFrame, group: list[str], pos: str, source: Col
 def snap(facts: DataFrame, anchors: DataFrame, group: list[str], pos: str, reach: int = 2, into: str = "snapped") -> DataFrame:
     """``facts`` with the nearest anchor's position within ``reach`` (ties: the smaller), else their own, in column ``into``.
 
-    Positions are bucketed by ``reach + 1`` so that even one very long group joins on small equi keys.
+    Facts and anchors are sorted together once up and once down, and each fact looks at the last
+    anchor before it in both: no pairs, and rows that repeat or have no position stay as they are.
     """
-    width = reach + 1
-    keyed = facts.withColumn("__id", F.monotonically_increasing_id())
-    # ids are read by one plan only: the nearest anchors are found and kept in the same pass
-    a = keyed.withColumn("__b", F.explode(F.sequence(F.floor(F.col(pos) / width) - 1, F.floor(F.col(pos) / width) + 1)))
-    b = anchors.select(*group, F.col(pos).alias("__at"), F.floor(F.col(pos) / width).alias("__b")).distinct()
-    met = a.join(b, [*group, "__b"], "left")
-    near = F.when(F.abs(F.col("__at") - F.col(pos)) <= reach, F.struct(F.abs(F.col("__at") - F.col(pos)).alias("d"), "__at"))
-    kept = [c for c in facts.columns]
-    best = met.groupBy("__id").agg(F.min(near).alias("__n"), *[F.first(c).alias(c) for c in kept])
-    return best.select(*kept, F.coalesce("__n.__at", pos).alias(into))
+    marks = anchors.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*group, pos]]))
+    rows = facts.select(*group, F.col(pos).alias("__p"), F.struct(*facts.columns).alias("__row"), F.lit(None).cast(facts.schema[pos].dataType).alias("__at"))
+    both = rows.unionByName(marks.select(*group, F.col(pos).alias("__p"), F.col(pos).cast(facts.schema[pos].dataType).alias("__at")).distinct(), allowMissingColumns=True)
+    frame = (Window.unboundedPreceding, Window.currentRow)  # rows of one position are peers
+    up, down = (Window.partitionBy(*group).orderBy(o).rangeBetween(*frame) for o in (F.col("__p").asc(), F.col("__p").desc()))
+    seen = both.withColumn("__low", F.max("__at").over(up)).withColumn("__high", F.min("__at").over(down)).where(F.col("__row").isNotNull())
+    below, above = F.col("__p") - F.col("__low"), F.col("__high") - F.col("__p")
+    near = F.when((below <= reach) & ((below <= above) | above.isNull()), F.col("__low")).when(above <= reach, F.col("__high")).otherwise(F.col("__p"))
+    return seen.select("__row.*", near.alias(into))
 
 
 def collapsed(findings: DataFrame, by: list[str], rank: list[Column]) -> DataFrame:
@@ -104,12 +108,20 @@ def latest_at(events: DataFrame, history: DataFrame, group: list[str], pos: str,
 
 
 def preceding_top(events: DataFrame, history: DataFrame, group: list[str], pos: str, k: int, event_key: list[str], order: list[str]) -> DataFrame:
-    """Up to ``k`` latest rows of ``history`` strictly before each event, numbered 1.. in ``nth``; ``order`` breaks ties."""
-    e, h = events.alias("e"), history.alias("h")
-    pairs = e.join(h, _on("e", "h", group) & (F.col(f"h.{pos}") < F.col(f"e.{pos}")))
-    kept = pairs.select(*[F.col(f"e.{c}").alias(c) for c in events.columns], *_prefixed("h", "prior_", history.columns, group))
-    by = Window.partitionBy(*event_key).orderBy(F.col(f"prior_{pos}").desc(), *[F.col(f"prior_{c}") for c in order])
-    return kept.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= k)
+    """Up to ``k`` latest rows of ``history`` strictly before each event, numbered 1.. in ``nth``; ``order`` breaks ties.
+
+    History is numbered in its group; an event counts the rows before it and meets the last ``k``
+    of them by number, so rows grow with ``k`` and not with the group.
+    """
+    numbered = history.where(F.col(pos).isNotNull()).withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(F.col(pos).asc(), *[F.col(c).desc() for c in order])))
+    rows = events.select(*group, F.col(pos).alias("__p"), F.lit(0).alias("__h"), F.struct(*events.columns).alias("__row"))
+    both = rows.unionByName(numbered.select(*group, F.col(pos).alias("__p"), F.lit(1).alias("__h")), allowMissingColumns=True)
+    running = Window.partitionBy(*group).orderBy("__p", "__h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = both.withColumn("__c", F.sum("__h").over(running)).where("__h = 0 and __c > 0")
+    wanted = counted.select("__row", "__c", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("__c")).cast("int"))).alias("nth"))
+    wanted = wanted.select("__row", "nth", *[F.col(f"__row.{g}").alias(g) for g in group], (F.col("__c") - F.col("nth") + 1).cast("int").alias("__rn"))
+    met = wanted.join(numbered.select(*group, "__rn", *[F.col(c).alias(f"prior_{c}") for c in history.columns if c not in group]), [*group, "__rn"])
+    return met.select("__row.*", *[f"prior_{c}" for c in history.columns if c not in group], "nth")
 
 
 def enclosing(points: DataFrame, ranges: DataFrame, group: list[str], pos: str, start: str, end: str) -> DataFrame:

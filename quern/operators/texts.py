@@ -1,4 +1,9 @@
-"""Operators over texts as tables of lines: diffs, blocks, calls, markers, units."""
+"""Operators over texts as tables of lines: diffs, blocks, calls, markers, units.
+
+Defined cases: a null text has no lines, an empty one a single empty line; lines are numbered
+from 1 and must not repeat a number; a null key meets no line; empty tables give empty results.
+Columns that begin with two underscores are the module's own.
+"""
 
 from __future__ import annotations
 
@@ -42,12 +47,16 @@ def function_blocks(lines: DataFrame, key: list[str], start: str = r"^func (?:\(
 
 
 def windows_around(lines: DataFrame, points: DataFrame, key: list[str], at: str, before: int, after: int) -> DataFrame:
-    """``points`` with text: the lines from ``before`` above to ``after`` below each.
+    """``points`` with text: the lines from ``before`` above to ``after`` below each; points without lines drop.
 
-    A point lists the line numbers it wants, so lines meet points by equality.
+    Each distinct place lists the line numbers it wants, so lines meet places by equality; points
+    that repeat come out as often.
     """
-    wanted = points.select("*", F.explode(F.sequence(F.greatest(F.col(at) - before, F.lit(1)), F.col(at) + after)).alias("n"))
-    return wanted.join(lines, [*key, "n"]).groupBy(*points.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    places = points.select(*key, at).distinct()
+    wanted = places.select("*", F.explode(F.sequence(F.greatest(F.col(at) - before, F.lit(1)), F.col(at) + after)).alias("n"))
+    found = wanted.join(lines.select(*key, "n", "line"), [*key, "n"]).groupBy(*key, at).agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("__l"))
+    found = found.select(*key, at, F.array_join(F.transform("__l", lambda x: x["line"]), "\n").alias("text"))
+    return points.join(found, [*key, at]).select(*points.columns, "text")
 
 
 def called_names(text: Column) -> Column:

@@ -157,13 +157,16 @@ def neighbours(edges: DataFrame, key: str, other: str, order: list[str], cap: in
 
 
 def callers_in_text(lines: DataFrame, names: DataFrame, cap: int = 12) -> DataFrame:
-    """name, file, n, line: up to ``cap`` places where a name is called, outside tests, vendored code and declarations.
+    """name, file, n, line, truncated: up to ``cap`` places where a name is called, outside tests, vendored code and declarations.
 
-    Lines are split into the words before a parenthesis, which meet names by equality.
+    Lines are split into the words before a parenthesis, which meet names by equality.  ``truncated``
+    tells whether there are more places.
     """
     called = F.array_distinct(F.regexp_extract_all("line", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1)))
     words = lines.where(~is_test_path(F.col("file")) & ~F.col("file").rlike(r"(^|/)vendor/") & ~F.col("line").rlike(r"^\s*func\b")).select("file", "n", "line", F.explode(called).alias("name"))
-    return aggregates.best_of_each(words.join(names.select("name").distinct(), "name"), ["name"], [F.col("file"), F.col("n")], cap).drop("place")
+    by = Window.partitionBy("name")
+    met = words.join(names.select("name").distinct(), "name").withColumns({"__place": F.row_number().over(by.orderBy("file", "n")), "truncated": F.count("*").over(by) > cap})
+    return met.where(F.col("__place") <= cap).drop("__place")
 
 
 def batches(work: DataFrame, by: list[str], order: list[Column], size: int) -> DataFrame:

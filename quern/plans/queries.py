@@ -182,20 +182,6 @@ def near_lines(spark, directory):
     return spans.near_any(of_kind(lines, "A"), of_kind(lines, "N"), ["grp"], "pos")
 
 
-@query(f"""WITH {_LINES_SQL},
-F AS (SELECT grp, pos, kind, status FROM L)
-SELECT grp, pos, kind FROM F a WHERE kind = 'N' UNION ALL
-SELECT grp, pos, kind FROM F a WHERE kind = 'R' AND NOT EXISTS (SELECT 1 FROM F b WHERE b.kind = 'N' AND b.grp = a.grp AND b.status = a.status) UNION ALL
-SELECT grp, pos, kind FROM F a WHERE kind = 'A' AND NOT EXISTS (SELECT 1 FROM F b WHERE b.grp = a.grp AND (b.kind = 'N' OR (b.kind = 'R' AND NOT EXISTS (
-    SELECT 1 FROM F c WHERE c.kind = 'N' AND c.grp = b.grp AND c.status = b.status))))""")
-def rule_dedup_ordered(spark, directory):
-    """R yields to N of its group and status, then A to whatever is left of its group; in this order."""
-    lines = order_lines(spark, directory).select("grp", "pos", "kind", "status")
-    n = lines.where("kind = 'N'")
-    r = lines.where("kind = 'R'").join(n.select("grp", "status").distinct(), ["grp", "status"], "left_anti").select(*lines.columns)
-    others = n.unionByName(r)
-    a = lines.where("kind = 'A'").join(others.select("grp").distinct(), "grp", "left_anti").select(*lines.columns)
-    return others.unionByName(a).select("grp", "pos", "kind")
 
 
 # -- prefixes, patterns, resolution ----------------------------------------------------------------
@@ -313,15 +299,6 @@ def containment(spark, directory) -> DataFrame:
     return edges.withColumn("label", F.col("caller"))
 
 
-@query(f"""WITH RECURSIVE {_EDGES_SQL},
-R AS (SELECT concat('r', r_regionkey) AS node, r_regionkey % 3 AS origin, false AS dispatch, 0 AS hops FROM region WHERE r_regionkey < 4
-UNION ALL SELECT G.b, R.origin, R.dispatch OR G.d, R.hops + 1 FROM R JOIN G ON G.a = R.node WHERE R.hops < 3)
-SELECT node, CAST(origin AS INTEGER) AS origin, dispatch, CAST(hops AS INTEGER) AS hops FROM R""")
-def reach_bounded(spark, directory):
-    """What the regions reach in three hops, with the best origin, dispatch and hops."""
-    seeds_ = table(spark, directory, "region").where("r_regionkey < 4").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("node"), (F.col("r_regionkey") % 3).cast("int").alias("origin"), F.lit("seed").alias("label"))
-    out = graph.reach(containment(spark, directory), seeds_, 3, Scratch(spark))
-    return out.select("node", "state.origin", "state.dispatch", "state.hops")
 
 
 @query(f"""WITH {_EDGES_SQL}
@@ -445,7 +422,7 @@ def _tokens(df: DataFrame, key: str) -> DataFrame:
 SELECT token, round(ln((n + 1) / (count(*) + 0.5)), 6) AS idf FROM D, N GROUP BY token, n""")
 def token_idf(spark, directory):
     """Inverse document frequencies of the words of all documents."""
-    return aggregates.idf(_tokens(table(spark, directory, "documents"), "doc_id"), "doc_id", "token").select("token", F.round("idf", 6).alias("idf"))
+    return aggregates.idf(_tokens(table(spark, directory, "documents"), "doc_id"), "doc_id", "token", unique=True).select("token", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""WITH {_TOKENS_SQL}, W AS (SELECT token, ln((SELECT count(DISTINCT item_id) FROM B) + 1) - ln(count(*) + 0.5) AS idf FROM B GROUP BY token),
@@ -454,19 +431,12 @@ SELECT item_id, other, shared, score FROM (SELECT *, row_number() OVER (PARTITIO
 def token_idf_topk(spark, directory):
     """The three benchmark items nearest to each by weighted shared words."""
     b = _tokens(table(spark, directory, "benchmark"), "item_id")
-    weights = aggregates.idf(b, "item_id", "token")
+    weights = aggregates.idf(b, "item_id", "token", unique=True)
     pairs = aggregates.overlap_scores(b, b.withColumnRenamed("item_id", "other"), "token", "item_id", "other", weights).where("item_id <> other")
     pairs = pairs.withColumn("score", F.round("score", 4))
     return aggregates.best_of_each(pairs, ["item_id"], [F.desc("score"), F.col("other")], 3).select("item_id", "other", "shared", "score")
 
 
-@query("""WITH I AS (SELECT l_orderkey AS o, list(DISTINCT l_suppkey % 10) AS x, count(DISTINCT l_partkey % 10) AS k, list(DISTINCT l_partkey % 10) AS y FROM lineitem GROUP BY l_orderkey)
-SELECT o AS l_orderkey, CAST(len(list_intersect(x, y)) AS INTEGER) AS shared, round(0.5 * 0.5 + 0.5 * len(list_intersect(x, y)) / greatest(1, len(y)), 6) AS score FROM I""")
-def set_overlap_score(spark, directory):
-    """Half a fixed confidence, half the share of one set that another has."""
-    sets = table(spark, directory, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_suppkey") % 10).alias("x"), F.collect_set(F.col("l_partkey") % 10).alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return sets.select("l_orderkey", shared.alias("shared"), F.round(0.5 * 0.5 + 0.5 * shared / F.greatest(F.size("y"), F.lit(1)), 6).alias("score"))
 
 
 # -- scores -------------------------------------------------------------------------------------------
@@ -518,28 +488,11 @@ def confidence_score(spark, directory):
     return out.withColumn("level", confidence.level(F.col("confidence")))
 
 
-@query("""WITH U AS (SELECT user_id, bool_or(event_type = 'view') AS s, bool_or(event_type = 'error') AS k, count(*) FILTER (event_type = 'purchase' AND value > 50) AS m, bool_or(value > 200) AS h FROM events GROUP BY user_id)
-SELECT user_id, CAST(CASE WHEN s AND k THEN 3 WHEN k THEN 11 WHEN s THEN 1 ELSE 0 END + 2 * m + CASE WHEN h THEN 2 ELSE 0 END AS BIGINT) AS score FROM U""")
-def priority_score(spark, directory):
-    """C14, Q1: users scored by what they have: paired facts 3, a dangerous one alone 11, matches 2 each."""
-    is_ = lambda t: F.bool_or(F.col("event_type") == t)
-    u = table(spark, directory, "events").groupBy("user_id").agg(is_("view").alias("s"), is_("error").alias("k"), F.count_if((F.col("event_type") == "purchase") & (F.col("value") > 50)).alias("m"), F.bool_or(F.col("value") > 200).alias("h"))
-    flow = F.when(F.col("s") & F.col("k"), 3).when(F.col("k"), 11).when(F.col("s"), 1).otherwise(0)
-    return u.select("user_id", (flow + 2 * F.col("m") + F.when(F.col("h"), 2).otherwise(0)).cast("long").alias("score"))
 
 
 # -- verdicts, state, texts -------------------------------------------------------------------------
 
-@query("""WITH A AS (SELECT user_id, arg_max(value, event_id) FILTER (event_type = 'view') AS b, arg_max(value, event_id) FILTER (event_type = 'purchase') AS m, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY user_id)
-SELECT user_id, CASE WHEN e > 20 THEN 'timeout' WHEN b IS NULL OR m IS NULL THEN 'markers_missing' WHEN b = m THEN 'arms_indistinguishable' WHEN m > 30 AND NOT b > 30 THEN 'bug_if_holds_on_malicious_only' WHEN m > 30 AND b > 30 THEN 'benign_also_bug' ELSE 'no_bug_observed' END AS rule FROM A""")
-def verdict_rules(spark, directory):
-    """V7: the ordered outcomes over a user's last view (benign) and purchase (malicious)."""
-    last = lambda t: F.max_by(F.when(F.col("event_type") == t, F.col("value")), F.when(F.col("event_type") == t, F.col("event_id")))
-    a = table(spark, directory, "events").groupBy("user_id").agg(last("view").alias("b"), last("purchase").alias("m"), F.count_if(F.col("event_type") == "error").alias("e"))
-    holds = lambda c: scalars.compares(F.col(c), F.lit(">"), F.lit(30.0))
-    rule = F.when(F.col("e") > 20, "timeout").when(F.col("b").isNull() | F.col("m").isNull(), "markers_missing").when(F.col("b") == F.col("m"), "arms_indistinguishable")
-    rule = rule.when(holds("m") & ~holds("b"), "bug_if_holds_on_malicious_only").when(holds("m") & holds("b"), "benign_also_bug").otherwise("no_bug_observed")
-    return a.select("user_id", rule.alias("rule"))
+
 
 
 @query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) > 50 AS holds FROM events""")
@@ -570,16 +523,6 @@ def call_budget(spark, directory):
     return incremental.budgeted(orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "within", "turn")
 
 
-@query("""WITH N AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id)
-SELECT l.doc_id, list_filter([CASE WHEN n > 1 THEN 'duplicate' END, CASE WHEN d.doc_id IS NULL THEN 'unknown' END, CASE WHEN l.quality NOT IN (0, 1) THEN 'value' END, CASE WHEN d.n_chars < 200 THEN 'short' END], lambda x: x IS NOT NULL) AS errors
-FROM labels l JOIN N ON N.doc_id = l.doc_id LEFT JOIN documents d ON d.doc_id = l.doc_id""")
-def fact_schema_validate(spark, directory):
-    """labels checked for duplicates, unknown ids and values; a list of faults each."""
-    labels, docs = table(spark, directory, "labels"), table(spark, directory, "documents").select("doc_id", "n_chars")
-    counted = labels.groupBy("doc_id").agg(F.count("*").alias("n"))
-    j = labels.join(counted, "doc_id").join(docs.withColumn("known", F.lit(True)), "doc_id", "left")
-    errors = F.array_compact(F.array(F.when(F.col("n") > 1, "duplicate"), F.when(F.col("known").isNull(), "unknown"), F.when(~F.col("quality").isin(0, 1), "value"), F.when(F.col("n_chars") < 200, "short")))
-    return j.select("doc_id", errors.alias("errors"))
 
 
 @query("""SELECT doc_id, concat(lang, '/f', CAST(doc_id AS VARCHAR), '.go') AS file, CAST(n_chars AS INTEGER) AS start, concat('func ', source) AS header FROM documents""")
@@ -785,11 +728,11 @@ def schedule_round_robin(spark, directory):
 
 @query("""WITH L AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 W AS (SELECT doc_id, n, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS text FROM L)
-SELECT doc_id, CAST(n AS INTEGER) AS at, sha256(text) AS text FROM W WHERE n = 3""")
+SELECT doc_id, CAST(n AS INTEGER) AS at, sha256(text) AS text FROM W WHERE n % 3 = 0 UNION ALL SELECT doc_id, CAST(n AS INTEGER), sha256(text) FROM W WHERE n = 3""")
 def line_windows(spark, directory):
-    """M5: the lines around the third of each text, one before and two after."""
+    """M5: the lines around every third of each text, one before and two after; the first of them is asked for twice."""
     lines = texts.lines_of(table(spark, directory, "documents"), ["doc_id"])
-    points = lines.where("n = 3").select("doc_id", F.col("n").alias("at"))
+    points = lines.where("n % 3 = 0").unionByName(lines.where("n = 3")).select("doc_id", F.col("n").alias("at"))
     return texts.windows_around(lines, points, ["doc_id"], "at", 1, 2).select("doc_id", "at", F.sha2("text", 256).alias("text"))
 
 
@@ -801,3 +744,6 @@ def cvss_faults(spark, directory):
     text = F.when(case == 0, v).when(case == 1, F.regexp_replace(v, "/A:H", "")).when(case == 2, F.regexp_replace(v, "3.1", "4.0")).when(case == 3, F.regexp_replace(v, "UI:N", "UI:Q")).when(case == 4, F.concat(v, F.lit("/AV:L"))).otherwise(F.concat(v, F.lit("/ZZ:L")))
     c = table(spark, directory, "customer").select("c_custkey", text.alias("v"))
     return c.select("c_custkey", cvss.parse_vector(F.col("v"))[1].alias("error"))
+
+
+from quern.plans import fact_queries  # noqa: E402,F401  registers its queries here

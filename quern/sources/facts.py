@@ -6,7 +6,7 @@ null and empty lists are one: children simply have no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _POINT = "STRUCT<line:INT, type:STRING, category:STRING, pattern:STRING>"
@@ -117,9 +117,10 @@ def index_tables(index: DataFrame) -> dict[str, DataFrame]:
 
 
 def modules_of(texts: DataFrame) -> DataFrame:
-    """repo, module and rel_dir of go.mod files (path, text), longest module first within a repository."""
+    """repo, module, rel_dir and place (from 1 in a repository: longest module first) of go.mod files (path, text)."""
     found = texts.select("repo", F.regexp_extract("text", r"(?m)^module\s+\"?([^\s\"]+)", 1).alias("module"), F.regexp_extract("path", r"^(.*)/go\.mod$", 1).alias("rel_dir"))
-    return found.where("module <> ''")
+    order = Window.partitionBy("repo").orderBy(F.length("module").desc(), "module", "rel_dir")
+    return found.where("module <> ''").withColumn("place", F.row_number().over(order))
 
 
 def findings_of(reports: DataFrame) -> DataFrame:

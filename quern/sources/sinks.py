@@ -42,7 +42,9 @@ def summary_csv(rows: DataFrame, path: str) -> None:
 
 
 def markdown(rows: DataFrame, columns: list[str], order: list[str], limit: int = 1000) -> str:
-    """A Markdown table of the first ``limit`` rows, for people to read."""
+    """A Markdown table of the first ``limit`` rows, for people to read; a last line says how many more there are."""
     head = f"| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
     cells = rows.orderBy(*order).limit(limit).select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), F.lit(" |")).alias("r"))
-    return head + "\n".join(r.r for r in cells.collect()) + "\n"
+    shown = [r.r for r in cells.collect()]
+    more = rows.count() - len(shown) if len(shown) == limit else 0
+    return head + "\n".join(shown) + "\n" + (f"\n{more} more rows\n" if more else "")
