@@ -1,15 +1,18 @@
 """The rules on small fact tables with known outcomes."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quern.plans import rules as R
+from quern.plans import seeds
 
 POINTS = "function string, kind string, ord int, line int, type string, category string, pattern string"
 INPUTS = "function string, ord int, line int, origin string, desc string"
 SINKS = "function string, ord int, line int, kind string, desc string"
 CHECKS = "function string, ord int, line int, category string, desc string"
-F1 = "ctx.go:save"
+F1 = "shop/basket.go:Basket.Store"
 
 
 def facts(spark, sources=(), sinks=(), sanitizers=(), inputs=(), model_sinks=(), checks=(), f=F1):
@@ -31,57 +34,73 @@ def spans(spark, rules="v2", extracted=True, check_lines=None, callee=None, reta
     return [(r.category, r.source_line, r.sink_line) for r in out.orderBy("source_line", "sink_line", "category").collect()]
 
 
-HTTP, WRITE = [(42, "http_request")], [(88, "file_write")]
+HTTP, WRITE = [(7, "http_request")], [(19, "file_write")]
+
+
+def by_hand(sources, sinks, checks, generic=True):
+    """The span rule of one function over all pairs: (category, source line, sink line)."""
+    open_ = []
+    for s, source in sources:
+        for k, sink in sinks:
+            if s == k or k < s <= k + 2 or (not generic and sink in seeds.GENERIC_SINKS):
+                continue
+            for category, (of_source, of_sink) in seeds.CATEGORY_HINTS.items():
+                fits = source in of_source and (not of_sink or sink in of_sink)
+                if fits and (generic or of_sink) and not any(c == category and min(s, k) < n < max(s, k) for n, c in checks):
+                    open_.append((category, s, k))
+    out = set()
+    for category in {c for c, _, _ in open_}:
+        mine = [(s, k) for c, s, k in open_ if c == category]
+        if seeds.CATEGORY_HINTS[category][1]:
+            out |= {(category, min(s for s, at in mine if at == k), k) for _, k in mine}
+        else:
+            out.add((category, *min(mine, key=lambda x: (-abs(x[0] - x[1]), x))))
+    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_spans_are_all_pairs_by_hand(spark, seed):
+    rnd = random.Random(seed)
+    lines = rnd.sample(range(1, 40), 14)
+    kinds = sorted({k for _, ks in seeds.CATEGORY_HINTS.values() for k in ks})
+    sources = [(n, rnd.choice(["http_request", "read", "json_decode", "channel_recv"])) for n in lines[:4]]
+    sinks = [(n, rnd.choice(kinds)) for n in lines[4:8]]
+    checks = [(n, rnd.choice(["path_validation", "input_sanitization", "access_control", "bounds_check"])) for n in lines[8:]]
+    for rules, generic in (("v2", True), ("v2,F3", False)):
+        assert spans(spark, rules, sources=sources, sinks=sinks, sanitizers=checks) == by_hand(sources, sinks, checks, generic)
 
 
 def test_facts_merge_and_snap(spark):
-    t = facts(spark, sources=HTTP, sinks=WRITE, sanitizers=[(50, "path_validation")], inputs=[(41, "network"), (20, "network"), (5, "internal"), (0, "network")], model_sinks=[(90, "file_write")], checks=[(52, "path_validation")])
+    t = facts(spark, sources=HTTP, sinks=WRITE, sanitizers=[(11, "path_validation")], inputs=[(9, "network"), (15, "network"), (4, "internal"), (0, "file")], model_sinks=[(18, "file_write"), (30, "log")], checks=[(13, "path_validation"), (16, "path_validation")])
     lines = lambda df: sorted(r.line for r in df.collect())
-    assert lines(R.merged_sources(t["points"], t["inputs"])) == [20, 42]
-    assert lines(R.merged_sinks(t["points"], t["sinks"], R.Rules())) == [88]
-    assert lines(R.merged_checks(t["points"], t["checks"], None, None, R.Rules())) == [50]
-    desc = {r.line: r.desc for r in R.merged_sources(t["points"], t["inputs"]).collect()}
-    assert desc == {20: "in", 42: "in"}
+    assert lines(R.merged_sources(t["points"], t["inputs"])) == [7, 15]
+    assert lines(R.merged_sinks(t["points"], t["sinks"], R.Rules())) == [19, 30]
+    assert lines(R.merged_checks(t["points"], t["checks"], None, None, R.Rules())) == [11, 16]
+    assert {r.line: r.desc for r in R.merged_sources(t["points"], t["inputs"]).collect()} == {7: "in", 15: "in"}
 
 
-def test_checks_inside_a_span_protect(spark):
+def test_ends_drift_and_extraction(spark):
     kw = dict(sources=HTTP, sinks=WRITE)
-    other = ["access_control", "identity_verification", "origin_validation"]
-    assert [c for c, _, _ in spans(spark, checks=[(50, "path_validation")], **kw)] == other
-    assert "path_validation" in [c for c, _, _ in spans(spark, **kw)]
-    assert "path_validation" in [c for c, _, _ in spans(spark, checks=[(95, "path_validation")], **kw)]
-    for end in (42, 88):
-        assert "path_validation" in [c for c, _, _ in spans(spark, checks=[(end, "path_validation")], **kw)]
+    has = lambda **more: "path_validation" in [c for c, _, _ in spans(spark, **kw, **more)]
+    assert has() and not has(checks=[(12, "path_validation")]) and has(checks=[(25, "path_validation")])
+    assert has(checks=[(7, "path_validation")]) and has(checks=[(19, "path_validation")])  # the ends don't protect
     assert spans(spark, extracted=False, **kw) == []
+    assert spans(spark, sources=[(22, "http_request")], sinks=[(21, "file_write")]) == [] and spans(spark, sources=[(24, "http_request")], sinks=[(21, "file_write")])
 
 
-def test_collapse(spark):
-    got = spans(spark, sources=[(10, "http_request"), (42, "http_request")], sinks=[(88, "file_write"), (120, "file_write")])
-    assert [c for c, _, _ in got] == ["path_validation", "access_control", "identity_verification", "origin_validation", "path_validation"]
-    assert {(s, k) for c, s, k in got if c == "path_validation"} == {(10, 88), (10, 120)}
-    assert [(s, k) for c, s, k in got if c == "access_control"] == [(10, 120)]
-
-
-def test_drift(spark):
-    assert spans(spark, sources=[(943, "http_request")], sinks=[(942, "file_write")]) == []
-    assert spans(spark, sources=[(947, "http_request")], sinks=[(941, "file_write")])
-
-
-def test_generic_sinks_shapes_and_model_checks(spark):
-    assert spans(spark, "v2,F3", sources=HTTP, sinks=[(88, "write")]) == []
-    assert [c for c, _, _ in spans(spark, "v2,F3", sources=HTTP, sinks=WRITE)] == ["path_validation"]
-    assert spans(spark, "v2,X2,F3", sources=HTTP, model_sinks=[(70, "redirect")]) == [("origin_validation", 42, 70)]
-    near = spark.createDataFrame([(F1, 60)], "function string, line int")
+def test_shapes_and_model_checks(spark):
+    assert spans(spark, "v2,X2,F3", sources=HTTP, model_sinks=[(16, "redirect")]) == [("origin_validation", 7, 16)]
+    near = spark.createDataFrame([(F1, 14)], "function string, line int")
     kw = dict(sources=HTTP, sinks=WRITE)
-    assert "path_validation" not in [c for c, _, _ in spans(spark, "v2,F4", check_lines=near, checks=[(61, "path_validation")], **kw)]
-    assert "path_validation" in [c for c, _, _ in spans(spark, "v2,F4", check_lines=near, checks=[(64, "path_validation")], **kw)]
-    callee = spark.createDataFrame([(F1, 60, "path_validation", "call")], "function string, line int, category string, desc string")
+    assert "path_validation" not in [c for c, _, _ in spans(spark, "v2,F4", check_lines=near, checks=[(13, "path_validation")], **kw)]
+    assert "path_validation" in [c for c, _, _ in spans(spark, "v2,F4", check_lines=near, checks=[(10, "path_validation")], **kw)]
+    callee = spark.createDataFrame([(F1, 14, "path_validation", "call")], "function string, line int, category string, desc string")
     assert "path_validation" not in [c for c, _, _ in spans(spark, "v2,X3", callee=callee, **kw)]
 
 
 def test_retain_keeps_protected_spans(spark):
-    got = spans(spark, retain=True, extracted=False, sources=HTTP, sinks=WRITE, checks=[(50, "path_validation")])
-    assert ("path_validation", 42, 88) in got
+    got = spans(spark, retain=True, extracted=False, sources=HTTP, sinks=WRITE, checks=[(12, "path_validation")])
+    assert ("path_validation", 7, 19) in got
 
 
 def test_unknown_rules_are_refused():
@@ -95,7 +114,7 @@ def test_binding_names_and_evidence(spark):
     templates = spark.createDataFrame([("tpl_x", 1, "other", ["o"]), ("tpl_q", 3, "path_validation", ["late"]), ("tpl_p", 2, "path_validation", ["path_traversal"])], "template_id string, rank int, category string, pattern_names array<string>")
     got = {r.category: r for r in R.bound(out, templates).collect()}
     assert (got["path_validation"].template_id, got["path_validation"].pattern_name) == ("tpl_p", "path_traversal")
-    assert got["path_validation"].evidence == "L42 http_request → L88 file_write，跨度内无 path_validation 检查"
+    assert got["path_validation"].evidence == "L7 http_request → L19 file_write，跨度内无 path_validation 检查"
     assert (got["access_control"].template_id, got["access_control"].pattern_name) == ("", "access_control_via_file_write")
 
 
@@ -202,8 +221,8 @@ def test_scored_findings_end_to_end(spark):
     out = R.span_findings(R.merged_sources(t["points"], t["inputs"]), R.merged_sinks(t["points"], t["sinks"], rules), checks, t["extraction"], rules)
     templates = spark.createDataFrame([("tpl_p", 1, "path_validation", ["path_traversal"])], "template_id string, rank int, category string, pattern_names array<string>")
     found = R.bound(R.ordered_dedup(out), templates)
-    flows = spark.createDataFrame([(F1, ["http_request"], ["file_write"], [42, 88], [42], [])], "function string, source_types array<string>, sink_types array<string>, lines array<int>, source_lines array<int>, checks array<struct<category:string,line:int>>")
-    sources = spark.createDataFrame([(F1, "\n" * 60, 40)], "function string, source string, start_line int")
+    flows = spark.createDataFrame([(F1, ["http_request"], ["file_write"], [7, 19], [7], [])], "function string, source_types array<string>, sink_types array<string>, lines array<int>, source_lines array<int>, checks array<struct<category:string,line:int>>")
+    sources = spark.createDataFrame([(F1, "\n" * 60, 1)], "function string, source string, start_line int")
     known = templates.select("template_id", "pattern_names", F.col("category").alias("template_category"))
     got = {r.category: r for r in cvss.scored(confidence.scored(found, flows, sources, known), flows).collect()}
     pv = got["path_validation"]

@@ -1,102 +1,136 @@
-"""Taint over hand-made call graphs."""
+"""Taint against a plain fixpoint over random call graphs, and small cases of each root."""
 
 import json
+import random
 
 import pytest
 
 from quern.plans import taint
 
 
-def fn(file, function, line=10, params=(), sinks=(), calls=(), **more):
-    return {"file": file, "function": function, "line": line, "end_line": line + 50, "params": [{"index": i, "name": n, "type": t, "first_use": line + 2, **(x[0] if x else {})} for i, (n, t, *x) in enumerate(params)],
-            "taint_sinks": [{"line": n, "type": t, "pattern": t, "roots": list(r)} for n, t, r in sinks], "call_sites": [site(*c) for c in calls], "callees": [site(*c) for c in calls], **more}
-
-
-def site(line, name, pkg=None, recv=None, *args):
-    return {"line": line, "name": name, "pkg": pkg, "recv": recv, "nargs": len(args), "args": [{"index": i, "roots": list(r)} for i, r in enumerate(args)]}
-
-
-STORE = "example.com/app/store"
-APP = [
-    fn("handlers.go", "HandleRun", calls=[(12, "Run", STORE, None, ["entry"])], params=[("r", "*http.Request")]),
-    fn("store/store.go", "Run", params=[("cmd", "string")], sinks=[(15, "command_execution", ["param:0"])]),
-    fn("handlers.go", "Server.Find", recv_type="Server", calls=[(20, "Lookup", None, "field", ["entry"])]),
-    fn("store/store.go", "LdapClient.Lookup", line=40, recv_type="LdapClient", params=[("q", "string")], sinks=[(41, "query_exec", ["param:0"])]),
-    fn("store/store.go", "SafeClient.Lookup", line=60, recv_type="SafeClient", params=[("q", "string")], sinks=[(65, "query_exec", [])]),
-    fn("types.go", "register", callback_refs=[site(7, "validate", None, None)]),
-    fn("types.go", "validate", params=[("p", "string"), ("ctx", "context.Context")], calls=[(31, "openNext", None, None, ["param:0"])]),
-    fn("types.go", "openNext", params=[("p", "string")], calls=[(36, "openIt", None, None, ["param:0"])]),
-    fn("types.go", "openIt", params=[("p", "string")], sinks=[(44, "file_read", ["param:0"])]),
-    fn("types.go", "helper", params=[("p", "string")], sinks=[(44, "file_read", ["param:0"])]),
-    *[fn("chain.go", f"d{i}", params=[("x", "string")], calls=[(11, f"d{i + 1}", None, None, ["entry"] if i == 0 else ["param:0"])] if i < 5 else [], sinks=[(14, "command_execution", ["param:0"])] if i == 5 else []) for i in range(6)],
-    fn("read.go", "FetchGzip", sinks=[(20, "unbounded_read", ["body", "decomp"])]),
-    fn("read.go", "ReadBounded", sinks=[(20, "unbounded_read", ["src", "lim"])]),
-    fn("read.go", "Proxy", sinks=[(20, "http_request", ["src", "varg:3"])]),
-    fn("ret.go", "address", return_roots=["src"]),
-    fn("ret.go", "pass", params=[("v", "string")], return_roots=["param:0"], ret_params=[0]),
-    fn("ret.go", "useReturn", sinks=[(30, "http_request", ["call:25"])], ret_calls=[site(25, "address", None, None)]),
-    fn("ret.go", "usePass", sinks=[(30, "url_path", ["call:25"])], ret_calls=[site(25, "pass", None, None, ["wire"])]),
-    fn("ret.go", "usePassClean", sinks=[(30, "url_path", ["call:25"])], ret_calls=[site(25, "pass", None, None, ["param:0"])], params=[("v", "string")]),
-    fn("api.go", "Invoke", params=[("c", "api.ToolCall", {"type_base": "ToolCall", "type_pkg": "example.com/app/api"})], sinks=[(33, "url_path", ["param:0"])]),
-    fn("api.go", "Dispatch", params=[("c", "api.ToolCall", {"type_base": "ToolCall", "type_pkg": "example.com/app/api"})], sinks=[(33, "url_path", ["param:0"])]),
-    fn("api.go", "caller", calls=[(9, "Dispatch", None, None, [])]),
-    fn("loop.go", "a", ret_calls=[site(5, "b", None, None)], return_roots=["call:5"], sinks=[(9, "file_read", ["call:5"])]),
-    fn("loop.go", "b", ret_calls=[site(5, "a", None, None)], return_roots=["call:5"]),
-]
-MODULES = [("example.com/app", "")]
-
-
-def reached(functions=APP, wire=(("api", "ToolCall"),), triaged=None, max_hops=8, dispatch=True):
-    t = taint.Taint(taint.CallGraph(functions, MODULES, dispatch), set(wire), triaged or {}, max_hops)
-    return {s["function"]: (s["sink_type"], s["provenance"], s["source_line"]) for s in t.sinks()}
-
-
-def test_states():
-    got = {k: v[:2] for k, v in reached().items()}
-    assert got == {
-        "store/store.go:Run": ("command_execution", "net_1hop"), "store/store.go:LdapClient.Lookup": ("query_exec", "net_1hop_dispatch"),
-        "types.go:openIt": ("file_read", "cb_nhop"), "chain.go:d5": ("command_execution", "net_nhop"), "read.go:FetchGzip": ("unbounded_read", "net_direct"),
-        "read.go:Proxy": ("http_request", "net_direct"), "ret.go:useReturn": ("http_request", "net_1hop"), "ret.go:usePass": ("url_path", "wire_1hop"),
-        "api.go:Invoke": ("url_path", "wire_entry"),
-    }
-
-
-def test_switches_and_lines():
-    assert "chain.go:d5" not in reached(max_hops=4)
-    assert "store/store.go:LdapClient.Lookup" not in reached(dispatch=False)
-    got = reached()
-    assert got["store/store.go:Run"][2] == 12 and got["store/store.go:LdapClient.Lookup"][2] == 40  # first use not before the sink
-    assert reached(triaged={"types.go:helper": [0]})["types.go:helper"][1] == "llm_entry"
-
-
-def test_dispatch_needs_every_candidate_and_takes_the_weakest():
-    base = [
-        fn("m.go", "A.Get", recv_type="A", return_roots=["src"]), fn("m.go", "B.Get", recv_type="B", return_roots=["io"]),
-        fn("m.go", "use", ret_calls=[site(5, "Get", None, "x")], sinks=[(9, "file_read", ["call:5"])]),
-    ]
-    assert reached(base)["m.go:use"][1] == "io_1hop_dispatch"
-    assert "m.go:use" not in reached([*base, fn("m.go", "C.Get", recv_type="C")])
-
-
-def test_many_methods_of_one_signature_are_an_interface():
-    same = [fn("m.go", f"T{i}.Do", recv_type=f"T{i}", params=[("s", "string")], sinks=[(15, "file_read", ["param:0"])]) for i in range(7)]
-    call = fn("m.go", "go", calls=[(5, "Do", None, "x", ["entry"])])
-    assert len(reached([*same, call])) == 7
-    same[0]["params"][0]["type"] = "int"
-    assert reached([*same, call]) == {}
-
-
-def test_order_of_functions_does_not_matter_and_repositories_are_apart(spark):
-    rows = [(repo, json.dumps(f)) for repo, fs in (("one", APP), ("two", APP[::-1]), ("three", APP[:1])) for f in fs]
-    context = spark.createDataFrame([(r, json.dumps(MODULES), json.dumps([["api", "ToolCall"]]), "{}") for r in ("one", "two")] + [("none", "[]", "[]", "{}")], "repo string, modules string, wire_types string, triaged string")
-    out = taint.tainted_sinks(spark.createDataFrame(rows, "repo string, facts string"), context).collect()
-    by = {r: sorted((x.function, x.sink_type, x.provenance, tuple(x.path)) for x in out if x.repo == r) for r in ("one", "two", "three", "none")}
-    assert by["one"] == by["two"] and len(by["one"]) == 9 and not by["three"] and not by["none"]
-    params = taint.tainted_parameters(spark.createDataFrame(rows, "repo string, facts string"), context).where("repo = 'one' and function = 'types.go:validate'").collect()
-    assert [(p["index"], p.origin) for p in params] == [(0, 3)]
-
-
-@pytest.mark.parametrize("hops", [1, 3, 8])
-def test_hop_limit(hops):
-    depth = max((len(s["path"]) for s in taint.Taint(taint.CallGraph(APP, MODULES), set(), {}, hops).sinks()), default=0)
-    assert depth <= hops + 1
+def fn(file, function, params=0, sinks=(), calls=(), **more):
+    named = [{"index": i, "name": f"v{i}", "type": "string", "first_use": 3} for i in range(params)]
+    sites = [site(*c) for c in calls]
+    return {"file": file, "function": function, "line": 2, "end_line": 90, "params": named, "taint_sinks": [{"line": n, "type": t, "pattern": t, "roots": list(r)} for n, t, r in sinks], "call_sites": sites, "callees": sites, **more}
+
+
+def site(line, name, recv, *args):
+    return {"line": line, "name": name, "pkg": None, "recv": recv, "nargs": len(args), "args": [{"index": i, "roots": list(r)} for i, r in enumerate(args)]}
+
+
+def random_graph(rnd, size=14):
+    out = []
+    for i in range(size):
+        method = rnd.random() < 0.5
+        roots = lambda: rnd.sample(["entry", "wire", "io", "cb", "param:0", "param:1", "call:20", "call:21"], rnd.choice([0, 1, 1, 2]))
+        target = lambda: (lambda j: (f"g{j % 5}", "x") if j % 2 else (f"f{j}", None))(rnd.randrange(size))
+        name = f"T{i}.g{i % 5}" if method else f"f{i}"
+        out.append(fn(
+            "one.go", name, 2, sinks=[(50, "file_read", roots()), (60, "command_execution", roots())], calls=[(10 + k, *target(), roots(), roots()) for k in range(rnd.randint(0, 3))],
+            ret_calls=[site(20 + k, *target(), roots(), roots()) for k in range(rnd.randint(0, 2))], return_roots=roots(), ret_params=rnd.sample([0, 1], rnd.randint(0, 2)), **({"recv_type": f"T{i}"} if method else {})))
+    return out
+
+
+def fixpoint(graph, max_hops):
+    """(origin, dispatch, hops) of every value, by computing all from all until nothing changes."""
+    best = {}
+
+    def state(key, roots, own):
+        found = []
+        for root in roots or ():
+            kind, _, n = root.partition(":")
+            if root in taint.ROOT_ORIGIN:
+                found.append((taint.ROOT_ORIGIN[root], False, 0))
+            elif kind == "param" and own:
+                found.append(best.get(("p", key, int(n))))
+            elif kind == "call":
+                found.append(best.get(("c", key, int(n), own)))
+        return min((f for f in found if f is not None), default=None)
+
+    def moved(s, by_name):
+        return (s[0], s[1] or by_name, s[2] + 1) if s is not None and s[2] < max_hops else None
+
+    while True:
+        offers = {}
+        for key in graph.keys:
+            f = graph.functions[key]
+            offers.setdefault(("r", key), []).append(state(key, f.get("return_roots"), False))
+            for call in f["call_sites"]:
+                targets, by_name = graph.candidates(key, call)
+                for a in call["args"]:
+                    for t in targets:
+                        if t != key:
+                            offers.setdefault(("p", t, a["index"]), []).append(moved(state(key, a["roots"], True), by_name))
+            for call in f.get("ret_calls") or []:
+                targets, by_name = graph.candidates(key, call)
+                passed = {a["index"]: a["roots"] for a in call["args"]}
+                for own in (True, False):
+                    claims = [min((x for x in [best.get(("r", t)), *(state(key, passed.get(i), own) for i in graph.functions[t].get("ret_params") or [])] if x is not None), default=None) for t in targets]
+                    if by_name:
+                        result = max(claims) if claims and None not in claims else None
+                    else:
+                        result = min((c for c in claims if c is not None), default=None)
+                    offers.setdefault(("c", key, call["line"], own), []).append(moved(result, by_name))
+        new = {v: min(o for o in found if o is not None) for v, found in offers.items() if any(o is not None for o in found)}
+        if new == best:
+            return state
+        best.clear()
+        best.update(new)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_settled_states_are_the_fixpoint(seed):
+    functions = random_graph(random.Random(seed))
+    graph = taint.CallGraph(functions, [])
+    state = fixpoint(graph, 60)
+    want = {(key, sink["line"]): s for key in graph.keys for sink in graph.functions[key]["taint_sinks"] if (s := state(key, sink["roots"], True)) is not None}
+    got = {(s["function"], s["sink_line"]): s["provenance"] for s in taint.Taint(graph, set(), {}, 60).sinks()}
+    assert got.keys() == want.keys() and got
+    for place, (origin, dispatch, hops) in want.items():
+        parts = got[place].split("_")
+        assert parts[0] == taint.ORIGIN_NAMES[origin] and ("dispatch" in parts) == dispatch
+        assert parts[1] in (("direct", "entry") if not hops else ("1hop",) if hops == 1 else ("nhop",))
+
+
+def provenances(functions, wire=(), triaged=None, max_hops=8, dispatch=True):
+    t = taint.Taint(taint.CallGraph(functions, []), set(wire), triaged or {}, max_hops, ) if dispatch else taint.Taint(taint.CallGraph(functions, [], False), set(wire), triaged or {}, max_hops)
+    return {s["function"]: s["provenance"] for s in t.sinks()}
+
+
+def test_readers_and_roots_that_carry_nothing():
+    out = provenances([
+        fn("r.go", "unpack", sinks=[(9, "unbounded_read", ["body", "decomp"])]), fn("r.go", "sip", sinks=[(9, "unbounded_read", ["src", "lim"])]),
+        fn("r.go", "relay", sinks=[(9, "http_request", ["src", "varg:3"])]), fn("r.go", "quiet", sinks=[(9, "file_read", ["resp", "vret:4"])]),
+    ])
+    assert out == {"r.go:unpack": "net_direct", "r.go:relay": "net_direct"}
+
+
+def test_wire_types_callbacks_and_triage():
+    order = fn("w.go", "accept", 1, sinks=[(9, "url_path", ["param:0"])])
+    order["params"][0] |= {"type": "Order", "type_base": "Order"}
+    called = fn("w.go", "inner", 1, sinks=[(9, "url_path", ["param:0"])])
+    called["params"][0] |= {"type": "Order", "type_base": "Order"}
+    rest = [fn("w.go", "outer", calls=[(4, "inner", None, [])]), fn("c.go", "hook", 1, sinks=[(9, "file_read", ["param:0"])]), fn("c.go", "setup", callback_refs=[site(5, "hook", None)]), fn("c.go", "idle", 1, sinks=[(9, "file_read", ["param:0"])])]
+    out = provenances([order, called, *rest], wire=[("", "Order")], triaged={"c.go:idle": [0]})
+    assert out == {"w.go:accept": "wire_entry", "c.go:hook": "cb_entry", "c.go:idle": "llm_entry"}
+
+
+def test_limits_of_hops_and_dispatch():
+    chain = [fn("h.go", f"hop{i}", 1, calls=[(4, f"hop{i + 1}", None, ["entry" if i == 0 else "param:0"])] if i < 4 else [], sinks=[(9, "file_read", ["param:0"])] if i == 4 else []) for i in range(5)]
+    assert provenances(chain) == {"h.go:hop4": "net_nhop"} and provenances(chain, max_hops=3) == {}
+    many = [fn("m.go", f"K{i}.Put", 1, recv_type=f"K{i}", sinks=[(9, "file_read", ["param:0"])]) for i in range(8)]
+    start = fn("m.go", "start", calls=[(4, "Put", "x", ["entry"])])
+    assert len(provenances([*many, start])) == 8 and provenances([*many, start], dispatch=False) == {}
+    many[0]["params"][0]["type"] = "int"  # eight methods of two signatures are no interface
+    assert provenances([*many, start]) == {}
+
+
+def test_repositories_are_apart_and_order_does_not_matter(spark):
+    graph = random_graph(random.Random(3))
+    rows = [(repo, json.dumps(f)) for repo, fs in (("one", graph), ("two", graph[::-1]), ("three", [fn("a.go", "alone")])) for f in fs]
+    context = spark.createDataFrame([("one", "[]", "[]", "{}"), ("none", "[]", "[]", "{}")], "repo string, modules string, wire_types string, triaged string")
+    functions = spark.createDataFrame(rows, "repo string, facts string")
+    out = taint.tainted_sinks(functions, context).collect()
+    by = {r: sorted((x.function, x.sink_line, x.provenance, tuple(x.path)) for x in out if x.repo == r) for r in ("one", "two", "three", "none")}
+    assert by["one"] == by["two"] and by["one"] and not by["three"] and not by["none"]
+    assert taint.tainted_parameters(functions, context).where("repo = 'three'").count() == 0
