@@ -43,8 +43,15 @@ OTHER_DEFAULT = "AV:N/AC:L/PR:N/UI:N/S:U/C:L/I:L/A:N"
 NETWORK_SOURCES = ("http_request", "http_body", "network_accept", "network_read", "read_message")
 LOCAL_SOURCES = ("read", "read_all", "buffered_read", "json_decode", "xml_decode", "binary_read", "scan", "io_copy", "channel_recv")
 SINK_RAISES = {
-    "command_execution": "C:H/I:H/A:H", "sql_query": "C:H/I:H", "sql_exec": "C:H/I:H", "file_write": "I:H",
-    "file_read": "C:H", "html_injection": "C:L/I:L", "js_injection": "C:L/I:L", "string_format": "I:L", "write": "I:L",
+    "command_execution": {"C": "H", "I": "H", "A": "H"},
+    "sql_query": {"C": "H", "I": "H"},
+    "sql_exec": {"C": "H", "I": "H"},
+    "file_write": {"I": "H"},
+    "file_read": {"C": "H"},
+    "html_injection": {"C": "L", "I": "L"},
+    "js_injection": {"C": "L", "I": "L"},
+    "string_format": {"I": "L"},
+    "write": {"I": "L"},
 }
 
 
@@ -161,7 +168,7 @@ def resolved(given: Column, category: Column, source_types: Column, sink_types:
     for m in ("C", "I", "A"):
         top = F.lit(None).cast("string")
         for level in ("L", "H"):
-            raising = [s for s, v in SINK_RAISES.items() if _pairs(v).get(m) == level]
+            raising = [s for s, v in SINK_RAISES.items() if v.get(m) == level]
             if raising:
                 top = F.when(has(sink_types, raising), level).otherwise(top)
         base = F.coalesce(own[m], default[m])

@@ -230,13 +230,13 @@ def test_paths(spark, directory):
     return table(spark, directory, "part").select("p_partkey", gates.is_test_path(path).alias("is_test"))
 
 
-@query("""SELECT p_name AS value, count(*) AS total, count(DISTINCT p_brand) AS n_files FROM part WHERE p_name <> (SELECT min(p_name) FROM part) GROUP BY p_name HAVING count(*) >= 2 AND count(DISTINCT p_brand) <= floor(60 * 0.15)""")
+@query("""SELECT p_name AS value, count(*) AS total, count(DISTINCT p_brand) AS n_files FROM part WHERE p_name <> (SELECT min(p_name) FROM part) GROUP BY p_name HAVING count(*) >= 2 AND count(DISTINCT p_brand) <= floor(150 * 0.15)""")
 def mined_names(spark, directory):
     """names that are neither noise nor rare nor all over."""
     p = table(spark, directory, "part")
     noise = p.agg(F.min("p_name")).first()[0]  # a scalar
     counted = p.groupBy(F.col("p_name").alias("value")).agg(F.count("*").alias("total"), F.count_distinct("p_brand").alias("n_files"))
-    return gates.mined(counted, 60, (noise,))
+    return gates.mined(counted, 150, (noise,))
 
 
 _SCORED_SQL = """

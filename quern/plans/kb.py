@@ -100,8 +100,10 @@ def for_roles(functions: DataFrame, chains: DataFrame, roles: DataFrame, active:
     if weights is None:
         base = F.size("shared").cast("double")
     else:
-        table = weights.agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("m"))  # the chains' vocabulary
-        both = both.join(F.broadcast(table))
-        base = F.aggregate("shared", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(F.col("m"), t), F.lit(1.0)))
+        # a row for each shared token meets its weight by equality; summed in the tokens' order
+        each = both.select("function", "go_id", "generic", "primary_domain", F.explode_outer("shared").alias("token")).distinct().join(weights.select("token", "idf"), "token", "left")
+        idf = F.when(F.col("token").isNotNull(), F.coalesce("idf", F.lit(1.0)))
+        both = each.groupBy("function", "go_id", "generic", "primary_domain").agg(F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", idf.alias("idf"))))).alias("weighed"))
+        base = F.aggregate("weighed", F.lit(0.0), lambda a, t: a + t["idf"])
     scored = both.withColumn("score", base + F.when(F.col("primary_domain").isin(*active) if active else F.lit(False), 0.5).otherwise(0.0))
     return aggregates.best_of_each(scored, ["function", "generic"], [F.desc("score"), F.col("go_id")]).select("function", "go_id", "generic", "score")

@@ -20,6 +20,12 @@ from pyspark.sql import functions as F
 from quern.operators import aggregates, spans
 from quern.plans import seeds
 
+#: Phrases that reports use.
+WEAK_CHECK = "弱校验 "
+NO_STRONG_CHECK = "函数内未见该用途的强校验"
+CALL, CALL_HOLDS, CALL_END = "调用 ", "（含 ", " 强校验）"
+EVIDENCE = "L%d %s → L%d %s，跨度内无 %s 检查"
+
 KNOWN = ("v2", "R1", "R2", "R3", "R4", "R5", "F1", "F2", "F3", "F4", "G1", "X1", "X2", "X3", "X4")
 
 
@@ -182,7 +188,7 @@ def validator_findings(validators: DataFrame, purposes: DataFrame, check_facts:
     out = open_.join(dims.select("purpose", "category"), "purpose").join(weak, ["function", "purpose"], "left")
     source = F.when(F.col("source_line") > 0, F.col("source_line")).otherwise(F.coalesce("line", F.lit(1)))
     sink = F.when(F.col("w.line") > source, F.col("w.line")).otherwise(F.coalesce(F.when(F.col("end_line") > 0, F.col("end_line")), source + 1))
-    desc = F.when(F.col("w").isNotNull(), F.concat(F.lit("弱校验 "), F.substring("w.text", 1, 60))).otherwise("函数内未见该用途的强校验")
+    desc = F.when(F.col("w").isNotNull(), F.concat(F.lit(WEAK_CHECK), F.substring("w.text", 1, 60))).otherwise(NO_STRONG_CHECK)
     return _finding(out, source_line=source, source_type=F.lit("param_external"), sink_line=sink, sink_type=F.lit("validator_contract"), sink_desc=desc, source_provenance=F.col("provenance"), taint_path=F.col("path"), purpose_inferred=F.col("inferred"), rule_id=F.lit("R3"))
 
 
@@ -212,7 +218,7 @@ def callee_checks(call_sites: DataFrame, resolved: DataFrame, check_facts: DataF
     held = check_facts.join(validators, "function", "left_semi").join(strong, F.expr("text rlike pattern")).select(F.col("function").alias("fid"), "category").distinct()
     calls = call_sites.where(F.col("name").rlike(seeds.VALIDATOR_NAME))
     out = calls.join(resolved, "site").join(held, "fid")
-    return out.select("function", "line", "category", F.concat(F.lit("调用 "), "name", F.lit("（含 "), "category", F.lit(" 强校验）")).alias("desc")).distinct()
+    return out.select("function", "line", "category", F.concat(F.lit(CALL), "name", F.lit(CALL_HOLDS), "category", F.lit(CALL_END)).alias("desc")).distinct()
 
 
 def peer_findings(members: DataFrame, group: list[str]) -> DataFrame:
@@ -272,7 +278,7 @@ def bound(findings: DataFrame, templates: DataFrame) -> DataFrame:
     first = templates.groupBy("category").agg(F.min_by(F.struct("template_id", "pattern_names"), F.struct("rank", "template_id")).alias("t"))
     out = findings.join(first, "category", "left")
     name = F.coalesce(F.get("t.pattern_names", F.lit(0)), F.concat_ws("_via_", "category", "sink_type"))
-    evidence = F.format_string("L%d %s → L%d %s，跨度内无 %s 检查", "source_line", "source_type", "sink_line", "sink_type", "category")
+    evidence = F.format_string(EVIDENCE, "source_line", "source_type", "sink_line", "sink_type", "category")
     return out.select(*[F.coalesce("template_id", "t.template_id", F.lit("")).alias(c) if c == "template_id" else F.col(c) for c in findings.columns], name.alias("pattern_name"), evidence.alias("evidence"))
 
 

@@ -25,7 +25,9 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> SparkSession:
     """Make the package importable in Python workers, wherever they start: Spark's file server hands them a copy."""
+    import atexit
     import os
+    import shutil
     import tempfile
     import zipfile
 
@@ -33,7 +35,9 @@ def ship(spark: SparkSession) -> SparkSession:
     if context.applicationId in _shipped:
         return spark
     package = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="quern-ship-"), "quern-package.zip")
+    folder_ = tempfile.mkdtemp(prefix="quern-ship-")
+    atexit.register(shutil.rmtree, folder_, ignore_errors=True)
+    path = os.path.join(folder_, "quern-package.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
         for folder, _, files in os.walk(package):
             for name in files:

@@ -124,6 +124,9 @@ def test_role_retrieval(spark):
     roles = spark.createDataFrame([("handler", "access_control", ["C"])], "role string, category string, generics array<string>")
     got = sorted((r.generic, r.go_id, r.score) for r in kb.for_roles(functions, chains, roles, ["net"]).collect())
     assert got == [(False, "B", 3.0), (True, "C", 1.5)]
+    weights = spark.createDataFrame([("user", 0.25), ("delete", 4.0), ("find", 0.5)], "token string, idf double")
+    got = sorted((r.generic, r.go_id, r.score) for r in kb.for_roles(functions, chains, roles, ["net"], weights).collect())
+    assert got == [(False, "B", 5.25), (True, "C", 1.0)]
 
 
 DIFF = """+++ b/pkg/a.go
