@@ -61,15 +61,18 @@ def taint_gate(functions: DataFrame, facts: DataFrame, size_sinks: DataFrame, fl
 
 
 def at_least(severity: Column, floor: str) -> Column:
-    """Is a severity the floor or worse?"""
-    return severity.isin(*SEVERITIES[: SEVERITIES.index(floor) + 1])
+    """Is a severity the floor or worse? A missing one is low, an unknown one none."""
+    if floor == SEVERITIES[-1]:
+        return F.lit(True)
+    return F.coalesce(severity, F.lit("low")).isin(*SEVERITIES[: SEVERITIES.index(floor) + 1])
 
 
-def filtered_findings(findings: DataFrame, categories: list[str] | None = None, floor: str = "none", least_confidence: float = 0.0, statuses: list[str] | None = None) -> DataFrame:
-    """Findings of some categories, severities, confidence and validation statuses, in that order."""
+def filtered_findings(findings: DataFrame, categories: list[str] | None = None, floor: str = "none", least_confidence: float = 0.0, statuses: list[str] | None = None, limit: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """Findings of some categories, severities, confidence and validation statuses; of those the first ``limit`` by ``order``."""
     out = findings.where(at_least(F.col("severity"), floor) & (F.col("confidence") >= least_confidence))
     out = out.where(F.col("category").isin(*categories)) if categories else out
-    return out.where(F.col("validation_status").isin(*statuses)) if statuses else out
+    out = out.where(F.col("validation_status").isin(*statuses)) if statuses else out
+    return out.orderBy(*(order or [])).limit(limit) if limit else out
 
 
 def is_test_path(path: Column) -> Column:

@@ -746,4 +746,4 @@ def cvss_faults(spark, directory):
     return c.select("c_custkey", cvss.parse_vector(F.col("v"))[1].alias("error"))
 
 
-from quern.plans import fact_queries  # noqa: E402,F401  registers its queries here
+from quern.plans import fact_queries, report_queries  # noqa: E402,F401  register their queries here
