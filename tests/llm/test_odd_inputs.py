@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, license_scan, line_dedup, lm_scoring, mixing, near_copies, quality_model, quality_rules, simhash, substring_dedup, winnowing
+from quern.llm import bpe, license_scan, line_dedup, lm_scoring, mixing, near_copies, packing, quality_model, quality_rules, simhash, substring_dedup, winnowing
 from quern.llm.text import columns_of
 
 CLASHES = "doc_id long, text string, lang string, source string, n_chars long"
@@ -31,6 +31,7 @@ OPERATORS = {
     "op8_one": lambda d, s: simhash.one_of_each(d, s),
     "op9": lambda d, s: substring_dedup.remove_repeats(d, s),
     "op10": lambda d, s: lm_scoring.score(d, s),
+    "op11": lambda d, s: packing.digests(packing.pack(d, s)).groupBy("doc_id").agg(F.sum("length"), F.max("doc_tokens")),
     "near": lambda d, s: near_copies.one_of_each(d, s),
 }
 #: Operators that return the columns of their input.
