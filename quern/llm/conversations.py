@@ -14,7 +14,7 @@ Costs of a turn's states differ by 12 at most (u and a reach each other by an in
 for start and s by at most 12), so 16 layers above the lowest hold them all.
 
 *On Spark.*  Rows are range-partitioned by conversation and turn and each partition is folded in order.
-Conversations that lie inside a partition and have at most ``SEGMENT_ROWS`` rows are done there.
+Conversations that lie inside a partition and have at most ``segment_rows`` rows are done there.
 Others (the first and last of each partition, and long ones, of any share of all rows) go on in
 segments: a segment's cost matrix between states (four runs over its layers) is made in its own task,
 suffixes of matrices give what is left behind each segment, each segment is traced from all four
@@ -229,7 +229,7 @@ def _seen(turn: int | None, role: str, fault: int, repeated: bool, totals: _Tota
     return BLANK if repeated else fault, role[:1] if role[:1] in "sua" else ""
 
 
-def _fold(batches):
+def _fold(batches, segment_rows: int):
     """Conversations of a sorted partition: done where they are whole and short, else their rows, open."""
     part, known = TaskContext.get().partitionId(), {}
     out, none_done, none_row = [], (None,) * len(_DONE), (None,) * len(_ROW)
@@ -268,7 +268,7 @@ def _fold(batches):
                 number += 1
             held.append((pos, turn, role, text, fault, gone))
             pos, chars = pos + 1, chars + len(text)
-            if len(held) >= SEGMENT_ROWS or chars >= SEGMENT_CHARS:
+            if len(held) >= segment_rows or chars >= SEGMENT_CHARS:
                 is_open = True
                 closed(now, held)
                 held, chars, segment = [], 0, segment + 1
@@ -359,21 +359,21 @@ def _chain(batches):
         yield _batch(out, _DONE)
 
 
-def repair(rows: DataFrame, scratch: Scratch, gone: str | None = None, partition_bytes: int = 64 << 20) -> DataFrame:
+def repair(rows: DataFrame, scratch: Scratch, gone: str | None = None, partition_bytes: int = 64 << 20, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """The repaired conversations in segments, ordered by part and segment: conv_id, audit, and the repaired roles and texts.
 
     The last segment of each conversation carries its totals: gaps between turns, rows by their first fault (blank,
     duplicate, truncated), illegal neighbours, cost, and the SHA-256 of all of it (``role:text`` lines).
     ``gone`` names a boolean column of rows that only tell that a conversation exists.
     """
-    folded = scratch.cut(in_order(rows, gone, partition_bytes).mapInArrow(_fold, _ddl(_FOLDED)), "folded", rows_per_batch=1000)
+    folded = scratch.cut(in_order(rows, gone, partition_bytes).mapInArrow(lambda b: _fold(b, segment_rows), _ddl(_FOLDED)), "folded", rows_per_batch=1000)
     rest = folded.where("open").select("conv_id", "part", "segment", *[n for n, _ in _ROW])
     heard = rest.where(F.col("fault").isin(FINE, TRUNCATED)).groupBy("conv_id", "role", "text").agg(F.min(F.struct("part", "pos")).alias("at"))
     # a row is the first of its kind or not; the join is by the row's place, so a frequent text doesn't meet itself
     marked = rest.join(heard.select("at.part", "at.pos", F.lit(1).cast("long").alias("first")), ["part", "pos"], "left")
     fault = F.col("fault").cast("long")
     row = F.struct("pos", "turn", "role", "text", fault.alias("fault"), F.when(F.col("fault") == BLANK, 1).otherwise(F.coalesce("first", F.lit(0))).cast("long").alias("first"))
-    # at most SEGMENT_ROWS rows each
+    # at most segment_rows rows each
     each = marked.groupBy("conv_id", "part", "segment").agg(F.array_sort(F.collect_list(row)).alias("r"))
     lists = {"turns": "turn", "roles": "role", "texts": "text", "faults": "fault", "firsts": "first"}
     segments = each.select("conv_id", "part", "segment", F.col("r")[0]["pos"].alias("pos"), *[F.col(f"r.{field}").alias(n) for n, field in lists.items()])

@@ -2,6 +2,7 @@
 
 from quern.llm.bpe import op7_bpe
 from quern.llm.conversations import op12_conversation_repair
+from quern.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from quern.llm.license_scan import OP1_SQL, op1_license_scan
 from quern.llm.line_dedup import OP2_SQL, op2_line_dedup
 from quern.llm.lm_scoring import OP10_SQL, op10_lm_scoring
@@ -13,6 +14,6 @@ from quern.llm.simhash import op8_simhash_near_dedup
 from quern.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from quern.llm.winnowing import op5_fingerprints
 
-_ALL = (op1_license_scan, op2_line_dedup, op3_quality_rules, op4_mixing, op5_fingerprints, op6_quality_classifier, op7_bpe, op8_simhash_near_dedup, op9_substring_dedup, op10_lm_scoring, op11_packing, op12_conversation_repair)
+_ALL = (op1_license_scan, op2_line_dedup, op3_quality_rules, op4_mixing, op5_fingerprints, op6_quality_classifier, op7_bpe, op8_simhash_near_dedup, op9_substring_dedup, op10_lm_scoring, op11_packing, op12_conversation_repair, op13_hard_negatives)
 QUERIES = {q.__name__: q for q in _ALL}
-ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op10_lm_scoring": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op10_lm_scoring": OP10_SQL, "op13_hard_negatives": OP13_SQL}
