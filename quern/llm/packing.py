@@ -16,7 +16,7 @@ them, so a lost executor changes nothing.
 
 *Ids* are those of the tokenizers library.  Where a tokenizer's rules never look across white
 space (``cuts_at_spaces``), a worker keeps the ids of pieces of text between spaces and asks the
-library only for those that it meets first; else for whole texts.
+library only for those that it meets first (Latin ones word by word, as the rules cut them); else for whole texts.
 
 Defined cases: a null text is empty and has its end id alone; rows that repeat are packed as often;
 a null doc_id stays null; no documents make no pieces; other columns are ignored.  A document of
@@ -27,21 +27,26 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import workers
+from quern.llm.bpe import byte_symbols
 from quern.llm.text import columns_of
 from quern.scratch import Scratch
 
 LENGTH, END_ID = 4096, 2
-#: Pieces of text that a worker keeps at most, each below 64 bytes; some 250 bytes each.
-KNOWN_CHUNKS = 400_000
+#: Pieces of text and words that a worker keeps at most, each below 64 bytes; some 200 bytes each.
+KNOWN_CHUNKS, KNOWN_WORDS = 500_000, 200_000
 #: Partitions whose sums are added up by one task.
 BLOCK = 1024
 #: Rows of partition offsets (24 bytes each) that a broadcast may hold.
@@ -54,49 +59,77 @@ _STOPS_AT_SPACES = {
 }
 
 
+#: Text that no normal form changes, whose letters and numbers every Unicode version knows, with one lower-case letter for each capital; no special token.
+_SIMPLE = regex.compile("[!-;=-~¡-įı-ɏ]+").fullmatch
+
+
 def cuts_at_spaces(spec: dict) -> bool:
     """Does this tokenizer give a text the ids of its pieces between white space, one after another?"""
     split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
     return (
         (spec.get("normalizer") or {}).get("normalizers") == _STOPS_AT_SPACES["normalizers"]
         and split.get("type") == "Split" and split["pattern"].get("Regex") == _STOPS_AT_SPACES["pattern"] and split["behavior"] == "Removed" and split["invert"]
-        and all(t["content"].split() == [t["content"]] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
+        and all("<" in t["content"] and t["content"].split() == [t["content"]] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
     )
 
 
+class _Known(dict):
+    """What was met, with its ids; ``make`` gives those of what wasn't.  Emptied when it has grown."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self._make, self._most = make, most
+
+    def __missing__(self, part):
+        ids = self._make(part)
+        if len(part) < 64:
+            if len(self) >= self._most:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit numbers one after another."""
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; before the library is first used
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(spec)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._by_chunk = cuts_at_spaces(json.loads(spec))
-        self._known: dict[bytes, bytes] = {}
-
-    def _asked(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+        self._model, parsed = self._tokenizer.model, json.loads(spec)
+        self._by_chunk = cuts_at_spaces(parsed)
+        self._symbols = {b: c for c, b in byte_symbols().items()}
+        self._words = regex.compile(_STOPS_AT_SPACES["pattern"])
+        self._by_word = _Known(self._of_word, KNOWN_WORDS)
+        self._known = _Known(self._of_chunk, KNOWN_CHUNKS)
+
+    def _packed(self, ids) -> bytes:
+        ids = array("I", ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _asked(self, text: str) -> bytes:
+        return self._packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _of_word(self, word: str) -> bytes:
+        """The merges of a word that the rules cut out, from the library."""
+        return self._packed([t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(self._symbols))])
+
+    def _of_chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if _SIMPLE(text):
+            return b"".join(map(self._by_word.__getitem__, self._words.findall(text.lower())))
+        return self._asked(text)
+
+    def encode(self, text: bytes) -> bytes:
         if not self._by_chunk:
-            return self._asked([t.decode() for t in texts])
-        known = self._known
-        if len(known) > KNOWN_CHUNKS:
-            known.clear()
-        out = []
-        for text in texts:  # bytes.split cuts at space and the controls 09-0D alone
-            chunks = text.split()
-            ids = list(map(known.get, chunks))
-            if None in ids:
-                new = list({c for c, i in zip(chunks, ids) if i is None})
-                met = dict(zip(new, self._asked([c.decode() for c in new])))
-                ids = [met[c] if i is None else i for c, i in zip(chunks, ids)]
-                known.update((c, i) for c, i in met.items() if len(c) < 64)
-            out.append(b"".join(ids))
-        return out
+            return self._asked(text.decode())
+        # bytes.split cuts at space and the controls 09-0D alone
+        return b"".join(map(self._known.__getitem__, text.split()))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -129,7 +162,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 rows = batch.slice(at, 200)
-                ids = [i + end for i in encoder.encode([t or b"" for t in rows["text"].to_pylist()])]
+                ids = [encoder.encode(t or b"") + end for t in rows["text"].to_pylist()]
                 sizes = [len(i) // 4 for i in ids]
                 starts = before + np.cumsum([0, *sizes])
                 before = int(starts[-1])

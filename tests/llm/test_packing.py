@@ -102,7 +102,7 @@ def test_tail_is_powers_of_two(total):
     assert cuts[0] == total // 4096 * 4096 and cuts[-1] == total and all(s & s - 1 == 0 for s in sizes)
 
 
-odd_texts = st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", "<|startoftext|>", " ", "\x1c", "\x85", " ", "é", " ̖́", "İ", "Σ", "it's", "I'LL", "\r\n", "가"]))).map("".join)
+odd_texts = st.lists(st.one_of(st.text(max_size=12), st.text("abcXYZ09ÀéßİıŁŉǅɏ²½ª¡\xad'-.,§", max_size=12), st.sampled_from(["<|endoftext|>", "<|startoftext|>", " ", "\x1c", "\x85", " ", "é", " ̖́", "İ", "Σ", "it's", "I'LL", "\r\n", "가"]))).map("".join)
 
 
 @settings(max_examples=400, deadline=None)
@@ -110,7 +110,7 @@ odd_texts = st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["<|endofte
 def test_chunks_have_the_ids_of_the_whole(spec, library, text):
     text = text.encode("utf-8", "ignore").decode()
     encoder = packing._encoder(spec)
-    assert encoder._by_chunk and encoder.encode([text.encode()]) == [packing.np.array(ids_of(library, text)[:-1], "<u4").tobytes()]
+    assert encoder._by_chunk and encoder.encode(text.encode()) == packing.np.array(ids_of(library, text)[:-1], "<u4").tobytes()
 
 
 def test_other_tokenizers_see_whole_texts():
@@ -120,4 +120,4 @@ def test_other_tokenizers_see_whole_texts():
         spec = f.read()
     assert not packing.cuts_at_spaces(packing.json.loads(spec))
     encoder = packing.Encoder(spec)
-    assert encoder.encode([b"a  b"]) == [packing.np.array(encoder._tokenizer.encode("a  b").ids, "<u4").tobytes()]
+    assert encoder.encode(b"a  b") == packing.np.array(encoder._tokenizer.encode("a  b").ids, "<u4").tobytes()
