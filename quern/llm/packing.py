@@ -74,18 +74,25 @@ def cuts_at_spaces(spec: dict) -> bool:
 
 
 class _Known(dict):
-    """What was met, with its ids; ``make`` gives those of what wasn't.  Emptied when it has grown."""
+    """What was met lately, with its ids; ``make`` gives those of what wasn't.
+
+    At half of ``most`` entries a new generation begins, into which the old one's pass as they are met again.
+    """
 
     def __init__(self, make, most: int):
         super().__init__()
-        self._make, self._most = make, most
+        self._make, self._half, self._old = make, most // 2, {}
 
     def __missing__(self, part):
-        ids = self._make(part)
-        if len(part) < 64:
-            if len(self) >= self._most:
-                self.clear()
-            self[part] = ids
+        ids = self._old.get(part)
+        if ids is None:
+            ids = self._make(part)
+            if len(part) >= 64:
+                return ids
+        if len(self) >= self._half:
+            self._old = dict(self)
+            self.clear()
+        self[part] = ids
         return ids
 
 
@@ -207,8 +214,8 @@ def cut(at: int, n: int, length: int, tail: list[int]) -> list[tuple[int, int, i
     return out
 
 
-def pack(docs: DataFrame, scratch: Scratch, path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """Every piece: doc_id, start, length, doc_tokens, sequence_id, offset, and its ids as little-endian unsigned 32-bit numbers."""
+def _pieces(docs: DataFrame, scratch: Scratch, path: str | None, length: int, end_id: int, last: pa.Field, of_ids) -> DataFrame:
+    """Every piece, with what ``of_ids`` makes of its ids."""
     if length < 1 or length & length - 1:
         raise ValueError("length must be a power of two")
     made = scratch.cut(encoded(docs, path or default_path(), end_id), "encoded", rows_per_batch=500)
@@ -216,22 +223,33 @@ def pack(docs: DataFrame, scratch: Scratch, path: str | None = None, length: int
     parts, total = offsets.count(), made.agg(F.sum("n")).first()[0] or 0
     if parts <= BROADCAST_PARTITIONS:
         offsets = F.broadcast(offsets)
-    tail = tail_cuts(total, length)
+    tail, schema = tail_cuts(total, length), _PIECES.append(last)
 
-    def pieces(batches):
+    def cut_up(batches):
         for batch in batches:
             rows = []
             for doc_id, at, n, ids in zip(*(batch[c].to_pylist() for c in ("doc_id", "at", "n", "ids"))):
                 view = memoryview(ids)
-                rows += [(doc_id, start, size, n, sequence, offset, view[4 * start : 4 * (start + size)]) for start, size, sequence, offset in cut(at, n, length, tail)]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), _PIECES.types)] if rows else [pa.array([], t) for t in _PIECES.types]
-            yield pa.RecordBatch.from_arrays(columns, schema=_PIECES)
+                rows += [(doc_id, start, size, n, sequence, offset, of_ids(view[4 * start : 4 * (start + size)])) for start, size, sequence, offset in cut(at, n, length, tail)]
+            columns = zip(*rows) if rows else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     placed = made.join(offsets, "part").select("doc_id", (F.col("before") + F.col("part_offset")).alias("at"), "n", "ids")
-    return placed.mapInArrow(pieces, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    kinds = {pa.int64(): "long", pa.binary(): "binary"}
+    return scratch.cut(placed.mapInArrow(cut_up, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)), "pieces", rows_per_batch=500)
 
 
-_PIECES = pa.schema([*((c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
+_PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")])
+
+
+def pack(docs: DataFrame, scratch: Scratch, path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+    """Every piece: doc_id, start, length, doc_tokens, sequence_id, offset, and its ids as little-endian unsigned 32-bit numbers."""
+    return _pieces(docs, scratch, path, length, end_id, pa.field("ids", pa.binary()), bytes)
+
+
+def digests(docs: DataFrame, scratch: Scratch, path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+    """Every piece with ids_crc32, the CRC-32 of its ids, in place of the ids."""
+    return _pieces(docs, scratch, path, length, end_id, pa.field("ids_crc32", pa.int64()), zlib.crc32)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
@@ -244,13 +262,8 @@ def sequences(pieces: DataFrame) -> DataFrame:
     return joined.select("sequence_id", numbers.alias("ids"), "doc_starts")
 
 
-def digests(pieces: DataFrame) -> DataFrame:
-    """The pieces with the CRC-32 of their ids in place of the ids."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
 def op11_packing(spark, sf_dir: str, path: str | None = None) -> DataFrame:
-    return digests(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), path))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), path)
 
 
 def crc_of(ids: list[int]) -> int:

@@ -31,7 +31,7 @@ OPERATORS = {
     "op8_one": lambda d, s: simhash.one_of_each(d, s),
     "op9": lambda d, s: substring_dedup.remove_repeats(d, s),
     "op10": lambda d, s: lm_scoring.score(d, s),
-    "op11": lambda d, s: packing.digests(packing.pack(d, s)).groupBy("doc_id").agg(F.sum("length"), F.max("doc_tokens")),
+    "op11": lambda d, s: packing.digests(d, s).groupBy("doc_id").agg(F.sum("length"), F.max("doc_tokens")),
     "near": lambda d, s: near_copies.one_of_each(d, s),
 }
 #: Operators that return the columns of their input.

@@ -62,7 +62,7 @@ def unique_rows(rows):
 def test_pieces_by_brute_force(spark, scratch, rows, library, length):
     texts = unique_rows(rows)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
-    holds(packing.digests(packing.pack(docs, scratch, length=length)).collect(), texts, library, length)
+    holds(packing.digests(docs, scratch, length=length).collect(), texts, library, length)
 
 
 def test_query_over_its_table(spark, sf_dir, library):
@@ -75,7 +75,7 @@ def test_blocks_of_partitions(spark, scratch, rows, library, monkeypatch):
     monkeypatch.setattr(packing, "BROADCAST_PARTITIONS", 1)
     texts = unique_rows(rows)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(9)
-    holds(packing.digests(packing.pack(docs, scratch, length=32)).collect(), texts, library, 32)
+    holds(packing.digests(docs, scratch, length=32).collect(), texts, library, 32)
 
 
 def test_sequences_hold_the_ids(spark, scratch, rows, library):
@@ -90,7 +90,7 @@ def test_sequences_hold_the_ids(spark, scratch, rows, library):
 
 def test_null_ids_and_repeats(spark, scratch):
     docs = spark.createDataFrame([(None, None), (None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string")
-    out = packing.digests(packing.pack(docs, scratch)).collect()
+    out = packing.digests(docs, scratch).collect()
     assert sorted((r.doc_id or 0, r.doc_tokens) for r in out if r.start == 0) == [(0, 1), (0, 3), (1, 3), (1, 3)]
     assert sum(r.length for r in out) == 10
 
