@@ -84,26 +84,39 @@ def arity_fits(nargs: Column, n_params: Column, variadic: Column) -> Column:
     return F.when(variadic, nargs >= n_params - 1).otherwise(nargs == n_params)
 
 
-def resolve_callees(sites: DataFrame, functions: DataFrame, max_candidates: int = 5) -> DataFrame:
+def resolve_callees(sites: DataFrame, functions: DataFrame, max_candidates: int = 5, scope: list[str] | None = None) -> DataFrame:
     """Candidate callees of each call site, by the first strategy that finds one.
 
     ``sites``: site, dir, recv_type, pkg_dir, name, nargs, dynamic.  ``functions``: fid, dir,
-    recv_type, name, n_params, variadic, signature.  Strategies: 0 the package that the call
-    names; 1 a method of the receiver's own type in the package; 2 a function of the same
-    package; 3 dispatch by name among methods, if at most ``max_candidates`` fit, or all that
-    fit share one signature.  Returns site, fid, resolution (exact or dispatch).
+    recv_type, name, n_params, variadic, signature.  Both have the ``scope`` columns, inside which names are
+    looked up.  Strategies: 0 the package that the call names; 1 a method of the receiver's own type in the
+    package; 2 a function of the same package; 3 dispatch by name among methods, if at most ``max_candidates``
+    fit, or all that fit share one signature.  Null ``nargs`` fit any function.  Returns scope, site, fid,
+    resolution (exact or dispatch).
+
+    The first three are one join by place and name.  Candidates of the last are counted once for each
+    (name, nargs) that is asked for, before any site meets them: a name of many methods that doesn't pass costs
+    no more than its count.
     """
-    f = functions.select(*[F.col(c).alias(f"f_{c}") for c in functions.columns])
-    fits = (F.col("name") == F.col("f_name")) & arity_fits(F.col("nargs"), F.col("f_n_params"), F.col("f_variadic"))
-    pick = lambda cond: sites.join(f, fits & cond).select("site", F.col("f_fid").alias("fid"), F.col("f_signature").alias("signature"))
-    package = pick((F.col("pkg_dir") == F.col("f_dir")) & F.col("f_recv_type").isNull())
-    method = pick((F.col("dir") == F.col("f_dir")) & (F.col("recv_type") == F.col("f_recv_type")))
-    local = pick((F.col("dir") == F.col("f_dir")) & F.col("pkg_dir").isNull() & F.col("recv_type").isNull() & F.col("f_recv_type").isNull())
-    named = pick(F.col("dynamic") & F.col("f_recv_type").isNotNull())
-    few = named.groupBy("site").agg(F.count_distinct("fid").alias("n"), F.count_distinct("signature").alias("k")).where((F.col("n") <= max_candidates) | (F.col("k") == 1)).select("site")
-    named = named.join(few, "site", "left_semi")
-    found = best_tier(sites, ["site"], [(0, package), (1, method), (2, local), (3, named)], ["fid"])
-    return found.select("site", "fid", F.when(F.col("tier") == 3, "dispatch").otherwise("exact").alias("resolution"))
+    scope = scope or []
+    none = F.lit("\x00")  # no receiver
+    f = functions.select(*scope, "fid", F.col("dir").alias("at"), F.coalesce("recv_type", none).alias("recv"), "name", "n_params", "variadic", "signature")
+    fits = F.col("nargs").isNull() | arity_fits(F.col("nargs"), F.col("n_params"), F.col("variadic"))
+    way = lambda held, tier, at, recv: F.when(held, F.struct(F.lit(tier).alias("tier"), at.alias("at"), recv.alias("recv")))
+    local = F.col("pkg_dir").isNull() & F.col("recv_type").isNull()
+    ways = F.array(way(F.col("pkg_dir").isNotNull(), 0, F.col("pkg_dir"), none), way(F.col("recv_type").isNotNull(), 1, F.col("dir"), F.col("recv_type")), way(local, 2, F.col("dir"), none))
+    asked = sites.select(*scope, "site", "name", "nargs", F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).select(*scope, "site", "name", "nargs", "w.*")
+    exact = asked.join(f, [*scope, "at", "recv", "name"]).where(fits).select(*scope, "site", "fid", "tier")
+    least = exact.groupBy(*scope, "site").agg(F.min("tier").alias("tier"))
+    exact = exact.join(least, [*scope, "site", "tier"]).select(*scope, "site", "fid", F.lit("exact").alias("resolution"))
+
+    rest = sites.where("dynamic").join(least, [*scope, "site"], "left_anti").select(*scope, "site", "name", "nargs", F.coalesce("nargs", F.lit(-1)).alias("__n")).where("name is not null")
+    asks = rest.select(*scope, "name", "nargs", "__n").distinct()
+    named = asks.join(f.where(F.col("recv") != none), [*scope, "name"]).where(fits)
+    by = [*scope, "name", "__n"]
+    passing = named.groupBy(*by).agg(F.count_distinct("fid").alias("n"), F.count_distinct("signature").alias("k")).where((F.col("n") <= max_candidates) | (F.col("k") == 1)).select(*by)
+    dispatch = rest.join(passing, by).join(named.select(*by, "fid").distinct(), by).select(*scope, "site", "fid", F.lit("dispatch").alias("resolution"))
+    return exact.unionByName(dispatch).distinct()
 
 
 def not_covered(candidates: DataFrame, covered: DataFrame, name: str, pattern: str) -> DataFrame:

@@ -27,6 +27,14 @@ def diff_hunks(lines: DataFrame, key: list[str], suffix: str = ".go", skip: str
     return out.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
 
 
+def diff_files(lines: DataFrame, key: list[str], suffix: str = ".go", skip: str = r"_test\.go$") -> DataFrame:
+    """file and n (the line of its header) of each file with ``suffix`` that a unified diff touches, with or without hunks; each once."""
+    before = F.lag("line").over(Window.partitionBy(*key).orderBy("n"))
+    git, plain = F.regexp_extract("line", r"^diff --git a/.*? b/(.*)$", 1), F.when(F.startswith(before, F.lit("--- ")), F.regexp_extract("line", r"^\+\+\+ (?:b/)?(.*)$", 1))
+    named = lines.select(*key, "n", F.coalesce(F.nullif(git, F.lit("")), F.nullif(plain, F.lit(""))).alias("file"))
+    return named.where(F.endswith("file", F.lit(suffix)) & ~F.col("file").rlike(skip)).groupBy(*key, "file").agg(F.min("n").alias("n"))
+
+
 def brace_depth(lines: DataFrame, key: list[str]) -> DataFrame:
     """Lines with depth: open less closed braces up to and with each line."""
     count = lambda c: F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))
@@ -130,7 +138,13 @@ def unit_split(lines: DataFrame, key: list[str], boundary: Column, max_lines: in
 
 
 def capped(lines: DataFrame, key: list[str], max_chars: int = 18000) -> DataFrame:
-    """The lines whose running length stays within the cap; truncated tells whether some are left out."""
+    """The lines whose running length stays within the cap; truncated tells whether some are left out.
+
+    A text whose first line alone is longer has one row, truncated, in which all but the key is null.
+    """
     w = Window.partitionBy(*key)
     running = F.sum(F.length("line") + 1).over(w.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return lines.withColumn("__r", running).withColumn("truncated", F.max("__r").over(w) > max_chars).where(F.col("__r") <= max_chars).drop("__r")
+    measured = lines.withColumn("__r", running).withColumn("truncated", F.max("__r").over(w) > max_chars).withColumn("__first", F.row_number().over(w.orderBy("n")) == 1)
+    fits = F.col("__r") <= max_chars
+    rest = [c for c in lines.columns if c not in key]
+    return measured.where(fits | F.col("__first")).select(*key, *[F.when(fits, F.col(c)).alias(c) for c in rest], "truncated").select(*lines.columns, "truncated")

@@ -180,7 +180,7 @@ def set_overlap_score(spark, directory):
     p = table(spark, directory, "part")
     domains = p.select(F.col("p_type").alias("domain"), F.when(F.col("p_size") % 2 == 0, F.col("p_size") / 50.0).alias("confidence"), F.col("p_partkey").alias("ord"))
     used = p.where("p_size > 25").select(F.col("p_name").alias("api"))
-    return kb.candidates(_candidate_templates(spark, directory), domains, used).select("template_id", "overlap", F.round("score", 6).alias("score"), "rank")
+    return kb.candidates(_candidate_templates(spark, directory), domains, used, Scratch(spark)).select("template_id", "overlap", F.round("score", 6).alias("score"), "rank")
 
 
 @query("""WITH T AS (SELECT p_brand, min(p_type) AS d, count(*) AS n FROM part GROUP BY p_brand)
@@ -203,7 +203,7 @@ def _order_chains(spark, directory) -> DataFrame:
 @query("""SELECT l_orderkey AS go_id, list_filter([CASE WHEN NOT count(*) BETWEEN 2 AND 8 THEN 'steps' END, CASE WHEN count(*) FILTER (l_partkey % 4 = 0) <> 1 THEN 'missing_step' END, CASE WHEN bool_or(l_returnflag = 'A') THEN 'action' END], lambda x: x IS NOT NULL) AS errors
 FROM lineitem GROUP BY l_orderkey""")
 def fact_schema_validate(spark, directory):
-    """orders as chains, checked for their number of steps, missing steps and empty actions."""
+    """orders as chains, checked for their number of steps, missing steps and empty actions."""
     return kb.faults(_order_chains(spark, directory))
 
 

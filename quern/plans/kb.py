@@ -67,7 +67,7 @@ def coverage(templates_: DataFrame) -> DataFrame:
     return aggregates.summary(templates_.select("primary_domain", "category", F.col("chain_count").cast("double").alias("chain_count")), ["primary_domain", "category"], "chain_count")
 
 
-def candidates(templates_: DataFrame, domains: DataFrame, project_apis: DataFrame) -> DataFrame:
+def candidates(templates_: DataFrame, domains: DataFrame, project_apis: DataFrame, scratch: Scratch) -> DataFrame:
     """template_id, score, overlap, rank: half the domain's confidence, half the share of APIs that the project uses.
 
     ``domains``: domain, confidence (null: 0.5), ord (of equal domains the last counts); ``project_apis``: api.
@@ -77,11 +77,8 @@ def candidates(templates_: DataFrame, domains: DataFrame, project_apis: DataFram
     used = met.select("template_id", F.explode("api_indicators").alias("api")).join(project_apis.select("api").distinct(), "api").groupBy("template_id").agg(F.count("*").cast("int").alias("overlap"))
     scored = met.join(used, "template_id", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
     score = 0.5 * F.col("confidence") + 0.5 * F.col("overlap") / F.greatest(F.size("api_indicators"), F.lit(1))
-    from pyspark.sql import Window
-
-    # one row a template: their number is that of (domain, category)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "template_id")
-    return scored.withColumn("score", score).withColumn("rank", F.row_number().over(order)).select("template_id", "category", "pattern_names", "score", "overlap", "rank")
+    ranked = ranks.global_rank(scored.withColumn("score", score), [F.desc("score"), F.col("template_id")], "rank", scratch)
+    return ranked.select("template_id", "category", "pattern_names", "score", "overlap", F.col("rank").cast("int").alias("rank"))
 
 
 def for_roles(functions: DataFrame, chains: DataFrame, roles: DataFrame, active: list[str], weights: DataFrame | None = None) -> DataFrame:
@@ -90,20 +87,26 @@ def for_roles(functions: DataFrame, chains: DataFrame, roles: DataFrame, active:
     ``functions``: function, role, text; ``chains``: go_id, category, primary_domain, generic, bag (array);
     ``roles``: role, category, generics (array of go_id).  Score: weights of shared tokens, 0.5 for an active domain.
     """
-    f = functions.join(F.broadcast(roles), "role").withColumn("tokens", scalars.name_tokens(F.col("text")))
-    c = chains.select("go_id", F.col("category").alias("chain_category"), "primary_domain", "generic", "bag")
-    # real chains meet by category, generic ones by the role's list
-    real = f.join(c.where("not generic"), F.col("category") == F.col("chain_category"))
-    generic = f.select("*", F.explode("generics").alias("go_id")).join(c.where("generic"), "go_id")
-    both = real.select("function", "go_id", "generic", "primary_domain", F.array_sort(F.array_intersect("tokens", "bag")).alias("shared")).unionByName(
-        generic.select("function", "go_id", "generic", "primary_domain", F.array_sort(F.array_intersect("tokens", "bag")).alias("shared")))
+    f = functions.join(roles, "role").withColumn("tokens", scalars.name_tokens(F.col("text")))
+    bonus = F.when(F.col("primary_domain").isin(*active) if active else F.lit(False), 0.5).otherwise(0.0)
+    c = chains.select("go_id", F.col("category").alias("chain_category"), "primary_domain", "generic", "bag", bonus.alias("bonus"))
+    real, listed = c.where("not generic"), c.where("generic")
+    # generic chains meet by the role's list; real ones of the category by a token that they share
+    generic = f.select("function", "tokens", F.explode("generics").alias("go_id")).join(listed, "go_id").select("function", "go_id", "generic", "bonus", F.array_sort(F.array_intersect("tokens", "bag")).alias("shared"))
+    words = f.select("function", "category", F.explode("tokens").alias("token"))
+    held = real.select("chain_category", "go_id", "bonus", F.explode(F.array_distinct("bag")).alias("token"))
+    met = words.join(held, (F.col("category") == F.col("chain_category")) & (words.token == held.token)).groupBy("function", "go_id", "bonus").agg(F.array_sort(F.collect_list(words.token)).alias("shared"))
+    # of those that share none, the category's best stands for all: no function meets every chain
+    least = real.groupBy("chain_category").agg(F.min_by(F.struct("go_id", "bonus"), F.struct((-F.col("bonus")).alias("b"), "go_id")).alias("x"))
+    none = f.join(least, F.col("category") == F.col("chain_category")).select("function", "x.go_id", F.lit(False).alias("generic"), "x.bonus", F.array().cast("array<string>").alias("shared"))
+    both = met.select("function", "go_id", F.lit(False).alias("generic"), "bonus", "shared").unionByName(none).unionByName(generic)
     if weights is None:
         base = F.size("shared").cast("double")
     else:
         # a row for each shared token meets its weight by equality; summed in the tokens' order
-        each = both.select("function", "go_id", "generic", "primary_domain", F.explode_outer("shared").alias("token")).distinct().join(weights.select("token", "idf"), "token", "left")
+        each = both.select("function", "go_id", "generic", "bonus", F.explode_outer("shared").alias("token")).distinct().join(weights.select("token", "idf"), "token", "left")
         idf = F.when(F.col("token").isNotNull(), F.coalesce("idf", F.lit(1.0)))
-        both = each.groupBy("function", "go_id", "generic", "primary_domain").agg(F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", idf.alias("idf"))))).alias("weighed"))
+        both = each.groupBy("function", "go_id", "generic", "bonus").agg(F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", idf.alias("idf"))))).alias("weighed"))
         base = F.aggregate("weighed", F.lit(0.0), lambda a, t: a + t["idf"])
-    scored = both.withColumn("score", base + F.when(F.col("primary_domain").isin(*active) if active else F.lit(False), 0.5).otherwise(0.0))
+    scored = both.withColumn("score", base + F.col("bonus"))
     return aggregates.best_of_each(scored, ["function", "generic"], [F.desc("score"), F.col("go_id")]).select("function", "go_id", "generic", "score")

@@ -1,7 +1,8 @@
 """Records prepared from a patch: the functions it changes, each with its source around.
 
 Defined cases: hunks without a header, and headers that name nothing, have no context; contexts of
-blank lines drop; a file without lines has none; empty tables give empty results.
+blank lines drop; a file without lines has none; files that repeat count
+once, where they come first; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -40,12 +41,14 @@ def contexts(hunks: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
     return out.where("text <> ''").select(*key, F.col("__n").alias("n"), "file", F.col("header").alias("function"), F.col("text").alias("source_context"))
 
 
-def records(advisories: DataFrame, hunks: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """Advisories with changed_files, changed_functions and func_source_contexts, in the order of the patch; those without hunks drop."""
-    changed = hunks.groupBy(key).agg(
-        F.array_sort(F.collect_set("file")).alias("changed_files"),
-        F.sort_array(F.collect_list(F.when(F.col("header") != "", F.struct("n", "file", F.col("header").alias("function"))))).alias("__functions"))
-    around = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "file", "function", "source_context"))).alias("__contexts"))
-    unnumbered = lambda c: F.coalesce(F.transform(c, lambda x: x.dropFields("n")), F.array())
-    return advisories.join(changed, key).join(around, key, "left").select(
-        *advisories.columns, "changed_files", unnumbered("__functions").alias("changed_functions"), unnumbered("__contexts").alias("func_source_contexts"))
+def records(advisories: DataFrame, files: DataFrame, hunks: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Advisories with changed_files, changed_functions and func_source_contexts, all in the order of the patch.
+
+    ``files`` as ``texts.diff_files`` gives them: a file counts whether it has hunks or not.  Advisories whose patch touches none drop.
+    """
+    in_order = lambda c: F.transform(F.array_sort(c), lambda x: x.dropFields("n"))
+    changed = files.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "file"))).alias("__files"))
+    named = hunks.where("header <> ''").groupBy(key).agg(in_order(F.collect_list(F.struct("n", "file", F.col("header").alias("function")))).alias("__functions"))
+    around = found.groupBy(key).agg(in_order(F.collect_list(F.struct("n", "file", "function", "source_context"))).alias("__contexts"))
+    return advisories.join(changed, key).join(named, key, "left").join(around, key, "left").select(
+        *advisories.columns, F.col("__files.file").alias("changed_files"), F.coalesce("__functions", F.array()).alias("changed_functions"), F.coalesce("__contexts", F.array()).alias("func_source_contexts"))

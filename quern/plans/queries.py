@@ -544,11 +544,11 @@ def running_depth(spark, directory):
 
 @query("""WITH L AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 R AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) AS r FROM L)
-SELECT doc_id, count(*) FILTER (r <= 1000) AS kept, max(r) > 1000 AS truncated FROM R GROUP BY doc_id HAVING count(*) FILTER (r <= 1000) > 0""")
+SELECT doc_id, count(*) FILTER (r <= 1000) AS kept, max(r) > 1000 AS truncated FROM R GROUP BY doc_id""")
 def bounded_read(spark, directory):
     """The leading lines of each text within a cap of characters, and whether more were left out."""
     lines = texts.lines_of(table(spark, directory, "documents"), ["doc_id"])
-    return texts.capped(lines, ["doc_id"], 1000).groupBy("doc_id").agg(F.count("*").alias("kept"), F.bool_or("truncated").alias("truncated"))
+    return texts.capped(lines, ["doc_id"], 1000).groupBy("doc_id").agg(F.count("n").alias("kept"), F.bool_or("truncated").alias("truncated"))
 
 
 @query()
@@ -746,4 +746,4 @@ def cvss_faults(spark, directory):
     return c.select("c_custkey", cvss.parse_vector(F.col("v"))[1].alias("error"))
 
 
-from quern.plans import fact_queries, report_queries  # noqa: E402,F401  register their queries here
+from quern.plans import fact_queries, flow_queries, report_queries  # noqa: E402,F401  register their queries here

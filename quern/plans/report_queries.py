@@ -22,38 +22,50 @@ def _case(key: Column, values: list, default=None) -> Column:
 
 # -- prepared records -------------------------------------------------------------------------------
 
-def _patches(spark, directory) -> tuple[DataFrame, DataFrame]:
-    """Hunks of customers' patches, and the lines of their files before."""
-    k, nl = F.col("c_custkey"), F.lit("\n")
+def _patches(spark, directory) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files and hunks of customers' patches, and the lines of their files before.
+
+    Even customers change z.go before a.go, odd ones after; every fourth changes the mode of m.go, every third a test.
+    """
+    k = F.col("c_custkey")
     c = table(spark, directory, "customer").select("c_custkey", "c_nationkey")
-    before = F.concat(F.lit("package p\nfunc F"), k % 3, F.lit("(x int) {\n  return "), "c_nationkey", F.lit("\n}\n\n"))
+    head = lambda f: f"diff --git a/{f} b/{f}\n--- a/{f}\n+++ b/{f}\n"
     header = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("func (r *R) F"), k % 2, F.lit("() {")))
-    diff = F.concat(F.lit("+++ b/a.go\n@@ -2 +2 @@ "), header, nl, F.lit("+x\n@@ -9 +9 @@ var y"))
-    lines = texts.lines_of(c.select("c_custkey", before.alias("text")), ["c_custkey"]).select("c_custkey", F.lit("a.go").alias("file"), "n", "line")
-    return texts.diff_hunks(texts.lines_of(c.select("c_custkey", diff.alias("text")), ["c_custkey"]), ["c_custkey"]), lines
+    a = F.concat(F.lit(head("a.go") + "@@ -2 +2 @@ "), header, F.lit("\n+x\n@@ -9 +9 @@ var y\n+y\n"))
+    z = F.lit(head("z.go") + "@@ -2 +2 @@ type Z struct {\n+z\n")
+    mode = F.when(k % 4 == 0, "diff --git a/m.go b/m.go\nold mode 100644\nnew mode 100755\n").otherwise("")
+    test = F.when(k % 3 == 0, head("x_test.go") + "@@ -1 +1 @@ func TestA() {\n+++ b/odd.go\n").otherwise("")
+    diff = texts.lines_of(c.select("c_custkey", F.concat(test, F.when(k % 2 == 0, F.concat(z, mode, a)).otherwise(F.concat(a, mode, z))).alias("text")), ["c_custkey"])
+    sources = F.array(
+        F.struct(F.lit("a.go").alias("file"), F.concat(F.lit("package p\nfunc F"), k % 3, F.lit("(x int) {\n  return "), "c_nationkey", F.lit("\n}\n\n")).alias("text")),
+        F.struct(F.lit("z.go").alias("file"), F.concat(F.lit("package p\ntype Z struct {\n  f "), "c_nationkey", F.lit("\n}\n")).alias("text")))
+    lines = texts.lines_of(c.select("c_custkey", F.explode(sources).alias("s")).select("c_custkey", "s.file", "s.text"), ["c_custkey", "file"])
+    return texts.diff_files(diff, ["c_custkey"]), texts.diff_hunks(diff, ["c_custkey"]), lines
 
 
 _CONTEXTS_SQL = """
 P AS (SELECT c_custkey, concat('func (r *R) F', c_custkey % 2, '() {') AS function,
   concat(CASE WHEN c_custkey % 3 <> c_custkey % 2 THEN concat('package p', chr(10)) ELSE '' END, 'func F', c_custkey % 3, '(x int) {', chr(10), '  return ', c_nationkey, chr(10), '}') AS source_context
-  FROM customer WHERE c_custkey % 5 <> 0)"""
+  FROM customer WHERE c_custkey % 5 <> 0),
+Z AS (SELECT c_custkey, concat('type Z struct {', chr(10), '  f ', c_nationkey, chr(10), '}') AS z FROM customer)"""
 
 
-@query(f"WITH {_CONTEXTS_SQL} SELECT c_custkey, 'a.go' AS file, function, source_context FROM P")
+@query(f"WITH {_CONTEXTS_SQL} SELECT c_custkey, 'a.go' AS file, function, source_context FROM P UNION ALL SELECT c_custkey, 'z.go', 'type Z struct {{', z FROM Z")
 def source_contexts(spark, directory):
     """What patches change, with its source from where it is defined, else around the hunk."""
-    hunks, lines = _patches(spark, directory)
+    _, hunks, lines = _patches(spark, directory)
     return prepare.contexts(hunks, lines, ["c_custkey"]).select("c_custkey", "file", "function", "source_context")
 
 
-@query(f"""WITH {_CONTEXTS_SQL} SELECT c_custkey, c_name, ['a.go'] AS changed_files,
-CASE WHEN c_custkey % 5 = 0 THEN ['var y'] ELSE [function, 'var y'] END AS functions, CASE WHEN c_custkey % 5 = 0 THEN [] ELSE [source_context] END AS contexts
-FROM customer LEFT JOIN P USING (c_custkey)""")
+@query(f"""WITH {_CONTEXTS_SQL}, R AS (SELECT c_custkey, c_name, c_custkey % 2 = 0 AS even, CASE WHEN c_custkey % 4 = 0 THEN ['m.go'] ELSE [] END AS mode, ['type Z struct {{'] AS zf, [z] AS zc,
+  CASE WHEN function IS NULL THEN ['var y'] ELSE [function, 'var y'] END AS af, CASE WHEN function IS NULL THEN [] ELSE [source_context] END AS ac FROM customer JOIN Z USING (c_custkey) LEFT JOIN P USING (c_custkey))
+SELECT c_custkey, c_name, CASE WHEN even THEN ['z.go'] || mode || ['a.go'] ELSE ['a.go'] || mode || ['z.go'] END AS changed_files,
+CASE WHEN even THEN zf || af ELSE af || zf END AS functions, CASE WHEN even THEN zc || ac ELSE ac || zc END AS contexts FROM R""")
 def prepared_records(spark, directory):
-    """M6: advisories with the files and functions that their patch changes, and the contexts of these."""
-    hunks, lines = _patches(spark, directory)
+    """M6: advisories with the files and functions that their patch changes, and the contexts of these, in its order."""
+    files, hunks, lines = _patches(spark, directory)
     advisories = table(spark, directory, "customer").select("c_custkey", "c_name")
-    out = prepare.records(advisories, hunks, prepare.contexts(hunks, lines, ["c_custkey"]), "c_custkey")
+    out = prepare.records(advisories, files, hunks, prepare.contexts(hunks, lines, ["c_custkey"]), "c_custkey")
     return out.select("c_custkey", "c_name", "changed_files", F.col("changed_functions.function").alias("functions"), F.col("func_source_contexts.source_context").alias("contexts"))
 
 

@@ -1,31 +1,40 @@
-"""Inter-procedural taint of one repository.
-
-External data reaches parameters, returned values and call results along an and-or graph:
-a parameter takes the best state that any call offers; the result of a call resolved by name
-alone needs a state from *every* candidate and takes the worst of them.  States get no
-stronger on the way, so they can be settled best first, as in Knuth's generalisation of
-shortest paths: each value is settled once, with the strongest claim there is, whatever the
-order of functions.  Ties go to the smaller path.
-
-A repository's graph is small, so ``tainted_sinks`` is an ``applyInPandas`` over repositories;
-``operators.graph.reach`` is the distributed form for plain edges of any size.
-
-Facts of a function, as JSON in column ``facts``: file, function, line, params (index, name,
-type, type_pkg, type_base, first_use), call_sites, ret_calls, callees, callback_refs (line, name, pkg, recv, nargs,
-args: index, roots), return_roots, ret_params, variadic, recv_type, taint_sinks (line, type, pattern, roots).
+"""Inter-procedural taint: an and-or fixpoint over tables of calls, for any number of repositories at once.
+
+External data reaches parameters, returned values and call results along calls.  A parameter takes
+what any call offers; the result of a call resolved by name alone needs a claim from *every*
+candidate.  Each step costs a hop, and no claim goes beyond ``max_hops``.
+
+*States.*  A claim has an origin (net, wire, io, cb, llm: the less, the stronger), tells whether a call was
+resolved by name alone, and counts hops.  A value keeps the least hops for *each* pair of origin and
+dispatch, at most ten numbers, as a weaker claim that is nearer may go on where a stronger one is
+at its cap.  So more input never loses a finding, and no order of functions matters.  Of a call by
+name, a claim of one candidate holds if every other has one at least as strong (by origin, dispatch, hops).
+
+*Rounds.*  The loop carries numbers alone: (value, cell, hops).  Each round joins what changed to the
+edges, and recomputes only the calls by name that it touches; it is cut to a table in the shared folder and
+ends when nothing changes.  Values that only pass claims on without a hop (returned values, candidates'
+claims) are folded into the edges.  Roots that are external in themselves are no rows to join to:
+they offer once, before the first round.  Paths are built afterwards, from hop to hop, for the claims that stand.
+
+``functions``: repo, file, function, line, params (index, name, type, type_pkg, type_base, first_use),
+call_sites, ret_calls, callees, callback_refs (line, name, pkg, recv, nargs, args: index, roots), return_roots,
+ret_params, variadic, recv_type, taint_sinks (line, type, pattern, roots); ``flows_of`` reads them from JSON.
+``modules``: repo, module, base.  ``wire_types``: repo, dir, type_base.  ``triaged``: repo, function (file:function), index.
+
+Defined cases: null arrays are empty; a root that is null, unknown or names no value carries nothing; rows
+that repeat count once, but for sinks, which come out as often as they are written in their function;
+functions of one repo, file and name are one in calls; of claims of one rank a parameter's comes first, then the smallest
+index and path; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import heapq
-import json
-from collections import defaultdict
-from dataclasses import dataclass
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators import matching
+from quern.scratch import Scratch
+
 #: Origins by root, from the strongest, their names, and roots that carry no data.
 ROOT_ORIGIN = {"entry": 0, "src": 0, "wire": 1, "io": 2, "cb": 3}
 ORIGIN_NAMES = ("net", "wire", "io", "cb", "llm")
@@ -33,248 +42,248 @@ NO_DATA = ("lim", "body", "decomp", "resp")
 NOT_CALLBACK_DATA = ("context.Context", "http.ResponseWriter")
 MAX_HOPS, DISPATCH = 8, 5
 
-
-@dataclass(frozen=True)
-class State:
-    """How a value came to be external: smaller rank is a stronger claim."""
-
-    origin: int
-    dispatch: bool
-    hops: int
-    path: tuple[str, ...]
-
-    @property
-    def rank(self) -> tuple:
-        return self.origin, self.dispatch, self.hops
-
-    def name(self, direct: bool = False) -> str:
-        distance = ("direct" if direct else "entry") if not self.hops else "1hop" if self.hops == 1 else "nhop"
-        return f"{ORIGIN_NAMES[self.origin]}_{distance}" + "_dispatch" * self.dispatch
-
-    def moved(self, step: str, dispatch: bool) -> "State":
-        return State(self.origin, self.dispatch or dispatch, self.hops + 1, (*self.path, step))
-
-
-class CallGraph:
-    """Functions of a repository and what their calls may mean."""
-
-    def __init__(self, functions: list[dict], modules: list[tuple[str, str]], dispatch: bool = True):
-        self.functions = {f"{f['file']}:{f['function']}": f for f in functions}
-        self.keys = sorted(self.functions)
-        self.modules = sorted(modules, key=lambda m: -len(m[0]))
-        self.dispatch = dispatch
-        self._by: dict[tuple, list[str]] = {}
-        self._methods: dict[str, list[str]] = {}
-        for key in self.keys:
-            f = self.functions[key]
-            name, recv, folder = f["function"].rsplit(".", 1)[-1], f.get("recv_type") or "", self.folder(f["file"])
-            self._by.setdefault((folder, recv, name), []).append(key)
-            if recv:
-                self._methods.setdefault(name, []).append(key)
-
-    @staticmethod
-    def folder(path: str) -> str:
-        return path.rsplit("/", 1)[0] if "/" in path else ""
-
-    def package_folder(self, package: str | None) -> str | None:
-        for module, base in self.modules:
-            if package == module:
-                return base
-            if package and package.startswith(f"{module}/"):
-                return "/".join(x for x in (base, package[len(module) + 1 :]) if x)
-        return None
-
-    def fits(self, key: str, nargs: int | None) -> bool:
-        f = self.functions[key]
-        n = len(f.get("params") or [])
-        return nargs is None or (nargs >= n - 1 if f.get("variadic") else nargs == n)
-
-    def candidates(self, caller: str, site: dict, arity: bool = True) -> tuple[list[str], bool]:
-        """Functions a call may reach, and whether only their name says so."""
-        f, name, package, recv = self.functions[caller], site.get("name"), site.get("pkg"), site.get("recv")
-        folder = self.folder(f["file"])
-        nargs = (site.get("nargs") or 0) if arity else None
-        pick = lambda place: [k for k in self._by.get(place, ()) if self.fits(k, nargs)]
-        if package:
-            there = self.package_folder(package)
-            return (pick((there, "", name)), False) if there is not None else ([], False)
-        if recv == "self" and f.get("recv_type"):
-            own = pick((folder, f.get("recv_type") or "", name))
-            if own:
-                return own, False
-        if not recv:
-            return pick((folder, "", name)), False
-        if self.dispatch:
-            named = [k for k in self._methods.get(name, ()) if self.fits(k, nargs)]
-            if len(named) <= DISPATCH or len({tuple(p.get("type") for p in self.functions[k].get("params") or []) for k in named}) == 1:
-                return named, True
-        return [], False
+_ARG = "struct<index: int, roots: array<string>>"
+_SITE = f"struct<line: int, name: string, pkg: string, recv: string, nargs: int, args: array<{_ARG}>>"
+FLOW = (
+    "file string, function string, line int, params array<struct<index: int, name: string, type: string, type_pkg: string, type_base: string, first_use: int>>, "
+    f"call_sites array<{_SITE}>, ret_calls array<{_SITE}>, callees array<{_SITE}>, callback_refs array<{_SITE}>, return_roots array<string>, ret_params array<int>, "
+    "variadic boolean, recv_type string, taint_sinks array<struct<line: int, type: string, pattern: string, roots: array<string>>>"
+)
+SITES = ("call_sites", "ret_calls", "callees", "callback_refs")
+#: A claim's cell (origin and dispatch) and its hops as one number that sorts by strength.
+_HOP_BITS = 16
+
+
+def flows_of(rows: DataFrame, facts: str = "facts") -> DataFrame:
+    """``functions`` from repo and a column of JSON, one function each."""
+    return rows.select("repo", F.from_json(facts, FLOW).alias("f")).select("repo", "f.*")
+
+
+def _value(*parts) -> Column:
+    return F.concat_ws("\x01", *[F.col(p).cast("string") if p.islower() else F.lit(p) for p in parts])
+
+
+def _folder(path: str) -> Column:
+    return F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, "^(.*)/", 1)).otherwise("")
+
+
+def package_folders(packages: DataFrame, modules: DataFrame) -> DataFrame:
+    """repo, pkg and dir of the packages (repo, pkg) that lie in a module of their repo, by the longest module path."""
+    scoped = lambda c: F.concat_ws("/", F.translate("repo", "/", "\x01"), c)
+    known = modules.select(scoped("module").alias("__module"), F.col("base").alias("__base"))
+    met = matching.longest_prefix(packages.where("pkg <> ''").distinct().withColumn("__pkg", scoped("pkg")), known, "__pkg", "__module")
+    rest = F.expr("substr(__pkg, length(__module) + 2)")
+    return met.select("repo", "pkg", F.array_join(F.filter(F.array("__base", rest), lambda x: x != ""), "/").alias("dir"))
+
+
+class Calls:
+    """Functions and call sites of all repositories, with the functions that each site may reach."""
+
+    def __init__(self, functions: DataFrame, modules: DataFrame, scratch: Scratch, dispatch: bool = True):
+        named = functions.withColumn("key", F.concat_ws(":", "file", "function")).withColumn("dir", _folder("file"))
+        self.functions = scratch.cut(named.withColumn("bare", F.regexp_extract("function", r"([^.]*)$", 1)), "functions")
+        types = F.transform(F.coalesce("params", F.array()), lambda p: F.coalesce(p["type"], F.lit("")))
+        known = self.functions.select("repo", F.col("key").alias("fid"), "dir", F.when(F.col("recv_type") != "", F.col("recv_type")).alias("recv_type"), F.col("bare").alias("name"), F.size(types).alias("n_params"), F.coalesce("variadic", F.lit(False)).alias("variadic"), F.to_json(types).alias("signature"))
+        each = None
+        for kind in SITES:
+            some = self.functions.select("repo", "key", "dir", "recv_type", F.lit(kind).alias("kind"), F.posexplode(kind).alias("n", "site"))
+            each = some if each is None else each.unionByName(some)
+        nargs = F.when(F.col("kind") == "callback_refs", None).otherwise(F.coalesce("site.nargs", F.lit(0)))  # whoever calls back passes what fits
+        sites = each.select("repo", "key", "dir", "recv_type", "kind", "n", "site.line", "site.name", F.coalesce("site.pkg", F.lit("")).alias("pkg"), F.coalesce("site.recv", F.lit("")).alias("recv"), nargs.alias("nargs"), "site.args").withColumn("site", _value("repo", "key", "kind", "n"))
+        folders = package_folders(sites.select("repo", "pkg"), modules).withColumnRenamed("dir", "pkg_dir")
+        placed = scratch.cut(sites.join(folders, ["repo", "pkg"], "left"), "sites")
+        own = (F.col("recv") == "self") & (F.col("recv_type") != "") & (F.col("pkg") == "")
+        asked = placed.where("pkg = '' or pkg_dir is not null").select(
+            "repo", "site", F.col("dir"), F.when(own, F.col("recv_type")).when((F.col("recv") != "") & (F.col("pkg") == ""), F.lit("\x01unknown")).alias("recv_type"),
+            "pkg_dir", "name", "nargs", (F.lit(dispatch) & (F.col("pkg") == "") & (F.col("recv") != "")).alias("dynamic"))
+        found = matching.resolve_callees(asked, known, DISPATCH, scope=["repo"]).select("site", F.col("fid").alias("target"), (F.col("resolution") == "dispatch").alias("by_name"))
+        self.reached = scratch.cut(placed.drop("pkg", "pkg_dir", "recv", "recv_type", "dir").join(found, "site"), "reached")
+        self.modules = modules
+
+    def of(self, kind: str) -> DataFrame:
+        return self.reached.where(F.col("kind") == kind)
+
+
+def _rooted(rows: DataFrame, roots: str, own: Column) -> DataFrame:
+    """Rows with each root's ``origin`` or ``src`` value, of column repo and key; ``own``: do the function's parameters count?"""
+    each = rows.withColumn("root", F.explode(F.array_distinct(roots)))
+    of = F.lit(None)
+    for root, number in ROOT_ORIGIN.items():
+        of = F.when(F.col("root") == root, number).otherwise(of)
+    kind, argument = F.substring_index("root", ":", 1), F.regexp_extract("root", "^(?:param|call):([0-9]+)$", 1)
+    each = each.withColumn("__arg", argument).withColumn("__own", own.cast("string"))
+    src = F.when(F.col("__arg") == "", None).when(kind == "param", F.when(own, _value("P", "repo", "key", "__arg"))).otherwise(_value("C", "repo", "key", "__arg", "__own"))
+    return each.withColumn("origin", of.cast("int")).withColumn("src", F.when(F.col("origin").isNull(), src)).where("origin is not null or src is not null").drop("__arg", "__own")
+
+
+def edges_of(calls: Calls, scratch: Scratch) -> DataFrame:
+    """Who passes a claim to whom: src (or origin), dst, by_name, step; of call results also group, claim (a candidate) and of (candidates)."""
+    sites = calls.of("call_sites").where("target <> key").withColumn("arg", F.explode("args"))
+    passed = _rooted(sites.select("repo", "key", "line", "target", "by_name", "arg.index", "arg.roots"), "roots", F.lit(True))
+    no_group = [F.lit(None).cast("string").alias(c) for c in ("group", "claim")] + [F.lit(1).cast("long").alias("of")]
+    step = F.format_string("%s@L%s", "key", "line")
+    to_parameters = passed.select("src", "origin", _value("P", "repo", "target", "index").alias("dst"), "by_name", step.alias("step"), *no_group)
+
+    results = calls.of("ret_calls").withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
+    sizes = calls.of("ret_calls").groupBy("site").agg(F.count_distinct("target").alias("of"), F.min("target").alias("first"))
+    results = results.join(sizes, "site").withColumn("own_text", F.col("own").cast("string")).withColumn("dst", _value("C", "repo", "key", "line", "own_text"))
+    results = results.select("repo", "key", "dst", "by_name", "own", "args", "target", "of", F.format_string("%s@L%s ← %s", "key", "line", "first").alias("step"), F.concat_ws("\x01", "site", "own_text").alias("group"))
+    returning = calls.functions.select("repo", F.col("key").alias("target"), "return_roots", "ret_params").dropDuplicates(["repo", "target"])
+    met = scratch.cut(results.join(returning, ["repo", "target"]), "results")
+    tail = ["src", "origin", "dst", "by_name", "step", "group", F.col("claim"), "of"]
+    # what a candidate returns of its own making, read in the candidate
+    made = _rooted(met.select("repo", F.col("target").alias("key"), "return_roots", "dst", "by_name", "step", "group", F.col("target").alias("claim"), "of"), "return_roots", F.lit(False)).select(*tail)
+    # what it returns of its parameters, read in the caller
+    args = met.withColumn("arg", F.explode("args")).where(F.array_contains("ret_params", F.col("arg.index")))
+    through = _rooted(args.select("repo", "key", "own", "arg.roots", "dst", "by_name", "step", "group", F.col("target").alias("claim"), "of"), "roots", F.col("own")).select(*tail)
+    return scratch.cut(to_parameters.unionByName(made).unionByName(through).distinct(), "edges")
+
+
+def seeds_of(calls: Calls, wire_types: DataFrame, triaged: DataFrame) -> DataFrame:
+    """value, origin, dispatch and why: parameters that are external before any call is looked at."""
+    parameters = calls.functions.select("repo", "key", "dir", F.explode("params").alias("p")).select("repo", "key", "dir", "p.*")
+    known = calls.functions.select("repo", "key").distinct()
+    judged = triaged.select("repo", F.col("function").alias("key"), "index").join(known, ["repo", "key"])
+    judged = judged.select(_value("P", "repo", "key", "index").alias("value"), F.lit(4).alias("origin"), F.lit(False).alias("dispatch"), F.format_string("%s: parameter %s judged external by entry triage", "key", "index").alias("why"))
+    given = parameters.where("name <> '_'")
+    handed = calls.of("callback_refs").select("repo", F.col("key").alias("by"), "line", F.col("target").alias("key"), "by_name")
+    data = given.where(F.col("type").isNull() | ~F.col("type").isin(*NOT_CALLBACK_DATA))
+    called_back = handed.join(data, ["repo", "key"]).select(_value("P", "repo", "key", "index").alias("value"), F.lit(3).alias("origin"), F.col("by_name").alias("dispatch"), F.format_string("%s@L%s hands %s to other code", "by", "line", "key").alias("why"))
+    called = calls.of("callees").select("repo", F.col("target").alias("key")).distinct()
+    free = given.join(called, ["repo", "key"], "left_anti").withColumn("pkg", F.coalesce("type_pkg", F.lit("")))
+    placed = free.join(package_folders(free.select("repo", "pkg"), calls.modules).withColumnRenamed("dir", "pkg_dir"), ["repo", "pkg"], "left")
+    placed = placed.withColumn("dir", F.when(F.col("pkg") == "", F.col("dir")).otherwise(F.col("pkg_dir")))
+    wired = placed.join(wire_types.select("repo", "dir", "type_base").distinct(), ["repo", "dir", "type_base"])
+    wired = wired.select(_value("P", "repo", "key", "index").alias("value"), F.lit(1).alias("origin"), F.lit(False).alias("dispatch"), F.format_string("%s: %s is %s (tagged struct)", "key", "name", "type").alias("why"))
+    return judged.unionByName(called_back).unionByName(wired)
+
+
+def _strength(cell: str = "cell", hops: str = "hops") -> Column:
+    return F.col(cell) * _HOP_BITS + F.col(hops)
+
+
+def _all_agree(inputs: DataFrame) -> DataFrame:
+    """group, least: how strong a claim must not be stronger than, for groups whose candidates all have one; ``inputs``: group, claim, of, cell, hops."""
+    best = inputs.groupBy("group", "claim").agg(F.max("of").alias("of"), F.min(_strength()).alias("best"))
+    return best.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max("of").alias("of"), F.max("best").alias("least")).where("n = of").select("group", "least")
+
+
+def fixpoint(edges: DataFrame, seeds: DataFrame, max_hops: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(states: value, cell, hops; bars: group, least).  ``cell`` is twice the origin, and one more after a call by name."""
+    either = scratch.cut(edges.where("group is null or not by_name"), "either")
+    every = scratch.cut(edges.where("group is not null and by_name"), "every")
+    fixed = every.where("origin is not null").select("group", "claim", "of", "dst", (F.col("origin") * 2).alias("cell"), F.lit(0).alias("hops"))
+    cell_after = F.col("cell").bitwiseOR(F.col("by_name").cast("int"))
+    offer = lambda df: df.where(F.col("hops") < max_hops).select(F.col("dst").alias("value"), cell_after.alias("cell"), (F.col("hops") + 1).alias("hops"))
+    least = lambda df: df.groupBy("value", "cell").agg(F.min("hops").alias("hops"))
+    constant = either.where("origin is not null").select("dst", "by_name", (F.col("origin") * 2).alias("cell"), F.lit(0).alias("hops"))
+    seeded = seeds.select("value", (F.col("origin") * 2 + F.col("dispatch").cast("int")).alias("cell"), F.lit(0).alias("hops"))
+    states = scratch.cut(least(seeded.unionByName(offer(constant))), "taint")
+    changed = states
+    touched = every.where("origin is not null").select("group").distinct()
+    some_by_name, bars = not every.isEmpty(), None
+    while True:
+        offers = offer(either.join(changed, F.col("src") == F.col("value")).select("dst", "by_name", "cell", "hops"))
+        if some_by_name:
+            groups = every.join(changed.select(F.col("value").alias("src")).distinct(), "src", "left_semi").select("group").distinct()
+            groups = groups if touched is None else groups.unionByName(touched).distinct()
+            mine = every.join(groups, "group", "left_semi")
+            inputs = mine.join(states, F.col("src") == F.col("value")).select("group", "claim", "of", "dst", "cell", "hops").unionByName(fixed.join(groups, "group", "left_semi"))
+            inputs = scratch.cut(inputs.groupBy("group", "claim", "of", "dst", "cell").agg(F.min("hops").alias("hops")), "inputs")
+            held = inputs.join(_all_agree(inputs), "group").where(_strength() >= F.col("least"))
+            offers = offers.unionByName(offer(held.select("dst", F.lit(True).alias("by_name"), "cell", "hops")))
+            touched = None
+        merged = states.join(least(offers).withColumnRenamed("hops", "offered"), ["value", "cell"], "full")
+        better = F.col("offered").isNotNull() & (F.col("hops").isNull() | (F.col("offered") < F.col("hops")))
+        after = scratch.cut(merged.select("value", "cell", F.when(better, F.col("offered")).otherwise(F.col("hops")).alias("hops"), better.alias("changed")), "taint")
+        states, changed = after.drop("changed"), after.where("changed").drop("changed")
+        if changed.isEmpty():
+            break
+    inputs = every.join(states, F.col("src") == F.col("value")).select("group", "claim", "of", "cell", "hops").unionByName(fixed.drop("dst"))
+    bars = scratch.cut(_all_agree(inputs), "bars")
+    return states, bars
+
+
+def paths_of(edges: DataFrame, seeds: DataFrame, states: DataFrame, bars: DataFrame, scratch: Scratch) -> DataFrame:
+    """states with ``path``: the least of their shortest derivations, hop by hop."""
+    edges = scratch.cut(edges.join(bars, "group", "left").where("group is null or not by_name or least is not null").select("src", "origin", "dst", "by_name", "step", F.when(F.col("by_name") & F.col("group").isNotNull(), F.col("least")).alias("least")), "ways")
+    last = states.agg(F.max("hops")).first()[0]
+    if last is None:
+        return states.withColumn("path", F.array().cast("array<string>"))
+    start = seeds.select("value", (F.col("origin") * 2 + F.col("dispatch").cast("int")).alias("cell"), F.array("why").alias("path"))
+    begun = states.where("hops = 0").join(start, ["value", "cell"]).groupBy("value", "cell", "hops").agg(F.min("path").alias("path"))
+    done = now = scratch.cut(begun, "paths")
+    nothing = F.array().cast("array<string>")
+    constant = edges.where("origin is not null").select("dst", "by_name", "step", "least", (F.col("origin") * 2).alias("cell"), F.lit(0).alias("hops"), nothing.alias("path"))
+    for hop in range(1, last + 1):
+        ways = edges.where("src is not null").join(now, F.col("src") == F.col("value")).select("dst", "by_name", "step", "least", "cell", "hops", "path")
+        ways = ways.unionByName(constant) if hop == 1 else ways
+        ways = ways.where(F.col("least").isNull() | (_strength() >= F.col("least")))
+        offered = ways.select(F.col("dst").alias("value"), F.col("cell").bitwiseOR(F.col("by_name").cast("int")).alias("cell"), F.concat("path", F.array("step")).alias("path")).groupBy("value", "cell").agg(F.min("path").alias("path"))
+        now = scratch.cut(states.where(F.col("hops") == hop).join(offered, ["value", "cell"]).select("value", "cell", "hops", "path"), "paths")
+        done = done.unionByName(now)
+    return done
+
+
+def provenance(cell: Column, hops: Column, direct: Column) -> Column:
+    """The claim's name: origin, distance and whether a call was resolved by name."""
+    origin = F.element_at(F.array(*map(F.lit, ORIGIN_NAMES)), F.floor(cell / 2).cast("int") + 1)
+    distance = F.when(hops == 0, F.when(direct, "direct").otherwise("entry")).when(hops == 1, "1hop").otherwise("nhop")
+    return F.concat(origin, F.lit("_"), distance, F.when(cell % 2 == 1, "_dispatch").otherwise(""))
 
 
 class Taint:
-    """Settled states of all values of a repository.
-
-    Values are ("param", function, index), ("return", function), and ("call", function, line, own)
-    where ``own`` tells whether the function's own parameters count: in what it returns of its own
-    making they don't, as those are applied at each call (``ret_params``).
+    """The settled claims of all values, with their paths."""
+
+    def __init__(self, functions: DataFrame, modules: DataFrame, wire_types: DataFrame, triaged: DataFrame, scratch: Scratch, max_hops: int = MAX_HOPS, dispatch: bool = True):
+        self.calls = Calls(functions, modules, scratch, dispatch)
+        self.edges = edges_of(self.calls, scratch)
+        self.seeds = scratch.cut(seeds_of(self.calls, wire_types, triaged), "seeds")
+        self.states, self.bars = fixpoint(self.edges, self.seeds, max_hops, scratch)
+        self._scratch = scratch
+
+    def claims(self) -> DataFrame:
+        """value, cell, hops and path of the strongest claim of each value."""
+        best = self.states.groupBy("value").agg(F.min(_strength()).alias("best"))
+        paths = paths_of(self.edges, self.seeds, self.states, self.bars, self._scratch)
+        return best.select("value", F.floor(F.col("best") / _HOP_BITS).cast("int").alias("cell")).join(paths, ["value", "cell"])
+
+    def parameters(self) -> DataFrame:
+        """repo, function, index, origin, dispatch, hops, provenance and path of tainted parameters."""
+        known = self.calls.functions.select("repo", "key").distinct().withColumn("__kind", F.lit("P"))
+        parts = F.split("value", "\x01")
+        named = self.claims().where(F.startswith("value", F.lit("P\x01"))).select("*", parts[1].alias("repo"), parts[2].alias("key"), parts[3].cast("int").alias("index"))
+        return named.join(known, ["repo", "key"]).select("repo", F.col("key").alias("function"), "index", F.floor(F.col("cell") / 2).cast("int").alias("origin"), (F.col("cell") % 2 == 1).alias("dispatch"), "hops", provenance(F.col("cell"), F.col("hops"), F.lit(False)).alias("provenance"), "path")
+
+    def sinks(self, retain: bool = False) -> DataFrame:
+        """Sinks that external data reaches: see ``tainted_sinks``."""
+        sinks = self.calls.functions.withColumn("__f", F.monotonically_increasing_id()).select("repo", "key", "line", "params", "__f", F.posexplode("taint_sinks").alias("__s", "sink"))
+        read = F.col("sink.type") == "unbounded_read"
+        roots = F.coalesce("sink.roots", F.array())
+        bomb = read & F.array_contains(roots, "body") & F.array_contains(roots, "decomp")  # what a compressed body expands to has no bound
+        open_ = sinks if retain else sinks.where(~F.coalesce(read & F.array_contains(roots, "lim"), F.lit(False)))
+        cut = self._scratch.cut(open_.withColumn("roots", F.when(bomb, F.concat(roots, F.array(F.lit("src")))).otherwise(roots)), "sinks")
+        each = _rooted(cut.select("__f", "__s", "repo", "key", "roots"), "roots", F.lit(True))
+        index = F.when(F.startswith("root", F.lit("param:")), F.expr("try_cast(substr(root, 7) as int)"))
+        constant = each.where("origin is not null").select("__f", "__s", (F.col("origin") * 2).alias("cell"), F.lit(0).alias("hops"), F.lit(None).cast("int").alias("index"), F.array().cast("array<string>").alias("path"))
+        met = each.where("src is not null").join(self.claims(), F.col("src") == F.col("value")).select("__f", "__s", "cell", "hops", index.alias("index"), "path")
+        rank = F.struct("cell", "hops", F.col("index").isNull().alias("other"), F.coalesce("index", F.lit(0)).alias("at"), "path", "index")
+        best = constant.unionByName(met).groupBy("__f", "__s").agg(F.min(rank).alias("b"))
+        parameter = F.filter(F.coalesce("params", F.array()), lambda p: p["index"] == F.col("b.index"))
+        first = F.coalesce(F.get(parameter, F.lit(0))["first_use"], F.lit(0))
+        line = F.when((first > 0) & (first < F.col("sink.line")), first).otherwise(F.coalesce("line", "sink.line"))
+        return cut.join(best, ["__f", "__s"]).select(
+            "repo", F.col("key").alias("function"), F.col("sink.line").alias("sink_line"), F.col("sink.type").alias("sink_type"), F.substring(F.coalesce("sink.pattern", F.lit("")), 1, 80).alias("sink_desc"), line.alias("source_line"),
+            F.coalesce(F.get(parameter, F.lit(0))["name"], F.lit("")).alias("source_desc"), provenance(F.col("b.cell"), F.col("b.hops"), F.col("b.index").isNull()).alias("provenance"), F.col("b.path").alias("path"))
+
+
+def tainted_sinks(functions: DataFrame, modules: DataFrame, wire_types: DataFrame, triaged: DataFrame, scratch: Scratch, max_hops: int = MAX_HOPS, dispatch: bool = True, retain: bool = False) -> DataFrame:
+    """repo, function, sink_line, sink_type, sink_desc, source_line, source_desc, provenance and path of every sink that external data reaches.
+
+    The source line is the parameter's first use if that comes before the sink, else the function's line.
     """
+    return Taint(functions, modules, wire_types, triaged, scratch, max_hops, dispatch).sinks(retain)
+
 
-    def __init__(self, graph: CallGraph, wire_types: set[tuple[str, str]], triaged: dict[str, list[int]], max_hops: int = MAX_HOPS):
-        self.graph, self.max_hops = graph, max_hops
-        self.settled: dict[tuple, State] = {}
-        self._next: dict[tuple, list[tuple]] = defaultdict(list)  # value: (target, step or None, by name)
-        self._all: dict[tuple, int] = {}  # and-values: how many candidates they still wait for
-        self._heap: list[tuple] = []
-        self._connect()
-        for value, state in self._seeds(wire_types, triaged):
-            self._push(value, state)
-        while self._heap:
-            _, _, value, state = heapq.heappop(self._heap)
-            if value in self.settled:
-                continue
-            if self._all.get(value, 0) > 1:  # not the last candidate yet
-                self._all[value] -= 1
-                continue
-            self.settled[value] = state
-            for target, step, by_name in self._next[value]:
-                if step is None:
-                    self._push(target, state)
-                elif state.hops < self.max_hops:
-                    self._push(target, state.moved(step, by_name))
-
-    def _push(self, value: tuple, state: State) -> None:
-        heapq.heappush(self._heap, (state.rank, state.path, value, state))
-
-    def _value(self, key: str, root: str, own: bool) -> tuple | None:
-        kind, _, argument = root.partition(":")
-        if root in ROOT_ORIGIN:
-            return ("root", root)
-        if kind == "param" and argument:
-            return ("param", key, int(argument)) if own else None
-        return ("call", key, int(argument), own) if kind == "call" and argument else None
-
-    def _edges(self, key: str, roots, target: tuple, own: bool, step: str | None = None, by_name: bool = False) -> None:
-        for root in roots or ():
-            value = self._value(key, root, own)
-            if value is not None:
-                self._next[value].append((target, step, by_name))
-
-    def _connect(self) -> None:
-        g = self.graph
-        for key in g.keys:
-            f = g.functions[key]
-            self._edges(key, f.get("return_roots"), ("return", key), own=False)
-            for site in f.get("call_sites") or []:
-                targets, by_name = g.candidates(key, site)
-                for a in site.get("args") or []:
-                    for t in targets:
-                        if t != key:
-                            self._edges(key, a.get("roots"), ("param", t, a["index"]), True, f"{key}@L{site['line']}", by_name)
-            for n, site in enumerate(f.get("ret_calls") or []):
-                targets, by_name = g.candidates(key, site)
-                passed = {a["index"]: a.get("roots") for a in site.get("args") or []}
-                for own in (True, False):
-                    if not targets:
-                        continue
-                    result, step = ("call", key, site["line"], own), f"{key}@L{site['line']} ← {targets[0]}"
-                    every = ("every", key, n, own)
-                    if by_name:
-                        self._all[every] = len(targets)
-                        self._next[every].append((result, step, True))
-                    for t in targets:
-                        claim = ("claim", key, n, own, t)
-                        self._next[claim].append((every, None, False) if by_name else (result, step, False))
-                        self._next[("return", t)].append((claim, None, False))
-                        for i in g.functions[t].get("ret_params") or []:
-                            self._edges(key, passed.get(i), claim, own)
-
-    def _seeds(self, wire_types, triaged):
-        g = self.graph
-        for root, origin in ROOT_ORIGIN.items():
-            yield ("root", root), State(origin, False, 0, ())
-        for key, indexes in triaged.items():
-            for i in indexes:
-                yield ("param", key, int(i)), State(4, False, 0, (f"{key}: parameter {i} judged external by entry triage",))
-        called = {t for k in g.keys for c in g.functions[k].get("callees") or [] for t in g.candidates(k, c)[0]}
-        for key in g.keys:
-            f = g.functions[key]
-            for ref in f.get("callback_refs") or []:
-                targets, by_name = g.candidates(key, ref, arity=False)
-                for t in targets:
-                    for p in g.functions[t].get("params") or []:
-                        if p.get("name") not in (None, "_") and p.get("type") not in NOT_CALLBACK_DATA:
-                            yield ("param", t, p["index"]), State(3, by_name, 0, (f"{key}@L{ref['line']} hands {t} to other code",))
-            if key not in called:  # whoever calls it has decoded the value
-                for p in f.get("params") or []:
-                    folder = g.package_folder(p["type_pkg"]) if p.get("type_pkg") else g.folder(f["file"])
-                    if p.get("name") not in (None, "_") and (folder, p.get("type_base")) in wire_types:
-                        yield ("param", key, p["index"]), State(1, False, 0, (f"{key}: {p['name']} is {p.get('type')} (tagged struct)",))
-
-    def parameters(self) -> list[tuple[str, int, State]]:
-        return sorted(((v[1], v[2], s) for v, s in self.settled.items() if v[0] == "param" and v[1] in self.graph.functions), key=lambda x: x[:2])
-
-    def _reaches(self, key: str, sink: dict, retain: bool) -> tuple[State, int | None] | None:
-        """The best state among a sink's roots, and the parameter it came by."""
-        roots = set(sink.get("roots") or ())
-        if sink["type"] == "unbounded_read":
-            if "lim" in roots and not retain:
-                return None  # the reader is bounded
-            if {"body", "decomp"} <= roots:
-                roots.add("src")  # what a compressed body expands to has no bound
-        found = []
-        for root in roots - set(NO_DATA):
-            value = None if root.startswith(("varg:", "vret:")) else self._value(key, root, True)
-            if value in self.settled:
-                index = value[2] if value[0] == "param" else None
-                found.append((self.settled[value].rank, index is None, index or 0, self.settled[value], index))
-        return min(found, key=lambda x: x[:3])[3:] if found else None
-
-    def sinks(self, retain: bool = False) -> list[dict]:
-        """Sinks that external data reaches."""
-        out = []
-        for key in self.graph.keys:
-            f = self.graph.functions[key]
-            for sink in f.get("taint_sinks") or []:
-                reached = self._reaches(key, sink, retain)
-                if reached is None:
-                    continue
-                state, index = reached
-                parameter = next((p for p in f.get("params") or [] if p["index"] == index), {})
-                first = parameter.get("first_use") or 0
-                line = first if 0 < first < sink["line"] else f.get("line", sink["line"])
-                out.append({"function": key, "sink_line": sink["line"], "sink_type": sink["type"], "sink_desc": (sink.get("pattern") or "")[:80], "source_line": line, "source_desc": parameter.get("name", ""), "provenance": state.name(direct=index is None), "path": list(state.path)})
-        return out
-
-
-SINKS = "repo string, function string, sink_line int, sink_type string, sink_desc string, source_line int, source_desc string, provenance string, path array<string>"
-PARAMS = "repo string, function string, index int, origin int, dispatch boolean, hops int, provenance string, path array<string>"
-
-
-def _per_repository(functions: DataFrame, context: DataFrame, make, ddl: str, max_hops: int, dispatch: bool) -> DataFrame:
-    """``functions``: repo, facts (JSON); ``context``: repo, modules, wire_types, triaged (JSON)."""
-    columns = [x.split()[0] for x in ddl.split(", ")]
-
-    def of_repo(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame(columns=columns)
-        about = {k: json.loads(right[k].iloc[0]) if len(right) and right[k].iloc[0] else [] for k in ("modules", "wire_types", "triaged")}
-        graph = CallGraph([json.loads(x) for x in left["facts"]], [tuple(m) for m in about["modules"]], dispatch)
-        taint = Taint(graph, {tuple(w) for w in about["wire_types"]}, dict(about["triaged"] or {}), max_hops)
-        rows = [{"repo": left["repo"].iloc[0], **r} for r in make(taint)]
-        return pd.DataFrame(rows, columns=columns)
-
-    return functions.groupBy("repo").cogroup(context.groupBy("repo")).applyInPandas(of_repo, ddl)
-
-
-def tainted_sinks(functions: DataFrame, context: DataFrame, max_hops: int = MAX_HOPS, dispatch: bool = True, retain: bool = False) -> DataFrame:
-    return _per_repository(functions, context, lambda t: t.sinks(retain), SINKS, max_hops, dispatch)
-
-
-def tainted_parameters(functions: DataFrame, context: DataFrame, max_hops: int = MAX_HOPS, dispatch: bool = True) -> DataFrame:
-    make = lambda t: [{"function": k, "index": i, "origin": s.origin, "dispatch": s.dispatch, "hops": s.hops, "provenance": s.name(), "path": list(s.path)} for k, i, s in t.parameters()]
-    return _per_repository(functions, context, make, PARAMS, max_hops, dispatch)
-
-
-def as_facts(functions: DataFrame) -> DataFrame:
-    """repo and facts (JSON) from a table of typed columns."""
-    return functions.select("repo", F.to_json(F.struct(*[c for c in functions.columns if c != "repo"])).alias("facts"))
+def tainted_parameters(functions: DataFrame, modules: DataFrame, wire_types: DataFrame, triaged: DataFrame, scratch: Scratch, max_hops: int = MAX_HOPS, dispatch: bool = True) -> DataFrame:
+    return Taint(functions, modules, wire_types, triaged, scratch, max_hops, dispatch).parameters()
