@@ -63,11 +63,8 @@ def targets(sources: DataFrame, scratch: Scratch, max_epochs: int = 3) -> DataFr
     return ranked.withColumn("target", F.when(full, cap).otherwise(F.col("weight") * each))
 
 
-def apportion(parties: DataFrame, keys: list[str], claim: str, most: str, seats: str, totals: DataFrame, group: list[str], scratch: Scratch) -> DataFrame:
-    """``parties`` with ``quota``: in each group, ``seats`` by the highest quotients of ``claim``, at most ``most`` each.
-
-    ``totals`` holds for each group its number of parties, sum of claims and seats.
-    """
+def _seated(parties: DataFrame, keys: list[str], claim: str, most: str, seats: str, totals: DataFrame, group: list[str], scratch: Scratch) -> DataFrame:
+    """``parties`` with ``quota``; where some are full, seats may remain that others have room for."""
     if group:
         both = null_safe_join(parties, totals.select(*group, "parties", "claims", seats), group)
     else:
@@ -99,13 +96,42 @@ def apportion(parties: DataFrame, keys: list[str], claim: str, most: str, seats:
     return out.select(*parties.columns, (F.col("sure") + F.coalesce("extra", F.lit(0))).alias("quota"))
 
 
+def apportion(parties: DataFrame, keys: list[str], claim: str, most: str, seats: str, totals: DataFrame, group: list[str], scratch: Scratch) -> DataFrame:
+    """``parties`` with ``quota``: in each group, ``seats`` by the highest quotients of ``claim``, at most ``most`` each.
+
+    ``totals`` holds for each group its number of parties, sum of claims and seats.  A party that is full stays so as
+    more seats are dealt; so where seats remain, the full ones keep theirs and the rest is dealt anew among the others.
+    """
+    per = lambda df, *cols: df.groupBy(*group).agg(*cols) if group else df.agg(*cols)
+    done = None
+    while True:
+        given = scratch.cut(_seated(parties, keys, claim, most, seats, totals, group, scratch), "given")
+        able = F.col(claim) > 0
+        sums = per(given, F.sum("quota").alias("got"), F.sum(F.when(able, F.col(most))).alias("room"), F.count_if(able & (F.col("quota") < F.col(most))).alias("open"), F.sum(F.when(F.col("quota") >= F.col(most), F.col("quota"))).alias("full"))
+        lack = (F.col("got") < F.least(F.col(seats), F.col("room"))) & (F.col("open") > 0) & (F.col("full") > 0)
+        left = null_safe_join(totals.select(*group, seats), sums, group) if group else sums.withColumn(seats, F.lit(totals.first()[seats]))
+        short = scratch.cut(left.where(lack).select(*group, (F.col(seats) - F.col("full")).alias(seats), F.lit(True).alias("__short")), "short")
+        if short.isEmpty():
+            return given if done is None else done.unionByName(given)
+        told = null_safe_join(given, short.select(*group, "__short"), group, "left") if group else given.withColumn("__short", F.lit(True))
+        told = scratch.cut(told, "told")
+        on = F.coalesce("__short", F.lit(False)) & able & (F.col("quota") < F.col(most))
+        rest = told.where(~on).select(*given.columns)
+        done = rest if done is None else done.unionByName(rest)
+        parties = scratch.cut(told.where(on).select(*parties.columns), "open")
+        sizes = per(parties, F.count(F.lit(1)).alias("parties"), F.sum(claim).alias("claims"))
+        totals = null_safe_join(sizes, short.select(*group, seats), group) if group else sizes.withColumn(seats, F.lit(short.first()[seats]))
+
+
 def plan(docs: DataFrame, scratch: Scratch, seed: int = 17, max_epochs: int = 3, blocks: int = 2000, shard_words: int = 200_000, shard_blocks: int = 50) -> tuple[DataFrame, DataFrame]:
     """Rows and shards.
 
     Rows: one for each row of ``docs``: row (its number), doc_id, source, size, shard, begin (its first word's
     place in the shard).  Shards: source, shard, words, n (blocks), quota, stride, offset; source_size, target.
     """
-    sized = docs.select("row", "doc_id", "source", n_words_of(F.col("text")).alias("size"))
+    # rows without id are told apart by their texts, or all of one size would share a shard
+    other = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    sized = docs.select("row", "doc_id", "source", n_words_of(F.col("text")).alias("size"), other.alias("other"))
     sized = scratch.cut(sized, "sizes")
     sources = scratch.cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     aimed = scratch.cut(targets(sources, scratch, max_epochs), "targets")
@@ -113,9 +139,9 @@ def plan(docs: DataFrame, scratch: Scratch, seed: int = 17, max_epochs: int = 3,
     block = max(1.0, min((total or 0) / (blocks * max(1, n_sources)), shard_words / shard_blocks))
     with_source = null_safe_join(sized, aimed.select("source", "source_size", "target"), ["source"])
     shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))
-    spot = F.xxhash64(F.lit(seed), "doc_id", "size")
+    spot = F.xxhash64(F.lit(seed), "doc_id", "size", "other")  # a null adds nothing to the hash
     dealt = with_source.withColumn("shard", F.pmod(spot, shards).cast("long"))
-    in_shard = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "size", "row")
+    in_shard = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "size", "other", "row")
     placed = dealt.withColumn("begin", F.sum("size").over(in_shard.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = scratch.cut(placed, "placed")
     sharded = placed.groupBy("source", "shard", "source_size", "target").agg(F.sum("size").alias("words"))

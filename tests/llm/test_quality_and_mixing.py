@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -113,11 +114,27 @@ def test_quotas_of_sources_are_sainte_lague(spark, scratch, seats):
     totals = spark.createDataFrame([(len(rows), sum(r[1] for r in rows), seats)], "parties long, claims double, seats long")
     got = {r.source: r.quota for r in mixing.apportion(parties, ["source"], "target", "most", "seats", totals, [], scratch).collect()}
     order = sorted(rows, key=lambda r: (r[0] is None, (r[0] or "").encode()))
-    # a party at its cap leaves seats that the sure ones of the others didn't count on
-    want = sainte_lague({r[0]: r[1] for r in order}, {r[0]: r[2] for r in order}, seats)
-    if want["c"] < 9:
-        assert got == want
-    assert sum(got.values()) <= seats and all(got[r[0]] <= r[2] for r in rows) and got["d"] == 0
+    assert got == sainte_lague({r[0]: r[1] for r in order}, {r[0]: r[2] for r in order}, seats)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_seats_that_full_parties_leave(spark, scratch, seed):
+    rnd = random.Random(seed)
+    rows = [(g, p, float(rnd.choice([0, 1, 5, 5, 40, 300])), rnd.choice([1, 2, 10, 90])) for g in ("x", None) for p in range(rnd.randint(1, 9))]
+    seats = {g: rnd.randint(0, 200) for g in ("x", None)}
+    parties = spark.createDataFrame(rows, "source string, shard long, words double, most long")
+    totals = spark.createDataFrame([(g, sum(r[0] == g for r in rows), sum(r[2] for r in rows if r[0] == g), n) for g, n in seats.items()], "source string, parties long, claims double, seats long")
+    out = mixing.apportion(parties, ["source", "shard"], "words", "most", "seats", totals, ["source"], scratch).collect()
+    for g, n in seats.items():
+        mine = sorted(r for r in rows if r[0] == g)
+        assert {r.shard: r.quota for r in out if r.source == g} == sainte_lague({r[1]: r[2] for r in mine}, {r[1]: r[3] for r in mine}, n)
+
+
+def test_rows_without_id_are_dealt_to_all_shards(spark, scratch):
+    docs = spark.createDataFrame([(None, f"a{i} b c", "s") for i in range(400)], "doc_id long, text string, source string")
+    placed, _ = mixing.plan(docs.withColumn("row", F.lit(0).cast("long")), scratch, shard_words=60)
+    sizes = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 60
 
 
 def test_quotas_of_shards_are_sainte_lague(docs, scratch):
