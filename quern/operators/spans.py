@@ -131,6 +131,34 @@ def enclosing(points: DataFrame, ranges: DataFrame, group: list[str], pos: str,
     return p.join(r, inside).select(*[F.col(f"p.{c}").alias(c) for c in points.columns], *[F.col(f"r.{c}").alias(c) for c in ranges.columns if c not in group])
 
 
+def innermost(points: DataFrame, ranges: DataFrame, group: list[str], pos: str, start: str, end: str, keep: str, into: str) -> DataFrame:
+    """Points with ``keep`` of the innermost range of their group with start <= pos <= end in ``into``; null outside of all.
+
+    The ranges must nest.  Starts, points and ends are sorted once; the number of open ranges is a running sum, and the
+    range that a point lies in is the last one that was opened at its depth: no pairs, however deep ranges nest.
+    """
+    row, value = points.schema, ranges.schema[keep].dataType
+    begin = ranges.select(*group, F.col(start).alias("__p"), F.lit(0).alias("__o"), (-F.col(end)).cast("long").alias("__e"), F.lit(1).alias("__d"), F.col(keep).alias("__v"))
+    close = ranges.select(*group, F.col(end).alias("__p"), F.lit(2).alias("__o"), F.lit(0).cast("long").alias("__e"), F.lit(-1).alias("__d"), F.lit(None).cast(value).alias("__v"))
+    here = points.select(*group, F.col(pos).alias("__p"), F.lit(1).alias("__o"), F.lit(0).cast("long").alias("__e"), F.lit(0).alias("__d"), F.lit(None).cast(value).alias("__v"), F.struct(*points.columns).alias("__row"))
+    none = F.lit(None).cast(here.schema["__row"].dataType)
+    events = begin.unionByName(close).withColumn("__row", none).unionByName(here)
+    order = ["__p", "__o", "__e"]
+    depth = events.withColumn("__n", F.sum("__d").over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    level = Window.partitionBy(*group, "__n").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # at no depth nothing is open; an end belongs to the depth around it and opens nothing there
+    held = depth.withColumn(into, F.when(F.col("__n") > 0, F.last("__v", ignorenulls=True).over(level)))
+    return held.where("__o = 1").select(*[F.col(f"__row.`{f.name}`").alias(f.name) for f in row], into)
+
+
+def outermost(ranges: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
+    """Ranges that lie in no other of their group; of equal ones all.  The ranges must nest."""
+    before = Window.partitionBy(*group).orderBy(start, F.col(end).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    places = ranges.select(*group, start, end).distinct().withColumn("__reach", F.max(end).over(before))
+    free = places.where(F.col("__reach").isNull() | (F.col("__reach") < F.col(end))).drop("__reach")
+    return ranges.join(free, [*group, start, end], "left_semi")
+
+
 def near_any(facts: DataFrame, lines: DataFrame, group: list[str], pos: str, reach: int = 1) -> DataFrame:
     """Facts within ``reach`` of a line of their group; groups without lines keep all their facts."""
     hits = lines.select(*group, F.explode(F.sequence(F.col(pos) - reach, F.col(pos) + reach)).alias(pos)).distinct()

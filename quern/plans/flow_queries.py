@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.plans import flow, rules, taint
+from quern.plans import flow, rules, sink_rules, structure, taint
 from quern.plans.queries import _LINES_SQL, order_lines, query, table
 from quern.scratch import Scratch
 
@@ -193,3 +193,108 @@ def taint_sinks_reached(spark, directory):
     # a triaged parameter's own claim has a line of its path, but no hop
     steps = F.size("path") - F.startswith("provenance", F.lit("llm_")).cast("int")
     return out.select("function", "source_line", "source_desc", "provenance", steps.cast("long").alias("steps"))
+
+
+# -- structure ------------------------------------------------------------------------------------------
+
+#: Closures of each function: id, first and last token.
+_CLOSURES = (("a", 1, 100), ("b", 10, 50), ("c", 20, 30), ("d", 60, 90), ("e", 62, 64))
+
+
+@query(f"""WITH R AS (SELECT CAST(c_custkey AS VARCHAR) AS f, c_custkey AS k, id, lo, hi, (c_custkey + lo) % 3 <> 0 AND (c_custkey + hi) % 2 = 0 AS handler FROM customer, (VALUES {', '.join(map(str, _CLOSURES))}) v(id, lo, hi)),
+H AS (SELECT * FROM R WHERE handler AND NOT EXISTS (SELECT 1 FROM R o WHERE o.f = R.f AND o.handler AND o.lo < R.lo AND o.hi >= R.hi)),
+X AS (SELECT CAST(o_custkey AS VARCHAR) AS f, o_orderkey AS k, o_orderkey % 110 AS pos, o_orderstatus AS s FROM orders),
+I AS (SELECT X.f, X.k, X.s, arg_max(R.id, R.lo) AS id FROM X JOIN R ON R.f = X.f AND X.pos BETWEEN R.lo AND R.hi GROUP BY ALL)
+SELECT H.f AS function, H.id AS closure, H.lo AS line, coalesce(bool_or(I.s = 'O'), false) AS principal_check, coalesce(list_sort(list(CAST(I.k AS INTEGER)) FILTER (I.s = 'F' AND I.k % 4 < 3)), []) AS lines FROM H LEFT JOIN I ON I.f = H.f AND I.id = H.id GROUP BY ALL""")
+def closure_handlers_found(spark, directory):
+    """The outermost closures that handle requests, with what their own calls (not those of closures inside) look at; nested three deep."""
+    k, s = F.col("c_custkey"), F.col("o_orderstatus")
+    of = F.explode(F.array(*[F.struct(F.lit(i).alias("closure"), F.lit(a).alias("start"), F.lit(z).alias("end")) for i, a, z in _CLOSURES])).alias("r")
+    closures = table(spark, directory, "customer").select(k, of).select(_text("c_custkey").alias("function"), "r.*", ((k + F.col("r.start")) % 3 != 0).alias("escapes"), ((k + F.col("r.end")) % 2 == 0).alias("request"))
+    closures = closures.withColumn("line", F.col("start")).withColumn("end_line", F.col("end"))
+    o = F.col("o_orderkey")
+    args = F.array(F.struct(F.when(o % 4 == 0, "req.UserID").when(o % 4 == 1, "itemID").when(o % 4 == 2, "in.Id").otherwise("id").alias("text"), F.when(o % 4 == 3, F.array(F.lit("lim"))).otherwise(F.array(F.lit("src"))).alias("roots")))
+    calls = table(spark, directory, "orders").select(
+        _text("o_custkey").alias("function"), (o % 110).cast("int").alias("pos"), F.lit("a.go").alias("file"), o.cast("int").alias("line"), F.lit("repo").alias("prefix"),
+        F.when(s == "O", "CurrentUser").when(s == "F", "GetItem").otherwise("Zap").alias("name"), F.lit("call").alias("text"), args.alias("args"))
+    out = structure.closure_handlers(closures, calls, spark.createDataFrame([("a.go", "os", "os")], "file string, alias string, path string"))
+    return out.select("function", "closure", "line", "principal_check", F.col("resource_access.line").alias("lines"))
+
+
+@query(f"""WITH {_LINES_SQL},
+X AS (SELECT grp, pos, kind, status, part, quantity, concat('v', part % 3) AS a, concat('v', CAST(quantity AS BIGINT) % 3) AS b, concat('f', part % 7) AS call FROM L),
+G AS (SELECT *, 1 AS p, a AS name, pos AS at FROM X WHERE kind = 'R' AND status = 'O' OR kind = 'N' AND quantity > 10 UNION ALL SELECT *, 2, b, pos + 1 FROM X WHERE kind = 'N' AND quantity > 10),
+D AS (SELECT G.grp, G.pos, G.kind, G.p, G.name, G.call, arg_max(h.call, h.pos) AS made FROM G LEFT JOIN X h ON h.grp = G.grp AND h.kind = 'A' AND h.a = G.name AND h.pos <= G.at GROUP BY ALL),
+P AS (SELECT grp, pos, kind, p, name, CASE WHEN kind = 'R' AND made IS NOT NULL AND made <> call THEN [call, made] WHEN kind = 'R' THEN [call] WHEN made IS NULL THEN [] ELSE [made] END AS deps FROM D)
+SELECT CAST(grp AS VARCHAR) AS function, CAST(row_number() OVER (PARTITION BY grp ORDER BY pos) AS INTEGER) AS n, pos AS line, CASE kind WHEN 'R' THEN 'if' ELSE 'switch-case' END AS kind, string_agg(name, ' | ' ORDER BY p) AS condition, flatten(list(deps ORDER BY p)) AS depends_on
+FROM P WHERE pos <= CASE WHEN grp % 3 = 0 THEN 4 ELSE 99 END GROUP BY grp, pos, kind""")
+def guard_chains_found(spark, directory):
+    """The guards of functions up to a line, with what their conditions call and where their variables were assigned last."""
+    lines = order_lines(spark, directory)
+    at = lines.select(_text("grp").alias("function"), F.col("pos").alias("ord"), F.col("pos").alias("line"), F.col("grp").alias("g"), F.col("kind").alias("k"), "status", "quantity", F.concat(F.lit("v"), F.col("part") % 3).alias("a"), F.concat(F.lit("v"), F.col("quantity").cast("long") % 3).alias("b"), F.concat(F.lit("f"), F.col("part") % 7).alias("call"))
+    part = lambda line, name, *calls: F.struct(line.alias("line"), name.alias("text"), F.array(name).alias("idents"), F.array(*calls).cast("array<string>").alias("calls"))
+    # an if that doesn't return and a case without a result are no guards
+    ifs = at.where("k = 'R'").select("function", "ord", "line", F.lit("if").alias("kind"), (F.col("status") == "O").alias("has_return"), F.lit("").alias("returns"), F.array(part(F.col("line"), F.col("a"), F.col("call"))).alias("parts"))
+    cases = at.where("k = 'N'").select("function", "ord", "line", F.lit("switch-case").alias("kind"), F.lit(True).alias("has_return"), F.when(F.col("quantity") > 10, "403").alias("returns"), F.array(part(F.col("line"), F.col("a")), part(F.col("line") + 1, F.col("b"))).alias("parts"))
+    assigned = at.where("k = 'A'").select("function", "ord", "line", F.array("a", F.lit("_")).alias("names"), F.array("call").alias("calls"))
+    functions = lines.select(F.col("grp").alias("g")).distinct().select(_text("g").alias("function"), F.lit(1).alias("start_line"), F.lit(99).alias("end_line"), F.when(F.col("g") % 3 == 0, 4).alias("target_line"))
+    return structure.guard_chains(ifs.unionByName(cases), assigned, functions).select("function", "n", "line", "kind", "condition", "depends_on")
+
+
+# -- sinks ----------------------------------------------------------------------------------------------
+
+_URLS_SQL = """
+X AS (SELECT p_partkey AS k, ['%s://', 'https://', ''][p_partkey % 3 + 1] AS scheme, ['%s', 'h.example', '%s.%d'][p_partkey // 3 % 3 + 1] AS host, ['', ':%d', ':80'][p_partkey // 9 % 3 + 1] AS port, ['', '/a/%s', '?q=%s%%', '%v'][p_partkey // 27 % 4 + 1] AS rest FROM part),
+V AS (SELECT *, CAST(scheme = '%s://' AS INTEGER) AS s, CASE host WHEN '%s' THEN 1 WHEN '%s.%d' THEN 2 ELSE 0 END AS h, CAST(port = ':%d' AS INTEGER) AS p, CAST(rest <> '' AS INTEGER) AS r FROM X),
+W AS (SELECT *, [x FOR x IN (CASE WHEN s = 1 THEN [true] ELSE [] END || CASE h WHEN 1 THEN [true] WHEN 2 THEN [true, false] ELSE [] END || CASE WHEN p = 1 THEN [h < 2] ELSE [] END
+  || CASE WHEN r = 1 THEN [rest = '%v' AND h < 2 AND p = 0 AND (port <> ':%d') AND (h = 0)] ELSE [] END)] AS places FROM V)"""
+
+
+@query(f"""WITH {_URLS_SQL} SELECT k AS p_partkey, scheme || host || port || rest AS format, CASE WHEN scheme <> '' THEN places END AS verbs,
+CASE WHEN scheme <> '' THEN list_sort([concat('r', i) FOR i IN range(1, len(places) + 1) IF places[i]]) END AS auth, CASE WHEN scheme <> '' THEN list_sort([concat('r', i) FOR i IN range(1, len(places) + 1) IF NOT places[i]]) END AS path FROM W""")
+def url_formats(spark, directory):
+    """Verbs of formatted URLs by where they land, and the roots of the arguments there."""
+    k = F.col("p_partkey")
+    pick = lambda values, of: F.element_at(F.array(*map(F.lit, values)), (F.floor(k / of) % len(values) + 1).cast("int"))
+    text = F.concat(pick(["%s://", "https://", ""], 1), pick(["%s", "h.example", "%s.%d"], 3), pick(["", ":%d", ":80"], 9), pick(["", "/a/%s", "?q=%s%%", "%v"], 27))
+    p = table(spark, directory, "part").select("p_partkey", text.alias("format")).withColumn("verbs", sink_rules.verbs(F.col("format")))
+    args = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.array(F.concat(F.lit("r"), i.cast("string"))))
+    # as many arguments as verbs
+    split = sink_rules.format_split(F.col("format"), F.slice(args, F.lit(1), F.greatest(F.size("verbs"), F.lit(0))))
+    return p.select("p_partkey", "format", "verbs", split["auth"].alias("auth"), split["path"].alias("path"))
+
+
+@query("""WITH O AS (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS f, o_custkey % 2 = 0 AS sql, o_custkey % 5 = 0 AS safe, o_custkey % 3 = 0 AS writes, o_orderkey % 10 AS c,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat('param:', o_orderkey % 4) END AS r0, CASE WHEN o_orderkey % 6 < 4 THEN concat('call:', o_orderkey % 6) END AS r1 FROM orders),
+R AS (SELECT *, list_filter([r0], lambda x: x IS NOT NULL) AS a0, list_filter([r1], lambda x: x IS NOT NULL) AS a1, list_sort(list_distinct(list_filter([r0, r1], lambda x: x IS NOT NULL))) AS a FROM O),
+S AS (SELECT f, k, unnest(CASE c
+  WHEN 0 THEN [{'t': 'file_read', 'r': a0}] WHEN 1 THEN [{'t': CASE WHEN sql THEN 'sql_query' ELSE 'query_built' END, 'r': CASE WHEN sql OR k % 3 = 0 THEN a0 ELSE [] END}] WHEN 2 THEN [{'t': 'alloc_size', 'r': a1}]
+  WHEN 3 THEN CASE WHEN k % 3 = 0 THEN [{'t': 'http_request', 'r': a0}] WHEN k % 3 = 1 THEN [{'t': 'http_request', 'r': []}, {'t': 'url_path', 'r': a0}] ELSE [{'t': 'http_request', 'r': a0}] END
+  WHEN 4 THEN [{'t': 'response_write', 'r': CASE WHEN writes AND NOT safe THEN a ELSE [] END}] WHEN 5 THEN [{'t': 'query_built', 'r': CASE WHEN k % 3 = 0 THEN a0 ELSE [] END}]
+  WHEN 6 THEN [{'t': 'response_write', 'r': CASE WHEN writes AND NOT safe THEN a1 ELSE [] END}] WHEN 7 THEN [{'t': 'command_execution', 'r': a}] ELSE [] END) AS s FROM R)
+SELECT f AS function, CAST(k AS INTEGER) AS line, s.t AS type, s.r AS roots FROM S WHERE len(s.r) > 0""")
+def call_sinks_found(spark, directory):
+    """Orders as calls: which are sinks, and the roots of the arguments that matter."""
+    k, f = F.col("o_orderkey"), _text("o_custkey").alias("function")
+    case = k % 10
+    o = table(spark, directory, "orders").select("o_custkey", "o_orderkey")
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (case + 1).cast("int"))
+    code = pick("os.Open(", "db.Query(", "make(", "http.Get(", "w.Write(", "stmt.Query(", "fmt.Fprintf(", "exec.Command(", "strings.ToLower(", "run(")
+    prefix, name = F.nullif(F.regexp_extract(code, r"^(\w+)\.", 1), F.lit("")), F.regexp_extract(code, r"(\w+)\($", 1)
+    r0, r1 = F.when(k % 4 != 0, F.array(F.concat(F.lit("param:"), k % 4))), F.when(k % 6 < 4, F.array(F.concat(F.lit("call:"), k % 6)))
+    # the operand that a format, a concatenation or an identifier makes
+    id_ = lambda i: F.concat(F.lit(f"a{i}:"), k)
+    is_writer = case == 6
+    args = F.array(F.struct(F.when(is_writer, "w").otherwise(id_(0)).alias("value"), F.when(~is_writer, r0).alias("roots")), F.struct(id_(1).alias("value"), r1.alias("roots")))
+    calls = o.select(f, F.lit("a.go").alias("x"), F.when(F.col("o_custkey") % 2 == 0, "sql.go").otherwise("b.go").alias("file"), k.alias("call"), k.cast("int").alias("line"), code.alias("code"), prefix.alias("prefix"), name.alias("name"), F.when(prefix.isin("os", "http", "fmt", "strings"), prefix).alias("package"), prefix.alias("receiver"), code.alias("text"), args.alias("args")).drop("x")
+    parts = F.array(F.struct(F.when(case == 3, "http://").otherwise("select ").alias("literal"), F.lit(None).cast("array<string>").alias("roots")), F.struct(F.lit(None).cast("string").alias("literal"), r0.alias("roots")))
+    kind = F.when(k % 3 == 0, "concat").when(k % 3 == 1, "format").otherwise("other")
+    held = case.isin(1, 3, 5)
+    none = F.lit(None)
+    direct = o.where(held).select(f, F.concat(F.lit("def"), k).alias("value"), F.when((case == 3) | (kind != "format"), kind).otherwise("other").alias("kind"), none.cast("string").alias("name"), F.lit("http://h/%s").alias("format"), F.array(r0).alias("args"), parts.alias("parts"))
+    idents = o.where(held).select(f, id_(0).alias("value"), F.lit("ident").alias("kind"), F.concat(F.lit("v"), k).alias("name"), none.cast("string").alias("format"), none.cast("array<array<string>>").alias("args"), none.cast(direct.schema["parts"].dataType).alias("parts"))
+    definitions = o.where(held).select(f, F.concat(F.lit("v"), k).alias("name"), F.concat(F.lit("def"), k).alias("value"), F.lit(False).alias("append"), none.cast("array<string>").alias("roots"))
+    built = sink_rules.built(direct.unionByName(idents), definitions, Scratch(spark))
+    imports = spark.createDataFrame([("sql.go", "database/sql"), ("b.go", "database/sqlite")], "file string, package string")
+    writers = o.where(F.col("o_custkey") % 3 == 0).select(f, F.lit("w").alias("name"), (F.col("o_custkey") % 5 == 0).alias("safe")).distinct()
+    return sink_rules.call_sinks(calls, imports, built, writers).select("function", "line", "type", "roots")
