@@ -1,7 +1,7 @@
 """Prefix, substring and multi-strategy joins against dimension tables.
 
-Substring patterns have no equality to join by: their plans loop over the pattern table, which is
-broadcast where it is small.
+A substring has no equality to join by, but its grams of three characters have: a pattern meets the texts that hold
+its rarest gram, and only those are looked into.  So no plan loops over patterns, however many there are.
 
 Defined cases: a null text, path or key matches nothing; repeated rows each match; of ties the
 smallest rank, then pattern, holds; empty tables give empty results (or, for what must not match,
@@ -40,14 +40,46 @@ def longest_prefix(rows: DataFrame, prefixes: DataFrame, path: str, prefix: str,
     return met.select(*rows.columns, f"__b.{prefix}", *[f"__b.{c}" for c in extra])
 
 
+#: Characters in a gram; patterns that are looked through without a join.
+GRAM, FEW = 3, 500
+
+
+def _grams(c: str, n: int) -> Column:
+    """The distinct runs of n characters; found by one pass, as a place in a string costs its length to find."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def contained(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """__text, __pattern: each distinct text with each distinct pattern that it contains.  The empty pattern is a part of all."""
+    t = texts.select(F.col(text).alias("__text")).where("__text is not null").distinct()
+    p = patterns.select(F.col(pattern).alias("__pattern")).where("__pattern is not null").distinct()
+    sizes = sorted(r[0] for r in p.select(F.least(F.length("__pattern"), F.lit(GRAM))).distinct().collect())  # at most GRAM + 1 numbers
+    out = t.select("__text", F.lit("").alias("__pattern")) if 0 in sizes else t.select("__text", F.lit("").alias("__pattern")).where("false")
+    for n in [n for n in sizes if n]:
+        mine = p.where(F.length("__pattern") == n) if n < GRAM else p.where(F.length("__pattern") >= n)
+        of_pattern = mine.select("__pattern", F.explode(_grams("__pattern", n)).alias("__gram"))
+        of_text = t.select("__text", F.explode(_grams("__text", n)).alias("__gram")).join(of_pattern.select("__gram").distinct(), "__gram", "left_semi")
+        rarest = of_pattern.join(of_text.groupBy("__gram").count(), "__gram").groupBy("__pattern").agg(F.min(F.struct("count", "__gram"))["__gram"].alias("__gram"))
+        out = out.unionByName(of_text.join(rarest, "__gram").where(F.contains("__text", F.col("__pattern"))).select("__text", "__pattern"))
+    return out
+
+
 def first_pattern(rows: DataFrame, patterns: DataFrame, key: list[str], text: str, pattern: str = "pattern", kind: str = "kind", rank: str = "rank", gate: Column | None = None) -> DataFrame:
     """For each row, the pattern of least ``rank`` that its text contains (and whose gate holds); rows without one drop.
 
-    The pattern table is small (checked) and broadcast; the rows never move for the match.
+    Up to ``FEW`` patterns (a table of rules) become an expression: rows look through them where they are.  More of
+    them meet the texts by grams.
     """
-    small = bounded(patterns.select(*[F.col(c).alias(f"__{c}") for c in patterns.columns]))
-    hit = F.contains(F.col(text), F.col(f"__{pattern}"))
-    met = rows.join(small, hit if gate is None else hit & gate)
+    few = patterns.limit(FEW + 1).collect()
+    if 0 < len(few) <= FEW:
+        kinds = dict(patterns.dtypes)
+        listed = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(f"__{c}") for c in patterns.columns]) for r in few])
+        met = rows.withColumn("__h", F.explode(F.filter(listed, lambda p: F.contains(F.col(text), p[f"__{pattern}"])))).select(*rows.columns, "__h.*")
+    else:
+        known = patterns.select(*[F.col(c).alias(f"__{c}") for c in patterns.columns])
+        pairs = contained(rows, text, patterns, pattern).withColumnRenamed("__pattern", "__p")
+        met = rows.join(pairs, F.col(text) == F.col("__text")).join(known, F.col("__p") == F.col(f"__{pattern}"))
+    met = met if gate is None else met.where(gate)
     return met.groupBy(*key).agg(F.min(F.struct(F.col(f"__{rank}").alias("r"), F.col(f"__{pattern}").alias("p"), F.col(f"__{kind}").alias("k"))).alias("m")).select(*key, F.col("m.p").alias(pattern), F.col("m.k").alias(kind))
 
 
@@ -58,15 +90,16 @@ def gated(rows: DataFrame, imports: DataFrame, group: str, gate: str, package: s
     return rows.where(F.col(gate).isNull()).unionByName(rows.where(F.col(gate).isNotNull()).join(open_, [group, gate], "left_semi"))
 
 
-def either_contains(a: Column, b: Column) -> Column:
-    """Is one string a part of the other?  The empty string is a part of all."""
-    return F.contains(a, b) | F.contains(b, a)
+def related(texts: DataFrame, text: str, others: DataFrame, other: str) -> DataFrame:
+    """__text: the distinct texts that contain some other, or are a part of one."""
+    inside = contained(texts, text, others, other).select("__text")
+    around = contained(others, other, texts, text).select(F.col("__pattern").alias("__text"))
+    return inside.unionByName(around).distinct()
 
 
 def matching_calls(calls: DataFrame, names: DataFrame, key: list[str], call: str, name: str) -> DataFrame:
     """``key`` and matching (long): how many of each key's calls contain, or are contained in, some name."""
-    known = bounded(names.select(F.col(name).alias("__name")).distinct())
-    hit = calls.join(known, either_contains(F.col(call), F.col("__name")), "left_semi")
+    hit = calls.join(related(calls, call, names, name), F.col(call) == F.col("__text"), "left_semi")
     return hit.groupBy(*key).agg(F.count("*").alias("matching"))
 
 
@@ -121,5 +154,4 @@ def resolve_callees(sites: DataFrame, functions: DataFrame, max_candidates: int
 
 def not_covered(candidates: DataFrame, covered: DataFrame, name: str, pattern: str) -> DataFrame:
     """Candidates that contain, and are contained in, no covered pattern."""
-    small = bounded(covered.select(F.col(pattern).alias("__pattern")).distinct())
-    return candidates.join(small, either_contains(F.col(name), F.col("__pattern")), "left_anti")
+    return candidates.join(related(candidates, name, covered, pattern), F.col(name) == F.col("__text"), "left_anti")

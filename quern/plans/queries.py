@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import confidence, cvss, scalars
-from quern.operators import aggregates, graph, matching, ranks, spans, texts
+from quern.operators import aggregates, graph, matching, ranks, retrieval, spans, texts
 from quern.operators.null_safe import null_safe_join
 from quern.plans import gates, judge, rules, seeds, verify
 from quern.scratch import Scratch
@@ -432,11 +432,20 @@ def token_idf_topk(spark, directory):
     """The three benchmark items nearest to each by weighted shared words."""
     b = _tokens(table(spark, directory, "benchmark"), "item_id")
     weights = aggregates.idf(b, "item_id", "token", unique=True)
-    pairs = aggregates.overlap_scores(b, b.withColumnRenamed("item_id", "other"), "token", "item_id", "other", weights).where("item_id <> other")
-    pairs = pairs.withColumn("score", F.round("score", 4))
-    return aggregates.best_of_each(pairs, ["item_id"], [F.desc("score"), F.col("other")], 3).select("item_id", "other", "shared", "score")
+    near = retrieval.top_k(b.withColumnRenamed("item_id", "query"), b.withColumnRenamed("item_id", "item"), weights, 3, Scratch(spark), itself=False)
+    return near.select(F.col("query").alias("item_id"), F.col("item").alias("other"), "shared", "score")
 
 
+@query(f"""WITH {_TOKENS_SQL}, W AS (SELECT token, ln((SELECT count(DISTINCT item_id) FROM B) + 1) - ln(count(*) + 0.5) AS idf FROM B GROUP BY token),
+S AS (SELECT d.doc_id, b.item_id, count(*) AS shared, round(sum(w.idf), 4) AS score FROM D d JOIN B b ON d.token = b.token JOIN W w ON w.token = d.token GROUP BY ALL)
+SELECT doc_id, item_id, shared, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS r FROM S) WHERE r <= 3""")
+def documents_topk(spark, directory):
+    """The three benchmark items nearest to each document by weighted shared words, frequent ones met last."""
+    b = _tokens(table(spark, directory, "benchmark"), "item_id")
+    weights = aggregates.idf(b, "item_id", "token", unique=True)
+    d = _tokens(table(spark, directory, "documents"), "doc_id").withColumnRenamed("doc_id", "query")
+    near = retrieval.top_k(d, b.withColumnRenamed("item_id", "item"), weights, 3, Scratch(spark), common=16)
+    return near.select(F.col("query").alias("doc_id"), F.col("item").alias("item_id"), "shared", "score")
 
 
 # -- scores -------------------------------------------------------------------------------------------

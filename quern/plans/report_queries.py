@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import texts
-from quern.plans import gates, judge, prepare, producer, reports
+from quern.plans import binding, gates, judge, prepare, producer, reports
 from quern.plans.queries import query, table
 
 
@@ -20,6 +20,10 @@ def _case(key: Column, values: list, default=None) -> Column:
     return out
 
 
+def _text_of(c: Column) -> Column:
+    return c.cast("string")
+
+
 # -- prepared records -------------------------------------------------------------------------------
 
 def _patches(spark, directory) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -158,3 +162,29 @@ def findings_limited(spark, directory):
     k, s = F.col("o_orderkey"), F.col("o_orderstatus")
     found = table(spark, directory, "orders").select("o_orderkey", "o_orderdate", _case(k % 5, ["high", F.lit(None), "none", "low"], "odd").alias("severity"), F.lit(1.0).alias("confidence"), F.lit("x").alias("category"), F.when(s == "P", "refuted").otherwise("supported").alias("validation_status"))
     return gates.filtered_findings(found, ["x"], "low", statuses=["supported", "unknown"], limit=20, order=["o_orderdate", "o_orderkey"]).select("o_orderkey")
+
+
+# -- answers ----------------------------------------------------------------------------------------
+
+@query("""WITH O AS (SELECT o_custkey AS c, o_orderkey AS k, o_custkey % 7 AS b, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+F AS (SELECT c, bool_or(b = 2) OR bool_or(b = 3) AS odd FROM O GROUP BY c)
+SELECT CAST(c AS VARCHAR) AS batch, CAST(k AS VARCHAR) AS function_id,
+CASE WHEN b IN (0, 1) THEN 'invalid_response' WHEN odd THEN 'duplicate_or_unknown_id' WHEN b = 4 AND k % 5 = 0 THEN 'missing_id' WHEN k % 8 < 5 OR k % 8 = 5 AND k % 3 <> 0 THEN 'invalid_fact_schema' END AS reason FROM O JOIN F USING (c)""")
+def extraction_binding(spark, directory):
+    """a customer's answer bound to its orders whole or not at all, by id, and each entry by its schema."""
+    k, b = F.col("o_orderkey"), F.col("o_custkey") % 7
+    o = table(spark, directory, "orders").select("o_custkey", "o_orderkey")
+    fact = lambda field, kind, line: F.concat(F.lit('{"line":'), line, F.lit(f',"{field}":"'), kind, F.lit('","desc":"d"}'))
+    line = F.when(k % 8 == 2, '"7"').when(k % 8 == 3, "0").when(k % 8 == 5, "70").otherwise("7")
+    inputs = F.when(k % 8 == 1, "").otherwise(F.concat(F.lit('"semantic_inputs":['), fact("origin", F.lit("network"), F.lit("3")), F.lit("],")))
+    sinks = F.concat(F.lit('"semantic_sinks":['), fact("kind", F.when(k % 8 == 4, "nonsense").otherwise("sql"), line), F.lit("],"))
+    name = F.when(b == 5, '"function":').otherwise('"function_id":')
+    entry = lambda of: F.concat(F.lit("{"), name, F.lit('"'), of, F.lit('",'), F.when(k % 8 == 0, '"purpose":5,').otherwise('"purpose":"p",'), inputs, sinks, F.lit('"observed_checks":[]}'))
+    own = entry(_text_of(k))
+    parts = o.where(~((b == 4) & (k % 5 == 0))).groupBy("o_custkey").agg(F.array_sort(F.collect_list(own)).alias("e"))
+    c = F.col("o_custkey") % 7
+    entries = F.when(c == 2, F.concat("e", F.slice("e", 1, 1))).when(c == 3, F.concat("e", F.array(F.lit('{"function_id":"zz"}')))).otherwise(F.col("e"))
+    whole = F.concat(F.lit("["), F.array_join(entries, ","), F.lit("]"))
+    answers = o.select("o_custkey").distinct().join(parts, "o_custkey", "left").select(_text_of(F.col("o_custkey")).alias("batch"), F.when(c == 0, "no JSON").when(c == 1, '{"a": []}').otherwise(F.coalesce(whole, F.lit("[]"))).alias("response"))
+    asked = o.select(_text_of(F.col("o_custkey")).alias("batch"), _text_of(k).alias("function_id"), F.when(k % 3 != 0, 1).alias("low"), F.when(k % 3 != 0, 50).alias("high"))
+    return binding.bound(answers, asked).select("batch", "function_id", "reason")

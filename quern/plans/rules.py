@@ -164,6 +164,12 @@ def taint_findings(facts: DataFrame, checks: DataFrame, range_checks: DataFrame
     return _finding(spans_, source_type=F.lit("param_external"), source_provenance=F.col("provenance"), taint_path=F.col("path"), rule_id=F.when(read, "R4").otherwise("R2"))
 
 
+def _matched(rows: DataFrame, text: str, patterns: list[tuple[str, dict]]) -> DataFrame:
+    """Rows with the columns of each pattern (a regular expression; a rule, so few) that their text matches: no join."""
+    hits = F.array_compact(F.array(*[F.when(F.col(text).rlike(x), F.struct(*[F.lit(v).alias(n) for n, v in columns.items()])) for x, columns in patterns]))
+    return rows.withColumn("__hit", F.explode(hits)).select(*rows.columns, "__hit.*")
+
+
 def validator_findings(validators: DataFrame, purposes: DataFrame, check_facts: DataFrame, rules_table: dict | None = None, infer: bool = False) -> DataFrame:
     """Externally reachable validators whose body holds no strong check of the purpose they serve.
 
@@ -174,15 +180,15 @@ def validator_findings(validators: DataFrame, purposes: DataFrame, check_facts:
     spark = validators.sparkSession
     table = rules_table or seeds.PURPOSES
     dims = F.broadcast(spark.createDataFrame([(p, c, n) for p, (c, _, n, _, _) in table.items()], "purpose string, category string, inferring string"))
-    patterns = F.broadcast(spark.createDataFrame([(p, x, strong) for p, (_, _, _, s, w) in table.items() for strong, xs in ((True, s), (False, w)) for x in xs], "purpose string, pattern string, strong boolean"))
+    checks = [(x, {"purpose": p, "strong": strong}) for p, (_, _, _, s, w) in table.items() for strong, xs in ((True, s), (False, w)) for x in xs]
     named = F.col("name").rlike(seeds.VALIDATOR_NAME)
     fit = validators.where(named & (F.col("name").rlike(seeds.VALIDATOR_VERB) | F.col("last_result").isin("bool", "error")))
     direct = fit.join(purposes.select("function", "purpose").distinct(), "function").withColumn("inferred", F.lit(False))
     if infer:
         silent = fit.join(purposes.select("function").distinct(), "function", "left_anti").withColumn("__p", F.explode("params"))
-        by_name = silent.join(dims.where("inferring is not null").select("purpose", "inferring"), F.expr("__p rlike inferring")).drop("__p", "inferring").distinct()
+        by_name = _matched(silent, "__p", [(n, {"purpose": p}) for p, (_, _, n, _, _) in table.items() if n is not None]).drop("__p").distinct()
         direct = direct.unionByName(by_name.withColumn("inferred", F.lit(True)))
-    hits = check_facts.join(patterns, F.expr("text rlike pattern")).select("function", "purpose", "strong", "line", "text")
+    hits = _matched(check_facts, "text", checks).select("function", "purpose", "strong", "line", "text")
     open_ = direct.join(hits.where("strong").select("function", "purpose").distinct(), ["function", "purpose"], "left_anti")
     weak = hits.where("not strong").groupBy("function", "purpose").agg(F.min(F.struct("line", "text")).alias("w"))
     out = open_.join(dims.select("purpose", "category"), "purpose").join(weak, ["function", "purpose"], "left")
@@ -213,9 +219,9 @@ def callee_checks(call_sites: DataFrame, resolved: DataFrame, check_facts: DataF
     ``names``: fid, name of functions; the rest as in ``purposes_of``.
     """
     spark = call_sites.sparkSession
-    strong = F.broadcast(spark.createDataFrame([(c, x) for c, _, _, s, _ in seeds.PURPOSES.values() for x in s], "category string, pattern string"))
+    strong = [(x, {"category": c}) for c, _, _, s, _ in seeds.PURPOSES.values() for x in s]
     validators = names.where(F.col("name").rlike(seeds.VALIDATOR_NAME)).select(F.col("fid").alias("function"))
-    held = check_facts.join(validators, "function", "left_semi").join(strong, F.expr("text rlike pattern")).select(F.col("function").alias("fid"), "category").distinct()
+    held = _matched(check_facts.join(validators, "function", "left_semi"), "text", strong).select(F.col("function").alias("fid"), "category").distinct()
     calls = call_sites.where(F.col("name").rlike(seeds.VALIDATOR_NAME))
     out = calls.join(resolved, "site").join(held, "fid")
     return out.select("function", "line", "category", F.concat(F.lit(CALL), "name", F.lit(CALL_HOLDS), "category", F.lit(CALL_END)).alias("desc")).distinct()

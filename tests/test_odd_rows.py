@@ -72,11 +72,24 @@ def test_pattern_tables_of_any_size(spark):
     rows = spark.createDataFrame([(i, f"text {i} of p{i % 7} end") for i in range(40)], "id int, text string")
     patterns = spark.createDataFrame([(i, f"p{i}", "k") for i in range(5)], "rank int, pattern string, kind string")
     want = counted(matching.first_pattern(rows, patterns, ["id"], "text"))
-    small, matching.bounded = matching.bounded, lambda p: small(p, 2)
+    few, matching.FEW = matching.FEW, 2
     try:
         assert counted(matching.first_pattern(rows, patterns, ["id"], "text")) == want and sum(want.values()) > 20
     finally:
-        matching.bounded = small
+        matching.FEW = few
+
+
+def test_texts_meet_patterns_by_grams(spark):
+    import random
+
+    rnd = random.Random(8)
+    words = lambda n, most: ["".join(rnd.choices("ab.é\n", k=rnd.randint(0, most))) for _ in range(n)]
+    texts_, patterns = [*words(60, 12), None], [*words(30, 5), None, ""]
+    rows = lambda xs: spark.createDataFrame([(x,) for x in xs], "x string")
+    got = {tuple(r) for r in matching.contained(rows(texts_), "x", rows(patterns), "x").collect()}
+    assert got == {(t, p) for t in texts_ for p in patterns if t is not None and p is not None and p in t}
+    related = {r[0] for r in matching.related(rows(texts_), "x", rows(patterns[:6]), "x").collect()}
+    assert related == {t for t in texts_ if t is not None and any(p in t or t in p for p in patterns[:6])}
 
 
 def test_markdown_tells_what_it_leaves(spark):

@@ -111,70 +111,99 @@ def test_unknown_rules_are_refused():
 def test_binding_names_and_evidence(spark):
     t = facts(spark, sources=HTTP, sinks=WRITE)
     out = R.span_findings(R.merged_sources(t["points"], t["inputs"]), R.merged_sinks(t["points"], t["sinks"], R.Rules()), R.merged_checks(t["points"], t["checks"], None, None, R.Rules()), t["extraction"], R.Rules())
-    templates = spark.createDataFrame([("tpl_x", 1, "other", ["o"]), ("tpl_q", 3, "path_validation", ["late"]), ("tpl_p", 2, "path_validation", ["path_traversal"])], "template_id string, rank int, category string, pattern_names array<string>")
+    templates = spark.createDataFrame([("tmpl-a", 1, "other", ["o"]), ("tmpl-c", 3, "path_validation", ["late"]), ("tmpl-b", 2, "path_validation", ["dir_escape"])], "template_id string, rank int, category string, pattern_names array<string>")
     got = {r.category: r for r in R.bound(out, templates).collect()}
-    assert (got["path_validation"].template_id, got["path_validation"].pattern_name) == ("tpl_p", "path_traversal")
+    assert (got["path_validation"].template_id, got["path_validation"].pattern_name) == ("tmpl-b", "dir_escape")
     assert got["path_validation"].evidence == "L7 http_request → L19 file_write，跨度内无 path_validation 检查"
     assert (got["access_control"].template_id, got["access_control"].pattern_name) == ("", "access_control_via_file_write")
 
 
-def sizes(spark, checks=(), ranges=()):
-    f = "c.go:Cookie"
-    sources = spark.createDataFrame([(f, 109, "http_request", "x", False)], "function string, line int, type string, desc string, strong boolean")
-    size = spark.createDataFrame([(f, 130, "alloc_size", "n", "make([]string, n)"), (f, 136, "index_access", "i", "p[i-1]")], "function string, line int, type string, var string, pattern string")
-    guards = spark.createDataFrame([(f, n, v) for n, v in ranges], "function string, line int, var string")
-    observed = spark.createDataFrame([(f, n, c) for n, c in checks], "function string, line int, category string")
-    return sorted((r.category, r.sink_line) for r in R.size_findings(sources, observed, size, guards).collect())
-
-
-def test_sizes(spark):
-    assert sizes(spark) == [("bounds_check", 136), ("resource_limit", 130)]
-    assert sizes(spark, ranges=[(128, "n"), (134, "i")]) == []
-    assert sizes(spark, ranges=[(109, "n")]) == [("bounds_check", 136)]  # the low end counts for a range check
-    assert sizes(spark, ranges=[(130, "n"), (128, "m")]) == [("bounds_check", 136), ("resource_limit", 130)]
-    assert sizes(spark, checks=[(120, "resource_limit")]) == []
-    assert sizes(spark, checks=[(109, "resource_limit")]) == [("bounds_check", 136), ("resource_limit", 130)]
+def sizes(spark, points, checks=(), ranges=()):
+    """Categories and lines of the sizes of random functions; ``points``: function, line, kind, variable."""
+    sources = spark.createDataFrame([(f, n, "http_request", "", False) for f, n, k, _ in points if k == "source"], "function string, line int, type string, desc string, strong boolean")
+    size = spark.createDataFrame([(f, n, k, v, "") for f, n, k, v in points if k != "source"], "function string, line int, type string, var string, pattern string")
+    guards = spark.createDataFrame(list(ranges), "function string, line int, var string")
+    observed = spark.createDataFrame(list(checks), "function string, line int, category string")
+    return {(r.function, r.category, r.source_line, r.sink_line) for r in R.size_findings(sources, observed, size, guards).collect()}
+
+
+def test_sizes_by_brute_force(spark):
+    rnd = random.Random(31)
+    names, kinds = [f"pkg/q{i}.go:Q{i}" for i in range(25)], {"alloc_size": "resource_limit", "index_access": "bounds_check"}
+    points = list({(f, n): (f, n, rnd.choice(["source", *kinds]), rnd.choice("xyz")) for f in names for n in rnd.sample(range(1, 60), rnd.randint(0, 7))}.values())
+    ranges = [(f, rnd.randint(1, 60), rnd.choice("xyz")) for f in names for _ in range(rnd.randint(0, 3))]
+    checks = [(f, rnd.randint(1, 60), rnd.choice(list(kinds.values()))) for f in names for _ in range(rnd.randint(0, 1))]
+    want = set()
+    for f in names:
+        first = min((n for g, n, k, _ in points if g == f and k == "source"), default=None)
+        for g, n, k, v in points:
+            if g != f or k == "source" or first is None or first >= n:
+                continue
+            # a range check counts from the source's line on, another guard behind it
+            compared = any(h == f and w == v and first <= m < n for h, m, w in ranges)
+            guarded = any(h == f and first < m < n and c in kinds.values() for h, m, c in checks)
+            if not compared and not guarded:
+                want.add((f, kinds[k], first, n))
+    assert sizes(spark, points, checks, ranges) == want and len(want) > 10
 
 
 FACTS = "function string, sink_line int, sink_type string, sink_desc string, source_line int, source_desc string, provenance string, path array<string>"
+KINDS = {"file_read": ("path_validation", "R2"), "alloc_size": ("resource_limit", "R2"), "unbounded_read": ("resource_limit", "R4"), "redirect": ("origin_validation", "R2")}
 
 
 def taint(spark, rows, rules="R2,R4", checks=(), ranges=(), retain=False):
-    facts_ = spark.createDataFrame([("f", k, t, "", s, "", "net_direct", []) for k, t, s in rows], FACTS)
-    observed = spark.createDataFrame([("f", n, c) for n, c in checks], "function string, line int, category string")
-    guards = spark.createDataFrame([("f", n) for n in ranges], "function string, line int")
-    return sorted((r.category, r.sink_line, r.rule_id) for r in R.taint_findings(facts_, observed, guards, R.Rules.of(rules, retain)).collect())
-
-
-def test_tainted_parameters(spark):
-    assert taint(spark, [(172, "query_exec", 169), (180, "query_exec", 169)]) == [("output_encoding", 172, "R2")]
-    assert taint(spark, [(172, "query_exec", 169)], checks=[(169, "output_encoding")]) == []  # from the source's line on
-    assert taint(spark, [(172, "query_exec", 169)], checks=[(172, "output_encoding")]) == [("output_encoding", 172, "R2")]
-    assert taint(spark, [(20, "unbounded_read", 10)], checks=[(15, "resource_limit")]) == [("resource_limit", 20, "R4")]
-    assert taint(spark, [(20, "alloc_size", 10)], ranges=[15]) == [] and taint(spark, [(20, "file_read", 10)], ranges=[15]) == [("path_validation", 20, "R2")]
-    assert taint(spark, [(20, "unbounded_read", 10)], rules="R2") == [] and taint(spark, [(20, "file_read", 10)], rules="R4") == []
-    assert len(taint(spark, [(172, "query_exec", 169), (180, "query_exec", 169)], checks=[(170, "output_encoding")], retain=True)) == 2
+    facts_ = spark.createDataFrame([(f, k, t, "", s, "", "net_direct", []) for f, k, t, s in rows], FACTS)
+    observed = spark.createDataFrame(list(checks), "function string, line int, category string")
+    guards = spark.createDataFrame(list(ranges), "function string, line int")
+    return sorted((r.function, r.category, r.sink_line, r.rule_id) for r in R.taint_findings(facts_, observed, guards, R.Rules.of(rules, retain)).collect())
+
+
+def test_tainted_parameters_by_brute_force(spark):
+    rnd = random.Random(32)
+    names = [f"svc/t{i}.go:T{i}" for i in range(30)]
+    rows = [(f, s + rnd.randint(1, 20), rnd.choice(list(KINDS)), s) for f in names for s in [rnd.randint(3, 30)] for _ in range(rnd.randint(0, 5))]
+    checks = [(f, rnd.randint(1, 50), rnd.choice([c for c, _ in KINDS.values()])) for f in names for _ in range(rnd.randint(0, 2))]
+    ranges = [(f, rnd.randint(1, 50)) for f in names for _ in range(rnd.randint(0, 1))]
+
+    def by_hand(only, retain):
+        held = []
+        for f, sink, kind, source in rows:
+            category, rule = KINDS[kind]
+            checked = any(g == f and c == category and source <= n < sink for g, n, c in checks)
+            compared = kind == "alloc_size" and any(g == f and source <= n < sink for g, n in ranges)
+            # what bounds a read is its reader alone
+            if rule in only and (retain or rule == "R4" or not checked and not compared):
+                held.append((f, category, sink, rule, source, kind))
+        first = {}
+        for f, category, sink, rule, source, kind in held:
+            first[f, category] = min(first.get((f, category), (sink, source, kind, rule)), (sink, source, kind, rule))
+        return sorted(h[:4] for h in held) if retain else sorted((f, c, sink, rule) for (f, c), (sink, _, _, rule) in first.items())
+
+    for only, retain in (("R2,R4", False), ("R2", False), ("R4", False), ("R2,R4", True)):
+        want = by_hand(only, retain)
+        assert taint(spark, rows, only, checks, ranges, retain) == want and len(want) > 5
 
 
 VALIDATORS = "function string, name string, last_result string, line int, end_line int, source_line int, params array<string>, provenance string, path array<string>"
 
 
 def test_validators(spark):
+    """A redirect target is held by a check of its second character, and not by one of its first alone."""
     v = spark.createDataFrame([
-        ("redirect.go:validateRedirectTarget", "validateRedirectTarget", "bool", 10, 30, 12, ["target"], "net_1hop", []), ("redirect.go:validateStrict", "validateStrict", "bool", 40, 60, 0, ["target"], "net_1hop", []),
-        ("url.go:validateHomepageURL", "validateHomepageURL", "error", 5, 20, 6, ["homepageURL"], "net_entry", []), ("url.go:checkNotEmpty", "checkNotEmpty", "string", 22, 25, 23, ["url"], "net_entry", []),
+        ("nav/next.go:verifyNext", "verifyNext", "bool", 3, 19, 4, ["next"], "net_1hop", []), ("nav/next.go:verifyNextHop", "verifyNextHop", "bool", 31, 47, 0, ["next"], "net_1hop", []),
+        ("shop/link.go:validateShopURL", "validateShopURL", "error", 8, 26, 9, ["shopURL"], "net_entry", []), ("shop/link.go:trimLink", "trimLink", "string", 28, 33, 29, ["link"], "net_entry", []),
     ], VALIDATORS)
-    purposes = spark.createDataFrame([("redirect.go:validateRedirectTarget", "redirect"), ("redirect.go:validateStrict", "redirect")], "function string, purpose string")
+    purposes = spark.createDataFrame([("nav/next.go:verifyNext", "redirect"), ("nav/next.go:verifyNextHop", "redirect")], "function string, purpose string")
     checks = spark.createDataFrame([
-        ("redirect.go:validateRedirectTarget", 15, 'strings.HasPrefix(target, "/")'), ("redirect.go:validateStrict", 45, 'strings.HasPrefix(target, "//")'),
-        ("redirect.go:validateStrict", 44, 'strings.HasPrefix(target, "/")'), ("url.go:validateHomepageURL", 9, "url.Parse(homepageURL)"),
+        ("nav/next.go:verifyNext", 11, 'strings.HasPrefix(next, "/")'), ("nav/next.go:verifyNextHop", 39, 'strings.HasPrefix(next, "//")'),
+        ("nav/next.go:verifyNextHop", 36, 'strings.HasPrefix(next, "/")'), ("shop/link.go:validateShopURL", 14, "url.Parse(shopURL)"),
     ], "function string, line int, text string")
     got = {r.function: r for r in R.validator_findings(v, purposes, checks).collect()}
-    assert set(got) == {"redirect.go:validateRedirectTarget"}
-    r = got["redirect.go:validateRedirectTarget"]
-    assert (r.category, r.source_line, r.sink_line, r.purpose_inferred) == ("origin_validation", 12, 15, False) and "HasPrefix" in r.sink_desc
+    assert set(got) == {"nav/next.go:verifyNext"}
+    r = got["nav/next.go:verifyNext"]
+    assert (r.category, r.source_line, r.sink_line, r.purpose_inferred) == ("origin_validation", 4, 11, False) and "HasPrefix" in r.sink_desc
     inferred = {r.function: r.purpose_inferred for r in R.validator_findings(v, purposes, checks, infer=True).collect()}
-    assert inferred == {"redirect.go:validateRedirectTarget": False, "url.go:validateHomepageURL": True}
+    assert inferred == {"nav/next.go:verifyNext": False, "shop/link.go:validateShopURL": True}
 
 
 def test_peers(spark):
@@ -219,7 +248,7 @@ def test_scored_findings_end_to_end(spark):
     rules = R.Rules()
     checks = R.merged_checks(t["points"], t["checks"], None, None, rules)
     out = R.span_findings(R.merged_sources(t["points"], t["inputs"]), R.merged_sinks(t["points"], t["sinks"], rules), checks, t["extraction"], rules)
-    templates = spark.createDataFrame([("tpl_p", 1, "path_validation", ["path_traversal"])], "template_id string, rank int, category string, pattern_names array<string>")
+    templates = spark.createDataFrame([("tmpl-b", 1, "path_validation", ["dir_escape"])], "template_id string, rank int, category string, pattern_names array<string>")
     found = R.bound(R.ordered_dedup(out), templates)
     flows = spark.createDataFrame([(F1, ["http_request"], ["file_write"], [7, 19], [7], [])], "function string, source_types array<string>, sink_types array<string>, lines array<int>, source_lines array<int>, checks array<struct<category:string,line:int>>")
     sources = spark.createDataFrame([(F1, "\n" * 60, 1)], "function string, source string, start_line int")
