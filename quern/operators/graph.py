@@ -20,13 +20,15 @@ def reach(edges: DataFrame, seeds: DataFrame, max_hops: int, scratch: Scratch) -
     """node, state: for each node the best (origin, dispatch, hops, path) by which a seed reaches it.
 
     ``edges``: caller, callee, dispatch, label.  ``seeds``: node, origin, label.  States compare by
-    origin, then exact before dispatch, then hops, then path.
+    origin, then exact before dispatch, then hops, then path; a state goes on from its caller's best, so its path
+    is the least of those.  (``plans.taint`` keeps a state of each kind, where a cap on hops must lose nothing.)
     """
+    edges = scratch.cut(edges.where("caller <> callee").select("caller", "callee", "dispatch", "label").distinct(), "edges")
     state = F.struct("origin", F.lit(False).alias("dispatch"), F.lit(0).alias("hops"), F.array("label").alias("path"))
     best = scratch.cut(seeds.select("node", state.alias("state")).groupBy("node").agg(F.min("state").alias("state")), "reach")
     fresh = best
     for _ in range(max_hops):
-        step = fresh.join(edges.where("caller <> callee"), fresh.node == edges.caller).where(F.col("state.hops") < max_hops)
+        step = fresh.join(edges, fresh.node == edges.caller).where(F.col("state.hops") < max_hops)
         moved = F.struct(
             F.col("state.origin"), (F.col("state.dispatch") | F.col("dispatch")).alias("dispatch"),
             (F.col("state.hops") + 1).alias("hops"), F.concat(F.col("state.path"), F.array("label")).alias("path"))

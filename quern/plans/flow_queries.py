@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.plans import flow, rules, sink_rules, structure, taint
 from quern.plans.queries import _LINES_SQL, order_lines, query, table
 from quern.scratch import Scratch
+from quern.streaming import scheduling
 
 
 def _text(c) -> Column:
@@ -298,3 +299,19 @@ def call_sinks_found(spark, directory):
     imports = spark.createDataFrame([("sql.go", "database/sql"), ("b.go", "database/sqlite")], "file string, package string")
     writers = o.where(F.col("o_custkey") % 3 == 0).select(f, F.lit("w").alias("name"), (F.col("o_custkey") % 5 == 0).alias("safe")).distinct()
     return sink_rules.call_sinks(calls, imports, built, writers).select("function", "line", "type", "roots")
+
+
+# -- scheduling -----------------------------------------------------------------------------------------
+
+@query("""WITH W AS (SELECT o_custkey AS run, o_orderkey AS item, o_orderstatus = 'F' AS member, CAST(o_totalprice AS BIGINT) AS ord, CAST(o_orderkey % 5 = 0 AS INTEGER) AS used, CASE WHEN o_orderkey % 8 < 5 THEN o_orderkey % 8 + 2 ELSE 6 END AS need FROM orders WHERE o_orderkey % 9 <> 0),
+C AS (SELECT *, unnest(range(used + 1, need + 1)) AS round FROM W),
+T AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY member, round - used, NOT member AND used > 0, ord, item) AS turn FROM C)
+SELECT run, CAST(turn AS INTEGER) AS turn, item, CAST(round AS INTEGER) AS round FROM T WHERE turn <= 25""")
+def schedule_replayed(spark, directory):
+    """V4, X-c: who is asked when, by recorded answers: a customer's orders in rounds, pending ones in the queue of members, 25 calls in all."""
+    k = F.col("o_orderkey")
+    o = table(spark, directory, "orders")
+    work = o.select(F.col("o_custkey").alias("run"), k.alias("item"), (F.col("o_orderstatus") == "F").alias("member"), F.round("o_totalprice").cast("long").alias("ord"), (k % 5 == 0).cast("int").alias("used"), (k % 9 == 0).alias("done"))
+    rounds = F.explode(F.sequence(F.lit(1), F.lit(6))).alias("round")
+    answers = o.select(F.col("o_custkey").alias("run"), k.alias("item"), rounds).withColumn("finished", (F.col("item") % 8 < 5) & (F.col("round") >= F.col("item") % 8 + 2))
+    return scheduling.replayed(work, answers, 25)

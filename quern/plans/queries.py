@@ -393,18 +393,22 @@ def repo_inventory(spark, directory):
     return p.groupBy("host").agg(F.count("*").alias("pages"), secure.alias("secure"), (2 * secure + 1).alias("snapshots"))
 
 
-@query("""WITH S AS (SELECT p_brand AS v, p_type AS c, 'part' AS s FROM part UNION ALL SELECT c_mktsegment, CAST(c_nationkey AS VARCHAR), 'customer' FROM customer UNION ALL SELECT event_type, CAST(user_id % 3 AS VARCHAR), 'events' FROM events)
-SELECT v AS value, count(*) AS total, count(DISTINCT c) AS categories, count(DISTINCT s) AS streams FROM S GROUP BY v""")
+@query("""WITH S AS (SELECT p_brand AS v, p_type AS c, 'part' AS s FROM part UNION ALL SELECT c_mktsegment, CAST(c_nationkey AS VARCHAR), 'customer' FROM customer UNION ALL SELECT event_type, CAST(user_id % 3 AS VARCHAR), 'events' FROM events
+  UNION ALL SELECT CASE WHEN o_custkey % 4 = 0 THEN 'BUILDING' ELSE 'view' END, o_orderstatus, 'orders' FROM orders),
+C AS (SELECT v, c, count(*) AS n FROM S GROUP BY ALL), T AS (SELECT v, s, count(*) AS n FROM S GROUP BY ALL)
+SELECT v AS value, (SELECT CAST(sum(n) AS BIGINT) FROM C x WHERE x.v = C.v) AS total, list_sort(list(concat(c, '=', n))) AS categories, (SELECT list_sort(list(concat(s, '=', n))) FROM T WHERE T.v = C.v) AS streams FROM C GROUP BY v""")
 def mine_candidates(spark, directory):
-    """Values of three streams counted in all, by category and by stream."""
+    """Values of four streams counted in all, by category and by stream."""
     t = lambda n: table(spark, directory, n)
     streams = [
         ("part", t("part").select(F.col("p_brand").alias("value"), F.col("p_type").alias("c"))),
         ("customer", t("customer").select(F.col("c_mktsegment").alias("value"), F.col("c_nationkey").alias("c"))),
         ("events", t("events").select(F.col("event_type").alias("value"), (F.col("user_id") % 3).alias("c"))),
+        ("orders", t("orders").select(F.when(F.col("o_custkey") % 4 == 0, "BUILDING").otherwise("view").alias("value"), F.col("o_orderstatus").alias("c"))),
     ]
     out = aggregates.counters(streams, "value", "c")
-    return out.select("value", "total", F.size("by_category").cast("long").alias("categories"), F.size("by_stream").cast("long").alias("streams"))
+    told = lambda c: F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return out.select("value", "total", told("by_category").alias("categories"), told("by_stream").alias("streams"))
 
 
 # -- retrieval ---------------------------------------------------------------------------------------
@@ -463,12 +467,23 @@ Z AS (SELECT *, CASE WHEN im <= 0 THEN 0.0 WHEN units % 10000 = 0 THEN units / 1
 _SEVERITY_SQL = "CASE WHEN raw >= 9 THEN 'critical' WHEN raw >= 7 THEN 'high' WHEN raw >= 4 THEN 'medium' WHEN raw >= 0.1 THEN 'low' ELSE 'none' END AS severity"
 
 
-@query(f"""WITH V AS (SELECT AV, AC, PR, UI, S, C, I, A FROM {', '.join(f"(SELECT unnest([{', '.join(repr(x) for x in v)}]) AS {m})" for m, v in cvss.VALUES.items())}), {_SCORE_SQL}
-SELECT concat('CVSS:3.1/AV:', AV, '/AC:', AC, '/PR:', PR, '/UI:', UI, '/S:', S, '/C:', C, '/I:', I, '/A:', A) AS vector, CAST(raw AS DOUBLE) AS score, {_SEVERITY_SQL} FROM Z""")
+def _places() -> dict[str, tuple[int, tuple[str, ...]]]:
+    """Of each metric, by how many combinations of those before it a key steps on to its next value."""
+    out, step = {}, 1
+    for m, values in cvss.VALUES.items():
+        out[m] = step, tuple(values)
+        step *= len(values)
+    return out
+
+
+@query(f"""WITH V AS (SELECT l_orderkey, l_linenumber, l_partkey, {', '.join(f"list_extract([{', '.join(repr(x) for x in v)}], CAST((l_orderkey * 7 + l_partkey) // {n} % {len(v)} AS INTEGER) + 1) AS {m}" for m, (n, v) in _places().items())} FROM lineitem), {_SCORE_SQL}
+SELECT l_orderkey, l_linenumber, l_partkey, concat('CVSS:3.1/AV:', AV, '/AC:', AC, '/PR:', PR, '/UI:', UI, '/S:', S, '/C:', C, '/I:', I, '/A:', A) AS vector, CAST(raw AS DOUBLE) AS score, {_SEVERITY_SQL} FROM Z""")
 def cvss_enumerate(spark, directory):
-    """All 2,592 vectors with score and severity."""
-    m = F.struct(*cvss.METRICS)
-    scored = cvss.domain(spark).select(cvss.vector(m).alias("vector"), cvss.base_score(m).alias("score"))
+    """Order lines given vectors that run through all 2,592, with score and severity."""
+    at = F.col("l_orderkey") * 7 + F.col("l_partkey")
+    pick = lambda n, values: F.element_at(F.array(*map(F.lit, values)), (F.floor(at / n) % len(values) + 1).cast("int"))
+    lines = table(spark, directory, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.struct(*[pick(*_places()[m]).alias(m) for m in cvss.METRICS]).alias("m"))
+    scored = lines.select("l_orderkey", "l_linenumber", "l_partkey", cvss.vector(F.col("m")).alias("vector"), cvss.base_score(F.col("m")).alias("score"))
     return scored.withColumn("severity", cvss.severity(F.col("score")))
 
 
