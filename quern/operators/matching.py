@@ -1,7 +1,8 @@
 """Prefix, substring and multi-strategy joins against dimension tables.
 
 A substring has no equality to join by, but its grams of three characters have: a pattern meets the texts that hold
-its rarest gram, and only those are looked into.  So no plan loops over patterns, however many there are.
+its rarest gram, and only those are looked into.  So no plan loops over patterns, however many there are; up to ``FEW``
+of them, which a table of rules is, are an expression that texts evaluate where they lie.
 
 Defined cases: a null text, path or key matches nothing; repeated rows each match; of ties the
 smallest rank, then pattern, holds; empty tables give empty results (or, for what must not match,
@@ -53,6 +54,9 @@ def contained(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) ->
     """__text, __pattern: each distinct text with each distinct pattern that it contains.  The empty pattern is a part of all."""
     t = texts.select(F.col(text).alias("__text")).where("__text is not null").distinct()
     p = patterns.select(F.col(pattern).alias("__pattern")).where("__pattern is not null").distinct()
+    few = [r[0] for r in p.limit(FEW + 1).collect()]
+    if 0 < len(few) <= FEW:  # each text looks through them
+        return t.select("__text", F.explode(F.filter(F.array(*map(F.lit, few)), lambda x: F.contains("__text", x))).alias("__pattern"))
     sizes = sorted(r[0] for r in p.select(F.least(F.length("__pattern"), F.lit(GRAM))).distinct().collect())  # at most GRAM + 1 numbers
     out = t.select("__text", F.lit("").alias("__pattern")) if 0 in sizes else t.select("__text", F.lit("").alias("__pattern")).where("false")
     for n in [n for n in sizes if n]:
@@ -67,8 +71,7 @@ def contained(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) ->
 def first_pattern(rows: DataFrame, patterns: DataFrame, key: list[str], text: str, pattern: str = "pattern", kind: str = "kind", rank: str = "rank", gate: Column | None = None) -> DataFrame:
     """For each row, the pattern of least ``rank`` that its text contains (and whose gate holds); rows without one drop.
 
-    Up to ``FEW`` patterns (a table of rules) become an expression: rows look through them where they are.  More of
-    them meet the texts by grams.
+    Rows look through up to ``FEW`` patterns (a table of rules) where they are; more of them meet the texts by grams.
     """
     few = patterns.limit(FEW + 1).collect()
     if 0 < len(few) <= FEW:

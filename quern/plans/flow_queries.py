@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.plans import flow, rules, sink_rules, structure, taint
+from quern.operators import texts
+from quern.plans import flow, rules, sink_rules, structure, taint, tools
 from quern.plans.queries import _LINES_SQL, order_lines, query, table
 from quern.scratch import Scratch
 from quern.streaming import scheduling
@@ -315,3 +316,76 @@ def schedule_replayed(spark, directory):
     rounds = F.explode(F.sequence(F.lit(1), F.lit(6))).alias("round")
     answers = o.select(F.col("o_custkey").alias("run"), k.alias("item"), rounds).withColumn("finished", (F.col("item") % 8 < 5) & (F.col("round") >= F.col("item") % 8 + 2))
     return scheduling.replayed(work, answers, 25)
+
+
+# -- look-ups -------------------------------------------------------------------------------------------
+
+_LOOKUPS_SQL = """
+DOC AS (SELECT CAST(doc_id AS VARCHAR) AS file, doc_id AS d, text FROM documents WHERE text IS NOT NULL),
+LN AS (SELECT file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM DOC),
+SZ AS (SELECT file, max(n) AS size FROM LN GROUP BY file),
+FN AS (SELECT concat(file, '#', k) AS fid, file, CAST(k * 10 + 1 AS INTEGER) AS lo, CAST(k * 10 + 10 AS INTEGER) AS hi FROM SZ, range(0, 3) r(k)),
+ED AS (SELECT concat(o_custkey % 150, '#', o_orderkey % 3) AS a, CASE WHEN o_orderkey % 7 > 0 THEN concat(o_custkey * 3 % 150, '#', o_orderkey % 2) END AS b, CAST(o_custkey % 150 AS VARCHAR) AS file, CAST(o_orderkey AS INTEGER) AS line FROM orders),
+US AS (SELECT CAST(o_custkey % 150 AS VARCHAR) AS file, o_orderkey AS ord, concat('F', o_orderkey % 40) AS name, CAST(o_orderkey % 30 + 1 AS INTEGER) AS line, CASE WHEN o_orderkey % 2 = 0 THEN 'T' END AS t FROM orders),
+RT AS (SELECT p_partkey AS run, CAST(t AS INTEGER) AS turn, p_partkey % 8 + 1 AS e FROM part, range(1, 8) x(t) WHERE t <= 6 AND (p_partkey % 13 <> 0 OR t < 3)),
+RQ AS (SELECT run, turn, unnest([0, 1]) AS ord FROM RT WHERE turn < e),
+RQ2 AS (SELECT *, (run + turn + ord * 3) % 8 AS c, CAST((run * 7 + turn) % 160 AS VARCHAR) AS file, concat((run * 7 + turn) % 160, '#', run % 4) AS fid FROM RQ),
+RD AS (SELECT run, turn, ord, file, CAST(run % 9 + 1 AS INTEGER) AS s, CAST(run % 9 + 1 + CASE WHEN run % 3 = 0 THEN 500 ELSE turn * 2 END AS INTEGER) AS e FROM RQ2 WHERE c = 0 UNION ALL SELECT run, turn, ord, FN.file, lo, hi FROM RQ2 JOIN FN USING (fid) WHERE c = 1),
+RD2 AS (SELECT RD.*, least(e, s + 239) AS z, size FROM RD LEFT JOIN SZ ON SZ.file = RD.file),
+RL AS (SELECT RD2.run, RD2.turn, RD2.ord, LN.file, LN.n AS line, s, z < e AS short, sum(length(LN.line) + 1) OVER (PARTITION BY RD2.run, RD2.turn, RD2.ord ORDER BY LN.n) - 1 <= 18000 AS fits FROM RD2 JOIN LN ON LN.file = RD2.file AND LN.n BETWEEN s AND z WHERE z <= size),
+H AS (SELECT run, turn, ord, file, line, line AS place, bool_or(NOT fits) OVER (PARTITION BY run, turn, ord) OR short AS cut, fits OR line = s AS kept FROM RL
+  UNION ALL SELECT run, turn, ord, file, line, row_number() OVER w, count(*) OVER (PARTITION BY run, turn, ord) > 100, row_number() OVER w <= 100 FROM (
+    SELECT run, turn, ord, LN.file, LN.n AS line, CAST(LN.n AS BIGINT) AS o, LN.line AS x FROM RQ2 JOIN LN ON contains(LN.line, concat('e', ['la', 'to', 'zq', 'in'][run % 4 + 1])) WHERE c = 2
+    UNION ALL SELECT run, turn, RQ2.ord, US.file, line, US.ord AS o, '' FROM RQ2 JOIN US ON US.name = concat('F', run % 50) AND starts_with(US.file, '1') AND (run % 2 = 0 OR US.t = 'T') WHERE c = 3
+    UNION ALL SELECT run, turn, ord, ED.file, line, line, a FROM RQ2 JOIN ED ON ED.b = fid JOIN FN USING (fid) WHERE c = 4 UNION ALL SELECT run, turn, ord, ED.file, line, line, coalesce(b, '') FROM RQ2 JOIN ED ON ED.a = fid JOIN FN USING (fid) WHERE c = 5)
+    WINDOW w AS (PARTITION BY run, turn, ord ORDER BY file, o, x)),
+G AS (SELECT run, turn, ord, count(*) FILTER (kept) AS hits, arg_min(file, place) FILTER (kept) AS file, CAST(arg_min(line, place) FILTER (kept) AS INTEGER) AS line, bool_or(cut) AS truncated FROM H GROUP BY ALL)"""
+
+
+def _answers(spark, directory) -> DataFrame:
+    """Parts as conversations of up to six turns, two look-ups a turn."""
+    p, t = F.col("p_partkey"), F.col("turn")
+    turns = table(spark, directory, "part").select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("turn")).where((p % 13 != 0) | (t < 3))
+    file, fid = ((p * 7 + t) % 160).cast("string"), F.concat(((p * 7 + t) % 160).cast("string"), F.lit("#"), p % 4)
+
+    def request(i: int) -> Column:
+        case = (p + t + 3 * i) % 8
+        name = F.element_at(F.array(*map(F.lit, ["read_lines", "read_function", "search_symbol", "find_field_uses", "get_callers", "get_callees", "run_shell", "read_lines"])), (case + 1).cast("int"))
+        low = p % 9 + 1
+        high = F.when(case == 7, F.lit('"x"')).otherwise((low + F.when(p % 3 == 0, 500).otherwise(t * 2)).cast("string"))
+        symbol = F.concat(F.lit("e"), F.element_at(F.array(*map(F.lit, ["la", "to", "zq", "in"])), (p % 4 + 1).cast("int")))
+        text = F.format_string('{"tool":"%s","file":"%s","start_line":%s,"end_line":%s,"symbol":"%s","field":"F%s","path_prefix":"1","type_id":%s,"function_id":"%s"}', name, file, low, high, symbol, p % 50, F.when(p % 2 == 1, '"T"').otherwise("null"), fid)
+        return text
+
+    asks = F.concat(F.lit('{"action":"query","requests":['), request(0), F.lit(","), request(1), F.lit("]}"))
+    end = p % 8 + 1
+    answer = F.when(t == end, F.when(p % 11 == 0, '{"action":"query","requests":[]}').when(p % 11 == 1, "[]").otherwise('{"action":"finish"}')).otherwise(asks)
+    return turns.select(p.alias("run"), t.alias("turn"), answer.alias("response"), F.when((t == end) & (p % 11 == 2), "timeout").alias("error"))
+
+
+@query("""WITH P AS (SELECT p_partkey AS run, p_partkey % 8 + 1 AS e, CASE WHEN p_partkey % 13 = 0 THEN 2 ELSE 6 END AS n FROM part)
+SELECT run, CAST(least(e, n) AS INTEGER) AS turns, CASE WHEN e <= n THEN CASE run % 11 WHEN 0 THEN 'invalid_query_protocol' WHEN 1 THEN 'invalid_response' WHEN 2 THEN 'model_error: timeout' ELSE 'finished' END WHEN n = 6 THEN 'investigation_budget_exhausted' ELSE 'pending' END AS outcome FROM P""")
+def lookup_outcomes(spark, directory):
+    """V5: where recorded conversations end, and why."""
+    return tools.outcomes(_answers(spark, directory))
+
+
+@query(f"""WITH {_LOOKUPS_SQL}
+SELECT q.run, q.turn, CAST(q.ord AS INTEGER) AS ord, CASE WHEN G.hits > 0 THEN G.hits ELSE 0 END AS hits, G.file, G.line, coalesce(G.truncated, false) AS truncated,
+CASE WHEN c = 7 THEN 'invalid range' WHEN c = 0 THEN (SELECT CASE WHEN size IS NULL THEN 'unknown file' WHEN z > size THEN 'line range outside source' END FROM RD2 WHERE RD2.run = q.run AND RD2.turn = q.turn AND RD2.ord = q.ord)
+  WHEN c IN (1, 4, 5, 6) AND q.fid NOT IN (SELECT fid FROM FN) THEN 'unknown function_id' WHEN c = 6 THEN 'tool not allowed'
+  WHEN c = 1 AND (SELECT max(hi) FROM FN WHERE FN.fid = q.fid) > (SELECT max(size) FROM SZ JOIN FN ON FN.file = SZ.file WHERE FN.fid = q.fid) THEN 'line range outside source' END AS error
+FROM RQ2 q LEFT JOIN G USING (run, turn, ord)""")
+def lookup_results(spark, directory):
+    """What recorded conversations asked for, all look-ups of all turns in one plan."""
+    d = table(spark, directory, "documents").where("text is not null").select(_text("doc_id").alias("file"), "text")
+    lines = texts.lines_of(d, ["file"])
+    functions = d.select("file", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select(F.concat("file", F.lit("#"), "k").alias("function_id"), "file", F.lit("f").alias("name"), (F.col("k") * 10 + 1).alias("line"), (F.col("k") * 10 + 10).alias("end_line"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, directory, "orders").select("o_orderkey", "o_custkey")
+    edges = o.select(F.concat((c % 150).cast("string"), F.lit("#"), k % 3).alias("caller"), F.when(k % 7 > 0, F.concat((c * 3 % 150).cast("string"), F.lit("#"), k % 2)).alias("callee"), (c % 150).cast("string").alias("file"), k.cast("int").alias("line"))
+    uses = o.select((c % 150).cast("string").alias("file"), k.alias("ord"), F.concat(F.lit("F"), k % 40).alias("name"), (k % 30 + 1).cast("int").alias("line"), F.when(k % 2 == 0, "T").alias("type_id"), F.lit("").alias("expression"))
+    asked = Scratch(spark).cut(tools.requests_of(_answers(spark, directory)), "requests")
+    out = tools.results(asked, lines, functions, uses, edges, spark.createDataFrame([], "function_id string, ord int, path string"))
+    first = F.get("matches", F.lit(0))
+    return out.select("run", "turn", "ord", F.size("matches").cast("long").alias("hits"), first["file"].alias("file"), first["line"].alias("line"), "truncated", "error")
