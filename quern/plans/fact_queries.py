@@ -616,3 +616,33 @@ def detect(spark, directory):
 
     found = plan.detected(_analysis(spark, directory), plan.Recorded.nothing(spark), rules.Rules.of("v2,F3"))
     return found.select("function", "category", "source_line", "sink_line", "severity")
+
+
+@query("""WITH D AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+G AS (SELECT doc_id, regexp_matches(l[1], '\\S') AS g0, len(l) >= 2 AND doc_id % 3 <> 0 AND regexp_matches(coalesce(l[2], ''), '[^ ]') AS g1, len(l) >= 3 AND len(list_filter(l[1:3], lambda x: regexp_matches(x, '\\S'))) > 0 AS g2 FROM D)
+SELECT doc_id AS candidate, CASE WHEN g1 THEN [1, 2] ELSE [1] END || CASE WHEN g2 THEN [1] ELSE [] END AS evidence, CASE WHEN g1 THEN [] ELSE [1] END || CASE WHEN g2 THEN [] ELSE [2] END AS warned, CAST(1 + CAST(NOT (g1 AND g2) AS INTEGER) AS INTEGER) AS questions FROM G WHERE g0""")
+def candidates_referenced(spark, directory):
+    """V1: candidates whose first reference holds, with warnings for the others that don't."""
+    d = table(spark, directory, "documents").where("text is not null").select("doc_id", "text", F.concat(F.lit("f"), _text("doc_id")).alias("file"))
+    first = F.split("text", "\n")
+    ref = lambda position, start, end, text: F.struct(F.lit(position).alias("position"), F.lit(start).alias("start_line"), F.lit(end).alias("end_line"), text.cast("string").alias("text"))
+    refs = F.array(ref(0, 1, 1, F.concat(F.lit("\t"), F.get(first, F.lit(0)))), ref(1, 2, 2, F.concat(F.coalesce(F.get(first, F.lit(1)), F.lit("gone")), F.when(F.col("doc_id") % 3 == 0, "!").otherwise(""))), ref(2, 1, 3, F.lit(None)))
+    each = d.select(F.col("doc_id").alias("candidate"), "file", F.explode(refs).alias("r")).select("candidate", "file", "r.*")
+    candidates = d.select(F.col("doc_id").alias("candidate"), F.array(F.lit("why")).alias("questions"))
+    out = verify.referenced(candidates, each, texts.lines_of(d, ["file"]))
+    return out.select("candidate", F.col("evidence.start_line").alias("evidence"), F.col("reference_warnings.index").alias("warned"), F.size("questions").alias("questions"))
+
+
+@query(f"""WITH {_LINES_SQL},
+P AS (SELECT grp, CASE kind WHEN 'A' THEN 0 WHEN 'R' THEN 1 ELSE 2 END AS rank, pos, concat(kind, ':', pos, ':', status) AS what FROM L WHERE kind <> 'N' OR status = 'O'),
+G AS (SELECT grp, list(what ORDER BY rank, pos) AS what FROM P GROUP BY grp)
+SELECT CAST(L.grp AS VARCHAR) AS function, L.pos AS sink_line, coalesce(G.what, []) AS held FROM L LEFT JOIN G USING (grp) WHERE L.kind = 'N' AND L.status = 'F'""")
+def protections_retained(spark, directory):
+    """Retain: findings with all that may protect them, in order: checks, range checks, sanitizers."""
+    lines = order_lines(spark, directory)
+    of = lambda kind, name: _facts(lines, kind, **{name: F.col("status")}).drop("ord")
+    sanitizers = _facts(lines.where("status = 'O'"), "N", pattern=F.col("status")).drop("ord")
+    findings = _facts(lines.where("status = 'F'"), "N", sink_line=F.col("pos")).select("function", "sink_line")
+    out = rules.with_protections(findings, of("A", "category"), of("R", "var"), sanitizers)
+    letter = lambda p: F.when(p["kind"] == "check", "A").when(p["kind"] == "range_check", "R").otherwise("N")
+    return out.select("function", "sink_line", F.transform("protection_hypotheses", lambda p: F.concat_ws(":", letter(p), p["line"].cast("string"), p["what"])).alias("held"))

@@ -164,6 +164,18 @@ def taint_findings(facts: DataFrame, checks: DataFrame, range_checks: DataFrame
     return _finding(spans_, source_type=F.lit("param_external"), source_provenance=F.col("provenance"), taint_path=F.col("path"), rule_id=F.when(read, "R4").otherwise("R2"))
 
 
+def with_protections(findings: DataFrame, checks: DataFrame, range_checks: DataFrame, sanitizers: DataFrame) -> DataFrame:
+    """Findings with protection_hypotheses (kind, line, what) of their function, where protected ones were retained: checks by line, then range checks, then sanitizers.
+
+    ``checks``: function, line, category; ``range_checks``: function, line, var; ``sanitizers``: function, line, pattern.
+    """
+    some = lambda df, rank, kind, what: df.select("function", F.struct(F.lit(rank).alias("rank"), "line", F.col(what).alias("what"), F.lit(kind).alias("kind")).alias("p"))
+    every = some(checks, 0, "check", "category").unionByName(some(range_checks, 1, "range_check", "var")).unionByName(some(sanitizers, 2, "sanitizer", "pattern"))
+    per = every.groupBy("function").agg(F.array_sort(F.collect_list("p")).alias("__p"))
+    told = F.transform(F.coalesce("__p", F.array()), lambda p: F.struct(p["kind"].alias("kind"), p["line"].alias("line"), p["what"].alias("what")))
+    return findings.join(per, "function", "left").withColumn("protection_hypotheses", told).drop("__p")
+
+
 def _matched(rows: DataFrame, text: str, patterns: list[tuple[str, dict]]) -> DataFrame:
     """Rows with the columns of each pattern (a regular expression; a rule, so few) that their text matches: no join."""
     hits = F.array_compact(F.array(*[F.when(F.col(text).rlike(x), F.struct(*[F.lit(v).alias(n) for n, v in columns.items()])) for x, columns in patterns]))

@@ -28,6 +28,45 @@ def valid_references(refs: DataFrame, lines: DataFrame, key: list[str]) -> DataF
     return refs.join(good, group, "left_semi")
 
 
+#: What is said of a further reference that doesn't match, and what is asked because of it.
+MISMATCH = "secondary_source_reference_mismatch"
+REBOUND = "function_id_rebound_to_cited_operation"
+ASK_PATH = "Verify the cross-function source path: a secondary citation did not match the snapshot."
+
+
+def referenced(candidates: DataFrame, refs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Candidates (candidate, questions) with evidence, reference_warnings (index, reason) and one question more where a reference is doubtful.
+
+    ``refs``: candidate, position (from 0), file, start_line, end_line, text (null: not quoted).  The first reference must
+    hold, or its candidate drops; further ones that don't are left out of the evidence and named in a warning.  A
+    reference without a quote holds if its lines are there and not all blank.
+    """
+    place = ["candidate", "position", "file", "start_line", "end_line"]
+    quoted = valid_references(refs.where("text is not null"), lines, ["candidate", "position"]).select(*place)
+    ranged = refs.where("text is null and start_line >= 1 and start_line <= end_line")
+    # the lines of a file are numbered without gaps, so a range is whole if its last line is there
+    ends = ranged.join(lines.select("file", F.col("n").alias("end_line")), ["file", "end_line"], "left_semi")
+    some = lines.where(F.col("line").rlike(r"\S")).select("file", F.col("n").alias("said"))
+    both = ends.select(*place).withColumn("at", F.col("end_line")).unionByName(some.withColumn("at", F.col("said")), allowMissingColumns=True)
+    # the last line with text up to the end lies in the range
+    ahead = Window.partitionBy("file").orderBy("at", F.col("said").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = both.withColumn("__last", F.last("said", ignorenulls=True).over(ahead)).where("candidate is not null and __last >= start_line").select(*place)
+    good = quoted.unionByName(whole).distinct().withColumn("__good", F.lit(True))
+    judged = refs.select(*place).join(good, place, "left").groupBy("candidate").agg(
+        F.array_sort(F.collect_list(F.when(F.col("__good"), F.struct("position", "file", "start_line", "end_line")))).alias("evidence"),
+        F.array_sort(F.collect_list(F.when(F.col("__good").isNull(), F.struct(F.col("position").alias("index"), F.lit(MISMATCH).alias("reason"))))).alias("reference_warnings"),
+        F.bool_or((F.col("position") == 0) & F.coalesce("__good", F.lit(False))).alias("__first"))
+    out = candidates.join(judged.where("__first").drop("__first"), "candidate")
+    asked = F.coalesce("questions", F.array().cast("array<string>"))
+    return out.withColumn("evidence", F.transform("evidence", lambda e: e.dropFields("position"))).withColumn("questions", F.when(F.size("reference_warnings") > 0, F.concat(asked, F.array(F.lit(ASK_PATH)))).otherwise(asked))
+
+
+def rebound_warnings(bound_: DataFrame) -> DataFrame:
+    """``bound_candidates`` with reference_warnings (reason, original, resolved) for those that went to another function."""
+    told = F.struct(F.lit(REBOUND).alias("reason"), F.col("rebound_from").alias("original_function_id"), F.col("function_id").alias("resolved_function_id"))
+    return bound_.withColumn("reference_warnings", F.array_compact(F.array(F.when(F.col("rebound_from").isNotNull(), told))))
+
+
 def bound_candidates(candidates: DataFrame, functions: DataFrame) -> DataFrame:
     """Candidates with function_id: their own where it encloses the primary reference, else the only one that does, else dropped.
 
