@@ -1,4 +1,9 @@
-"""Gates, filters, caps and look-ups around the rules."""
+"""Gates, filters, caps and look-ups around the rules.
+
+Defined cases: a null name, path or key passes no gate that asks for one and meets no row; a missing severity is
+low; what a cap leaves out is told by ``truncated``; of ties the order given by the caller holds, so it should be
+total; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

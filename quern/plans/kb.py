@@ -1,4 +1,9 @@
-"""The knowledge base: behaviour chains to templates, their indexes and coverage; retrieval for functions."""
+"""The knowledge base: behaviour chains to templates, their indexes and coverage; retrieval for functions.
+
+Defined cases: chains with an error, without steps or with none or several missing make no template; null lists count as
+empty; of equal scores the smaller id comes first; a function whose role is unknown, or whose category has no chain, gets
+none; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -8,6 +8,10 @@ Tables, all keyed by ``function`` ("file:Recv.Name"):
 * check_lines: line; size_sinks and range_checks: line, type, var, pattern
 * taint_facts: sink_line, sink_type, sink_desc, source_line, source_desc, provenance, path
 * templates: template_id, rank, category, pattern_names
+
+Defined cases: rows with a null function meet no others; facts that repeat add no finding to a rule that collapses
+(span, R2, R4), whose earliest sink stays, of equals the one with the least source line, then type; functions without facts
+have no findings; empty tables give no rows.
 """
 
 from __future__ import annotations

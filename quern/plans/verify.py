@@ -1,4 +1,9 @@
-"""Evidence of candidates: references into a source snapshot, claims, verdicts, order of work."""
+"""Evidence of candidates: references into a source snapshot, claims, verdicts, order of work.
+
+Defined cases: a reference with a null text, file or line equals nothing in the snapshot, unless a function's docstring says
+otherwise; candidates without a response are unknown; claims that repeat prove no more than one; of equal places in an order
+the smaller id comes first; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
