@@ -193,9 +193,8 @@ def validator_findings(validators: DataFrame, purposes: DataFrame, check_facts:
     parameter, 0 if none), params (names of the tainted ones), provenance, path.  ``purposes``:
     function, purpose (from callers' sinks).  ``check_facts``: function, line, text.
     """
-    spark = validators.sparkSession
     table = rules_table or seeds.PURPOSES
-    dims = F.broadcast(spark.createDataFrame([(p, c, n) for p, (c, _, n, _, _) in table.items()], "purpose string, category string, inferring string"))
+    category = F.element_at(F.create_map(*[F.lit(x) for p, (c, *_) in table.items() for x in (p, c)]), F.col("purpose"))
     checks = [(x, {"purpose": p, "strong": strong}) for p, (_, _, _, s, w) in table.items() for strong, xs in ((True, s), (False, w)) for x in xs]
     named = F.col("name").rlike(seeds.VALIDATOR_NAME)
     fit = validators.where(named & (F.col("name").rlike(seeds.VALIDATOR_VERB) | F.col("last_result").isin("bool", "error")))
@@ -207,7 +206,7 @@ def validator_findings(validators: DataFrame, purposes: DataFrame, check_facts:
     hits = _matched(check_facts, "text", checks).select("function", "purpose", "strong", "line", "text")
     open_ = direct.join(hits.where("strong").select("function", "purpose").distinct(), ["function", "purpose"], "left_anti")
     weak = hits.where("not strong").groupBy("function", "purpose").agg(F.min(F.struct("line", "text")).alias("w"))
-    out = open_.join(dims.select("purpose", "category"), "purpose").join(weak, ["function", "purpose"], "left")
+    out = open_.withColumn("category", category).where("category is not null").join(weak, ["function", "purpose"], "left")
     source = F.when(F.col("source_line") > 0, F.col("source_line")).otherwise(F.coalesce("line", F.lit(1)))
     sink = F.when(F.col("w.line") > source, F.col("w.line")).otherwise(F.coalesce(F.when(F.col("end_line") > 0, F.col("end_line")), source + 1))
     desc = F.when(F.col("w").isNotNull(), F.concat(F.lit(WEAK_CHECK), F.substring("w.text", 1, 60))).otherwise(NO_STRONG_CHECK)
@@ -234,7 +233,6 @@ def callee_checks(call_sites: DataFrame, resolved: DataFrame, check_facts: DataF
 
     ``names``: fid, name of functions; the rest as in ``purposes_of``.
     """
-    spark = call_sites.sparkSession
     strong = [(x, {"category": c}) for c, _, _, s, _ in seeds.PURPOSES.values() for x in s]
     validators = names.where(F.col("name").rlike(seeds.VALIDATOR_NAME)).select(F.col("fid").alias("function"))
     held = _matched(check_facts.join(validators, "function", "left_semi"), "text", strong).select(F.col("function").alias("fid"), "category").distinct()

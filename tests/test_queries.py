@@ -25,7 +25,7 @@ def rows(columns, data):
     return sorted((tuple(value(r[i]) for i in columns) for r in data), key=str)
 
 
-TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "array<bigint>": "BIGINT[]", "array<string>": "VARCHAR[]"}
+TYPES = {"array<int>": "INTEGER[]", "array<boolean>": "BOOLEAN[]", "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "array<bigint>": "BIGINT[]", "array<string>": "VARCHAR[]"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

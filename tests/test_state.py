@@ -105,7 +105,7 @@ def test_knowledge_base(spark, scratch_core, tmp_path):
     index = {r.key: r.members for r in kb.indexes(t)["api"].collect()}
     assert index == {"http.Get": ["tpl_001", "tpl_002"], "os.Open": ["tpl_002"]}
     domains = spark.createDataFrame([("net", 0.2, 1), ("net", 0.8, 2), ("fs", None, 1)], "domain string, confidence double, ord int")
-    ranked = kb.candidates(t, domains, spark.createDataFrame([("os.Open",)], "api string"), Scratch(spark)).orderBy("rank").collect()
+    ranked = kb.candidates(t, domains, spark.createDataFrame([("os.Open",)], "api string"), scratch_core).orderBy("rank").collect()
     assert [(r.template_id, round(r.score, 3), r.overlap) for r in ranked] == [("tpl_002", 0.65, 1), ("tpl_001", 0.25, 0)]
     sinks.knowledge_base(t, kb.indexes(t), str(tmp_path / "kb"))
     assert spark.read.parquet(str(tmp_path / "kb/templates")).count() == 2
