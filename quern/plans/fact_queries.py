@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import confidence, cvss, scalars
-from quern.operators import graph, spans, texts
+from quern.operators import graph, texts
 from quern.plans import gates, judge, kb, rules, seeds, verify
 from quern.plans.queries import _LINES_SQL, _ORDERS_SQL, _by_status, _facts, customer_orders, order_lines, query, table
 from quern.scratch import Scratch
