@@ -54,17 +54,23 @@ def function_blocks(lines: DataFrame, key: list[str], start: str = r"^func (?:\(
     return heads.join(closed.withColumnRenamed("block", "first"), [*key, "first"]).select(*key, "receiver", "name", "first", "last")
 
 
-def windows_around(lines: DataFrame, points: DataFrame, key: list[str], at: str, before: int, after: int) -> DataFrame:
-    """``points`` with text: the lines from ``before`` above to ``after`` below each; points without lines drop.
+def lines_between(lines: DataFrame, points: DataFrame, key: list[str], first: str, last: str) -> DataFrame:
+    """``points`` with text: the lines from the number in column ``first`` to that in ``last``; points without lines drop.
 
     Each distinct place lists the line numbers it wants, so lines meet places by equality; points
-    that repeat come out as often.
+    that repeat come out as often.  Files of texts are small beside the lines they hold, by which
+    Spark can't judge what to broadcast: all is joined by sorting.
     """
-    places = points.select(*key, at).distinct()
-    wanted = places.select("*", F.explode(F.sequence(F.greatest(F.col(at) - before, F.lit(1)), F.col(at) + after)).alias("n"))
-    found = wanted.join(lines.select(*key, "n", "line"), [*key, "n"]).groupBy(*key, at).agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("__l"))
-    found = found.select(*key, at, F.array_join(F.transform("__l", lambda x: x["line"]), "\n").alias("text"))
-    return points.join(found, [*key, at]).select(*points.columns, "text")
+    wanted = points.select(*key, first, last).distinct().select("*", F.explode(F.sequence(first, last)).alias("n"))
+    found = wanted.join(lines.select(*key, "n", "line").hint("merge"), [*key, "n"]).groupBy(*key, first, last).agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("__l"))
+    found = found.select(*key, first, last, F.array_join(F.transform("__l", lambda x: x["line"]), "\n").alias("text"))
+    return points.join(found.hint("merge"), [*key, first, last]).select(*points.columns, "text")
+
+
+def windows_around(lines: DataFrame, points: DataFrame, key: list[str], at: str, before: int, after: int) -> DataFrame:
+    """``points`` with text: the lines from ``before`` above to ``after`` below each, as ``lines_between`` gives them."""
+    placed = points.withColumn("__first", F.greatest(F.col(at) - before, F.lit(1))).withColumn("__last", F.col(at) + after)
+    return lines_between(lines, placed, key, "__first", "__last").select(*points.columns, "text")
 
 
 def called_names(text: Column) -> Column:

@@ -33,11 +33,10 @@ def contexts(hunks: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
     for i, pattern in reversed(list(enumerate(DEFINED))):
         rank, word = F.when(F.col("line").rlike(pattern), i).otherwise(rank), F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 1)).otherwise(word)
     heads = lines.select(*at, "n", rank.alias("rank"), word.alias("name")).where("rank is not null").groupBy(*at, "name").agg(F.min(F.struct("rank", "n"))["n"].alias("__at"))
-    placed = named.join(heads, [*at, "name"], "left")
-    defined = texts.windows_around(lines, placed.where("__at is not null"), at, "__at", 0, 24)
-    around = texts.windows_around(lines, placed.where("__at is null").withColumn("__at", F.col("start")), at, "__at", 3, 14)
-    text = F.regexp_replace("text", r"\s+$", "")
-    out = defined.select(*at, "__n", "header", text.alias("text")).unionByName(around.select(*at, "__n", "header", text.alias("text")))
+    # joined by sorting: what Spark takes for the size of these tables is that of the files the patches come from
+    placed = named.join(heads.hint("merge"), [*at, "name"], "left")
+    placed = placed.withColumn("__first", F.coalesce("__at", F.greatest(F.col("start") - 3, F.lit(1)))).withColumn("__last", F.coalesce(F.col("__at") + 24, F.col("start") + 14))
+    out = texts.lines_between(lines, placed, at, "__first", "__last").withColumn("text", F.regexp_replace("text", r"\s+$", ""))
     return out.where("text <> ''").select(*key, F.col("__n").alias("n"), "file", F.col("header").alias("function"), F.col("text").alias("source_context"))
 
 

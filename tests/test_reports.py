@@ -61,3 +61,11 @@ def test_odd_calls(spark):
 def test_missing_severities_are_low_and_unknown_ones_none(spark, floor, kept):
     rows = spark.createDataFrame([(s, 1.0, "c") for s in ("high", "low", None, "odd", "none")], "severity string, confidence double, category string")
     assert gates.filtered_findings(rows, floor=floor).count() == kept
+
+
+def test_lines_and_contexts_are_never_broadcast(spark, sf_dir):
+    """Their plans begin at a file of keys, far smaller than the lines made of it."""
+    from quern.plans.queries import QUERIES
+
+    for name in ("source_contexts", "line_windows"):
+        assert "Broadcast" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString(), name
