@@ -49,5 +49,5 @@ def records(advisories: DataFrame, files: DataFrame, hunks: DataFrame, found: Da
     changed = files.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "file"))).alias("__files"))
     named = hunks.where("header <> ''").groupBy(key).agg(in_order(F.collect_list(F.struct("n", "file", F.col("header").alias("function")))).alias("__functions"))
     around = found.groupBy(key).agg(in_order(F.collect_list(F.struct("n", "file", "function", "source_context"))).alias("__contexts"))
-    return advisories.join(changed, key).join(named, key, "left").join(around, key, "left").select(
+    return advisories.join(changed.hint("merge"), key).join(named.hint("merge"), key, "left").join(around.hint("merge"), key, "left").select(
         *advisories.columns, F.col("__files.file").alias("changed_files"), F.coalesce("__functions", F.array()).alias("changed_functions"), F.coalesce("__contexts", F.array()).alias("func_source_contexts"))

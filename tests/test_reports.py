@@ -67,5 +67,5 @@ def test_lines_and_contexts_are_never_broadcast(spark, sf_dir):
     """Their plans begin at a file of keys, far smaller than the lines made of it."""
     from quern.plans.queries import QUERIES
 
-    for name in ("source_contexts", "line_windows"):
+    for name in ("source_contexts", "prepared_records", "line_windows"):
         assert "Broadcast" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString(), name
