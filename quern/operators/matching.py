@@ -116,6 +116,32 @@ def best_tier(rows: DataFrame, key: list[str], tiers: list[tuple[int, DataFrame]
     return rows.select(*key).distinct().join(tagged, key).withColumn("__m", F.min("tier").over(least)).where("tier = __m").drop("__m").distinct()
 
 
+def met_once(rows: DataFrame, key: list[str], candidates: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
+    """``key`` and ``keep``, each pair once: ``rows`` (distinct ``key`` and ``on``) meet ``candidates`` (distinct ``on`` and ``keep``).
+
+    Pairs may be many times the rows, so they come out of their join as they are: only those of keys with several
+    rows can repeat, and those alone are shuffled.
+    """
+    counted = rows.withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    met = lambda some: some.join(candidates, on).select(*key, *keep)
+    return met(counted.where("__k = 1")).unionByName(met(counted.where("__k > 1")).distinct())
+
+
+def first_tier(rows: DataFrame, key: list[str], tiers: list[tuple[int, list[str], DataFrame]], keep: list[str]) -> DataFrame:
+    """Candidates of the best tier of each key, as ``best_tier``, where a tier is a look-up: number, columns to look up by, and a table of these and ``keep``.
+
+    What the values of a tier lead to is known before any pair is made, so a tier's pairs are made of the keys that stop there.
+    """
+    rest, out = rows.dropna(subset=key), None
+    for number, on, table in sorted(tiers, key=lambda t: t[0]):
+        known = table.select(*on, *keep).distinct()
+        here = rest.join(known.select(*on).distinct(), on, "left_semi").select(*key, *on).distinct()
+        met = met_once(here, key, known, on, keep).withColumn("tier", F.lit(number))
+        out = met if out is None else out.unionByName(met)
+        rest = rest.join(here.select(*key).distinct(), key, "left_anti")
+    return out
+
+
 def arity_fits(nargs: Column, n_params: Column, variadic: Column) -> Column:
     return F.when(variadic, nargs >= n_params - 1).otherwise(nargs == n_params)
 
@@ -130,9 +156,9 @@ def resolve_callees(sites: DataFrame, functions: DataFrame, max_candidates: int
     fit, or all that fit share one signature.  Null ``nargs`` fit any function.  Returns scope, site, fid,
     resolution (exact or dispatch).
 
-    The first three are one join by place and name.  Candidates of the last are counted once for each
-    (name, nargs) that is asked for, before any site meets them: a name of many methods that doesn't pass costs
-    no more than its count.
+    The first three are one look-up by place and name.  Functions are listed once for each number of arguments that is asked
+    for at their place, so which strategies find one is known before any site meets them; what dispatch allows is
+    counted likewise, once for each (name, nargs).  A name of many methods that doesn't pass costs no more than its count.
     """
     scope = scope or []
     none = F.lit("\x00")  # no receiver
@@ -141,18 +167,22 @@ def resolve_callees(sites: DataFrame, functions: DataFrame, max_candidates: int
     way = lambda held, tier, at, recv: F.when(held, F.struct(F.lit(tier).alias("tier"), at.alias("at"), recv.alias("recv")))
     local = F.col("pkg_dir").isNull() & F.col("recv_type").isNull()
     ways = F.array(way(F.col("pkg_dir").isNotNull(), 0, F.col("pkg_dir"), none), way(F.col("recv_type").isNotNull(), 1, F.col("dir"), F.col("recv_type")), way(local, 2, F.col("dir"), none))
-    asked = sites.select(*scope, "site", "name", "nargs", F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).select(*scope, "site", "name", "nargs", "w.*")
-    exact = asked.join(f, [*scope, "at", "recv", "name"]).where(fits).select(*scope, "site", "fid", "tier")
-    least = exact.groupBy(*scope, "site").agg(F.min("tier").alias("tier"))
-    exact = exact.join(least, [*scope, "site", "tier"]).select(*scope, "site", "fid", F.lit("exact").alias("resolution"))
-
-    rest = sites.where("dynamic").join(least, [*scope, "site"], "left_anti").select(*scope, "site", "name", "nargs", F.coalesce("nargs", F.lit(-1)).alias("__n")).where("name is not null")
-    asks = rest.select(*scope, "name", "nargs", "__n").distinct()
-    named = asks.join(f.where(F.col("recv") != none), [*scope, "name"]).where(fits)
+    numbered = sites.withColumn("__n", F.coalesce("nargs", F.lit(-1)))
+    asked = numbered.select(*scope, "site", "name", "nargs", "__n", F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).select(*scope, "site", "name", "nargs", "__n", "w.*").distinct()
+    place, site = [*scope, "at", "recv", "name"], [*scope, "site"]
+    by = [*place, "__n"]
+    fitting = asked.select(*by, "nargs").distinct().join(f, place).where(fits).select(*by, "fid").distinct()
+    open_ = asked.where("site is not null").join(fitting.select(*by).distinct(), by, "left_semi")
+    chosen = open_.withColumn("__least", F.min("tier").over(Window.partitionBy(*site))).where("tier = __least").select(*site, *[c for c in by if c not in site]).distinct()
+    exact = met_once(chosen, site, fitting, by, ["fid"]).withColumn("resolution", F.lit("exact"))
+
+    rest = numbered.where("dynamic and name is not null").join(open_.select(*site).distinct(), site, "left_anti").select(*site, "name", "nargs", "__n").distinct()
     by = [*scope, "name", "__n"]
+    named = rest.select(*by, "nargs").distinct().join(f.where(F.col("recv") != none), [*scope, "name"]).where(fits)
     passing = named.groupBy(*by).agg(F.count_distinct("fid").alias("n"), F.count_distinct("signature").alias("k")).where((F.col("n") <= max_candidates) | (F.col("k") == 1)).select(*by)
-    dispatch = rest.join(passing, by).join(named.select(*by, "fid").distinct(), by).select(*scope, "site", "fid", F.lit("dispatch").alias("resolution"))
-    return exact.unionByName(dispatch).distinct()
+    allowed = named.join(passing, by, "left_semi").select(*by, "fid").distinct()
+    dispatch = met_once(rest.select(*site, "name", "__n").distinct(), site, allowed, by, ["fid"]).withColumn("resolution", F.lit("dispatch"))
+    return exact.unionByName(dispatch)
 
 
 def not_covered(candidates: DataFrame, covered: DataFrame, name: str, pattern: str) -> DataFrame:
