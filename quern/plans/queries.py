@@ -239,13 +239,11 @@ def tiered_resolution(spark, directory):
     c = table(spark, directory, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_acctbal") / 1000).alias("class"))
     s = table(spark, directory, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), F.floor(F.col("s_acctbal") / 1000).alias("class"))
     n = table(spark, directory, "nation")
-    same = c.join(s, ["c_nationkey", "class"]).select("c_custkey", "s_suppkey")
     by_nation = s.groupBy("c_nationkey").agg(F.min("s_suppkey").alias("s_suppkey"))
-    near = c.join(by_nation, "c_nationkey").select("c_custkey", "s_suppkey")
     region = n.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
     by_region = by_nation.join(region, "c_nationkey").groupBy("n_regionkey").agg(F.min("s_suppkey").alias("s_suppkey"))
-    far = c.join(region, "c_nationkey").join(by_region, "n_regionkey").select("c_custkey", "s_suppkey")
-    return matching.best_tier(c, ["c_custkey"], [(0, same), (1, near), (2, far)], ["s_suppkey"]).select("c_custkey", "s_suppkey", "tier")
+    tiers = [(0, ["c_nationkey", "class"], s), (1, ["c_nationkey"], by_nation), (2, ["n_regionkey"], by_region)]
+    return matching.first_tier(c.join(region, "c_nationkey", "left"), ["c_custkey"], tiers, ["s_suppkey"]).select("c_custkey", "s_suppkey", "tier")
 
 
 _SITES_SQL = """
