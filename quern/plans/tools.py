@@ -3,7 +3,7 @@
 A run is a conversation of at most ``ROUNDS`` turns.  An answer either finishes or asks for one to three look-ups; anything
 else ends the run with what is wrong with it.  ``outcomes`` finds where each run ends; ``results`` routes the look-ups
 of all turns before to their tools in one plan: every tool is a join by equality (a line, a symbol's grams, a function),
-so the cost is that of what is found, however many runs there are.
+so the cost is that of what is found, however many runs there are; what many runs ask for is looked up once.
 
 Requests are untyped JSON: a number must be a JSON integer, a name a JSON string, or the look-up is an error, not a crash.
 
@@ -76,17 +76,36 @@ def requests_of(responses: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def _named(hits: DataFrame, functions: DataFrame) -> DataFrame:
     """Hits (key, file, line, text) with the functions that hold their line, by place and not by pairs of all."""
     at = functions.select("file", "function_id", F.explode(F.sequence("line", "end_line")).alias("line"))
-    held = hits.select("file", "line").distinct().join(at, ["file", "line"]).groupBy("file", "line").agg(F.array_sort(F.collect_set("function_id")).alias("function_ids"))
-    return hits.join(held, ["file", "line"], "left").withColumn("function_ids", F.coalesce("function_ids", F.array().cast("array<string>")))
+    held = at.groupBy("file", "line").agg(F.array_sort(F.collect_set("function_id")).alias("function_ids"))
+    return hits.join(held.hint("merge"), ["file", "line"], "left").withColumn("function_ids", F.coalesce("function_ids", F.array().cast("array<string>")))
 
 
-def results(requests: DataFrame, lines: DataFrame, functions: DataFrame, uses: DataFrame, edges: DataFrame, taints: DataFrame) -> DataFrame:
+#: What a tool goes by; all others go by a function.
+ARGUMENTS = {"read_lines": ("file", "start", "end"), "search_symbol": ("symbol",), "find_field_uses": ("field", "prefix", "type_id")}
+
+
+def _look(requests: DataFrame) -> DataFrame:
+    """``requests`` with ``__look``: a text that is the same for look-ups of the same tool and arguments."""
+    named, by = F.coalesce("tool", F.lit("")), {}
+    for c in ("file", "start", "end", "symbol", "field", "prefix", "type_id"):
+        by[c] = F.when(named.isin(*[t for t, args in ARGUMENTS.items() if c in args]), F.col(c))
+    by["function_id"] = F.when(~named.isin(*ARGUMENTS), F.col("function_id"))
+    good = F.struct("tool", *[c.alias(name) for name, c in by.items()])
+    return requests.withColumn("__look", F.to_json(F.struct("error", F.when(F.col("error").isNull(), good).alias("asks"))))
+
+
+def results(requests: DataFrame, lines: DataFrame, functions: DataFrame, uses: DataFrame, edges: DataFrame, taints: DataFrame, shown: dict[str, Column] | None = None) -> DataFrame:
     """run, turn, ord, tool, matches (file, line, text, function_ids; in order), truncated and error of every look-up.
 
     ``lines``: file, n, line; ``functions``: function_id, file, name, line, end_line; ``uses``: file, ord, name, line, type_id,
     expression; ``edges``: caller, callee (function ids; null where unresolved), file, line; ``taints``: function_id, ord, path.
+    ``shown``: columns of ``matches`` to return in its place, where not all of it is wanted.
+
+    What many ask for is looked up once: tools meet their tables by the distinct look-ups, and only answers go to those who asked.
+    Tables of lines, and what is made of them, are joined by sorting, as the files they come from tell little of their size.
     """
-    key = ["run", "turn", "ord"]
+    asking, requests = _look(requests), _look(requests).dropDuplicates(["__look"])
+    key = ["__look"]
     asked = requests.where(F.col("error").isNull())
     sizes = lines.groupBy("file").agg(F.max("n").alias("__lines"))
     spans_ = functions.select("function_id", F.col("file").alias("__file"), F.col("line").alias("__start"), F.col("end_line").alias("__end"))
@@ -94,10 +113,10 @@ def results(requests: DataFrame, lines: DataFrame, functions: DataFrame, uses: D
     # reading: at most MAX_LINES lines, and as many as MAX_CHARS hold
     whole = asked.where(F.col("tool") == "read_lines").select(*key, "tool", "file", "start", "end").unionByName(
         asked.where(F.col("tool") == "read_function").join(spans_, "function_id").select(*key, "tool", F.col("__file").alias("file"), F.col("__start").alias("start"), F.col("__end").alias("end")))
-    ranged = whole.join(sizes, "file", "left").withColumn("last", F.least("end", F.col("start") + MAX_LINES - 1))
+    ranged = whole.join(sizes.hint("merge"), "file", "left").withColumn("last", F.least("end", F.col("start") + MAX_LINES - 1))
     inside = F.coalesce((F.col("start") >= 1) & (F.col("start") <= F.col("last")) & (F.col("last") <= F.col("__lines")), F.lit(False))
     outside = ranged.where(~inside).select(*key, F.when(F.col("__lines").isNull(), "unknown file").otherwise("line range outside source").alias("late"))
-    each = ranged.where(inside).withColumn("n", F.explode(F.sequence("start", "last"))).join(lines, ["file", "n"])
+    each = ranged.where(inside).withColumn("n", F.explode(F.sequence("start", "last"))).join(lines.hint("merge"), ["file", "n"])
     order = Window.partitionBy(*key).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fits = F.sum(F.length("line") + 1).over(order) - 1 <= MAX_CHARS
     read = each.withColumn("__fits", fits).withColumn("truncated", F.min("__fits").over(Window.partitionBy(*key)) == F.lit(False)).withColumn("truncated", F.col("truncated") | (F.col("last") < F.col("end")))
@@ -110,9 +129,8 @@ def results(requests: DataFrame, lines: DataFrame, functions: DataFrame, uses: D
         return numbered.withColumn("truncated", more).where(F.col("__r") <= MAX_HITS).select(*by, "file", "line", "text", "truncated", F.struct(F.lit(""), F.col("__r").cast("long").alias("n")).alias("place"))
 
     searched = asked.where(F.col("tool") == "search_symbol").select(*key, "symbol")
-    # a symbol is searched for once, whoever asks for it
     pairs = matching.contained(lines, "line", searched, "symbol")
-    found = lines.join(pairs, F.col("line") == F.col("__text")).select(F.col("__pattern").alias("symbol"), "file", F.col("n").alias("line"), F.col("line").alias("text"))
+    found = lines.join(pairs.hint("merge"), F.col("line") == F.col("__text")).select(F.col("__pattern").alias("symbol"), "file", F.col("n").alias("line"), F.col("line").alias("text"))
     found = searched.join(first(found, ["symbol"], F.col("file"), F.col("line")), "symbol").drop("symbol")
     wanted = asked.where(F.col("tool") == "find_field_uses").select(*key, F.col("field").alias("name"), "prefix", F.col("type_id").alias("__type"))
     used = uses.withColumnRenamed("ord", "__ord").join(wanted, "name").where(F.startswith("file", F.col("prefix")) & (F.col("__type").isNull() | (F.col("type_id") == F.col("__type"))))
@@ -128,9 +146,12 @@ def results(requests: DataFrame, lines: DataFrame, functions: DataFrame, uses: D
     hit = F.struct("place", F.struct("file", "line", "text", "function_ids").alias("hit"))
     per = _named(hits, functions).groupBy(*key).agg(F.array_sort(F.collect_list(hit)).alias("__hits"), F.bool_or("truncated").alias("truncated"))
     named = F.coalesce("tool", F.lit(""))
-    known = asked.where(F.col("function_id").isNotNull() & ~named.isin("read_lines", "search_symbol", "find_field_uses")).join(functions.select("function_id").distinct(), "function_id", "left_anti").select(*key, F.lit("unknown function_id").alias("late"))
-    odd = asked.where(~named.isin(*TOOLS)).join(functions.select("function_id").distinct(), "function_id", "left_semi").select(*key, F.lit("tool not allowed").alias("late"))
+    known = asked.where(F.col("function_id").isNotNull() & ~named.isin("read_lines", "search_symbol", "find_field_uses")).join(functions.select("function_id").distinct().hint("merge"), "function_id", "left_anti").select(*key, F.lit("unknown function_id").alias("late"))
+    odd = asked.where(~named.isin(*TOOLS)).join(functions.select("function_id").distinct().hint("merge"), "function_id", "left_semi").select(*key, F.lit("tool not allowed").alias("late"))
     late = outside.unionByName(known).unionByName(odd).dropDuplicates(key)
-    out = requests.select(*key, "tool", "error").join(per, key, "left").join(late, key, "left")
+    out = requests.select(*key, "error").join(per, key, "left").join(late, key, "left")
     matches = F.coalesce(F.transform("__hits", lambda h: h["hit"]), F.array().cast(f"array<{_HIT}>"))
-    return out.select(*key, "tool", matches.alias("matches"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.coalesce("error", "late").alias("error"))
+    answers = out.select(*key, matches.alias("matches"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.coalesce("error", "late").alias("error"))
+    shown = {"matches": F.col("matches")} if shown is None else shown
+    answers = answers.select(*key, *[c.alias(name) for name, c in shown.items()], "truncated", "error")
+    return asking.select("run", "turn", "ord", "tool", *key).join(answers.hint("merge"), key).select("run", "turn", "ord", "tool", *shown, "truncated", "error")

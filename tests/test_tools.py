@@ -59,3 +59,19 @@ def test_where_runs_end(spark):
     assert got == {0: (2, "finished"), 1: (2, "model_error: late"), 2: (1, "invalid_response"), 3: (1, "invalid_query_protocol"), 4: (6, "investigation_budget_exhausted"), 5: (2, "pending"), 50: (1, "invalid_query_protocol"), 51: (1, "invalid_query_protocol"), 52: (1, "invalid_response")}
     asked = tools.requests_of(responses).groupBy("run").count().collect()
     assert {r["run"]: r["count"] for r in asked} == {0: 1, 1: 1, 4: 6, 5: 2}
+
+
+def test_what_many_runs_ask_for_is_looked_up_once(spark, snapshot):
+    """Sixty runs that ask the same meet no use, edge or line sixty times."""
+    from tests.work import shuffled
+
+    use, calls = {"tool": "find_field_uses", "field": "Size", "path_prefix": "sub/"}, {"tool": "get_callees", "function_id": "f3"}
+    asks = [use, calls, {"tool": "read_lines", "file": "a.go", "start_line": 1, "end_line": 200}]
+    rows = [(k, 1, json.dumps({"action": "query", "requests": asks}), None) for k in range(60)]
+    big = dict(snapshot)
+    big["uses"] = spark.range(300).selectExpr("concat('sub/', id) AS file", "0 AS ord", "'Size' AS name", "1 AS line", "'T' AS type_id", "'' AS expression")
+    big["edges"] = spark.range(300).selectExpr("'f3' AS caller", "'f2' AS callee", "concat(id, '.go') AS file", "1 AS line")
+    requests = tools.requests_of(spark.createDataFrame(rows, RUN)).localCheckpoint()
+    got = []
+    assert shuffled(spark, lambda: got.extend(tools.results(requests, **big).collect())) < 4000
+    assert len(got) == 180 and {(r.tool, len(r.matches), r.truncated) for r in got} == {("find_field_uses", 100, True), ("get_callees", 100, True), ("read_lines", 200, False)}
