@@ -1,17 +1,17 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
 *Model.*  Character n-grams of orders 1 to ``order`` of trusted text, that is, of whole
-documents labelled good.  Training takes a bounded sample of them, at most the share
-``train_share``, ``max_train_docs`` and ``max_train_chars`` in all, by the smallest seeded hash of
-doc_id, one text an id and none above a quarter of those characters; the others are held out, so
-that thresholds rest on texts the model hasn't seen.  Counts are aggregated
+documents labelled good.  Training takes the share ``train_share`` of them, all their characters, by the
+smallest seeded hash of doc_id, one text an id; the others are held out, so
+that thresholds rest on texts the model hasn't seen.  ``max_train_docs`` and ``max_train_chars`` bound it further only
+where a caller gives them (then no text above a quarter of those characters is taken).  Counts are aggregated
 in Spark, partitioned by n-gram: raw counts at the highest order, continuation counts (by
 how many characters an n-gram is preceded) below.  The three discounts of an order come
 from its counts of counts; an n-gram's interpolated probability joins its discounted count
 with its context's left-over weight and its suffix's probability, again by joins on the
 n-gram.  Characters of text never seen share one unknown symbol.
 
-*Shards.*  The resulting table, of bounded size as the sample is, is cut by n-gram hash into
+*Shards.*  The resulting table, which grows with the distinct n-grams of the training texts and not with their length, is cut by n-gram hash into
 direct-address shards that every executor holds; scoring joins each position of each text
 to its longest n-gram there.  (Joining exploded positions over a shuffle would move some
 20 bytes a character; the README has the figures.)
@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from quern.llm import workers
 from quern.llm.hashing import mix
 from quern.llm.text import columns_of
+from quern.operators import ranks
 from quern.operators.null_safe import null_safe_join
 from quern.scratch import Scratch
 
@@ -57,20 +58,28 @@ _UNKNOWN = "\x03"
 # -- counting and smoothing, in Spark ------------------------------------------------------------
 
 
-def split(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_train_docs: int = 1500, train_share: float = 0.5, max_train_chars: int = 16_000_000, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+def split(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_train_docs: int | None = None, train_share: float = 0.5, max_train_chars: int | None = None, seed: int = 5) -> tuple[DataFrame, DataFrame]:
     """doc_id and text to train on, and doc_id of the good documents held out.
 
-    ``docs``: doc_id, text.  The first holds at most ``max_train_docs`` rows and ``max_train_chars`` characters.
+    ``docs``: doc_id, text.  The first holds the share of good documents, or where they are given, at most ``max_train_docs``
+    rows and ``max_train_chars`` characters of it.
     """
     good = scratch.cut(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "good")
-    n = min(max_train_docs, int(good.count() * train_share))
+    n = int(good.count() * train_share)
+    n = n if max_train_docs is None else min(max_train_docs, n)
     rank = F.xxhash64(F.lit(seed), "doc_id")
-    chosen = good.orderBy(rank, "doc_id").limit(n)
-    texts = docs.join(F.broadcast(chosen), "doc_id", "left_semi").where((F.length("text") > 0) & (F.length("text") <= max_train_chars // 4))
-    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    running = F.sum(F.length("text")).over(Window.orderBy(rank, "doc_id"))  # of max_train_docs rows at most
-    taken = scratch.cut(texts.withColumn("upto", running).where(F.col("upto") <= max_train_chars).select("doc_id", "text"), "sample")
-    return taken, good.join(F.broadcast(taken.select("doc_id")), "doc_id", "left_anti")
+    last = ranks.global_rank(good.withColumn("__rank", rank), [F.col("__rank"), F.col("doc_id")], "__n", scratch).where(F.col("__n") == n).first() if n else None
+    # who is chosen is told by the hash alone, so texts of no chosen document are moved by the join only if they aren't good
+    chosen = F.lit(False) if last is None else (rank < last["__rank"]) | ((rank == last["__rank"]) & (F.col("doc_id") <= last["doc_id"]))
+    texts = docs.where(chosen & (F.length("text") > 0)).join(good.hint("merge"), "doc_id", "left_semi")
+    if max_train_chars is not None:
+        texts = texts.where(F.length("text") <= max_train_chars // 4)
+    taken = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    if max_train_chars is not None:
+        running = F.sum(F.length("text")).over(Window.orderBy(rank, "doc_id"))
+        taken = taken.withColumn("upto", running).where(F.col("upto") <= max_train_chars).select("doc_id", "text")
+    taken = scratch.cut(taken, "training")
+    return taken, good.join(taken.select("doc_id").hint("merge"), "doc_id", "left_anti")
 
 
 def counts(texts: DataFrame, order: int) -> DataFrame:
@@ -232,11 +241,11 @@ class Model:
 
 
 def train(texts: DataFrame, scratch: Scratch, order: int = 5) -> Model | None:
-    """The model of texts whose number and length are bounded; None without any."""
+    """The model of the texts; None without any.  Driver and executors hold its table, a row for each distinct n-gram."""
     top = scratch.cut(counts(texts, order), "counts")
     if top.isEmpty():
         return None
-    table = smoothed(top, order, scratch).toArrow()  # bounded by the sample
+    table = smoothed(top, order, scratch).toArrow()  # distinct n-grams alone
     return Model(table["gram"].to_pylist(), table["p"].to_numpy(), table["w"].to_numpy(), order)
 
 
@@ -288,7 +297,7 @@ def quantiles(values: DataFrame, qs: dict[str, float]) -> DataFrame:
     return packed.select("level", "lang", "total", *[quantile(q).alias(n) for n, q in qs.items()])
 
 
-def judged(docs: DataFrame, labels: DataFrame, scratch: Scratch, order: int = 5, max_train_docs: int = 1500, train_share: float = 0.5, max_train_chars: int = 16_000_000, prior: float = 150.0, margin: float = 2.5, min_trusted: int = 30, keep_empty: bool = True) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, scratch: Scratch, order: int = 5, max_train_docs: int | None = None, train_share: float = 0.5, max_train_chars: int | None = None, prior: float = 150.0, margin: float = 2.5, min_trusted: int = 30, keep_empty: bool = True) -> DataFrame:
     """doc_id, th (hash of the text), lang, chars, perplexity, threshold, kept: a row for each row of ``docs``."""
     labels = columns_of(labels, "doc_id", "quality")
     keyed = columns_of(docs, "doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -299,7 +308,7 @@ def judged(docs: DataFrame, labels: DataFrame, scratch: Scratch, order: int = 5,
         return keyed.select("doc_id", F.xxhash64("text").alias("th"), "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
     scored = scratch.cut(surprises(docs, model), "surprises")
     # a held-out document with the text of a training one isn't new to the model
-    seen = F.broadcast(texts.select(F.xxhash64("text").alias("th")).distinct())
+    seen = texts.select(F.xxhash64("text").alias("th")).distinct().hint("merge")
 
     def unseen(of: DataFrame) -> DataFrame:
         return of.where("chars > 0").join(held_out, "doc_id", "left_semi").join(seen, "th", "left_anti")

@@ -133,3 +133,10 @@ def test_rows_nulls_and_nothing(docs, rows, empty, spark, scratch):
     no_labels = labels.where("false")
     assert Q.filtered(docs, no_labels, scratch).count() == len(rows)
     assert Q.judged(empty, labels, scratch).collect() == []
+
+
+def test_training_takes_its_whole_share_of_many_documents(spark, scratch):
+    n = 6000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    chosen, held_out = Q.split(docs, docs.selectExpr("doc_id", "1 AS quality"), scratch)
+    assert (chosen.count(), held_out.count(), chosen.join(held_out, "doc_id").count()) == (n // 2, n // 2, 0)
