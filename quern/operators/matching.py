@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.scratch import Scratch
+
 #: Pattern tables beyond this many rows are not broadcast.
 MAX_PATTERNS = 10_000
 
@@ -127,18 +129,54 @@ def met_once(rows: DataFrame, key: list[str], candidates: DataFrame, on: list[st
     return met(counted.where("__k = 1")).unionByName(met(counted.where("__k > 1")).distinct())
 
 
-def first_tier(rows: DataFrame, key: list[str], tiers: list[tuple[int, list[str], DataFrame]], keep: list[str]) -> DataFrame:
+#: Candidates in an array, pairs in a block, and pairs that a task makes, about.
+ARRAY, BLOCK, TASK = 1 << 12, 1 << 20, 1 << 22
+
+
+def met_in_blocks(rows: DataFrame, key: list[str], candidates: DataFrame, on: list[str], keep: list[str], tasks: int) -> DataFrame:
+    """``key`` and ``keep`` of each of ``rows`` with each of ``candidates`` (distinct ``on`` and ``keep``) of the same ``on``.
+
+    Rows and candidates of a value are dealt into parts, and a task gets some blocks of a part of each: a value with most of
+    the pairs is the work of many tasks, none of which holds more than an array of candidates.  What is shuffled is a
+    row for each array, and an array for each block.
+    """
+    of_value = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__r")).join(candidates.groupBy(*on).agg(F.count(F.lit(1)).alias("__c")), on)
+    parts = F.ceil(F.col("__r") * F.least("__c", F.lit(ARRAY)) / BLOCK)
+    dealt = of_value.select(*on, F.ceil(F.col("__c") / ARRAY).alias("__arrays"), parts.alias("__parts"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    by = [*on, "__array", "__part"]
+    listed = candidates.join(dealt, on).withColumn("__array", F.pmod(F.xxhash64(*keep), "__arrays")).groupBy(*on, "__array", "__parts").agg(F.collect_list(F.struct(*keep)).alias("__l"))
+    held = F.col(f"__l.{keep[0]}") if len(keep) == 1 else F.col("__l")
+    arrays = listed.select(*on, "__array", held.alias("__l"), each("__parts").alias("__part")).repartition(tasks, *by)
+    asking = rows.join(dealt, on).select(*key, *on, F.pmod(F.xxhash64(*key), "__parts").alias("__part"), each("__arrays").alias("__array")).repartition(tasks, *by)
+    met = asking.join(arrays.hint("merge"), by)
+    return met.select(*key, F.explode("__l").alias(keep[0]) if len(keep) == 1 else F.inline("__l"))
+
+
+def first_tier(rows: DataFrame, key: list[str], tiers: list[tuple[int, list[str], DataFrame]], keep: list[str], scratch: Scratch | None = None) -> DataFrame:
     """Candidates of the best tier of each key, as ``best_tier``, where a tier is a look-up: number, columns to look up by, and a table of these and ``keep``.
 
-    What the values of a tier lead to is known before any pair is made, so a tier's pairs are made of the keys that stop there.
+    How many candidates the values of a tier lead to is known before any pair is made, so each key's tier is settled once, and
+    pairs are counted: they are dealt to as many tasks as they need, whatever the size of the rows.  Only pairs of keys
+    with several rows can repeat, and those alone are shuffled.
     """
-    rest, out = rows.dropna(subset=key), None
-    for number, on, table in sorted(tiers, key=lambda t: t[0]):
-        known = table.select(*on, *keep).distinct()
-        here = rest.join(known.select(*on).distinct(), on, "left_semi").select(*key, *on).distinct()
-        met = met_once(here, key, known, on, keep).withColumn("tier", F.lit(number))
+    tiers = [(number, on, table.select(*on, *keep).distinct()) for number, on, table in sorted(tiers, key=lambda t: t[0])]
+    asked = rows.dropna(subset=key).select(*dict.fromkeys([*key, *[c for _, on, _ in tiers for c in on]]))
+    for number, on, known in tiers:
+        asked = asked.join(known.groupBy(*on).agg(F.struct(F.lit(number).alias("tier"), F.count(F.lit(1)).alias("n")).alias(f"__t{number}")), on, "left")
+    first = F.coalesce(*[f"__t{number}" for number, _, _ in tiers])
+    asked = asked.select(*[c for c in asked.columns if not c.startswith("__t")], first.alias("__t")).where("__t is not null").repartition(*key).distinct()
+    of_key = Window.partitionBy(*key)
+    settled = asked.select("*", F.min("__t.tier").over(of_key).alias("__m"), (F.count(F.lit(1)).over(of_key) > 1).alias("__several")).where("__t.tier = __m")
+    settled = (scratch or Scratch(rows.sparkSession)).cut(settled, "settled")
+    pairs = {(r[0], r[1]): r[2] for r in settled.groupBy("__m", "__several").agg(F.sum("__t.n")).collect()}  # two numbers a tier
+    of_number, out = {number: (on, known) for number, on, known in tiers}, None
+    for (number, several), n in sorted(pairs.items()) or [((tiers[0][0], False), 1)]:
+        on, known = of_number[number]
+        here = settled.where((F.col("__m") == number) & (F.col("__several") == several)).select(*key, *on)
+        met = met_in_blocks(here, key, known, on, keep, -(-n // TASK))
+        met = (met.distinct() if several else met).withColumn("tier", F.lit(number))
         out = met if out is None else out.unionByName(met)
-        rest = rest.join(here.select(*key).distinct(), key, "left_anti")
     return out
 
 

@@ -243,7 +243,7 @@ def tiered_resolution(spark, directory):
     region = n.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
     by_region = by_nation.join(region, "c_nationkey").groupBy("n_regionkey").agg(F.min("s_suppkey").alias("s_suppkey"))
     tiers = [(0, ["c_nationkey", "class"], s), (1, ["c_nationkey"], by_nation), (2, ["n_regionkey"], by_region)]
-    return matching.first_tier(c.join(region, "c_nationkey", "left"), ["c_custkey"], tiers, ["s_suppkey"]).select("c_custkey", "s_suppkey", "tier")
+    return matching.first_tier(c.join(region, "c_nationkey", "left"), ["c_custkey"], tiers, ["s_suppkey"], Scratch(spark)).select("c_custkey", "s_suppkey", "tier")
 
 
 _SITES_SQL = """

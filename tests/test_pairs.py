@@ -1,5 +1,8 @@
 """Pairs that outnumber their rows: made of what is known to match, and not shuffled."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from quern.operators import matching
 from tests.work import shuffled
 
@@ -35,3 +38,30 @@ def test_callees_of_sites_that_repeat_come_once(spark):
     functions = spark.createDataFrame([(7, "d", None, "f", 1, True, "a"), (7, "d", None, "f", 2, False, "b"), (8, "d", None, "f", 2, False, "b"), (9, "x", "T", "g", 4, False, "c"), (10, "x", "T", "f", 0, True, "c")], function)
     got = sorted(map(tuple, matching.resolve_callees(sites, functions).collect()))
     assert got == [(1, 7, "exact"), (1, 8, "exact"), (2, 9, "dispatch"), (3, 10, "dispatch")]
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    for name, n in (("ARRAY", 64), ("BLOCK", 1_000), ("TASK", 4_000)):
+        monkeypatch.setattr(matching, name, n, raising=False)
+
+
+def test_pairs_of_one_value_are_made_by_many_tasks(spark, small_blocks):
+    rows = spark.range(400).selectExpr("id AS k", "0L AS a").localCheckpoint()
+    known = spark.range(300).selectExpr("0L AS a", "id AS v").localCheckpoint()
+    met = matching.first_tier(rows, ["k"], [(0, ["a"], known)], ["v"])
+    made = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 400 * 300 and max(made) < 12_000
+    assert met.distinct().count() == 400 * 300
+
+
+def test_tiers_made_in_blocks_are_those_of_all_candidates(spark, small_blocks):
+    rows = spark.range(300).selectExpr("if(id = 0, null, id % 250) AS k", "if(id % 11 = 0, null, id % 4) AS a", "id % 3 AS b").localCheckpoint()
+    first = spark.range(500).selectExpr("id % 2 AS a", "if(id < 4, null, id % 200) AS v", "cast(id % 7 AS string) AS w").localCheckpoint()
+    second = spark.range(90).selectExpr("id % 2 AS b", "id AS v", "cast(null AS string) AS w").localCheckpoint()
+    for keep in (["v"], ["v", "w"]):
+        want = matching.best_tier(rows, ["k"], [(0, rows.join(first, "a")), (1, rows.join(second, "b"))], keep)
+        got = matching.first_tier(rows, ["k"], [(1, ["b"], second), (0, ["a"], first)], keep)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+    nothing = matching.first_tier(rows.where("k < 0"), ["k"], [(1, ["b"], second), (0, ["a"], first)], ["v"])
+    assert nothing.columns == ["k", "v", "tier"] and nothing.collect() == []
